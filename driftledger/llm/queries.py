@@ -18,11 +18,72 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: counts and digest of the base kinds, and all spans with the linked parts."""
+    from .secrets import BASE_KINDS, secret_spans
+
+    found = secret_spans(read(spark, sf_dir, "documents"))
+    base = f"filter(spans, s -> s.kind in {BASE_KINDS})"
+    joined = "array_join(transform({}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+    return found.select(
+        "doc_id",
+        *(F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in BASE_KINDS),
+        F.sha2(F.expr(joined.format(base)), 256).alias("base_sha256"),
+        F.expr(joined.format("spans")).alias("spans"),
+    )
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside benchmark windows, and the items that they come from."""
+    from .decontam import benchmark_matches, contamination
+
+    found = contamination(benchmark_matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(F.col("item_ids").cast("array<string>")), ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op3_simhash_near_dedup,
+        op8_secret_scan,
+        op10_benchmark_decontamination,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = (
+    "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    " '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+ORACLE_SQL: dict[str, str] = {
+    "op10_benchmark_decontamination": f"""
+with item as (select item_id, {_WORDS.format("text")} as w from benchmark where text is not null and item_id is not null),
+win as (
+    select distinct item_id, least(len(w), 13) as n, array_to_string(w[k : k + least(len(w), 13) - 1], ' ') as phrase
+    from (select item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as k from item where len(w) > 0)
+),
+doc as (select doc_id, coalesce({_WORDS.format("text")}, []) as w from documents),
+gram as (
+    select doc_id, k, n, array_to_string(w[k : k + n - 1], ' ') as phrase
+    from (select doc_id, w, unnest(range(1, len(w) + 1)) as k from doc), (select distinct n from win) where k + n - 1 <= len(w)
+),
+found as (select a.doc_id, a.k, a.n, w.item_id from gram a join win w on a.n = w.n and a.phrase = w.phrase),
+hit as (
+    select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(k, k + n)) as p from found) group by doc_id
+),
+items as (
+    select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as ids
+    from (select distinct doc_id, cast(item_id as varchar) as i from found) group by doc_id
+)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+    sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated
+from doc d left join hit using (doc_id) left join items using (doc_id)
+""",
+}
