@@ -1,4 +1,8 @@
-"""The corpus pipeline: filters and samples documents by five operators in turn."""
+"""The corpus pipeline: five operators in turn over documents.
+
+Toxic documents go; of each group of near-duplicates one stays; documents with benchmark passages go; secrets are masked;
+what is left gets the number of copies with which its sources meet their target weights.
+"""
 
 from __future__ import annotations
 
@@ -7,29 +11,69 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftledger.llm import simhash
+from driftledger.llm import decontam, mixing, secrets, simhash, toxicity
 from driftledger.llm.common import read, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Ids to drop are broadcast up to so many; beyond, a shuffle joins them.
+BROADCAST_IDS = 1_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but those with these ids (stored, not null). Documents without an id stay."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain, trained on the labels of these documents, finds toxic go."""
+    labels = read(spark, sf_dir, "labels").withColumn("low_quality", 1 - F.col("quality"))
+    chain, unseen = toxicity.train(docs, labels, ("low_quality", "toxic"))
+    return toxicity.keep_clean(docs, chain, "toxic", toxicity.best_limit(unseen, "toxic"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each SimHash component the document with the smallest id stays; of several with that id, any one."""
+    found = stored(simhash.near_duplicates(docs), "near-duplicates").where("doc_id is not null")
+    left = _without(docs, stored(found.where("doc_id <> component_id").select("doc_id"), "near-duplicates-ids"))
+    again = stored(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    if again.isEmpty():
+        return left
+    return _without(left, again).unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of whose words a twentieth or more lie in 13-word windows of the benchmark go."""
+    found = decontam.contamination(decontam.benchmark_matches(docs, read(spark, sf_dir, "benchmark"), slack=0))
+    return _without(docs, stored(found.where("contaminated and doc_id is not null").select("doc_id").distinct(), "contaminated-ids"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; secrets in its text are masked, and n_chars counts the new text."""
+    masked = secrets.mask_secrets(docs)
+    return masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: the one with the smallest id."""
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays, with its source's weight and the number of copies that the mixture draws of it, one at least."""
+    return mixing.mixture(docs, budget="cover").drawn(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("simhash near-dedup", near_dedup)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("simhash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("secret scans", mask_secrets),
+    ("mixing sources to target weights", mix_sources),
+]
 
-#: SQL can't express the first stage's training or the fingerprints.
+#: None: SQL expresses neither the trained chain nor the fingerprints.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's result is written to the shared folder and read back."""
+    """All stages over documents; each one's result is written to the shared folder and read back as the next one's."""
     docs = read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, "stage")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -18,6 +18,14 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a mixture of the size of the corpus holds each document, at 97 % of the sources' greatest entropy."""
+    from .mixing import mixture
+
+    docs = read(spark, sf_dir, "documents")
+    return mixture(docs).drawn(docs.select("doc_id", "source"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets: counts and digest of the base kinds, and all spans with the linked parts."""
     from .secrets import BASE_KINDS, secret_spans
@@ -33,6 +41,15 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability of low quality and, given that, of toxicity; the chain learns from labels."""
+    from .toxicity import best_limit, score, train
+
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    chain, unseen = train(docs, labels.withColumn("low_quality", 1 - F.col("quality")), ("low_quality", "toxic"))
+    return score(docs, chain).withColumn("toxic", F.col("p_toxic") >= best_limit(unseen, "toxic"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words inside benchmark windows, and the items that they come from."""
     from .decontam import benchmark_matches, contamination
@@ -52,7 +69,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op3_simhash_near_dedup,
+        op5_source_mixing,
         op8_secret_scan,
+        op9_toxicity_chain,
         op10_benchmark_decontamination,
     )
 }
