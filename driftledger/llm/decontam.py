@@ -9,6 +9,8 @@ benchmark travels, in blocks of bounded size.
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,7 +75,7 @@ def _index_rows(batch: pa.RecordBatch, terms: dict[bytes, int]) -> pa.RecordBatc
     )
 
 
-def _matches(key: np.ndarray, span: int, w: Windows, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _matches(key: np.ndarray, span: int, w: Windows | SimpleNamespace, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(window, start, exact): where windows occur. key: term * span + place, sorted, of a shard's postings.
 
     A start is near if each of the window's words has an occurrence at most slack places from its own, exact if at none.
@@ -106,7 +108,7 @@ def _matches(key: np.ndarray, span: int, w: Windows, slack: int) -> tuple[np.nda
     return window, start, exact
 
 
-def _search_rows(batch: pa.RecordBatch, w: Windows, slack: int) -> pa.RecordBatch:
+def _search_rows(batch: pa.RecordBatch, w: Windows | SimpleNamespace, slack: int) -> pa.RecordBatch:
     rows, pad = batch.num_rows, w.size + 2 * slack + 1
     n_words = batch.column(2).to_numpy()
     terms, places = batch.column(3), batch.column(4)
@@ -158,8 +160,13 @@ def positional_index(docs: DataFrame, terms: dict[bytes, int], id_col: str = "do
 
 def search(index: DataFrame, windows: Windows, slack: int = 1) -> DataFrame:
     """Each indexed document's hits, the items with exact windows and those with near ones only."""
-    shared = index.sparkSession.sparkContext.broadcast(windows)
-    return index.mapInArrow(arrow_mapper(lambda: lambda b: _search_rows(b, shared.value, slack)), _FOUND)
+    shared = index.sparkSession.sparkContext.broadcast(vars(windows))
+
+    def make():
+        own = SimpleNamespace(**shared.value)
+        return lambda batch: _search_rows(batch, own, slack)
+
+    return index.mapInArrow(arrow_mapper(make), _FOUND)
 
 
 def benchmark_matches(

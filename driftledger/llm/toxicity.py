@@ -210,16 +210,16 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     they came.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    shared = docs.sparkSession.sparkContext.broadcast(dict(vars(chain)))
     names = [f"p_{c}" for c in chain.categories]
 
     def make():
-        cache: dict[str, tuple[str, ...]] = {}
+        own, cache = Chain(**shared.value), {}
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [_known(t, shared.value.index, cache) for t in texts_of(batch)]
+            found = [_known(t, own.index, cache) for t in texts_of(batch)]
             rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            p = shared.value.probabilities(rows, np.concatenate(found), len(found))
+            p = own.probabilities(rows, np.concatenate(found), len(found))
             return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in p.T)], names=["id", *names])
 
         return one
@@ -231,16 +231,16 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 def keep_clean(docs: DataFrame, chain: Chain, category: str, limit: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose probability of the category is under the limit."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    shared = docs.sparkSession.sparkContext.broadcast(dict(vars(chain)))
     at, which = docs.columns.index(text_col), chain.categories.index(category)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple[str, ...]] = {}
+        own, cache = Chain(**shared.value), {}
         for batch in batches:
-            found = [_known(t, shared.value.index, cache) for t in batch.column(at).to_pylist()]
+            found = [_known(t, own.index, cache) for t in batch.column(at).to_pylist()]
             if found:
                 rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                p = shared.value.probabilities(rows, np.concatenate(found), len(found))
+                p = own.probabilities(rows, np.concatenate(found), len(found))
                 yield batch.filter(pa.array(p[:, which] < limit))
 
     return docs.mapInArrow(clean, docs.schema)
