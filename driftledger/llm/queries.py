@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 from .common import read
 
 
+def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written into ZIP archives in the shared folder and read back by ranges."""
+    from .common import new_folder
+    from .warc import read_archives, write_archives
+
+    path = new_folder(spark, "archives")
+    write_archives(read(spark, sf_dir, "pages"), path)
+    found = read_archives(spark, path)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component of fingerprints within four bits."""
     from .simhash import near_duplicates
@@ -18,6 +29,13 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes and tokens, and whether it is over 2048 tokens long."""
+    from .tokens import token_counts
+
+    return token_counts(read(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often a mixture of the size of the corpus holds each document, at 97 % of the sources' greatest entropy."""
     from .mixing import mixture
@@ -68,7 +86,9 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_warc_archives,
         op3_simhash_near_dedup,
+        op4_token_counts,
         op5_source_mixing,
         op8_secret_scan,
         op9_toxicity_chain,
@@ -82,6 +102,14 @@ _WORDS = (
 )
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc_archives": """
+with page as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as digest from pages),
+first as (select digest, max(page_id) as first from page where n >= 1000 group by digest)
+select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest,
+    case when f.first <> page_id then 'revisit' else 'response' end as record_type,
+    case when f.first <> page_id then f.first end as refers_to
+from page left join first f using (digest)
+""",
     "op10_benchmark_decontamination": f"""
 with item as (select item_id, {_WORDS.format("text")} as w from benchmark where text is not null and item_id is not null),
 win as (
