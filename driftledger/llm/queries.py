@@ -44,6 +44,15 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(docs).drawn(docs.select("doc_id", "source"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from three quarters of the documents."""
+    from .langid import dictionaries, held_out, identify
+
+    docs = read(spark, sf_dir, "documents")
+    found = identify(docs, dictionaries(docs.where(~held_out("doc_id"))))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets: counts and digest of the base kinds, and all spans with the linked parts."""
     from .secrets import BASE_KINDS, secret_spans
@@ -90,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_simhash_near_dedup,
         op4_token_counts,
         op5_source_mixing,
+        op7_language_id,
         op8_secret_scan,
         op9_toxicity_chain,
         op10_benchmark_decontamination,
