@@ -21,6 +21,13 @@ def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding's links at a cosine of 0.95 or more, and its component."""
+    from .vectors import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component of fingerprints within four bits."""
     from .simhash import near_duplicates
@@ -96,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc_archives,
+        op2_embedding_near_dedup,
         op3_simhash_near_dedup,
         op4_token_counts,
         op5_source_mixing,
