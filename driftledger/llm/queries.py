@@ -51,6 +51,14 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(docs).drawn(docs.select("doc_id", "source"))
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence families, by the trained paragraph classifier and the templates."""
+    from .licences import scan, train
+
+    docs = read(spark, sf_dir, "documents")
+    return scan(docs, train(docs))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learned from three quarters of the documents."""
     from .langid import dictionaries, held_out, identify
@@ -107,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_simhash_near_dedup,
         op4_token_counts,
         op5_source_mixing,
+        op6_licence_scan,
         op7_language_id,
         op8_secret_scan,
         op9_toxicity_chain,
@@ -127,6 +136,17 @@ select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest,
     case when f.first <> page_id then 'revisit' else 'response' end as record_type,
     case when f.first <> page_id then f.first end as refers_to
 from page left join first f using (digest)
+""",
+    "op2_embedding_near_dedup": """
+with recursive v as (
+    select vec_id, cast(embedding as double[]) as e from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        and len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+link as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from reach r join link l on r.b = l.a)
+select e.vec_id, (select count(*) from link l where l.a = e.vec_id) as n_links, min(r.b) as component_id, min(r.b) = e.vec_id as kept
+from embeddings e join reach r on r.a = e.vec_id group by e.vec_id
 """,
     "op10_benchmark_decontamination": f"""
 with item as (select item_id, {_WORDS.format("text")} as w from benchmark where text is not null and item_id is not null),
