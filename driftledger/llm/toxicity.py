@@ -23,7 +23,7 @@ from .common import arrow_mapper, small_batches, stored, texts_of
 
 #: Labelled documents that the models learn from, in expectation.
 SAMPLE_ROWS = 12_000
-#: Features kept for each category, and the share of the sample in which one may occur at most.
+#: Features kept for each category, and the share of the sample in which one may occur: that or twice the category's.
 FEATURES = 300
 COMMON = 0.1
 FOLDS = 5
@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col:
         if 0 < (sizes[k + 1] or 0) < sizes[0]:
             rate = sizes[k + 1] / sizes[0]
             score = (F.col(f"n{k}") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate) * (1 - F.col("n") / (sizes[0] + 1)))
-            top = counts.withColumn("z", F.abs(score)).where("z >= 4").where(F.col("n") <= COMMON * sizes[0] + least).orderBy(F.desc("z"), "feature").limit(keep)
+            top = counts.withColumn("z", F.abs(score)).where("z >= 4").where(F.col("n") <= max(COMMON, 2 * rate) * sizes[0] + least).orderBy(F.desc("z"), "feature").limit(keep)
             chosen |= {r[0] for r in top.select("feature").collect()}
     index = {f: k for k, f in enumerate(sorted(chosen))}
     shared = docs.sparkSession.sparkContext.broadcast(index)
