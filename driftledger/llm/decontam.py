@@ -184,10 +184,9 @@ def benchmark_matches(
     The benchmark is searched in blocks of about block_words words, a pass over the documents each; several blocks' hits
     are put together by document and text.
     """
-    tokens = F.size(F.split(F.col(item_text), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
     items = benchmark.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull())
     items = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text"))
-    total = items.agg(F.sum(tokens if item_text == "text" else F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0]
+    total = items.agg(F.sum(F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0]
     blocks = max(1, -(-(total or 0) // block_words))
 
     def one(k: int) -> DataFrame:

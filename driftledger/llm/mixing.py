@@ -100,8 +100,9 @@ class Mixture:
     seed: int
 
     def drawn(self, docs: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-        """docs with weight and n_copies. The three tables are broadcast while small, so that no document is shuffled."""
-        key, names = _source_key(source_col), docs.columns
+        """docs with weight and n_copies, in place of columns of that name. The three tables are broadcast while small, so that
+        no document is shuffled."""
+        key, names = _source_key(source_col), [c for c in docs.columns if c not in ("weight", "n_copies")]
         out = docs.select(*names, key.alias("_key")).join(_checked(self.sources.withColumnRenamed("key", "_key")), "_key")
         out = out.withColumn("_block", F.pmod(F.xxhash64(F.lit(self.seed), F.col(id_col).cast("long")), F.col("_blocks")))
         whole = self.whole.select(F.col("key").alias("_key"), F.col("block").alias("_block"), F.lit(1).alias("_whole"))

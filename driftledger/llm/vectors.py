@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from .common import small_batches, stored
 from .components import connected_components
 
-#: Points that the centroids are fitted on, and that recall is audited on, at most.
+#: Points that the centroids are fitted on, and that recall is audited on, in expectation; the former within SAMPLE_BYTES.
 SAMPLE_ROWS = 20_000
+SAMPLE_BYTES = 128 << 20
 AUDIT_ROWS = 256
 #: Points of a shard, for vectors of up to a few thousand numbers; shards beyond are cut into parts of this size.
 SHARD_ROWS = 2_000
@@ -200,10 +201,10 @@ def _dealt(points: DataFrame, centroids: np.ndarray, overlap: int) -> DataFrame:
     return points.mapInPandas(deal, "node long, size long, vector array<float>, shards array<long>")
 
 
-def _links_of(points: DataFrame, n: int, least: float, overlap: int, shard_rows: int) -> tuple[DataFrame, DataFrame]:
+def _links_of(points: DataFrame, n: int, dim: int, least: float, overlap: int, shard_rows: int) -> tuple[DataFrame, DataFrame]:
     """(node, links) and (a, b) edges for the points (node, size, vector) of one dimension."""
     k = int(np.clip(round(n * overlap / shard_rows), 1, MAX_CENTROIDS))
-    share = min(1.0, max(SAMPLE_ROWS, 4 * k) / n)
+    share = min(1.0, max(SAMPLE_ROWS, 4 * k) / n, SAMPLE_BYTES / (8 * dim) / n)
     sample = points.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("node", "vector").toPandas().sort_values("node")
     if not len(sample):
         sample = points.select("node", "vector").limit(1).toPandas()
@@ -274,7 +275,7 @@ def near_duplicates(
         own = points.where(F.size("vector") == dim).select("node", "size", "vector")
         rows_in_shard = max(64, min(shard_rows, (64 << 20) // (8 * dim)))
         for more in range(3):
-            links, edges = _links_of(own, n, least, overlap + 2 * more, rows_in_shard)
+            links, edges = _links_of(own, n, dim, least, overlap + 2 * more, rows_in_shard)
             reached = _recall(own, links, n, least)
             if reached >= recall:
                 break
