@@ -72,7 +72,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets: counts and digest of the base kinds, and all spans with the linked parts."""
     from .secrets import BASE_KINDS, secret_spans
 
-    found = secret_spans(read(spark, sf_dir, "documents"))
+    found = secret_spans(read(spark, sf_dir, "documents"), reach=None)
     base = f"filter(spans, s -> s.kind in {BASE_KINDS})"
     joined = "array_join(transform({}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
     return found.select(

@@ -2,9 +2,9 @@
 
 A scan finds the base kinds (assign, access, hex), which stand alone, and weak parts, which don't: key identifiers, secret
 strings of mixed characters and service endpoints. Weak parts become findings where complementary parts co-occur: the
-nearest identifier or endpoint within reach of a secret, in the same scope (a run of lines without a blank one). That is an
-interval join of sorted places inside one document, so it needs neither a shuffle nor pairs: the parts of a batch lie on one
-axis, scope by scope, and a binary search finds each one's nearest complements.
+nearest identifier or endpoint of a secret, in the same scope (a run of lines without a blank one), which alone bounds op8
+and masking. That is an interval join of sorted places inside one document, so it needs neither a shuffle nor pairs: the
+parts of a batch lie on one axis, scope by scope, and a binary search finds each one's nearest complements.
 """
 
 from __future__ import annotations
@@ -60,18 +60,24 @@ def weak_parts(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
-def _nearest(at: np.ndarray, among: np.ndarray, low: np.ndarray, high: np.ndarray, reach: int) -> np.ndarray:
-    """For each place the nearest of the sorted places within reach and inside [low, high), else -1."""
-    if not len(among):
+def _nearest(at: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray, among: list[tuple[int, int]], reach: int | None) -> np.ndarray:
+    """For each span the start of the nearest of the spans among, by the gap between them, that begins inside [low, high)
+    and is at most reach away (None: anywhere in there), else -1."""
+    if not among:
         return np.full(len(at), -1)
-    right = np.minimum(np.searchsorted(among, at), len(among) - 1)
-    left = np.maximum(right - 1, 0)
-    ok = lambda k: (among[k] >= low) & (among[k] < high) & (np.abs(among[k] - at) <= reach)
-    pick = np.where(ok(left) & (~ok(right) | (at - among[left] <= among[right] - at)), left, right)
-    return np.where(ok(pick), among[pick], -1)
-
-
-def _scan_rows(batch: pa.RecordBatch, reach: int) -> pa.RecordBatch:
+    starts, ends = np.array(sorted(among), dtype=np.int64).T
+    # of the spans that begin before a place, the one that ends last
+    last = np.maximum.accumulate(np.where(ends >= np.maximum.accumulate(ends), np.arange(len(ends)), 0))
+    right = np.searchsorted(starts, at)
+    left = last[np.maximum(right - 1, 0)]
+    right = np.minimum(right, len(starts) - 1)
+    gap = lambda k: np.maximum(np.maximum(starts[k] - end, at - ends[k]), 0)
+    ok = lambda k: (starts[k] >= low) & (starts[k] < high) & (True if reach is None else gap(k) <= reach)
+    pick = np.where(ok(left) & (~ok(right) | (gap(left) <= gap(right))), left, right)
+    return np.where(ok(pick), starts[pick], -1)
+
+
+def _scan_rows(batch: pa.RecordBatch, reach: int | None) -> pa.RecordBatch:
     spans: list[list[dict]] = []
     parts: list[tuple[int, int, int, int, str, int, int]] = []  # place, row, start, end, kind, low and high of its scope
     base = 0
@@ -88,12 +94,13 @@ def _scan_rows(batch: pa.RecordBatch, reach: int) -> pa.RecordBatch:
             scope = np.searchsorted(cuts, [s for s, _, _ in found], side="right") - 1
             parts += [(base + s, -1, s, e, as_weak[k], base + cuts[c], base + cuts[c + 1]) for (s, e, k), c in zip(found, scope.tolist(), strict=True)]
             base += len(text) + 2
-    places = {k: np.array(sorted(p[0] for p in parts if p[4] == k), dtype=np.int64) for k in WEAK_KINDS}
+    places = {k: [(p[0], p[0] + p[3] - p[2]) for p in parts if p[4] == k] for k in WEAK_KINDS}
     for kind in WEAK_KINDS:
         own = [p for p in parts if p[4] == kind and p[1] >= 0]
         if own:
             at, low, high = (np.array([p[c] for p in own], dtype=np.int64) for c in (0, 5, 6))
-            near = np.max([_nearest(at, places[c], low, high, reach) for c in COMPLEMENTS[kind]], axis=0)
+            end = at + np.array([p[3] - p[2] for p in own], dtype=np.int64)
+            near = _nearest(at, end, low, high, [x for c in COMPLEMENTS[kind] for x in places[c]], reach)
             for p, place in zip(own, near.tolist(), strict=True):
                 if place >= 0:
                     spans[p[1]].append({"kind": kind, "start": p[2], "end": p[3], "linked": place - p[0] + p[2]})
@@ -104,11 +111,11 @@ def _scan_rows(batch: pa.RecordBatch, reach: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=["id", "spans"])
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 400) -> DataFrame:
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = 400) -> DataFrame:
     """(id_col, spans): each row's findings in order of start, then kind; start and end in code points, end exclusive.
 
-    kind is one of BASE_KINDS, or of WEAK_KINDS for a weak part with a complement in its scope at most reach code points
-    away; linked is then where that complement starts (null for base kinds). Null and empty texts have no spans; repeated
+    kind is one of BASE_KINDS, or of WEAK_KINDS for a weak part with a complement in its scope, between whose nearer ends
+    lie at most reach code points (None: any number); linked is then where the nearest starts (null for base kinds). Null and empty texts have no spans; repeated
     rows come back as often as they came. No shuffle; a whole text is looked at, however long.
     """
     small_batches(docs.sparkSession)
@@ -116,7 +123,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(arrow_mapper(lambda: lambda b: _scan_rows(b, reach)), _FOUND).withColumnRenamed("id", id_col)
 
 
-def masked(text: str, mask: str = "[REDACTED]", reach: int = 400) -> str:
+def masked(text: str, mask: str = "[REDACTED]", reach: int | None = None) -> str:
     """The text with every finding, overlapping ones as one, replaced by the mask."""
     batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([text], pa.string())], names=["id", "text"])
     out, at = [], 0
@@ -128,7 +135,7 @@ def masked(text: str, mask: str = "[REDACTED]", reach: int = 400) -> str:
     return "".join([*out, text[at:]])
 
 
-def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[REDACTED]", reach: int = 400) -> DataFrame:
+def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[REDACTED]", reach: int | None = None) -> DataFrame:
     """docs, all rows and columns, with the findings in text_col masked; null stays null."""
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)

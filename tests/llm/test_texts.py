@@ -74,6 +74,23 @@ def test_secret_query_digests(spark, tmp_path):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[2] == k for x in base) for k in secrets.BASE_KINDS)
 
 
+def test_parts_of_a_scope_at_any_distance(spark, tmp_path):
+    key, value, site = "client_id: svc-build", "Zx81kQw0pLmN7vBt29Rs4u", "https://vault.example.net/v1"
+    filler, long = ". " * 1000, value * 50
+    texts = [f"{key} {filler} {value}", f"{long} {site}", f"{key} {filler}\n\n{value}", f"{site} {filler} {value} {key}"]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.spans for r in op8_secret_scan(spark, str(tmp_path)).collect()}
+    at = texts[0].index(value)
+    assert got[0] == f"key_id:11:20,secret_part:{at}:{at + len(value)}"
+    assert got[1] == f"secret_part:0:{len(long)},endpoint:{len(long) + 1}:{len(texts[1])}" and not got[2]
+    assert [s.split(":")[0] for s in got[3].split(",")] == ["endpoint", "secret_part", "key_id"]
+    assert secrets.masked(texts[0]) == f"client_id: [REDACTED] {filler} [REDACTED]" and secrets.masked(texts[2]) == texts[2]
+    # a bound given is one of the gap, and the nearest of both kinds of complement is linked
+    spans = {r.doc_id: r.spans for r in secrets.secret_spans(docs_of(spark, texts), reach=20).collect()}
+    assert not spans[0] and [s.kind for s in spans[1]] == ["secret_part", "endpoint"]
+    assert [(s.kind, texts[3][s.linked :].startswith(o)) for s, o in zip(spans[3], ("svc", value), strict=True)] == [("secret_part", True), ("key_id", True)]
+
+
 def test_masking_keeps_all_else():
     assert secrets.masked("a token = abcdefghijklmnop b deadbeefdeadbeef c") == "a [REDACTED] b [REDACTED] c"
     assert secrets.masked("plain") == "plain"
