@@ -1,17 +1,19 @@
 """Licence scans: a trained classifier of paragraphs, confirmed by comparison with templates. DataFrame operations only.
 
-A paragraph is a line of a text. Its features are the word pairs and triples that the licence templates hold and ordinary
-paragraphs hardly do. A multinomial logistic regression over licence families and an unknown class learns from templates
-with words left out and from a bounded sample of the corpus' own paragraphs; a temperature, fitted on rows kept back,
-calibrates its probabilities. A family is reported where it is more likely than not and enough of one of its templates is
-in the paragraph.
-
-Texts are exploded to n-grams and joined with the broadcast weights, a table no larger than the templates, so that only
-n-grams of licences are aggregated by paragraph.
+A paragraph is a run of lines without a blank one; its lines are read as one sequence of words, without the marks of comments.
+Features are the word pairs and triples that the licence templates hold and ordinary paragraphs hardly do. A multinomial
+logistic regression over licence families and an unknown class learns from templates with words left out and from a bounded
+sample of the corpus' own paragraphs; a temperature, fitted on rows kept back, calibrates its probabilities. Enough of a
+template must be found in one stretch of a paragraph, and its family is reported where it is more likely than not in that
+stretch, so that a paragraph may have several families.
+
+Texts are exploded to word pairs and joined with the broadcast pairs of the templates, a table no larger than these, so that
+only n-grams of licences are stored, placed against the templates and aggregated.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -80,9 +82,11 @@ OTHERS: tuple[str, ...] = (
 )
 
 UNKNOWN = "unknown"
-#: Paragraphs of the corpus that the unknown class is learned from, in expectation.
+#: Stretches of the corpus' paragraphs that the unknown class is learned from, in expectation.
 SAMPLE_PARAGRAPHS = 4_000
 VARIANTS = 60
+#: Words of a stretch that the unknown class is learned from; words in a row that tell a template from other texts.
+STRETCH, RUN = 64, 6
 
 
 def words(text: Column) -> Column:
@@ -98,13 +102,14 @@ def grams(w: Column) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    """The text's lines that hold more than white space."""
-    return F.filter(F.split(text, r"[\r\n]+"), lambda p: p.rlike(r"\S"))
+    """The text's runs of lines without a blank one."""
+    return F.filter(F.split(text, r"(?:\r\n|\n|\r(?!\n))[ \t\f]*(?:\r\n|\n|\r)"), lambda p: p.rlike(r"\S"))
 
 
 @dataclass(frozen=True)
 class LicenceModel:
-    """weights: gram, w (one for each class); templates: family, grams. Both as small as TEMPLATES."""
+    """weights: gram, w (one for each class); templates: gram, template (its number), family, n (its words), size (its
+    different grams), offset (a row for each place of a gram). Both as small as TEMPLATES."""
 
     classes: tuple[str, ...]
     bias: tuple[float, ...]
@@ -118,28 +123,55 @@ def _templates(spark: SparkSession) -> DataFrame:
     return rows.withColumn("words", words(F.col("text"))).withColumn("grams", F.array_distinct(grams(F.col("words"))))
 
 
+def _placed_templates(spark: SparkSession, vocabulary: list[str]) -> DataFrame:
+    """LicenceModel.templates, of the grams in vocabulary."""
+    known, rows = set(vocabulary), []
+    for number, (family, text) in enumerate(TEMPLATES):
+        w = _template_words(text)
+        own = [(" ".join(w[k : k + n]), k) for n in (2, 3) for k in range(len(w) - n + 1)]
+        own = [(g, k) for g, k in own if g in known]
+        rows += [(g, number, family, len(w), len({g for g, _ in own}), k) for g, k in own]
+    return spark.createDataFrame(rows, "gram string, template int, family string, n int, size int, offset int")
+
+
+def _template_words(text: str) -> list[str]:
+    return re.findall(r"[^\W_]+(?:[.+-][^\W_]+)*", text.lower())
+
+
+def _runs() -> list[str]:
+    """The runs of RUN words of the templates, and shorter templates as a whole."""
+    each = [_template_words(t) for _, t in TEMPLATES]
+    return sorted({" ".join(w[k : k + RUN]) for w in each for k in range(max(1, len(w) - RUN + 1))})
+
+
 def _examples(spark: SparkSession, docs: DataFrame, text_col: str, sample: int) -> DataFrame:
-    """(label, grams, kept_back): templates with words left out and others around them, and paragraphs of no licence."""
+    """(label, grams, kept_back): templates with words left out and others around them, and stretches of paragraphs of no
+    licence."""
     made = _templates(spark).select("family", "words", "text").withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))))
     draw = lambda *of: F.pmod(F.xxhash64("text", "variant", *of), F.lit(100))
     lost = F.filter(F.col("words"), lambda w, i: (F.col("variant") == 0) | (F.pmod(F.xxhash64("text", "variant", w, i), F.lit(100)) >= F.pmod(F.col("variant"), F.lit(4)) * 6))
     made = made.withColumn("w", lost).withColumn("w", F.when(draw(F.lit("cut")) < 30, F.slice("w", F.lit(1), F.greatest(F.lit(3), F.size("w") * 2 / 3).cast("int"))).otherwise(F.col("w")))
     made = made.select(F.col("family").alias("label"), F.array_distinct(grams(F.col("w"))).alias("grams"), (draw(F.lit("part")) < 25).alias("kept_back"))
     texts = docs.select(F.col(text_col).alias("text")).where("text is not null")
-    n = texts.agg(F.sum(F.regexp_count("text", F.lit(r"[^\r\n]+")))).first()[0] or 1
+    n = texts.agg(F.sum(F.ceil(F.length("text") / 400))).first()[0] or 1  # stretches, about
     share = F.lit(sample / n)
     line = texts.select(F.posexplode(paragraphs(F.col("text"))).alias("k", "p"))
     line = line.where(F.pmod(F.xxhash64("p", "k"), F.lit(1 << 30)) < share * (1 << 30)).select("p")
     line = line.unionByName(spark.createDataFrame([(o,) for o in OTHERS for _ in range(4)], "p string"))
-    line = line.select(F.array_distinct(grams(words(F.col("p")))).alias("grams"), (F.pmod(F.xxhash64("p"), F.lit(4)) == 0).alias("kept_back"))
-    # a sampled paragraph that holds a template is no example of the unknown class
-    known = F.broadcast(_templates(spark).select(F.col("grams").alias("t")))
-    line = line.join(known, F.size(F.array_intersect("grams", "t")) >= F.size("t") * 0.8, "left_anti")
+    line = line.select(words(F.col("p")).alias("w")).where(F.size("w") > 0)
+    # a sampled paragraph that holds a run of a template is no example of the unknown class
+    runs = _runs()
+    lengths = sorted({len(r.split()) for r in runs})
+    runs_of = lambda n: F.transform("w", lambda _, i: F.array_join(F.slice("w", i + 1, F.lit(n)), " "))
+    own = F.concat(*map(runs_of, lengths))
+    line = line.join(F.broadcast(spark.createDataFrame([(runs,)], "runs array<string>")), F.arrays_overlap(own, "runs"), "left_anti")
+    line = line.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(STRETCH)), lambda k: F.slice("w", k + 1, F.lit(STRETCH)))).alias("w"))
+    line = line.select(F.array_distinct(grams(F.col("w"))).alias("grams"), (F.pmod(F.xxhash64("w"), F.lit(4)) == 0).alias("kept_back"))
     return made.unionByName(line.select(F.lit(UNKNOWN).alias("label"), "grams", "kept_back"))
 
 
 def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE_PARAGRAPHS) -> LicenceModel:
-    """The classifier, its unknown class learned from about sample paragraphs of docs, picked by a hash.
+    """The classifier, its unknown class learned from about sample stretches of docs, of paragraphs picked by a hash.
 
     Without any text the unknown class has the fixed sentences only.
     """
@@ -157,7 +189,7 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE_PARAGRAP
     fitted = LogisticRegression(labelCol="y", family="multinomial", regParam=3e-4, maxIter=80).fit(data.where("not kept_back"))
     matrix, bias = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
     weights = spark.createDataFrame([(g, [float(x) for x in matrix[:, k]]) for k, g in enumerate(vocabulary)], "gram string, w array<double>")
-    model = LicenceModel(tuple(classes), tuple(float(b) for b in bias), 1.0, weights, templates.select("family", F.array_intersect("grams", F.array(*map(F.lit, vocabulary))).alias("t")))
+    model = LicenceModel(tuple(classes), tuple(float(b) for b in bias), 1.0, weights, _placed_templates(spark, vocabulary))
     # the temperature with the least log loss on the rows kept back
     back = rows.where("kept_back").withColumn("id", F.monotonically_increasing_id())
     back = stored(back, "licence-kept-back")
@@ -172,40 +204,71 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE_PARAGRAP
     return LicenceModel(model.classes, model.bias, tried[best], model.weights, model.templates)
 
 
+def _hits(docs: DataFrame, model: LicenceModel, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, paragraph, pos, gram): the model's n-grams in docs and the places of their first words; for every row one
+    more at paragraph 0. row numbers the rows of docs."""
+    mark, spark = "\x00", docs.sparkSession
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    each = rows.select("row", "id", F.posexplode(F.concat(F.array(F.lit(mark)), F.coalesce(paragraphs(F.col("text")), F.array()))).alias("paragraph", "p"))
+    each = each.select("row", "id", "paragraph", F.when(F.col("p") == mark, F.array(F.lit(mark), F.lit(mark))).otherwise(words(F.col("p"))).alias("w"))
+    after = lambda k: F.slice("w", F.lit(k), F.greatest(F.size("w") - k + 1, F.lit(0)))
+    each = each.select("row", "id", "paragraph", F.col("w").alias("a"), after(2).alias("b"), after(3).alias("c"))
+    # outer, as the optimiser would else compute the words a second time to find the empty ones
+    each = each.select("row", "id", "paragraph", F.posexplode_outer(F.arrays_zip("a", "b", "c")).alias("pos", "s")).select("row", "id", "paragraph", "pos", "s.a", "s.b", "s.c")
+    known = [r[0] for r in model.weights.select("gram").collect()]  # as many as TEMPLATES has at most
+    pairs = sorted({tuple(g.split(" ")[:2]) for g in known} | {(mark, mark)})
+    each = each.where("b is not null").join(F.broadcast(spark.createDataFrame(pairs, "a string, b string")), ["a", "b"])
+    each = each.select("row", "id", "paragraph", "pos", F.explode(F.array(F.concat_ws(" ", "a", "b"), F.concat(F.col("a"), F.lit(" "), F.col("b"), F.lit(" "), F.col("c")))).alias("gram"))
+    return each.join(F.broadcast(spark.createDataFrame([(g,) for g in [*known, f"{mark} {mark}"]], "gram string")), "gram")
+
+
 def licence_paragraphs(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, covered: float = 0.7) -> DataFrame:
-    """(row, id_col, paragraph, family, probability, template_share): the confirmed paragraphs, and for every row one more
-    with a null paragraph, so that rows without a licence are there too. row numbers the rows of docs.
+    """(row, id_col, paragraph, family, probability, template_share): the confirmed families of each paragraph, and for every
+    row one more with a null paragraph, so that rows without a licence are there too. row numbers the rows of docs.
 
-    family is the likeliest class, if that isn't unknown, its calibrated probability is least or more and a template of
-    its shares covered of its n-grams or more with the paragraph. Null and empty texts have no paragraphs.
+    A family is confirmed where a stretch of the paragraph shares covered of the n-grams of one of its templates or more, in
+    about their places, no other family's template that lies over it fits better, and it is the stretch's likeliest class,
+    with a calibrated probability of least or more. Null and empty texts have no paragraphs.
     """
-    mark = "\x00"
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    lines = rows.select("row", "id", F.posexplode(F.concat(F.array(F.lit(mark)), F.coalesce(paragraphs(F.col("text")), F.array()))).alias("paragraph", "p"))
-    exploded = lines.select("row", "id", "paragraph", F.explode(F.when(F.col("p") == mark, F.array("p")).otherwise(F.array_distinct(grams(words(F.col("p")))))).alias("gram"))
+    hits = stored(_hits(docs, model, id_col, text_col), "licence-hits")
+    real = hits.where("paragraph > 0")
+    # hits whose place less that in the template differs little are of one copy of it; each is in two windows of this difference
+    placed = real.join(F.broadcast(model.templates), "gram").withColumn("room", F.greatest(F.lit(4), F.ceil(F.col("n") / 3)))
+    at = F.floor((F.col("pos") - F.col("offset")) / F.col("room"))
+    placed = placed.withColumn("window", F.explode(F.array(at - 1, at)))
+    key = ["row", "id", "paragraph", "template", "family", "window"]
+    found = placed.groupBy(*key).agg(F.count_distinct("gram").alias("shared"), F.max("size").alias("size"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    place = ["template_share", "shared", "first", "last"]
+    found = found.withColumn("template_share", F.col("shared") / F.col("size")).where(F.col("template_share") >= covered).select(*key, *place)
+    # the classes of each stretch, by all of the model's n-grams in it; blocks of places keep the join to its neighbourhood
+    block = lambda c: F.floor(F.col(c) / STRETCH)
+    blocks = F.explode(F.sequence(block("first"), block("last"))).alias("block")
+    inside = found.select("*", blocks).join(real.select("row", "paragraph", "pos", "gram", block("pos").alias("block")), ["row", "paragraph", "block"])
+    inside = inside.where("pos between first and last").select(*key, *place, "gram").distinct()
     n = len(model.classes)
-    spark = docs.sparkSession
-    weights = model.weights.unionByName(spark.createDataFrame([(mark, [0.0] * n)], "gram string, w array<double>"))
-    odds = exploded.join(F.broadcast(weights), "gram").groupBy("row", "id", "paragraph").agg(
-        *[F.sum(F.get("w", F.lit(k))).alias(f"o{k}") for k in range(n)], F.collect_set("gram").alias("grams")
-    )
+    odds = inside.join(F.broadcast(model.weights), "gram").groupBy(*key, *place).agg(*[F.sum(F.get("w", F.lit(k))).alias(f"o{k}") for k in range(n)])
     logits = [(F.col(f"o{k}") + model.bias[k]) / model.temperature for k in range(n)]
-    top = F.greatest(*logits)
-    total = sum((F.exp(o - top) for o in logits), F.lit(0.0))
-    named = F.coalesce(*[F.when(o == top, F.lit(c)) for o, c in zip(logits, model.classes, strict=True)])
-    found = odds.select("row", "id", "paragraph", "grams", named.alias("family"), (1 / total).alias("probability"))
-    likely = (F.col("family") != UNKNOWN) & (F.col("probability") >= least) & (F.col("paragraph") > 0)
-    templates = F.broadcast(model.templates.groupBy("family").agg(F.collect_list("t").alias("ts")))
-    share = F.array_max(F.transform("ts", lambda t: F.size(F.array_intersect("grams", t)) / F.greatest(F.size(t), F.lit(1))))
-    found = found.where(likely | (F.col("paragraph") == 0)).join(templates, "family", "left").withColumn("template_share", share)
-    found = found.where((F.col("paragraph") == 0) | (F.col("template_share") >= covered))
-    real = F.col("paragraph") > 0
-    return found.select("row", F.col("id").alias(id_col), F.when(real, F.col("paragraph")).alias("paragraph"), *[F.when(real, F.col(c)).alias(c) for c in ("family", "probability", "template_share")])
+    odds = odds.withColumn("logits", F.array(*logits)).withColumn("top", F.array_max("logits"))
+    odds = odds.withColumn("likeliest", F.get(F.array(*map(F.lit, model.classes)), F.array_position("logits", F.col("top")).cast("int") - 1))
+    odds = odds.withColumn("probability", 1 / F.aggregate("logits", F.lit(0.0), lambda total, o: total + F.exp(o - F.col("top"))))
+    odds = stored(odds.select(*key, *place, "likeliest", "probability"), "licence-stretches")
+    # where templates of two families lie over each other, the better one counts
+    other = odds.select("row", "paragraph", F.col("family").alias("_family"), *[F.col(c).alias(f"_{c}") for c in place], blocks)
+    both = F.least("last", "_last") - F.greatest("first", "_first") + 1
+    better = F.struct("_template_share", "_shared") > F.struct(F.col("template_share").alias("_template_share"), F.col("shared").alias("_shared"))
+    beaten = odds.select("*", blocks).join(other, ["row", "paragraph", "block"]).where((F.col("family") != F.col("_family")) & better & (3 * both > F.col("last") - F.col("first") + 1))
+    own = [c for c in key if c != "id"]  # which may be null
+    odds = odds.join(beaten.select(*own).distinct(), own, "left_anti")
+    confirmed = odds.where((F.col("likeliest") == F.col("family")) & (F.col("probability") >= least))
+    confirmed = confirmed.groupBy("row", "id", "paragraph", "family").agg(F.max("probability").alias("probability"), F.max("template_share").alias("template_share"))
+    none = lambda c: F.lit(None).cast(confirmed.schema[c].dataType).alias(c)
+    every = hits.where("paragraph = 0").select("row", "id", *map(none, ("paragraph", "family", "probability", "template_share")))
+    return every.unionByName(confirmed).withColumnRenamed("id", id_col)
 
 
 def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, family (of its likeliest licence paragraph, null for none), families (all, sorted and
-    comma-joined), n_paragraphs with a licence, probability. Repeated rows come back as often as they came."""
+    comma-joined), n_paragraphs (with a licence; one with two families counts twice), probability. Repeated rows come back as often as they came."""
     each = licence_paragraphs(docs, model, id_col, text_col)
     return each.groupBy("row", id_col).agg(
         F.max_by("family", F.struct("probability", "family")).alias("family"),

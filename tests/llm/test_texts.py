@@ -200,6 +200,31 @@ def test_licences(spark):
     assert licences.scan(docs.limit(0), licences.train(docs.limit(0))).count() == 0
 
 
+MIT_WRAPPED = """ * Permission is hereby granted, free of charge, to any person obtaining
+ * a copy of this software and associated documentation files (the
+ * "Software"), to deal in the Software without restriction, including
+ * without limitation the rights to use, copy, modify, merge, publish"""
+GPL_WRAPPED = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or"""
+BSD_WRAPPED = """// Redistribution and use in source and binary forms, with or
+// without modification, are permitted provided that the following
+// conditions are met:"""
+
+
+def test_wrapped_licences(spark):
+    rnd = random.Random(5)
+    prose = lambda n: " ".join(rnd.choice("the a of in work version public general house stone red is under".split()) for _ in range(n))
+    lesser = GPL_WRAPPED.replace("program", "library").replace("software:", "software;").replace("GNU General", "GNU Lesser General")
+    dual = f"{MIT_WRAPPED}\n * Licensed under the Apache License, Version 2.0"
+    texts = [MIT_WRAPPED, GPL_WRAPPED.replace("\n", "\r\n"), BSD_WRAPPED, lesser, dual, f"{prose(40)}\n{BSD_WRAPPED}\n{prose(40)}", "Released under the MIT License. Licensed under CC BY 4.0.", GPL_WRAPPED.replace("\n", "\n\n")]
+    texts += [prose(150) for _ in range(60)] + [f"{GPL_WRAPPED}\n{prose(20)}" for _ in range(40)]  # many headers of one kind
+    docs = docs_of(spark, texts)
+    got = {r.doc_id: r.families for r in licences.scan(docs, licences.train(docs)).collect()}
+    want = dict(enumerate(["mit", "gpl", "bsd", "lgpl", "apache-2.0,mit", "bsd", "cc-by,mit", ""])) | {k: "" for k in range(8, 68)} | {k: "gpl" for k in range(68, 108)}
+    assert got == want
+
+
 def mixture_of(spark, sizes, **options):
     rows = [(k, s, "w " * n) for k, (s, n) in enumerate(sizes)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("key", F.lit("clash"))
