@@ -255,14 +255,21 @@ def content_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select doc_id, 'M' as status from documents where doc_id % 4 = 0 and text is not null and length(text) > 0")
 def whitespace_only_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changed documents: half get white space only, and go; half a word more, and stay."""
-    docs = table(spark, sf_dir, "documents").where("doc_id % 2 = 0 and text is not null and length(text) > 0")
-    old = docs.select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
-    new = docs.select(F.col("doc_id").alias("path"), F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit(" x"))).otherwise(F.concat(F.regexp_replace("text", " ", "\n  "), F.lit("\n"))).alias("content"))
+    """Changed documents: three quarters get white space only, and go; a quarter a word more, and stay."""
+    old, new = spaced_documents(spark, sf_dir)
     changes = D.snapshot_diff(old, new, ["path"], "content").select("path", "status")
     return D.drop_whitespace_changes(changes, old, new).select(F.col("path").alias("doc_id"), "status")
 
 
+def spaced_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All documents with an id before and after; null and empty texts stay as they are."""
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null")
+    old = docs.select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    spaced = F.concat(F.regexp_replace("text", " ", "\n  "), F.lit("\n"))
+    changed = F.when(F.length("text") == 0, F.col("text")).when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit(" x"))).otherwise(spaced)
+    return old, docs.select(F.col("doc_id").alias("path"), changed.alias("content"))
+
+
 # --- documents of keyed children: orders and their lines
 
 _LINES = """

@@ -278,3 +278,14 @@ def test_api_version():
 def test_messages():
     assert sinks.sanitised("a\nb\\c" + "x" * 300) == "a\\u{a}b\\u{5c}c" + "x" * 195
     assert json.loads(sinks.result_json("out/", ["w"], "bad")) == {"output-dir": "out", "error": "bad", "warnings": ["w"]}
+
+
+def test_whitespace_query_takes_all_documents(spark, tmp_path):
+    from driftledger.plans import catalogue
+
+    rows = [(0, "a b"), (1, "a b"), (2, "a  b"), (3, "a"), (4, ""), (5, None), (8, None), (12, "c d")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for side in catalogue.spaced_documents(spark, str(tmp_path)):
+        assert sorted(r.path for r in side.collect()) == [k for k, _ in rows]
+    got = catalogue.QUERIES["whitespace_only_changes"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(0, "M"), (12, "M")]
