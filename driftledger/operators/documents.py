@@ -58,13 +58,16 @@ def document_diff(old: DataFrame, new: DataFrame, tag_rules: DataFrame) -> Docum
     changes = both.where(~F.coalesce("excluded", "_excluded")).select("doc", "kind", F.coalesce("xml_name", "_type").alias("type"), "member")
     keyed = both.where("kind <> 'delete'").select("doc", "tag", "pos", "value")
 
-    def lists(rows: DataFrame, name: str) -> DataFrame:
-        item = F.struct("pos", canonical(F.col("value")).alias("c"))
-        kept = rows.where(F.col("bucket").isin("array", "keyless", "unknown"))
-        return kept.groupBy("doc", "tag", "bucket").agg(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["c"]).alias(name))
+    group = ["doc", "tag", "bucket"]
 
-    whole = lists(n, "_new").join(lists(o, "_old"), ["doc", "tag", "bucket"], "left")
-    whole = whole.select("doc", "tag", "bucket", (~F.col("_new").eqNullSafe(F.col("_old"))).alias("changed"))
+    def placed(rows: DataFrame, name: str) -> DataFrame:
+        kept = rows.where(F.col("bucket").isin("array", "keyless", "unknown")).select(*group, "pos", canonical(F.col("value")).alias(name))
+        return kept.withColumn("r", F.row_number().over(W.partitionBy(*group).orderBy("pos", name))).select(*group, "r", name, F.lit(True).alias(f"_in{name}"))
+
+    # place by place, so that no list is ever one value
+    pairs = placed(n, "_new").join(placed(o, "_old"), [*group, "r"], "full_outer")
+    differs = F.col("_in_new").isNull() | F.col("_in_old").isNull() | ~F.col("_new").eqNullSafe(F.col("_old"))
+    whole = pairs.groupBy(*group).agg(F.max("_in_new").alias("_any"), F.max(differs).alias("changed")).where("_any").drop("_any")
     listed = n.join(whole, ["doc", "tag", "bucket"]).where("changed or bucket <> 'array'").select("doc", "tag", "pos", "value")
     objects = n.where("bucket = 'object'").join(o.where("bucket = 'object'").select("doc", "tag", "value"), ["doc", "tag", "value"], "left_anti").select("doc", "tag", "pos", "value")
     alive = keyed.select("doc").unionByName(whole.where("changed").select("doc")).unionByName(objects.select("doc")).distinct()

@@ -289,3 +289,16 @@ def test_whitespace_query_takes_all_documents(spark, tmp_path):
         assert sorted(r.path for r in side.collect()) == [k for k, _ in rows]
     got = catalogue.QUERIES["whitespace_only_changes"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(0, "M"), (12, "M")]
+
+
+def test_lists_are_compared_place_by_place(spark):
+    from driftledger.operators import documents as X
+
+    rows = lambda lists: spark.createDataFrame([(d, "t", k, v) for d, l in lists.items() for k, v in enumerate(l)], "doc long, tag string, pos long, value string")  # noqa: E731, E741
+    rules = spark.createDataFrame([("t", X.ARRAY_KEY, "T", False)], "tag string, key string, xml_name string, excluded boolean")
+    a, b = '{"x": 1, "y": 2}', '{"x": 3}'
+    old = rows({1: [a, b], 2: [a, b], 3: [a, b], 4: [a], 5: [a, a], 7: [a], 8: ["no json"]})
+    new = rows({1: ['{"y": 2, "x": 1}', b], 2: [b, a], 3: [a], 4: [a, a], 5: [a, a], 6: [a], 8: ["no json"]})
+    got = X.document_diff(old, new, rules).documents
+    assert {r.doc: r.has_package_content for r in got.collect()} == {1: False, 2: True, 3: True, 4: True, 5: False, 6: True, 7: False, 8: False}
+    assert "collect_list" not in got._jdf.queryExecution().toString()
