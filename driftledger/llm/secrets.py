@@ -5,11 +5,18 @@ strings of mixed characters and service endpoints. Weak parts become findings wh
 nearest identifier or endpoint of a secret, in the same scope (a run of lines without a blank one), which alone bounds op8
 and masking. That is an interval join of sorted places inside one document, so it needs neither a shuffle nor pairs: the
 parts of a batch lie on one axis, scope by scope, and a binary search finds each one's nearest complements.
+
+No text is its own complement. Of what lies inside an endpoint only its user's password and values of queries that are named
+as secrets count, as credentials of that endpoint alone; what an identifier's name is given is an identifier and no secret; a
+hex run is a secret for identifiers alone, and only where it is a value with a name that isn't one of digests.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +28,7 @@ from .common import arrow_mapper, small_batches, texts_of
 BASE_KINDS = ("assign", "access", "hex")
 #: Parts that are findings in company only; the complements of each.
 WEAK_KINDS = ("key_id", "secret_part", "endpoint")
-COMPLEMENTS = {"key_id": ("secret_part",), "secret_part": ("key_id", "endpoint"), "endpoint": ("secret_part",)}
+COMPLEMENTS = {"key_id": ("secret_part", "hex"), "secret_part": ("key_id", "endpoint"), "endpoint": ("secret_part",)}
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _NAMES = ("passw", "secret", "token", "apikey", "api_key")
@@ -31,6 +38,12 @@ _KEY_ID = re.compile(r"""\b(?:access|client|account|user|tenant|key)[ _-]?(?:key
 _ENDPOINT = re.compile(r"""\b(?:https?|wss?|ftp|jdbc:[a-z0-9]+|amqps?|rediss?|mongodb|postgres(?:ql)?|mysql)://[^\s"'<>]+""", re.ASCII | re.IGNORECASE)
 _LONG_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}", re.ASCII)
 _BLANK = re.compile(r"\n[ \t\r]*\n")
+_INSIDE = re.compile(r"""://[^/?#\s:@]+:([^/?#\s@]{6,})@|[?&#;][^=&#;]*(?:key|token|secret|signature|sig|passw(?:or)?d|credential|auth)[^=&#;]*=([^&#;]{12,})""", re.ASCII | re.IGNORECASE)
+_VALUE_OF = re.compile(r"""([A-Za-z0-9_-]+)["']?\x20*[:=]\x20*["']?$""", re.ASCII)
+_DIGEST_NAMES = re.compile(r"commit|rev|sha|md5|hash|digest|checksum|etag|blob|tree|uuid|guid", re.IGNORECASE)
+#: Bits a character, and changes between letter cases and digits a character, of a random string at least.
+LEAST_ENTROPY, LEAST_CHANGES = 3.5, 0.25
+_CHANGE = re.compile(r"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 
 _FOUND = "id long, spans array<struct<kind:string,start:int,end:int,linked:int>>"
 
@@ -48,16 +61,38 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], BASE_KINDS.index(s[2])))
 
 
-def weak_parts(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the parts that count in company only."""
+def random_looking(run: str) -> bool:
+    """Whether a string mixes cases and digits as random ones do: words joined by case, numbers or slashes don't."""
+    if not (any(c.isdigit() for c in run) and any("a" <= c <= "z" for c in run) and any("A" <= c <= "Z" for c in run)):
+        return False
+    entropy = -sum(n / len(run) * math.log2(n / len(run)) for n in Counter(run).values())
+    return entropy >= LEAST_ENTROPY and sum(1 for _ in _CHANGE.finditer(run)) >= LEAST_CHANGES * (len(run) - 1)
+
+
+def weak_parts(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, int]]]:
+    """(start, end, kind) of the parts that count in company only, and (start, end, start of the endpoint) of the
+    credentials inside endpoints."""
     found = [(m.start(1), m.end(1), "key_id") for m in _KEY_ID.finditer(text)]
+    taken, inside = [s[:2] for s in found], []
     if "://" in text:
-        found += [(m.start(), m.end(), "endpoint") for m in _ENDPOINT.finditer(text)]
-    for m in _LONG_RUN.finditer(text):
-        run = m[0]
-        if any(c.isdigit() for c in run) and any("a" <= c <= "z" for c in run) and any("A" <= c <= "Z" for c in run):
-            found.append((m.start(), m.end(), "secret_part"))
-    return sorted(found)
+        for m in _ENDPOINT.finditer(text):
+            found.append((m.start(), m.end(), "endpoint"))
+            taken.append(m.span())
+            inside += [(m.start() + c.start(c.lastindex), m.start() + c.end(c.lastindex), m.start()) for c in _INSIDE.finditer(m[0])]
+    within = _overlap(sorted(taken))
+    found += [(m.start(), m.end(), "secret_part") for m in _LONG_RUN.finditer(text) if not within(m.start(), m.end()) and random_looking(m[0])]
+    return sorted(found), inside
+
+
+def _overlap(spans: list[tuple[int, int]]):
+    """A function that tells whether a span has a place in common with one of these, sorted by their starts."""
+    starts, ends = [s for s, _ in spans], np.maximum.accumulate([e for _, e in spans] or [0]).tolist()
+
+    def meets(start: int, end: int) -> bool:
+        before = bisect_left(starts, end)
+        return before > 0 and ends[before - 1] > start
+
+    return meets
 
 
 def _nearest(at: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray, among: list[tuple[int, int]], reach: int | None) -> np.ndarray:
@@ -77,24 +112,45 @@ def _nearest(at: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray,
     return np.where(ok(pick), starts[pick], -1)
 
 
+def _as_parts(text: str, found: list[tuple[int, int, str]], weak: list[tuple[int, int, str]]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, int]]]:
+    """What the base findings are for the weak parts near them: (start, end, kind) of identifiers and secrets, and (start,
+    end, start of the endpoint) of those inside an endpoint."""
+    sites = [(s, e) for s, e, k in weak if k == "endpoint"]
+    starts, named = [s for s, _ in sites], _overlap([(s, e) for s, e, k in weak if k == "key_id"])
+    out, inside = [], []
+    for s, e, kind in found:
+        site = bisect_left(starts, s + 1) - 1
+        if site >= 0 and sites[site][1] > s:
+            inside += [(s, e, sites[site][0])] * (kind == "assign")
+        elif kind == "hex":
+            name = _VALUE_OF.search(text, max(0, s - 60), s)
+            if name and not _DIGEST_NAMES.search(name[1]) and not named(s, e):
+                out.append((s, e, "hex"))
+        else:
+            out.append((s, e, "key_id" if kind == "access" else "secret_part"))
+    return out, inside
+
+
 def _scan_rows(batch: pa.RecordBatch, reach: int | None) -> pa.RecordBatch:
     spans: list[list[dict]] = []
     parts: list[tuple[int, int, int, int, str, int, int]] = []  # place, row, start, end, kind, low and high of its scope
     base = 0
     for row, text in enumerate(texts_of(batch)):
         found = base_spans(text) if text else []
-        spans.append([{"kind": k, "start": s, "end": e, "linked": None} for s, e, k in found])
-        weak = weak_parts(text) if text else []
+        own = {(s, e, k): None for s, e, k in found}
+        weak, inside = weak_parts(text) if text else ([], [])
         if weak:
+            of_base, more = _as_parts(text, found, weak)
             cuts = [0, *(m.end() for m in _BLANK.finditer(text)), len(text) + 1]
-            scope = np.searchsorted(cuts, [s for s, _, _ in weak], side="right") - 1
-            parts += [(base + s, row, s, e, k, base + cuts[c], base + cuts[c + 1]) for (s, e, k), c in zip(weak, scope.tolist(), strict=True)]
-            # a base finding is an identifier or a secret for what stands near it
-            as_weak = {"access": "key_id", "assign": "secret_part", "hex": "secret_part"}
-            scope = np.searchsorted(cuts, [s for s, _, _ in found], side="right") - 1
-            parts += [(base + s, -1, s, e, as_weak[k], base + cuts[c], base + cuts[c + 1]) for (s, e, k), c in zip(found, scope.tolist(), strict=True)]
+            for r, some in ((row, weak), (-1, of_base)):
+                scope = np.searchsorted(cuts, [s for s, _, _ in some], side="right") - 1
+                parts += [(base + s, r, s, e, k, base + cuts[c], base + cuts[c + 1]) for (s, e, k), c in zip(some, scope.tolist(), strict=True)]
             base += len(text) + 2
-    places = {k: [(p[0], p[0] + p[3] - p[2]) for p in parts if p[4] == k] for k in WEAK_KINDS}
+            ends = {s: e for s, e, k in weak if k == "endpoint"}
+            own |= {(s, e, "secret_part"): site for s, e, site in inside}
+            own |= {(site, ends[site], "endpoint"): s for s, _, site in reversed(inside + more)}
+        spans.append(own)
+    places = {k: [(p[0], p[0] + p[3] - p[2]) for p in parts if p[4] == k] for k in (*WEAK_KINDS, "hex")}
     for kind in WEAK_KINDS:
         own = [p for p in parts if p[4] == kind and p[1] >= 0]
         if own:
@@ -103,7 +159,8 @@ def _scan_rows(batch: pa.RecordBatch, reach: int | None) -> pa.RecordBatch:
             near = _nearest(at, end, low, high, [x for c in COMPLEMENTS[kind] for x in places[c]], reach)
             for p, place in zip(own, near.tolist(), strict=True):
                 if place >= 0:
-                    spans[p[1]].append({"kind": kind, "start": p[2], "end": p[3], "linked": place - p[0] + p[2]})
+                    spans[p[1]].setdefault((p[2], p[3], kind), place - p[0] + p[2])
+    spans = [[{"kind": k, "start": s, "end": e, "linked": to} for (s, e, k), to in own.items()] for own in spans]
     order = {k: n for n, k in enumerate((*BASE_KINDS, *WEAK_KINDS))}
     for found in spans:
         found.sort(key=lambda s: (s["start"], order[s["kind"]]))

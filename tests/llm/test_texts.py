@@ -91,6 +91,30 @@ def test_parts_of_a_scope_at_any_distance(spark, tmp_path):
     assert [(s.kind, texts[3][s.linked :].startswith(o)) for s, o in zip(spans[3], ("svc", value), strict=True)] == [("secret_part", True), ("key_id", True)]
 
 
+ORDINARY = [
+    "see https://example.com/watch/AbCdEf1234567890abXY now", "https://example.org/articles/2023/SomeLongTitleHere", "https://example.org/a/9f86d081884c7d659a2feaa0c55ad015a3bf4f1b",
+    "https://example.org/a then commit 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "Account name: peter\n/home/Peter/Projects2024/Sources/ReadMe7Final",
+    "client_id: Zx81kQw0pLmN7vBt29Rs4u and account_id: Qx81kQw0pLmN7vBt29Rs4u", "user id: 1234\ncommit: 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "account_id: 9f86d081884c7d65",
+    "https://a.example/x?page=Zx81kQw0pLmN7vBt29Rs4u", "user_name: ann, see https://a.example/Zx81kQw0pLmN7vBt29Rs4u and SomeLongTitleHere2023AndMore",
+]
+COMPLETE = {
+    "https://svc:Zx81kQw0pLmN7@db.example/x": ["endpoint", "secret_part"], "see https://h.example/api?sig=Zx81kQw0pLmN7vBt&n=1 here": ["endpoint", "secret_part"],
+    "https://h.example/api?access_token=Zx81kQw0pLmN7vBt": ["endpoint", "assign", "secret_part"], "account_id: 1234\nkey = 9f86d081884c7d65": ["key_id", "hex"],
+    "https://a.example/x\nhttps://svc:Zx81kQw0pLmN7@db.example/x": ["endpoint", "secret_part"],
+}
+
+
+def test_ordinary_texts_have_no_weak_findings(spark):
+    got = {r.doc_id: r.spans for r in secrets.secret_spans(docs_of(spark, [*ORDINARY, *COMPLETE]), reach=None).collect()}
+    for k, text in enumerate(ORDINARY):
+        assert [(s.start, s.kind, s.end) for s in got[k]] == [(a, kind, b) for a, _, kind, b in base_by_hand(text)], text
+    for k, kinds in enumerate(COMPLETE.values(), len(ORDINARY)):
+        assert [s.kind for s in got[k]] == kinds
+    assert secrets.masked(ORDINARY[0]) == ORDINARY[0] and secrets.masked(ORDINARY[1]) == ORDINARY[1] and secrets.masked(ORDINARY[4]) == ORDINARY[4]
+    assert secrets.masked(list(COMPLETE)[4]) == "https://a.example/x\n[REDACTED]"
+    assert secrets.secret_spans(docs_of(spark, ["x"]).limit(0)).count() == 0
+
+
 def test_masking_keeps_all_else():
     assert secrets.masked("a token = abcdefghijklmnop b deadbeefdeadbeef c") == "a [REDACTED] b [REDACTED] c"
     assert secrets.masked("plain") == "plain"
