@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.lineage import cut
+
 ARRAY_KEY, OBJECT_KEY = "<array>", "<object>"
 
 
 def canonical(value: Column) -> Column:
-    """A JSON text in one form for all orders of object keys; null where it isn't JSON."""
-    return F.to_json(F.try_parse_json(value))
+    """A JSON text in one form for all orders of object keys; any other text, one with a repeated key too, as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(value)), value)
 
 
 @dataclass(frozen=True)
@@ -31,51 +33,67 @@ class DocumentDiff:
     retained: DataFrame
 
 
-def _bucketed(children: DataFrame, tag_rules: DataFrame) -> DataFrame:
+_LISTS = ("array", "keyless", "unknown")
+
+
+def _bucketed(children: DataFrame, tag_rules: DataFrame, side: int) -> DataFrame:
     rules = F.broadcast(tag_rules.select("tag", "key", "xml_name", F.coalesce("excluded", F.lit(False)).alias("excluded"), F.lit(True).alias("_ruled")))
     bucket = F.when(F.col("_ruled").isNull(), "unknown").when(F.col("key").isNull(), "keyless").when(F.col("key") == ARRAY_KEY, "array").when(F.col("key") == OBJECT_KEY, "object").otherwise("keyed")
-    out = children.join(rules, "tag", "left").withColumn("bucket", bucket)
-    return out.withColumn("member", F.when(F.col("bucket") == "keyed", F.from_json("value", "map<string,string>")[F.col("key")])).drop("_ruled")
+    out = children.select("doc", "tag", "pos", "value").join(rules, "tag", "left").withColumn("bucket", bucket).withColumn("side", F.lit(side))
+    return out.withColumn("member", F.when(F.col("bucket") == "keyed", F.from_json("value", "map<string,string>")[F.col("key")])).drop("_ruled", "key")
 
 
-def document_diff(old: DataFrame, new: DataFrame, tag_rules: DataFrame) -> DocumentDiff:
-    """The diff of each document between two revisions; old and new are rows (doc, tag, pos, value).
+def paired_children(old: DataFrame, new: DataFrame, tag_rules: DataFrame) -> DataFrame:
+    """All children of both revisions (side 0 and 1), with `kind`: what became of the child, null for nothing.
+
+    Children meet by their key, an object's by its text, those of lists by their place: one shuffle, by that key, and no join,
+    as the windows over it bring each child what stood on the other side.
+    """
+    both = _bucketed(old, tag_rules, 0).unionByName(_bucketed(new, tag_rules, 1))
+    listed = F.col("bucket").isin(*_LISTS)
+    both = both.withColumn("_key", F.when(F.col("bucket") == "object", F.col("value")).otherwise(F.coalesce("member", F.lit(""))))
+    place = F.row_number().over(W.partitionBy("doc", "tag", "_key", "side").orderBy("pos", "value"))
+    both = both.withColumn("_slot", F.when(listed, place).otherwise(0))
+    pair = W.partitionBy("doc", "tag", "_key", "_slot").orderBy("side", "pos", "value")
+    before = F.last(F.when(F.col("side") == 0, F.struct("value")), ignorenulls=True).over(pair.rowsBetween(W.unboundedPreceding, W.currentRow))
+    both = both.withColumn("_before", before).withColumn("_next", F.lead("side").over(pair)).withColumn("_previous", F.lag("side").over(pair))
+    is_new, alone = F.col("side") == 1, F.col("_before").isNull()
+    # equal texts are equal documents; only others are brought into one form
+    old_value = F.col("_before")["value"]
+    same = F.col("value").eqNullSafe(old_value) | canonical(F.col("value")).eqNullSafe(canonical(old_value))
+    gone = ~is_new & F.col("_next").isNull()
+    keyed = F.when(is_new & (alone | (F.col("_previous") == 1)), "add").when(is_new & ~same, "modify").when(gone, "delete")
+    in_list = F.when(gone | (is_new & (alone | ~same)), "list")
+    kind = F.when(F.col("bucket") == "keyed", F.when(F.col("member").isNotNull(), keyed)).when(F.col("bucket") == "object", F.when(is_new & alone, "object")).otherwise(in_list)
+    return both.withColumn("kind", kind).select("doc", "tag", "pos", "value", "side", "bucket", "member", "xml_name", "excluded", "kind")
+
+
+def document_diff(old: DataFrame, new: DataFrame, tag_rules: DataFrame, keep: bool = False) -> DocumentDiff:
+    """The diff of each document between two revisions; old and new are rows (doc, tag, pos, value). keep: compare once and keep
+    the result in the shared folder, for uses of more than one table of the diff.
 
     Of children of the old revision with one key the last counts; of the new one the first is compared and later ones are
     additions. Children without their key field are passed over. Lists and unknown tags are compared in order and as a
     whole, objects by their exact text; these give no members. Excluded tags give none either, but keep the document.
+    Values that aren't JSON are compared as texts.
     """
-    o, n = _bucketed(old, tag_rules), _bucketed(new, tag_rules)
-    by_key = W.partitionBy("doc", "tag", "member")
-    keyed_old = o.where("bucket = 'keyed' and member is not null").withColumn("r", F.row_number().over(by_key.orderBy(F.desc("pos")))).where("r = 1")
-    keyed_new = n.where("bucket = 'keyed' and member is not null").withColumn("r", F.row_number().over(by_key.orderBy("pos")))
-    left = keyed_old.select("doc", "tag", "member", F.lit(1).alias("r"), F.col("xml_name").alias("_type"), F.col("excluded").alias("_excluded"), F.col("value").alias("_before"))
-    both = keyed_new.join(left, ["doc", "tag", "member", "r"], "full_outer")
-    # equal texts are equal documents; only others are brought into one form
-    same = (F.col("value") == F.col("_before")) | canonical(F.col("value")).eqNullSafe(canonical(F.col("_before")))
-    kind = F.when(F.col("_before").isNull(), "add").when(F.col("value").isNull(), "delete").when(~same, "modify")
-    both = both.withColumn("kind", kind).where("kind is not null")
-    changes = both.where(~F.coalesce("excluded", "_excluded")).select("doc", "kind", F.coalesce("xml_name", "_type").alias("type"), "member")
-    keyed = both.where("kind <> 'delete'").select("doc", "tag", "pos", "value")
-
-    group = ["doc", "tag", "bucket"]
-
-    def placed(rows: DataFrame, name: str) -> DataFrame:
-        kept = rows.where(F.col("bucket").isin("array", "keyless", "unknown")).select(*group, "pos", canonical(F.col("value")).alias(name))
-        return kept.withColumn("r", F.row_number().over(W.partitionBy(*group).orderBy("pos", name))).select(*group, "r", name, F.lit(True).alias(f"_in{name}"))
-
-    # place by place, so that no list is ever one value
-    pairs = placed(n, "_new").join(placed(o, "_old"), [*group, "r"], "full_outer")
-    differs = F.col("_in_new").isNull() | F.col("_in_old").isNull() | ~F.col("_new").eqNullSafe(F.col("_old"))
-    whole = pairs.groupBy(*group).agg(F.max("_in_new").alias("_any"), F.max(differs).alias("changed")).where("_any").drop("_any")
-    listed = n.join(whole, ["doc", "tag", "bucket"]).where("changed or bucket <> 'array'").select("doc", "tag", "pos", "value")
-    objects = n.where("bucket = 'object'").join(o.where("bucket = 'object'").select("doc", "tag", "value"), ["doc", "tag", "value"], "left_anti").select("doc", "tag", "pos", "value")
-    alive = keyed.select("doc").unionByName(whole.where("changed").select("doc")).unionByName(objects.select("doc")).distinct()
-    docs = old.select("doc").unionByName(new.select("doc")).distinct()
-    documents = docs.join(alive.withColumn("_alive", F.lit(True)), "doc", "left").select("doc", F.coalesce("_alive", F.lit(False)).alias("has_package_content"))
-    order = new.groupBy("doc", "tag").agg(F.min("pos").alias("tag_order"))
-    retained = keyed.unionByName(listed).unionByName(objects).join(alive, "doc", "left_semi").join(order, ["doc", "tag"])
-    return DocumentDiff(changes, documents, retained)
+    rows = paired_children(old, new, tag_rules)
+    if keep:
+        rows = cut(rows)
+    changes = rows.where("bucket = 'keyed' and kind is not null and not excluded").select("doc", "kind", F.col("xml_name").alias("type"), "member")
+    listed, sent = F.col("bucket").isin(*_LISTS), F.col("kind").isin("add", "modify", "object")
+    # a list that is gone as a whole sends nothing
+    by_tag = rows.groupBy("doc", "tag").agg(F.max(sent).alias("_sent"), F.max(listed & F.col("kind").isNotNull()).alias("_changed"), F.max("side").alias("_side"))
+    alive = F.coalesce("_sent", F.lit(False)) | (F.coalesce("_changed", F.lit(False)) & (F.col("_side") == 1))
+    documents = by_tag.groupBy("doc").agg(F.max(alive).alias("has_package_content"))
+    # what is left: windows over the documents, to which each unchanged child brings its place alone
+    slim = rows.where((F.col("side") == 1) | (listed & F.col("kind").isNotNull()))
+    slim = slim.select("doc", "tag", "pos", "side", listed.alias("_listed"), (F.col("bucket") == "array").alias("_array"), F.coalesce(sent, F.lit(False)).alias("_sent"), F.col("kind").isNotNull().alias("_differs"), F.when(listed | sent, F.col("value")).alias("value"))
+    tag, doc = W.partitionBy("doc", "tag"), W.partitionBy("doc")
+    slim = slim.withColumn("tag_order", F.min(F.when(F.col("side") == 1, F.col("pos"))).over(tag)).withColumn("_changed", F.max(F.col("_listed") & F.col("_differs")).over(tag) & (F.max("side").over(tag) == 1))
+    slim = slim.withColumn("_alive", F.max(F.col("_sent") | F.col("_changed")).over(doc))
+    left = (F.col("side") == 1) & F.col("_alive") & F.when(F.col("_listed"), F.col("_changed") | ~F.col("_array")).otherwise(F.col("_sent"))
+    return DocumentDiff(changes, documents, slim.where(left).select("doc", "tag", "pos", "value", "tag_order"))
 
 
 def retained_json(diff: DocumentDiff) -> DataFrame:

@@ -192,7 +192,7 @@ def collect(changes: DataFrame, registry: Registry, old: DataFrame | None, new:
         broken = parsed_new.where("error is not null").select("doc")
         rules = tag_rules(changes.sparkSession, registry.defs)
         rows = lambda x: x.where("pos > 0").join(broken, "doc", "left_anti").select("doc", "tag", "pos", "value")
-        diff = X.document_diff(rows(parsed_old), rows(parsed_new), rules)
+        diff = X.document_diff(rows(parsed_old), rows(parsed_new), rules, keep=True)
         of_doc = inner.select(F.col("base_path").alias("doc"), "handler", "status", F.col("type").alias("container"), F.col("component_name").alias("container_member")).distinct()
         prefix = F.when(F.col("handler") == "custom_label", F.lit("")).otherwise(F.concat(F.substring_index(P.base_name(F.col("doc")), ".", 1), F.lit(".")))
         inside = diff.changes.join(of_doc, "doc").select(
