@@ -15,7 +15,8 @@ from ..functions import paths as P
 UNSAFE_SUFFIXES = ("app", "xml", "md")
 CONTAINER_ADAPTERS = ("bundle", "digitalExperience", "mixedContent")
 META_FILE_ADAPTERS = ("matchingContentFile", "mixedContent", "bundle", "decomposed", "digitalExperience")
-SHARED_FOLDER_SUFFIXES = {"dashboard": "dashboardFolder", "report": "reportFolder", "emailTemplate": "emailTemplateFolder", "email": "emailFolder"}
+SHARED_FOLDER_TYPES = ("dashboard", "report", "emailtemplate")
+EXCLUDED_PARENTS = ("Translations", "CustomObjectTranslation")
 TRANSLATION_PARENTS = ("CustomObjectTranslation", "Translations", "StandardValueSetTranslation")
 COMPOSED_TYPES = (
     "CustomObject", "CustomObjectTranslation", "PermissionSet", "Workflow", "SharingRules", "BusinessProcess", "CompactLayout",
@@ -57,6 +58,8 @@ class TypeDef:
     decomposition: str | None = None
     content: tuple[tuple[str, str], ...] = ()
     child_xml_names: tuple[str, ...] = field(default=())
+    #: The properties that an entry stated, among them those with a default's value.
+    stated: frozenset[str] = field(default=frozenset(), compare=False)
 
 
 _JSON_NAMES = {
@@ -76,50 +79,50 @@ def from_json(entries: Iterable[Mapping[str, Any]]) -> list[TypeDef]:
         values = {_JSON_NAMES[n]: v for n, v in entry.items() if v is not None}
         values["content"] = tuple((c["suffix"], c["xmlName"]) for c in values.get("content", ()))
         values["child_xml_names"] = tuple(values.get("child_xml_names", ()))
-        out.append(TypeDef(**values))
+        out.append(TypeDef(**values, stated=frozenset(_JSON_NAMES[n] for n in entry)))
     return out
 
 
 def from_standard(types: Mapping[str, Mapping[str, Any]]) -> list[TypeDef]:
     """Types from a standard registry's `types` object, by the conversion rules of that registry.
 
-    Folder types are no types of their own; a companion file exists for some adapters; dashboards, reports and mail
-    templates share their directory with folders; a child's suffix or directory that its parent has is dropped; children of
+    Types of folders, and their aliases, are no types of their own; a companion file exists for some adapters; dashboards,
+    reports and mail templates share their directory with the type of their folders; a child's directory is its element's
+    name where its parent lists that, else its own; a child's suffix or directory that its parent has is dropped; children of
     translations are excluded.
     """
-    folders = {t["folderType"] for t in types.values() if t.get("folderType")}
-    folder_names = {types[f]["name"] for f in folders if f in types}
+    folders = {t["folderType"] for t in types.values() if t.get("inFolder") and t.get("folderType")}
+    folders |= {k for k, t in types.items() if t.get("aliasFor") in folders}
     out: list[TypeDef] = []
     for type_id, t in types.items():
-        if type_id in folders or t["name"] in folder_names:
+        if type_id in folders:
             continue
-        suffix, strategies = t.get("suffix"), t.get("strategies", {})
-        shared = SHARED_FOLDER_SUFFIXES.get(suffix or "") if t.get("folderType") else None
+        suffix, strategies, children = t.get("suffix"), t.get("strategies", {}), t.get("children", {})
+        folder = types.get(t.get("folderType", "")) if type_id in SHARED_FOLDER_TYPES else None
         out.append(TypeDef(
-            xml_name=t["name"], directory_name=t.get("directoryName"), suffix=suffix, in_folder=bool(t.get("inFolder") or t.get("folderType")),
+            xml_name=t["name"], directory_name=t.get("directoryName"), suffix=suffix, in_folder=bool(t.get("inFolder")),
             meta_file=strategies.get("adapter") in META_FILE_ADAPTERS, adapter=strategies.get("adapter"), decomposition=strategies.get("decomposition"),
-            content=((suffix, t["name"]), (shared, t["name"])) if shared else (), child_xml_names=tuple(c["name"] for c in t.get("children", {}).get("types", {}).values()),
+            content=((suffix, t["name"]), (folder["suffix"], folder["name"])) if folder else (), child_xml_names=tuple(c["name"] for c in children.get("types", {}).values()),
         ))
-        of_directory = {v: k for k, v in t.get("children", {}).get("directories", {}).items()}
-        for child_id, c in t.get("children", {}).get("types", {}).items():
-            directory = of_directory.get(child_id, c.get("directoryName"))
+        for c in children.get("types", {}).values():
             tag = c.get("xmlElementName")
-            directory = tag if tag and tag in t.get("children", {}).get("directories", {}) else directory
-            own_directory = directory if directory != t.get("directoryName") else None
+            directory = tag if tag and tag in children.get("directories", {}) else c.get("directoryName")
+            own = directory if directory and directory != t.get("directoryName") else None
             out.append(TypeDef(
-                xml_name=c["name"], directory_name=own_directory, suffix=c.get("suffix") if c.get("suffix") != suffix or own_directory else None,
-                parent_xml_name=t["name"], xml_tag=tag, key=c.get("uniqueIdElement"), excluded=t["name"] in TRANSLATION_PARENTS,
+                xml_name=c["name"], directory_name=own, suffix=c.get("suffix") if own or c.get("suffix") != suffix else None,
+                parent_xml_name=t["name"], xml_tag=tag, key=c.get("uniqueIdElement"), excluded=t["name"] in EXCLUDED_PARENTS,
             ))
     return out
 
 
 def overlay(base: Iterable[TypeDef], over: Iterable[TypeDef]) -> list[TypeDef]:
-    """Both registries by name: of a type in both, over's set properties replace base's."""
-    blank = {f.name: f.default for f in fields(TypeDef) if f.name != "xml_name"}
+    """Both registries by name: of a type in both, what over states replaces what base has, false and empty values too. A
+    TypeDef that wasn't read from JSON states what isn't its default."""
+    blank = {f.name: f.default for f in fields(TypeDef) if f.name not in ("xml_name", "stated")}
     out = {t.xml_name: t for t in base}
     for t in over:
         known = out.get(t.xml_name)
-        out[t.xml_name] = t if known is None else replace(known, **{n: getattr(t, n) for n, d in blank.items() if getattr(t, n) != d})
+        out[t.xml_name] = t if known is None else replace(known, **{n: getattr(t, n) for n, d in blank.items() if n in t.stated or getattr(t, n) != d})
     return list(out.values())
 
 

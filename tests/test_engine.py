@@ -54,7 +54,7 @@ def test_elements(result):
         ("package", "CustomObject", "Acc__c", "add"), ("package", "CustomField", "Acc__c.Md__c", "add"), ("package", "RecordType", "Acc__c.Rt", "add"),
         ("package", "Index", "Acc__c.I", "add"),
         ("package", "LightningComponentBundle", "part", "delete"), ("destructive", "LightningComponentBundle", "left", "delete"),
-        ("package", "StaticResource", "img", "add"), ("package", "Report", "F/R", "add"), ("package", "Report", "F", "add"), ("package", "Document", "D/logo", "add"),
+        ("package", "StaticResource", "img", "add"), ("package", "Report", "F/R", "add"), ("package", "ReportFolder", "F", "add"), ("package", "Document", "D/logo", "add"),
         ("package", "PermissionSet", "Ps", "delete"),
         ("package", "WorkflowAlert", "W.Added", "add"), ("package", "WorkflowAlert", "W.Moved", "modify"), ("destructive", "WorkflowAlert", "W.Dropped", "delete"),
         ("package", "Workflow", "W", "modify"), ("destructive", "WorkflowAlert", "D.One", "delete"),

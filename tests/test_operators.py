@@ -97,22 +97,32 @@ def test_similar_renames(spark):
 def test_registry_conversion_and_overlay():
     standard = {
         "apexclass": {"name": "ApexClass", "suffix": "cls", "directoryName": "classes", "strategies": {"adapter": "matchingContentFile"}},
-        "report": {"name": "Report", "suffix": "report", "directoryName": "reports", "folderType": "reportfolder"},
+        "report": {"name": "Report", "suffix": "report", "directoryName": "reports", "inFolder": True, "folderType": "reportfolder"},
+        "dashboard": {"name": "Dashboard", "suffix": "dashboard", "directoryName": "dashboards", "inFolder": True, "folderType": "nowhere"},
+        "document": {"name": "Document", "suffix": "document", "directoryName": "documents", "inFolder": True, "folderType": "documentfolder"},
+        "documentfolder": {"name": "DocumentFolder", "suffix": "documentFolder", "directoryName": "documents"},
+        "folderalias": {"name": "OldReportFolder", "suffix": "oldFolder", "aliasFor": "reportfolder"},
+        "plain": {"name": "Plain", "suffix": "plain", "directoryName": "plains", "folderType": "other"},
         "reportfolder": {"name": "ReportFolder", "suffix": "reportFolder", "directoryName": "reports"},
         "customobject": {
             "name": "CustomObject", "suffix": "object", "directoryName": "objects", "strategies": {"adapter": "decomposed", "decomposition": "folderPerType"},
             "children": {"directories": {"fields": "customfield"}, "types": {
                 "customfield": {"name": "CustomField", "suffix": "field", "directoryName": "fields", "xmlElementName": "fields", "uniqueIdElement": "fullName"},
-                "odd": {"name": "Odd", "suffix": "object", "directoryName": "objects"}}},
+                "odd": {"name": "Odd", "suffix": "object", "directoryName": "objects"},
+                "own": {"name": "Own", "suffix": "own", "directoryName": "owns", "xmlElementName": "notListed"}}},
         },
     }
     types = {t.xml_name: t for t in R.from_standard(standard)}
-    assert set(types) == {"ApexClass", "Report", "CustomObject", "CustomField", "Odd"}
-    assert types["ApexClass"].meta_file and types["Report"].content == (("report", "Report"), ("reportFolder", "Report"))
+    assert set(types) == {"ApexClass", "Report", "Dashboard", "Document", "Plain", "CustomObject", "CustomField", "Odd", "Own"}
+    assert types["ApexClass"].meta_file and types["Report"].content == (("report", "Report"), ("reportFolder", "ReportFolder"))
+    assert types["Report"].in_folder and types["Document"].in_folder and not types["Plain"].in_folder
+    assert types["Dashboard"].content == types["Document"].content == () and types["Own"].directory_name == "owns" and types["Own"].suffix == "own"
     assert types["CustomField"].directory_name == "fields" and types["CustomField"].key == "fullName"
     assert types["Odd"].suffix is None and types["Odd"].directory_name is None
     merged = R.overlay(types.values(), [R.TypeDef("ApexClass", suffix="apex"), R.TypeDef("New")])
     assert {t.xml_name: t.suffix for t in merged}["ApexClass"] == "apex" and merged[-1].xml_name == "New"
+    stated = R.overlay([R.TypeDef("A", suffix="a", meta_file=True, in_folder=True)], R.from_json([{"xmlName": "A", "metaFile": False}]))
+    assert (stated[0].suffix, stated[0].meta_file, stated[0].in_folder) == ("a", False, True)
     with pytest.raises(R.RegistryError, match="unknown fields"):
         R.from_json([{"xmlName": "X", "nonsense": 1}])
     with pytest.raises(R.RegistryError, match="xmlName"):

@@ -12,7 +12,7 @@ TYPES = [
     TypeDef("Index", directory_name="indexes", suffix="index", parent_xml_name="CustomObject"),
     TypeDef("LightningComponentBundle", directory_name="lwc", adapter="bundle", meta_file=True),
     TypeDef("StaticResource", directory_name="staticresources", suffix="resource", adapter="mixedContent", meta_file=True),
-    TypeDef("Report", directory_name="reports", suffix="report", in_folder=True, content=(("report", "Report"), ("reportFolder", "Report"))),
+    TypeDef("Report", directory_name="reports", suffix="report", in_folder=True, content=(("report", "Report"), ("reportFolder", "ReportFolder"))),
     TypeDef("Document", directory_name="documents", suffix="document", in_folder=True, meta_file=True),
     TypeDef("PermissionSet", directory_name="permissionsets", suffix="permissionset"),
     TypeDef("Workflow", directory_name="workflows", suffix="workflow"),
