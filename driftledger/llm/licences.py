@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -214,19 +215,14 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE_PARAGRAP
     fitted = LogisticRegression(labelCol="y", family="multinomial", regParam=3e-4, maxIter=80).fit(data.where("not kept_back"))
     matrix, bias = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
     weights = spark.createDataFrame([(g, [float(x) for x in matrix[:, k]]) for k, g in enumerate(vocabulary)], "gram string, w array<double>")
-    model = LicenceModel(tuple(classes), tuple(float(b) for b in bias), 1.0, weights, _placed_templates(spark, vocabulary))
     # the temperature with the least log loss on the rows kept back
-    back = rows.where("kept_back").withColumn("id", F.monotonically_increasing_id())
-    back = stored(back, "licence-kept-back")
-    odds = back.select("id", "label", F.explode(F.concat("grams", F.array(F.lit("")))).alias("gram")).join(F.broadcast(model.weights), "gram", "left")
-    odds = odds.groupBy("id", "label").agg(*[F.coalesce(F.sum(F.get("w", F.lit(k))), F.lit(0.0)).alias(f"o{k}") for k in range(len(classes))])
-    logits = [F.col(f"o{k}") + bias[k].item() for k in range(len(classes))]
     tried = [0.25 * 1.2**k for k in range(20)]
-    right = F.element_at(F.array(*logits), number[F.col("label")].cast("int") + 1)
-    loss = lambda t: F.avg(F.log(sum((F.exp((o - right) / t) for o in logits), F.lit(0.0))))
-    losses = odds.agg(*[loss(t).alias(f"l{k}") for k, t in enumerate(tried)]).first()
-    best = min(range(len(tried)), key=lambda k: losses[k] if losses[k] is not None else 0.0)
-    return LicenceModel(model.classes, model.bias, tried[best], model.weights, model.templates)
+    odds = fitted.transform(data.where("kept_back").select("y", "features")).select(F.col("y").cast("int").alias("y"), vector_to_array("rawPrediction").alias("o"))
+    odds = odds.withColumn("o", F.transform("o", lambda o: o - F.get("o", F.col("y")))).select("o", F.explode(F.array(*map(F.lit, tried))).alias("t"))
+    loss = F.log(F.aggregate("o", F.lit(0.0), lambda total, o: total + F.exp(o / F.col("t"))))
+    losses = odds.groupBy("t").agg(F.avg(loss).alias("loss")).collect()
+    best = min(losses, key=lambda r: (r["loss"], r["t"]))["t"] if losses else tried[0]
+    return LicenceModel(tuple(classes), tuple(float(b) for b in bias), best, weights, _placed_templates(spark, vocabulary))
 
 
 def _hits(docs: DataFrame, model: LicenceModel, id_col: str, text_col: str) -> DataFrame:
@@ -270,10 +266,9 @@ def licence_paragraphs(docs: DataFrame, model: LicenceModel, id_col: str = "doc_
     blocks = F.explode(F.sequence(block("first"), block("last"))).alias("block")
     inside = found.select("*", blocks).join(real.select("row", "paragraph", "pos", "gram", block("pos").alias("block")), ["row", "paragraph", "block"])
     inside = inside.where("pos between first and last").select(*key, *place, "gram").distinct()
-    n = len(model.classes)
-    odds = inside.join(F.broadcast(model.weights), "gram").groupBy(*key, *place).agg(*[F.sum(F.get("w", F.lit(k))).alias(f"o{k}") for k in range(n)])
-    logits = [(F.col(f"o{k}") + model.bias[k]) / model.temperature for k in range(n)]
-    odds = odds.withColumn("logits", F.array(*logits)).withColumn("top", F.array_max("logits"))
+    total = F.aggregate(F.collect_list("w"), F.array(*map(F.lit, model.bias)), lambda all, w: F.zip_with(all, w, lambda a, b: a + b))
+    odds = inside.join(F.broadcast(model.weights), "gram").groupBy(*key, *place).agg(F.transform(total, lambda o: o / model.temperature).alias("logits"))
+    odds = odds.withColumn("top", F.array_max("logits"))
     odds = odds.withColumn("likeliest", F.get(F.array(*map(F.lit, model.classes)), F.array_position("logits", F.col("top")).cast("int") - 1))
     odds = odds.withColumn("probability", 1 / F.aggregate("logits", F.lit(0.0), lambda total, o: total + F.exp(o - F.col("top"))))
     odds = stored(odds.select(*key, *place, "likeliest", "probability"), "licence-stretches")
