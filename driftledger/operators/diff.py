@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.lineage import cut
+
 BLOB_MODES = ("100644", "100755", "120000")
 KINDS = {"A": "add", "M": "modify", "D": "delete"}
 
@@ -48,12 +50,12 @@ def squeezed(content: Column) -> Column:
 def drop_whitespace_changes(changes: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """changes without the modifications of which only white space differs. old, new: path, content.
 
-    Content is joined for modified paths alone; a path without content on a side keeps its row.
+    Content is joined for modified paths alone, once a side; a path without content on a side keeps its row.
     """
-    modified = changes.where("status = 'M'").select("path")
-    pairs = modified.join(old.select("path", F.col("content").alias("_a")), "path").join(new.select("path", F.col("content").alias("_b")), "path")
-    same = pairs.where(squeezed(F.col("_a")) == squeezed(F.col("_b"))).select("path", F.lit("M").alias("status"))
-    return changes.join(same, ["path", "status"], "left_anti")
+    side = lambda of, name: of.select("path", F.lit("M").alias("status"), F.struct("content").alias(name))
+    both = changes.join(side(old, "_a"), ["path", "status"], "left").join(side(new, "_b"), ["path", "status"], "left")
+    same = squeezed(F.col("_a")["content"]) == squeezed(F.col("_b")["content"])
+    return both.where(~F.coalesce(same, F.lit(False))).select(*changes.columns)
 
 
 def exact_renames(changes: DataFrame) -> DataFrame:
@@ -65,11 +67,12 @@ def exact_renames(changes: DataFrame) -> DataFrame:
     return gone.join(come, ["oid", "n"]).select("from_path", "to_path", F.lit(100).alias("similarity"))
 
 
-def similar_renames(changes: DataFrame, old: DataFrame, new: DataFrame, least: int = 50, bands: int = 24) -> DataFrame:
+def similar_renames(changes: DataFrame, old: DataFrame, new: DataFrame, least: int = 50, bands: int = 40) -> DataFrame:
     """(from_path, to_path, similarity): further pairs whose lines agree to `least` percent or more, each path in one pair.
 
     old, new: path, content. Candidates share a band of two minima of line hashes, so that about 99 in 100 pairs at 50 %
-    are found; similarity is then computed from the lines, counted once each. Exact renames are to be taken out before.
+    (whose Jaccard similarity is a third) are found; similarity is then computed from the lines, counted once each, and
+    pairs are taken from the most similar down. Exact renames are to be taken out before.
     """
 
     def sketched(status: str, content: DataFrame, name: str) -> DataFrame:
@@ -85,8 +88,14 @@ def similar_renames(changes: DataFrame, old: DataFrame, new: DataFrame, least: i
     shared = F.size(F.array_intersect("_a", "_b"))
     score = F.floor(100 * shared / F.greatest(F.size("_a"), F.size("_b"))).cast("int")
     pairs = pairs.select("from_path", "to_path", score.alias("similarity")).where(F.col("similarity") >= least)
-    best = lambda side, other: F.row_number().over(W.partitionBy(side).orderBy(F.desc("similarity"), other))
-    return pairs.withColumn("r", best("from_path", "to_path")).where("r = 1").withColumn("r", best("to_path", "from_path")).where("r = 1").drop("r")
+    left, found = cut(pairs), None
+    # the best pairs first: in each round those that no other pair of either path comes before
+    place = lambda side: F.row_number().over(W.partitionBy(side).orderBy(F.desc("similarity"), "from_path", "to_path"))
+    while not left.isEmpty():
+        best = cut(left.withColumn("_f", place("from_path")).withColumn("_t", place("to_path")).where("_f = 1 and _t = 1").drop("_f", "_t"))
+        found = best if found is None else found.unionByName(best)
+        left = cut(left.join(best.select("from_path"), "from_path", "left_anti").join(best.select("to_path"), "to_path", "left_anti").select(*best.columns))
+    return left if found is None else found
 
 
 def expand_renames(changes: DataFrame) -> DataFrame:

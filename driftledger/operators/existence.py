@@ -18,15 +18,17 @@ def grep(rows: DataFrame, content: Column, needles: Sequence[str]) -> DataFrame:
     return rows.where(found)
 
 
-def existing_paths(snapshot: DataFrame) -> DataFrame:
-    """(_path): every path of a snapshot and every directory above one, once."""
-    every = F.concat(P.ancestors(F.col("path")), F.array("path"))
-    return snapshot.select(F.explode(every).alias("_path")).distinct()
+def existing_paths(snapshot: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(_path): every path of a snapshot and every directory above one, once; given asked (_path), of these only."""
+    every = snapshot.select(F.explode(F.concat(P.ancestors(F.col("path")), F.array("path"))).alias("_path"))
+    return (every if asked is None else every.join(asked, "_path", "left_semi")).distinct()
 
 
 def with_existence(rows: DataFrame, snapshot: DataFrame, path: str, name: str = "exists") -> DataFrame:
-    """rows with whether the snapshot has the row's path, as a file or as a directory with something in it."""
-    there = existing_paths(snapshot).withColumn("_there", F.lit(True))
+    """rows with whether the snapshot has the row's path, as a file or as a directory with something in it. The snapshot's
+    directories meet the asked paths before they are made distinct."""
+    asked = rows.select(F.col(path).alias("_path")).where("_path is not null").distinct()
+    there = existing_paths(snapshot, asked).withColumn("_there", F.lit(True))
     return rows.join(there, rows[path] == there["_path"], "left").withColumn(name, F.coalesce("_there", F.lit(False))).drop("_path", "_there")
 
 

@@ -92,7 +92,7 @@ def describe(changes: DataFrame, registry: Registry, old: DataFrame | None, new:
             deep = E.innermost_component(own.where("_deep").select("path", "type_dir").distinct(), names).select("path", F.col("component").alias("component"))
             found = own.join(deep, "path", "left").join(_walked_up(own.where("_outside"), snapshot, registry), "path", "left")
         scanned.append(found)
-    df = cut(scanned[0].unionByName(scanned[1]))
+    df = scanned[0].unionByName(scanned[1])
     by_path = F.when(F.col("dir_index") < n - 1, F.col("dir_index") + 1).otherwise(F.col("dir_index"))
     dotted = F.concat(F.lit("."), F.col("suffix"))
     named = _first(_first(F.element_at("p", -1), F.lit(P.META_SUFFIX)), dotted)
@@ -103,7 +103,7 @@ def describe(changes: DataFrame, registry: Registry, old: DataFrame | None, new:
         .when(depth == 2, by_path)
         .otherwise(_scan_anchor(F.col("p"), F.coalesce("component", "file_stem")))
     )
-    df = cut(df.withColumn("anchor", anchor))
+    df = df.withColumn("anchor", anchor)
     df = df.withColumn("after", F.when(F.col("dir_index") > 0, F.slice("p", F.col("dir_index") + 1, F.greatest(n - F.col("dir_index"), F.lit(0)))).otherwise(F.slice("p", F.col("anchor"), n)))
     df = df.withColumn("type_dir", F.coalesce("type_dir", P.joined(F.col("p"), 1, F.col("anchor") - 1)))
     parent = F.when(F.col("dir_index") >= 2, F.get("p", F.col("dir_index") - 2)).when(F.col("anchor") >= 3, F.get("p", F.col("anchor") - 3)).otherwise(F.lit(""))
@@ -116,7 +116,7 @@ def describe(changes: DataFrame, registry: Registry, old: DataFrame | None, new:
     back = F.when(F.col("component_name") == F.col("parent_folder"), 2).otherwise(3)
     plain = _first(_first(F.col("base_path"), F.lit(P.META_SUFFIX)), F.coalesce(dotted, F.lit("\x00")))
     df = df.withColumn("holder", F.when(F.col("split"), P.joined(F.col("p"), 1, n - back + 1)).otherwise(plain))
-    return cut(_with_element(cut(df), registry))
+    return cut(_with_element(df, registry))
 
 
 def _with_element(df: DataFrame, registry: Registry) -> DataFrame:
@@ -186,9 +186,12 @@ def collect(changes: DataFrame, registry: Registry, old: DataFrame | None, new:
     warnings = plain.where("handler = 'flow' and status = 'D'").select(F.lit("flow_deleted").alias("code"), F.col("member").alias("subject"))
     computed = None
     if blobs is not None:
+        # the parents of object translations are sent as what changed in them, be it nothing
+        parents = plain.where("handler = 'object_translation' and target = 'package'").select(_translation_parent().alias("doc")).where("doc is not null").distinct()
         paths = inner.select(F.col("base_path").alias("path"))
+        paths = paths.unionByName(parents.select(F.col("doc").alias("path"))) if copies else paths
         before, after = _contents(paths, old, blobs), _contents(paths, new, blobs)
-        parsed_old, parsed_new = cut(children_of(before, lenient=True)), cut(children_of(after))
+        parsed_old, parsed_new = children_of(before, lenient=True), cut(children_of(after))
         broken = parsed_new.where("error is not null").select("doc")
         rules = tag_rules(changes.sparkSession, registry.defs)
         rows = lambda x: x.where("pos > 0").join(broken, "doc", "left_anti").select("doc", "tag", "pos", "value")
@@ -200,15 +203,33 @@ def collect(changes: DataFrame, registry: Registry, old: DataFrame | None, new:
         )
         holding = diff.documents.where("has_package_content").join(of_doc, "doc").where("handler <> 'custom_label'")
         elements = elements.unionByName(inside).unionByName(holding.select(F.lit("package").alias("target"), F.col("container").alias("type"), F.col("container_member").alias("member"), change_kind(F.col("status")).alias("change_kind")))
-        warnings = warnings.unionByName(broken.select(F.lit("malformed_xml").alias("code"), F.col("doc").alias("subject")))
-        roots = parsed_new.where("pos = 0 and error is null").select("doc", "value")
-        computed = rendered_documents(X.retained_json(diff), roots)
+        warnings = warnings.unionByName(broken.join(of_doc, "doc", "left_semi").select(F.lit("malformed_xml").alias("code"), F.col("doc").alias("subject")))
+        if copies:
+            roots = parsed_new.where("pos = 0 and error is null").select("doc", "value")
+            left = X.retained_json(diff)
+            none = parents.join(left, "doc", "left_anti").select("doc", F.array().cast(left.schema["children"].dataType).alias("children"))
+            computed = rendered_documents(left.unionByName(none), roots)
     files = _copies(plain.where("target = 'package'"), new, blobs) if copies else None
     if files is None:
         files = changes.select(F.lit("").alias("path"), F.lit("").alias("kind"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("binary").alias("content")).where("false")
     elif computed is not None:
         files = files.unionByName(computed.select(F.col("doc").alias("path"), F.lit("computed").alias("kind"), F.xxhash64("doc").alias("seq"), F.col("content").cast("binary").alias("content")))
-    return Outcome(cut(elements.distinct()), cut(files), cut(warnings.distinct()))
+    return Outcome(elements.distinct(), files, warnings.distinct())
+
+
+def _translation_parent() -> Column:
+    """The file of the object translation that a change belongs to; null for other handlers. A copy of the whole file is listed
+    too, which counts where it can't be pruned."""
+    own = F.concat_ws("/", F.when(F.col("dir") != "", F.col("dir")), F.concat(F.element_at("p", -2), F.lit(".objectTranslation-meta.xml")))
+    return F.when((F.col("handler") == "object_translation") & (F.size("p") > 1), own)
+
+
+def _before_dots(node: Column) -> Column:
+    """A path cut before each dot of its last segment."""
+    p = F.split(P.base_name(node), r"\.")
+    above = F.when(F.contains(node, F.lit("/")), F.concat(P.dir_name(node), F.lit("/"))).otherwise(F.lit(""))
+    cut_at = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.concat(above, F.array_join(F.slice(p, F.lit(1), i), ".")))
+    return F.when(F.size(p) > 1, cut_at).otherwise(F.array().cast("array<string>"))
 
 
 def _copies(sent: DataFrame, new: DataFrame | None, blobs: DataFrame | None) -> DataFrame:
@@ -232,19 +253,25 @@ def _copies(sent: DataFrame, new: DataFrame | None, blobs: DataFrame | None) ->
     parent_file = F.concat_ws("/", F.when(above != "", above), F.concat(F.col("parent_name"), F.lit("."), F.col("parent_suffix"), meta))
     of_parent = F.when((h == "decomposed") & F.col("parent_suffix").isNotNull(), parent_file)
     bot = F.when(h == "bot", F.concat_ws("/", F.when(F.col("dir") != "", F.col("dir")), F.concat(F.col("parent_folder"), F.lit(".bot"))))
-    translation = F.when(h == "object_translation", F.concat_ws("/", F.when(F.col("dir") != "", F.col("dir")), F.concat(F.element_at("p", -2), F.lit(".objectTranslation-meta.xml"))))
-    listed = F.array(*both(base), of_bundle, of_folder, of_parent, *both(bot), translation)
+    listed = F.array(*both(base), of_bundle, of_folder, of_parent, *both(bot), _translation_parent())
     out = sent.select(F.explode(F.filter(listed, lambda x: x.isNotNull())).alias("path"), F.lit("file").alias("kind"), "seq")
     out = out.unionByName(sent.where("handler = 'contained_decomposed' and split").select(F.col("holder").alias("path"), F.lit("directory").alias("kind"), "seq"))
     if new is not None:
         under = new.select(F.col("path").alias("file"), F.explode(P.ancestors(F.col("path"))).alias("_dir"))
         # files of a bundle: below its folder, or beside it with its name and a dot
-        whole = sent.where(h.isin("in_resource", "lwc", "in_bundle")).select("seq", F.col("component_path").alias("c"), P.dir_name(F.col("component_path")).alias("_dir"))
-        fits = F.col("file").startswith(F.concat(F.col("c"), F.lit("/"))) | F.col("file").startswith(F.concat(F.col("c"), F.lit(".")))
-        out = out.unionByName(under.join(whole, "_dir").where(fits).select(F.col("file").alias("path"), F.lit("file").alias("kind"), "seq"))
-        # files beside one in a folder that have its name in theirs
-        near = sent.where(h.isin("in_folder", "reporting_folder")).select("seq", F.col("dir").alias("_dir"), P.stem(F.col("base")).alias("name"))
-        out = out.unionByName(under.join(near, "_dir").where(F.contains("file", F.col("name"))).select(F.col("file").alias("path"), F.lit("file").alias("kind"), "seq"))
+        whole = sent.where(h.isin("in_resource", "lwc", "in_bundle")).select("seq", F.col("component_path").alias("_dir"))
+        node = F.explode(F.concat(P.ancestors(F.col("path")), F.array("path")))
+        beside = new.select(F.col("path").alias("file"), node.alias("node")).select("file", F.explode(_before_dots(F.col("node"))).alias("_dir"))
+        own = under.unionByName(beside).join(whole, "_dir").select(F.col("file").alias("path"), F.lit("file").alias("kind"), "seq")
+        out = out.unionByName(own)
+        # files below the folder of one in a folder that have its name in their path: of each file the parts that are as long
+        # as one of the folder's names, so that no folder's files meet all its names
+        near = sent.where(h.isin("in_folder", "reporting_folder")).select("seq", F.col("dir").alias("_dir"), P.stem(F.col("base")).alias("_name"))
+        lengths = near.groupBy("_dir").agg(F.collect_set(F.length("_name")).alias("_lengths"))
+        parts = under.join(lengths, "_dir").select("file", "_dir", F.explode("_lengths").alias("n"))
+        places = F.transform(F.sequence(F.lit(1), F.greatest(F.length("file") - F.col("n") + 1, F.lit(1))), lambda k: F.substring("file", k, F.col("n")))
+        parts = parts.select("file", "_dir", F.explode(F.array_distinct(places)).alias("_name"))
+        out = out.unionByName(parts.join(near, ["_dir", "_name"]).select(F.col("file").alias("path"), F.lit("file").alias("kind"), "seq"))
         if blobs is not None:
             detail = lambda rows: rows.join(blobs, "oid").where(F.contains(F.col("content").cast("string"), F.lit(MASTER_DETAIL)))
             fields = sent.where("handler = 'custom_field' and parent_suffix is not null").select("seq", F.col("base_path").alias("path"), parent_file.alias("parent"))

@@ -4,23 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from ..functions.paths import canonical_scopes, in_scope
 from ..functions.rules import Rule, kept
+from ..functions.xmltree import children_of
 from ..operators import changeset as C
 from ..operators import collectors, copies, diff, handlers
 from ..operators.registry import Registry, lookup, with_comparison_name
 from ..sources import sinks
+from ..sources.snapshots import with_lfs
 
 
 @dataclass(frozen=True)
 class Options:
     """scopes: where to look; ignore, ignore_destructive, include, include_destructive: rules; renames: whether moved files are
-    told from deleted and added ones; ignore_whitespace: whether changes of white space count; generate_delta: whether
+    told from deleted and added ones, those of which similarity per cent of the lines stayed too; ignore_whitespace: whether changes of white space count; generate_delta: whether
     files are listed for copying; tree_reads: whether handlers may ask what exists in the snapshots."""
 
     scopes: Sequence[str] = (".",)
@@ -29,6 +33,7 @@ class Options:
     include: list[Rule] = field(default_factory=list)
     include_destructive: list[Rule] = field(default_factory=list)
     renames: bool = False
+    similarity: int = 50
     ignore_whitespace: bool = False
     generate_delta: bool = True
     tree_reads: bool = True
@@ -76,44 +81,84 @@ def typed_changes(old: DataFrame, new: DataFrame, registry: Registry, options: O
     """((status, path, type), rename pairs): changes in scope, of known types, that the rules keep, without cancelled deletions."""
     scopes = canonical_scopes(options.scopes)
     inside = lambda s: diff.blobs_only(s).where(in_scope(F.col("path"), scopes))
+    content = lambda s: s.join(blobs, "oid").select("path", F.col("content").cast("string").alias("content"))
     raw = diff.snapshot_diff(inside(old), inside(new))
     if options.ignore_whitespace and blobs is not None:
-        content = lambda s: s.join(blobs, "oid").select("path", F.col("content").cast("string").alias("content"))
         raw = diff.drop_whitespace_changes(raw, content(old), content(new))
     raw = cut(raw)
-    pairs = cut(diff.exact_renames(raw if options.renames else raw.where("false")))
-    known = cut(lookup(raw.select("status", "path"), registry).where("type is not null"))
+    pairs = diff.exact_renames(raw if options.renames else raw.where("false"))
+    if options.renames and blobs is not None:
+        pairs = cut(pairs)
+        moved = pairs.select(F.col("from_path").alias("path")).unionByName(pairs.select(F.col("to_path").alias("path")))
+        pairs = pairs.unionByName(diff.similar_renames(raw.join(moved, "path", "left_anti"), content(old), content(new), options.similarity))
+    known = lookup(raw.select("status", "path"), registry).where("type is not null")
     left = known.where(kept(F.col("status"), F.col("path"), options.ignore, options.ignore_destructive))
     return cut(diff.cancel_deletions(with_comparison_name(left, registry)).select("status", "path", "type")), pairs
 
 
-def delta(old: DataFrame, new: DataFrame, registry: Registry, options: Options | None = None, blobs: DataFrame | None = None) -> Result:
-    """The delta from one snapshot (path, oid, mode) to another. blobs: (oid, content), for questions about contents.
+def _collected(outcomes: list[handlers.Outcome]) -> handlers.Outcome:
+    """The outcomes as one; elements, which the views and other collectors read, and warnings are computed now."""
+    union = lambda name: reduce(DataFrame.unionByName, [getattr(o, name) for o in outcomes])
+    return handlers.Outcome(cut(union("elements").distinct()), union("copies"), cut(union("warnings").distinct()))
 
-    It runs in stages, each one's rows kept in the shared folder; the views are computed when they are used.
+
+def _forced(old: DataFrame | None, new: DataFrame, first: DataFrame | None, registry: Registry, options: Options, blobs: DataFrame | None) -> handlers.Outcome:
+    """What the include rules bring back: additions as changes from the first commit, deletions as changes back to it."""
+    named = cut(lookup(collectors.included(new, options.include, options.include_destructive, canonical_scopes(options.scopes)), registry).where("type is not null"))
+    return _collected([handlers.collect(named.where(F.col("status") == s), registry, a, b, blobs, options.generate_delta) for s, a, b in (("A", first, new), ("D", new, first))])
+
+
+def _translations(elements: DataFrame, new: DataFrame, options: Options, blobs: DataFrame, written: DataFrame | None) -> handlers.Outcome:
+    """The translation files of packaged flows, and their flows merged into what the output has of them."""
+    files = collectors.translation_candidates(new, blobs, canonical_scopes(options.scopes), options.ignore)
+    flows, own = collectors.flow_translations(elements, children_of(files, lenient=True))
+    copies = collectors.merged_translations(own, written) if options.generate_delta else files.where("false")
+    copies = copies.select(F.col("doc").alias("path"), F.lit("computed").alias("kind"), F.xxhash64("doc").alias("seq"), F.col("content").cast("binary").alias("content"))
+    return _collected([handlers.Outcome(flows, copies, flows.select(F.lit("").alias("code"), F.lit("").alias("subject")).where("false"))])
+
+
+def delta(
+    old: DataFrame, new: DataFrame, registry: Registry, options: Options | None = None, blobs: DataFrame | None = None,
+    first: DataFrame | None = None, objects: DataFrame | None = None, written: DataFrame | None = None,
+) -> Result:
+    """The delta from one snapshot (path, oid, mode) to another. blobs: (oid, content), for questions about contents; objects:
+    (sha256, content), which large-file pointers among them stand for; first: the snapshot of the first commit, against
+    which forced includes are seen (without it nothing existed then); written: (doc, content), what the output folder
+    already has.
+
+    It runs in stages, each one's rows kept in the shared folder; the views are computed when they are used. A collector
+    that fails gives a warning and nothing else.
     """
     options = options or Options()
+    if blobs is not None and objects is not None:
+        blobs = with_lfs(blobs, objects)
     changes, pairs = typed_changes(old, new, registry, options, blobs)
     trees = (old, new) if options.tree_reads else (None, None)
-    own = handlers.collect(changes, registry, *trees, blobs, options.generate_delta)
-    elements, files, warnings = own.elements, own.copies, own.warnings
+    parts = [_collected([handlers.collect(changes, registry, *trees, blobs, options.generate_delta)])]
+    asked = {}
     if options.tree_reads and (options.include or options.include_destructive):
-        forced = cut(lookup(collectors.included(new, options.include, options.include_destructive, canonical_scopes(options.scopes)), registry).where("type is not null"))
-        more = [handlers.collect(forced.where(F.col("status") == s), registry, a, b, blobs, options.generate_delta) for s, a, b in (("A", None, new), ("D", new, None))]
-        elements = elements.unionByName(more[0].elements).unionByName(more[1].elements)
-        files = files.unionByName(more[0].copies)
-        warnings = warnings.unionByName(more[0].warnings).unionByName(more[1].warnings)
-    if options.tree_reads and blobs is not None:
-        from ..functions.xmltree import children_of
-
-        candidates = new.where(F.col("path").endswith(".translation-meta.xml")).join(blobs, "oid")
-        translations = children_of(candidates.select(F.col("path").alias("doc"), "content"), lenient=True)
-        flows, _ = collectors.flow_translations(own.elements, translations)
-        elements = elements.unionByName(flows)
-    elements = cut(elements.distinct())
-    warnings = warnings.unionByName(C.bundle_warnings(elements)).distinct()
-    described = lambda side, column, status, snapshot: handlers.describe(lookup(pairs.select(F.lit(status).alias("status"), F.col(column).alias("path")), registry).where("type is not null"), registry, *snapshot).select(F.lit(side).alias("side"), "path", F.col("element_type").alias("type"), "member")
-    if not options.renames:
-        return Result(changes, C.roll_up(elements), pairs.selectExpr("from_path as type", "from_path as from_member", "to_path as to_member"), files, warnings, options)
-    sides = described("from", "from_path", "D", (trees[0], None)).unionByName(described("to", "to_path", "A", (None, trees[1])))
-    return Result(changes, C.roll_up(elements), C.resolve_renames(pairs, sides), files, warnings, options)
+        asked["forced includes"] = lambda: _forced(old, new, first, registry, options, blobs)
+    if options.tree_reads and blobs is not None and not parts[0].elements.where("type = 'Flow' and target = 'package'").isEmpty():
+        asked["flow translations"] = lambda: _translations(parts[0].elements, new, options, blobs, written)
+    failed = []
+    for name, collector in asked.items():
+        try:
+            parts.append(collector())
+        except PySparkException as e:
+            failed.append(("collector_failed", f"{name}: {str(e).splitlines()[0] if str(e) else type(e).__name__}"))
+    elements = C.roll_up(reduce(DataFrame.unionByName, [p.elements for p in parts]).distinct()) if len(parts) > 1 else C.roll_up(parts[0].elements)
+    files = reduce(DataFrame.unionByName, [p.copies for p in parts])
+    warnings = reduce(DataFrame.unionByName, [p.warnings for p in parts]).unionByName(C.bundle_warnings(reduce(DataFrame.unionByName, [p.elements for p in parts])))
+    spark = old.sparkSession
+    renames = spark.createDataFrame([], "type string, from_member string, to_member string")
+    if options.renames:
+        described = lambda side, column, status, snapshot: handlers.describe(lookup(pairs.select(F.lit(status).alias("status"), F.col(column).alias("path")), registry).where("type is not null"), registry, *snapshot).select(F.lit(side).alias("side"), "path", F.col("element_type").alias("type"), "member")
+        sides = described("from", "from_path", "D", (trees[0], None)).unionByName(described("to", "to_path", "A", (None, trees[1])))
+        renames = cut(C.resolve_renames(pairs, sides))
+    scopes = canonical_scopes(options.scopes)
+    if "." not in scopes and C.is_empty(elements, renames):
+        every = diff.snapshot_diff(diff.blobs_only(old), diff.blobs_only(new))
+        failed += [("nothing_in_scope", scope) for scope in collectors.unmatched_scopes(every, scopes, True)]
+    if failed:
+        warnings = warnings.unionByName(spark.createDataFrame(failed, "code string, subject string"))
+    return Result(changes, elements, renames, files, warnings.distinct(), options)

@@ -24,6 +24,7 @@ MESSAGES = {
     "flow_deleted": "deleting the flow '{0}' by a destructive manifest may not work",
     "bundle_deletion": "deleting the bundle '{0}' needs its site to be deactivated first",
     "nothing_in_scope": "nothing changed under '{0}'",
+    "collector_failed": "not everything could be collected: {0}",
 }
 
 

@@ -12,6 +12,8 @@ from tests.trees import registry, snapshots
 WORKFLOW = '<?xml version="1.0"?>\n<Workflow xmlns="w">\n{}</Workflow>\n'
 ALERT = "    <alerts>\n        <fullName>{}</fullName>\n        <text>{}</text>\n    </alerts>\n"
 
+TRANSLATED = "<CustomObjectTranslation><fields><name>F</name></fields>{}</CustomObjectTranslation>"
+
 OLD = {
     "a/classes/Same.cls": "x", "a/classes/Changed.cls": "x", "a/classes/Gone.cls": "x", "a/classes/Gone.cls-meta.xml": "x",
     "a/flows/Old.flow-meta.xml": "f",
@@ -21,6 +23,7 @@ OLD = {
     "a/workflows/D.workflow-meta.xml": WORKFLOW.format(ALERT.format("One", 1)),
     "a/profiles/Admin.profile-meta.xml": "<Profile><tabVisibilities><tab>A</tab><v>1</v></tabVisibilities></Profile>",
     "a/digitalExperiences/site/shop/sfdc_cms__view/home/content.json": "1",
+    "a/objectTranslations/Acc__c-fr/Acc__c-fr.objectTranslation-meta.xml": TRANSLATED.format("<label>Old</label>"),
     "notes.txt": "n",
 }
 NEW = {
@@ -37,6 +40,9 @@ NEW = {
     "a/bots/Bt/v1.botVersion-meta.xml": "b",
     "a/labels/L.labels-meta.xml": "<CustomLabels><labels><fullName>Hi</fullName></labels></CustomLabels>",
     "a/digitalExperiences/site/shop/sfdc_cms__view/about/content.json": "2", "notes.txt": "m",
+    "a/objectTranslations/Acc__c-fr/Acc__c-fr.objectTranslation-meta.xml": TRANSLATED.format("<label>Old</label>"),
+    "a/objectTranslations/Acc__c-fr/F__c.fieldTranslation-meta.xml": "<CustomFieldTranslation/>",
+    "a/documents/D/logo.png": "d", "a/lwc/part.js-meta.xml": "1", "a/lwc/partial/x.js": "1",
 }
 
 
@@ -58,6 +64,7 @@ def test_elements(result):
         ("package", "PermissionSet", "Ps", "delete"),
         ("package", "WorkflowAlert", "W.Added", "add"), ("package", "WorkflowAlert", "W.Moved", "modify"), ("destructive", "WorkflowAlert", "W.Dropped", "delete"),
         ("package", "Workflow", "W", "modify"), ("destructive", "WorkflowAlert", "D.One", "delete"),
+        ("package", "CustomObjectTranslation", "Acc__c-fr", "add"), ("package", "Document", "D/logo", "add"), ("package", "LightningComponentBundle", "partial", "add"),
         ("package", "Profile", "Admin", "modify"), ("package", "BotVersion", "Bt.v1", "add"), ("package", "Bot", "Bt", "add"), ("package", "CustomLabel", "Hi", "add"),
         ("package", "DigitalExperience", "site/shop.sfdc_cms__view/about", "add"),
     }
@@ -80,7 +87,10 @@ def test_copies(result):
         "a/objects/Acc__c/fields/Md__c.field-meta.xml", "a/staticresources/img/icons/a.png", "a/staticresources/img.resource-meta.xml", "a/reports/F-meta.xml", "a/documents/D.document-meta.xml",
     ):
         assert (path, "file") in got, path
+    for path in ("a/documents/D/logo.png", "a/documents/D/logo.document", "a/lwc/part.js-meta.xml"):
+        assert (path, "file") in got, path
     assert ("a/permissionsets/Ps", "directory") in got
+    assert ("a/objectTranslations/Acc__c-fr/Acc__c-fr.objectTranslation-meta.xml", "computed") in got
     assert ("a/workflows/W.workflow-meta.xml", "computed") in got
     assert not any("Same" in p or "Gone" in p for p, _ in got)
 
@@ -99,6 +109,8 @@ def test_written_output(result, tmp_path):
     pruned = (tmp_path / "a/workflows/W.workflow-meta.xml").read_text()
     assert pruned == '<?xml version="1.0" encoding="UTF-8"?>\n<Workflow xmlns="w">\n' + ALERT.format("Added", 1) + ALERT.format("Moved", 2) + "</Workflow>\n"
     assert (tmp_path / "a/classes/Changed.cls").read_text() == "y"
+    translated = (tmp_path / "a/objectTranslations/Acc__c-fr/Acc__c-fr.objectTranslation-meta.xml").read_text()
+    assert translated == '<?xml version="1.0" encoding="UTF-8"?>\n<CustomObjectTranslation></CustomObjectTranslation>\n'
     assert os.path.exists(tmp_path / "a/permissionsets/Ps/Ps.permissionset-meta.xml")
 
 
@@ -117,7 +129,7 @@ def test_ignored_and_included(spark):
 def test_without_tree_reads_nothing_exists(spark):
     old, new, blobs = snapshots(spark, OLD, NEW)
     r = delta(old, new, registry(spark), Options(scopes=["a/lwc"], tree_reads=False, generate_delta=False))
-    assert {tuple(x) for x in r.elements.select("target", "member").collect()} == {("destructive", "part"), ("destructive", "left")}
+    assert {tuple(x) for x in r.elements.select("target", "member").collect()} == {("destructive", "part"), ("destructive", "left"), ("package", "partial")}
 
 
 def test_renames_are_told_apart(spark):
@@ -126,3 +138,61 @@ def test_renames_are_told_apart(spark):
     assert [tuple(x) for x in r.renames.collect()] == [("ApexClass", "One", "Two")]
     assert {tuple(x) for x in r.kinds.collect()} == {("rename", "ApexClass", "One", "Two")}
     assert {tuple(x) for x in r.package.collect()} == {("ApexClass", "Two")} and {tuple(x) for x in r.destructive.collect()} == {("ApexClass", "One")}
+
+
+def flows_translated(*names):
+    return "<Translations>" + "".join(f"<flowDefinitions><fullName>{n}</fullName></flowDefinitions>" for n in names) + "<label>x</label></Translations>"
+
+
+def test_forced_includes_are_seen_against_the_first_commit(spark):
+    alerts = lambda *names: WORKFLOW.format("".join(ALERT.format(n, 1) for n in names))
+    now = {"a/workflows/W.workflow-meta.xml": alerts("Kept", "Later")}
+    old, new, blobs = snapshots(spark, now, now)
+    first, _, more = snapshots(spark, {"a/workflows/W.workflow-meta.xml": alerts("Kept")}, {})
+    rules = parse_rules("a/workflows/*")
+    r = delta(old, new, registry(spark), Options(include_destructive=rules, generate_delta=False), blobs.unionByName(more).dropDuplicates(["oid"]), first)
+    assert {tuple(x) for x in r.elements.collect()} == {("destructive", "WorkflowAlert", "W.Later", "delete")}
+    r = delta(old, new, registry(spark), Options(include=rules, generate_delta=False), blobs.unionByName(more).dropDuplicates(["oid"]), first)
+    assert {tuple(x) for x in r.elements.collect()} == {("package", "WorkflowAlert", "W.Later", "add"), ("package", "Workflow", "W", "add")}
+
+
+def test_flow_translations_are_merged_and_scoped(spark, tmp_path):
+    files = {f"{d}/translations/fr.translation-meta.xml": flows_translated("One", "Two", "Other") for d in ("a", "b", "a/no")}
+    old, new, blobs = snapshots(spark, files, files | {"a/flows/One.flow-meta.xml": "f", "a/flows/Two.flow-meta.xml": "f"})
+    known = "<Translations v='1'><labels><a>1</a></labels><flowDefinitions><fullName>Two</fullName><mine>1</mine></flowDefinitions></Translations>"
+    written = spark.createDataFrame([("a/translations/fr.translation-meta.xml", known)], "doc string, content string")
+    r = delta(old, new, registry(spark), Options(scopes=["a"], ignore=parse_rules("a/no/")), blobs, written=written)
+    assert {tuple(x) for x in r.elements.select("type", "member").collect()} == {("Flow", "One"), ("Flow", "Two"), ("Translations", "fr")}
+    copies = {x.path: x.content.decode() for x in r.copies.where("kind = 'computed'").collect()}
+    assert set(copies) == {"a/translations/fr.translation-meta.xml"}
+    text = "".join(line.strip() for line in copies["a/translations/fr.translation-meta.xml"].split("\n")[1:])
+    assert text == '<Translations v="1"><labels><a>1</a></labels><flowDefinitions><fullName>Two</fullName><mine>1</mine></flowDefinitions><flowDefinitions><fullName>One</fullName></flowDefinitions></Translations>'
+
+
+def test_scopes_that_match_nothing_are_named(spark):
+    old, new, _ = snapshots(spark, {"a/classes/One.cls": "1"}, {"a/classes/One.cls": "2"})
+    of = lambda *scopes: {tuple(x) for x in delta(old, new, registry(spark), Options(scopes=scopes, generate_delta=False)).warnings.collect()}
+    assert of("b", "c") == {("nothing_in_scope", "b"), ("nothing_in_scope", "c")} and of("b", "a") == of(".") == set()
+
+
+def test_pointers_stand_for_their_objects_and_moved_files_for_their_lines(spark):
+    lines = [f"line {k}" for k in range(20)]
+    pointer = "version https://git-lfs.github.com/spec/v1\noid sha256:{}\nsize 1\n"
+    old, new, blobs = snapshots(spark, {"a/classes/One.cls": pointer.format("0" * 64)}, {"a/classes/Two.cls": pointer.format("1" * 64)})
+    objects = spark.createDataFrame([("0" * 64, bytearray("\n".join(lines).encode())), ("1" * 64, bytearray("\n".join([*lines[:18], "x"]).encode()))], "sha256 string, content binary")
+    r = delta(old, new, registry(spark), Options(renames=True, generate_delta=False), blobs, objects=objects)
+    assert [tuple(x) for x in r.renames.collect()] == [("ApexClass", "One", "Two")]
+
+
+def test_a_collector_that_fails_is_a_warning(spark, monkeypatch):
+    from pyspark.errors import AnalysisException
+
+    from driftledger.plans import engine
+
+    def fails(*_):
+        raise AnalysisException("no such thing", errorClass=None, messageParameters=None)
+
+    monkeypatch.setattr(engine, "_forced", fails)
+    old, new, _ = snapshots(spark, {}, {"a/classes/One.cls": "2"})
+    r = delta(old, new, registry(spark), Options(include=parse_rules("*"), generate_delta=False))
+    assert r.elements.count() == 1 and [x.code for x in r.warnings.collect()] == ["collector_failed"]

@@ -94,6 +94,15 @@ def test_similar_renames(spark):
     assert [tuple(r) for r in D.similar_renames(changes, old, new).collect()] == [("old/a", "new/a", 85)]
 
 
+def test_similar_renames_pair_what_the_best_leave(spark):
+    files = lambda d: spark.createDataFrame([(p, "\n".join(x)) for p, x in d.items()], "path string, content string")
+    lines = [f"line {k}" for k in range(40)]
+    old, new = {"a": lines, "b": lines[:36]}, {"x": [*lines[:39], "y"], "z": [*lines[:30], *"pqrstu"], "w": ["none"]}
+    changes = spark.createDataFrame([("D", p) for p in old] + [("A", p) for p in new], "status string, path string")
+    assert {tuple(r) for r in D.similar_renames(changes, files(old), files(new)).collect()} == {("a", "x", 97), ("b", "z", 83)}
+    assert D.similar_renames(changes.limit(0), files(old), files(new)).count() == 0
+
+
 def test_registry_conversion_and_overlay():
     standard = {
         "apexclass": {"name": "ApexClass", "suffix": "cls", "directoryName": "classes", "strategies": {"adapter": "matchingContentFile"}},

@@ -24,6 +24,8 @@ TYPES = [
     TypeDef("VirtualBot", directory_name="bots", meta_file=True, content=(("bot", "Bot"), ("botVersion", "BotVersion"))),
     TypeDef("DigitalExperienceBundle", directory_name="digitalExperiences", suffix="digitalExperience", adapter="digitalExperience"),
     TypeDef("Translations", directory_name="translations", suffix="translation", prune_only=True),
+    TypeDef("CustomObjectTranslation", directory_name="objectTranslations", suffix="objectTranslation"),
+    TypeDef("CustomFieldTranslation", suffix="disabled_fieldTranslation", parent_xml_name="CustomObjectTranslation", xml_tag="fields", key="name", excluded=True),
     TypeDef("FlowDefinitionTranslation", parent_xml_name="Translations", xml_tag="flowDefinitions", key="fullName", excluded=True),
 ]
 
