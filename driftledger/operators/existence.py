@@ -43,25 +43,26 @@ def files_under(snapshot: DataFrame, directory: str) -> DataFrame:
     return snapshot.where(P.in_scope(F.col("path"), [directory]) & (F.col("path") != directory))
 
 
-def component_names(snapshot: DataFrame, suffix_of: DataFrame) -> DataFrame:
-    """(type_dir, name): the components that a snapshot's files `<name>.<suffix>-meta.xml` name in each type directory.
+def component_names(snapshot: DataFrame, suffix_of: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, type_dir, name): the components that a snapshot's files `<name>.<suffix>-meta.xml` name in each type directory.
 
-    suffix_of: (directory_name, suffix), small. A file counts for each type directory above it.
+    suffix_of: (directory_name, suffix), small. A file counts for each type directory above it. by: columns that tell
+    snapshots apart.
     """
-    files = snapshot.where(F.col("path").endswith(P.META_SUFFIX)).select("path", P.parts(F.col("path")).alias("p"), P.without_meta(P.base_name(F.col("path"))).alias("file"))
-    at = files.select("path", "p", "file", F.posexplode("p").alias("i", "directory_name")).join(F.broadcast(suffix_of), "directory_name")
+    files = snapshot.where(F.col("path").endswith(P.META_SUFFIX)).select(*by, P.parts(F.col("path")).alias("p"), P.without_meta(P.base_name(F.col("path"))).alias("file"))
+    at = files.select(*by, "p", "file", F.posexplode("p").alias("i", "directory_name")).join(F.broadcast(suffix_of), "directory_name")
     at = at.where(F.col("file").endswith(F.concat(F.lit("."), F.col("suffix"))))
     name = F.expr("substring(file, 1, length(file) - length(suffix) - 1)")
-    return at.select(F.array_join(F.slice("p", F.lit(1), F.col("i") + 1), "/").alias("type_dir"), name.alias("name")).distinct()
+    return at.select(*by, F.array_join(F.slice("p", F.lit(1), F.col("i") + 1), "/").alias("type_dir"), name.alias("name")).distinct()
 
 
-def innermost_component(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """rows (path, type_dir, ...) with `component`: the innermost directory between type_dir and the file that is a name
-    there, else the file's name without its extension. names: (type_dir, name)."""
+def innermost_component(rows: DataFrame, names: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """rows (by, path, type_dir, ...) with `component`: the innermost directory between type_dir and the file that is a name
+    there, else the file's name without its extension. names: (by, type_dir, name)."""
     depth = F.size(P.parts(F.col("type_dir")))
-    segments = rows.select("path", "type_dir").distinct().select("path", "type_dir", F.posexplode(F.slice(P.parts(F.col("path")), F.lit(1), F.size(P.parts(F.col("path"))) - 1)).alias("i", "name")).where(F.col("i") >= depth)
-    hits = segments.join(names, ["type_dir", "name"]).groupBy("path", "type_dir").agg(F.max_by("name", "i").alias("_found"))
-    return rows.join(hits, ["path", "type_dir"], "left").withColumn("component", F.coalesce("_found", P.stem(P.base_name(F.col("path"))))).drop("_found")
+    segments = rows.select(*by, "path", "type_dir").distinct().select(*by, "path", "type_dir", F.posexplode(F.slice(P.parts(F.col("path")), F.lit(1), F.size(P.parts(F.col("path"))) - 1)).alias("i", "name")).where(F.col("i") >= depth)
+    hits = segments.join(names, [*by, "type_dir", "name"]).groupBy(*by, "path", "type_dir").agg(F.max_by("name", "i").alias("_found"))
+    return rows.join(hits, [*by, "path", "type_dir"], "left").withColumn("component", F.coalesce("_found", P.stem(P.base_name(F.col("path"))))).drop("_found")
 
 
 def referring(rows: DataFrame, names: DataFrame, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ about other files of the new snapshot are joins. What a handler can't do for a r
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,24 +47,24 @@ def _scan_anchor(p: Column, name: Column) -> Column:
     return F.when(exact > 0, exact).otherwise(F.coalesce(begins, F.size(p)))
 
 
-def _siblings(snapshot: DataFrame) -> DataFrame:
-    """(dir, sibling): the names right below each directory."""
+def _siblings(snapshots: DataFrame) -> DataFrame:
+    """(gone, dir, sibling): the names right below each directory."""
     p = P.parts(F.col("path"))
-    at = snapshot.select(p.alias("p"), F.explode(F.sequence(F.lit(1), F.size(p))).alias("i")).where("i > 1")
-    return at.select(F.array_join(F.slice("p", F.lit(1), F.col("i") - 1), "/").alias("dir"), F.get("p", F.col("i") - 1).alias("sibling")).distinct()
+    at = snapshots.select("gone", p.alias("p"), F.explode(F.sequence(F.lit(1), F.size(p))).alias("i")).where("i > 1")
+    return at.select("gone", F.array_join(F.slice("p", F.lit(1), F.col("i") - 1), "/").alias("dir"), F.get("p", F.col("i") - 1).alias("sibling"))
 
 
-def _walked_up(rows: DataFrame, snapshot: DataFrame, registry: Registry) -> DataFrame:
-    """(path, walked): for paths outside their type's directory, the name that a sibling of the nearest directory above has
-    in common with the path."""
-    above = rows.select("path", F.explode(P.ancestors(F.col("path"))).alias("dir")).distinct()
-    near = _siblings(snapshot).join(above.select("dir").distinct(), "dir", "left_semi")
+def _walked_up(rows: DataFrame, snapshots: DataFrame, registry: Registry) -> DataFrame:
+    """(gone, path, walked): for paths outside their type's directory, the name that a sibling of the nearest directory above
+    has in common with the path."""
+    above = rows.select("gone", "path", F.explode(P.ancestors(F.col("path"))).alias("dir")).distinct()
+    near = _siblings(snapshots).join(above.select("gone", "dir").distinct(), ["gone", "dir"], "left_semi").distinct()
     named = lookup(near.select(F.col("sibling").alias("path")).distinct(), registry).join(F.broadcast(registry.types.select("type", "suffix")), "type")
     named = named.where(F.col("suffix").isNotNull() & F.contains("path", F.concat(F.lit("."), F.col("suffix"))))
     named = named.select(F.col("path").alias("sibling"), _first(_first(F.col("path"), F.lit(P.META_SUFFIX)), F.concat(F.lit("."), F.col("suffix"))).alias("name"))
-    found = above.join(near.join(named, "sibling"), "dir")
+    found = above.join(near.join(named, "sibling"), ["gone", "dir"])
     found = found.where(F.exists(P.parts(F.col("path")), lambda s: (s == F.col("name")) | s.startswith(F.concat(F.col("name"), F.lit(".")))))
-    return found.groupBy("path").agg(F.min_by("name", F.struct(-F.length("dir"), F.col("sibling"))).alias("walked"))
+    return found.groupBy("gone", "path").agg(F.min_by("name", F.struct(-F.length("dir"), F.col("sibling"))).alias("walked"))
 
 
 def describe(changes: DataFrame, registry: Registry, old: DataFrame | None, new: DataFrame | None) -> DataFrame:
@@ -82,17 +83,16 @@ def describe(changes: DataFrame, registry: Registry, old: DataFrame | None, new:
     depth = n - F.col("dir_index")
     df = df.withColumn("_deep", (F.col("dir_index") > 0) & (depth > 2) & F.col("suffix").isNotNull()).withColumn("_outside", F.col("dir_index") == 0)
     df = df.withColumn("type_dir", F.when(F.col("dir_index") > 0, P.joined(F.col("p"), 1, F.col("dir_index"))))
-    df = cut(df)
+    df = cut(df.withColumn("gone", F.col("status") == "D"))
     suffixes = registry.types.where("directory_name is not null and suffix is not null").select("directory_name", "suffix")
-    scanned = []
-    for snapshot, own in ((old, df.where("status = 'D'")), (new, df.where("status <> 'D'"))):
-        found = own.withColumn("component", F.col("file_stem")).withColumn("walked", F.lit(None).cast("string"))
-        if snapshot is not None:
-            names = E.component_names(snapshot, suffixes)
-            deep = E.innermost_component(own.where("_deep").select("path", "type_dir").distinct(), names).select("path", F.col("component").alias("component"))
-            found = own.join(deep, "path", "left").join(_walked_up(own.where("_outside"), snapshot, registry), "path", "left")
-        scanned.append(found)
-    df = scanned[0].unionByName(scanned[1])
+    # deletions ask the old snapshot, all else the new one
+    sides = [s.select("path", F.lit(gone).alias("gone")) for s, gone in ((old, True), (new, False)) if s is not None]
+    if sides:
+        snapshots = reduce(DataFrame.unionByName, sides)
+        deep = E.innermost_component(df.where("_deep").select("gone", "path", "type_dir").distinct(), E.component_names(snapshots, suffixes, ["gone"]), ["gone"]).drop("type_dir")
+        df = df.join(deep, ["gone", "path"], "left").join(_walked_up(df.where("_outside"), snapshots, registry), ["gone", "path"], "left")
+    else:
+        df = df.withColumn("component", F.col("file_stem")).withColumn("walked", F.lit(None).cast("string"))
     by_path = F.when(F.col("dir_index") < n - 1, F.col("dir_index") + 1).otherwise(F.col("dir_index"))
     dotted = F.concat(F.lit("."), F.col("suffix"))
     named = _first(_first(F.element_at("p", -1), F.lit(P.META_SUFFIX)), dotted)
