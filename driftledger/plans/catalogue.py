@@ -515,3 +515,6 @@ def html_root_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").where("html is not null")
     article = pages.select(F.col("page_id").alias("doc"), F.regexp_extract("html", r"(?s)<article>.*?</article>", 0).alias("content")).where("content <> ''")
     return children_of(article, lenient=True).select("doc", "tag", "pos", "value")
+
+
+from . import tree_catalogue  # noqa: E402, F401 - registers its queries here

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..functions.lineage import cut
 from ..functions.rules import Rule, parse_rules
 
 SNAPSHOT = "path string, oid string, mode string"
@@ -117,19 +118,21 @@ def resolve(refs: DataFrame, commits: DataFrame, name: str) -> str:
     return name
 
 
-def history(commits: DataFrame, start: str, limit: int = 100_000) -> DataFrame:
+def history(commits: DataFrame, start: str) -> DataFrame:
     """(id, depth): the commits that a commit descends from, itself at depth 0, each at its least depth. A frontier of
-    parents is followed a generation at a time, until none is new."""
+    parents is followed a generation at a time, until none is new; each generation is kept in the shared folder."""
     spark = commits.sparkSession
-    known = spark.createDataFrame([(start, 0)], "id string, depth int")
-    frontier = known
-    for depth in range(1, limit):
-        parents = commits.join(frontier.select("id"), "id").select(F.explode("parents").alias("id")).distinct().join(known, "id", "left_anti")
-        frontier = spark.createDataFrame([(r[0], depth) for r in parents.collect()], "id string, depth int")  # one generation
+    known = frontier = spark.createDataFrame([(start, 0)], "id string, depth int")
+    edges, generations = cut(commits.select("id", F.explode("parents").alias("parent")).distinct()), 0
+    while True:
+        generations += 1
+        parents = edges.join(frontier.select("id"), "id").select(F.col("parent").alias("id")).distinct().join(known, "id", "left_anti")
+        frontier = cut(parents.withColumn("depth", F.lit(generations)))
         if frontier.isEmpty():
-            break
-        known = spark.createDataFrame([tuple(r) for r in known.unionByName(frontier).collect()], "id string, depth int")
-    return known
+            return known
+        known = known.unionByName(frontier)
+        if generations % 16 == 0:  # a plan of one scan again
+            known = cut(known)
 
 
 def first_commit(commits: DataFrame, start: str) -> str:
