@@ -1,14 +1,17 @@
-"""Benchmark decontamination with a positional inverted index that is dealt by documents.
+"""Benchmark decontamination with a positional inverted index of the training documents, dealt by documents.
 
-Each task indexes the documents it reads: for every benchmark term, the places where it occurs. The postings are stored in
-the shared folder, a row for each document, sorted by term and place. The search reads them back in batches, each a shard
-of the index. In a shard, every window of 13 benchmark words starts from its rarest term's list; each of the other terms'
-lists, rarest first, is intersected at its offset, so that most windows end after one list. No row is ever shuffled: the
-benchmark travels, in blocks of bounded size.
+Each task indexes the documents it reads in shards of bounded size: for every token of a shard, whatever benchmark comes, the
+places where it occurs. A stored row of the index is a shard: its documents, its tokens, and each token's postings. Any number
+of benchmarks, and any number of blocks of one, are searched in the same index: in a shard, every window of 13 benchmark words
+starts from its rarest term's list; each of the other terms' lists, rarest first, is intersected at its offset, so that most
+windows end after one list. No row is ever shuffled: the benchmark travels, in blocks of bounded size.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import count
 from types import SimpleNamespace
 
 import numpy as np
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_mapper, small_batches, stored, texts_of
+from .common import small_batches, stored, texts_of
 
 #: Bytes of words as they are, A-Z as a-z, every other ASCII byte as a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -24,7 +27,10 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() els
 #: Benchmark words that one pass over the documents searches for; about 16 bytes of a task's memory each.
 BLOCK_WORDS = 2_000_000
 
-_INDEX = "id long, same long, n_words long, terms array<int>, places array<int>"
+#: Words of a shard, of which its last document may hold more; a shard ends with its Arrow batch too.
+SHARD_WORDS = 1_000_000
+
+_INDEX = "ids array<long>, same array<long>, n_words array<int>, terms array<binary>, ends array<int>, places array<int>"
 _FOUND = "id long, same long, n_words long, hits array<struct<start:int,end:int>>, item_ids array<long>, near_ids array<long>"
 
 
@@ -57,22 +63,27 @@ def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) + np.repeat(starts - before, counts)
 
 
-def _index_rows(batch: pa.RecordBatch, terms: dict[bytes, int]) -> pa.RecordBatch:
-    n_words, all_terms, all_places = [], [], []
-    for text in texts_of(batch):
-        found = words(text)
-        ids = np.fromiter((terms.get(w, -1) for w in found), np.int32, len(found))
-        at = np.flatnonzero(ids >= 0)
-        at = at[np.argsort(ids[at], kind="stable")]
-        n_words.append(len(found))
-        all_terms.append(ids[at])
-        all_places.append(at.astype(np.int32))
-    ends = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in all_terms]))), pa.int32())
-    lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), pa.int32())) for x in (all_terms, all_places)]
-    return pa.RecordBatch.from_arrays(
-        [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), *lists],
-        names=["id", "same", "n_words", "terms", "places"],
-    )
+def _index_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, same, texts = batch.column(0), batch.column(1), texts_of(batch)
+        begin = 0
+        while begin < len(texts):
+            number: dict[bytes, int] = defaultdict(count().__next__)
+            sizes, found, total, end = [], [], 0, begin
+            while end < len(texts) and total < SHARD_WORDS:
+                w = words(texts[end])
+                found.append(np.fromiter(map(number.__getitem__, w), np.int32, len(w)))
+                sizes.append(len(w))
+                total, end = total + len(w), end + 1
+            tokens = np.concatenate(found)
+            # a token's places in the shard, ascending, token by token
+            places = np.argsort(tokens, kind="stable").astype(np.int32)
+            ends = np.cumsum(np.bincount(tokens, minlength=len(number))).astype(np.int32)
+            n = end - begin
+            columns = [ids.slice(begin, n), same.slice(begin, n), pa.array(sizes, pa.int32()), pa.array(list(number), pa.binary()), pa.array(ends), pa.array(places)]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
+            yield pa.RecordBatch.from_arrays(lists, names=["ids", "same", "n_words", "terms", "ends", "places"])
+            begin = end
 
 
 def _matches(key: np.ndarray, span: int, w: Windows | SimpleNamespace, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,15 +119,19 @@ def _matches(key: np.ndarray, span: int, w: Windows | SimpleNamespace, slack: in
     return window, start, exact
 
 
-def _search_rows(batch: pa.RecordBatch, w: Windows | SimpleNamespace, slack: int) -> pa.RecordBatch:
-    rows, pad = batch.num_rows, w.size + 2 * slack + 1
-    n_words = batch.column(2).to_numpy()
-    terms, places = batch.column(3), batch.column(4)
-    sizes = np.diff(terms.offsets.to_numpy())
+def _search_shard(ids: pa.Array, same: pa.Array, n_words: np.ndarray, own: list[bytes], ends: np.ndarray, places: np.ndarray, w: Windows | SimpleNamespace, slack: int) -> pa.RecordBatch:
+    rows, pad = len(n_words), w.size + 2 * slack + 1
     base = np.concatenate(([0], np.cumsum(n_words + pad))) + pad
     span = int(base[-1]) + pad
-    doc = np.repeat(np.arange(rows), sizes)
-    key = np.sort(terms.flatten().to_numpy().astype(np.int64) * span + places.flatten().to_numpy() + base[doc])
+    # the postings of the benchmark's terms, in order of its numbers; documents are moved apart by pad places
+    term = np.fromiter((w.terms.get(t, -1) for t in own), np.int64, len(own))
+    known = np.flatnonzero(term >= 0)
+    known = known[np.argsort(term[known])]
+    begins = np.concatenate(([0], ends[:-1])).astype(np.int64) if len(ends) else np.array([], np.int64)
+    sizes = ends[known] - begins[known]
+    at = places[_ragged(begins[known], sizes)].astype(np.int64)
+    doc = np.searchsorted(np.cumsum(n_words), at, side="right")
+    key = np.repeat(term[known], sizes) * span + at + pad * (doc + 1)
     empty = np.array([], dtype=np.int64)
     window, start, exact = _matches(key, span, w, slack) if len(key) and len(w.ids) else (empty, empty, empty.astype(bool))
     home = np.searchsorted(base, start + slack, side="right") - 1
@@ -146,27 +161,29 @@ def _search_rows(batch: pa.RecordBatch, w: Windows | SimpleNamespace, slack: int
     )
     found = [listed(row, spans), *(listed(x[:, 0], pa.array(x[:, 1], pa.int64())) for x in (sure, near))]
     names = ["id", "same", "n_words", "hits", "item_ids", "near_ids"]
-    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *found], names=names)
+    return pa.RecordBatch.from_arrays([ids, same, pa.array(n_words.astype(np.int64)), *found], names=names)
 
 
-def positional_index(docs: DataFrame, terms: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A stored row for each document: its number of words, and the sorted postings of those terms. No shuffle."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(terms)
+def positional_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored index, a row for each shard: its documents (ids, same: hashes of their texts, n_words) and its terms, with the
+    postings of the k-th in places from ends[k - 1] up to ends[k]. A place counts the shard's words. No shuffle."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("same"), F.col(text_col).alias("text"))
-    return stored(rows.mapInArrow(arrow_mapper(lambda: lambda b: _index_rows(b, shared.value)), _INDEX), "postings")
+    return stored(rows.mapInArrow(_index_shards, _INDEX), "postings")
 
 
 def search(index: DataFrame, windows: Windows, slack: int = 1) -> DataFrame:
     """Each indexed document's hits, the items with exact windows and those with near ones only."""
     shared = index.sparkSession.sparkContext.broadcast(vars(windows))
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = SimpleNamespace(**shared.value)
-        return lambda batch: _search_rows(batch, own, slack)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, same, n_words, terms, ends, places = (c[k].values for c in batch.columns)
+                yield _search_shard(ids, same, n_words.to_numpy().astype(np.int64), terms.to_pylist(), ends.to_numpy().astype(np.int64), places.to_numpy(), own, slack)
 
-    return index.mapInArrow(arrow_mapper(make), _FOUND)
+    return index.mapInArrow(run, _FOUND)
 
 
 def benchmark_matches(
@@ -181,17 +198,18 @@ def benchmark_matches(
     most slack places off. Null and empty texts have no words; items whose id or text is null are passed over; repeated
     documents come back as often as they came, repeated items count once.
 
-    The benchmark is searched in blocks of about block_words words, a pass over the documents each; several blocks' hits
-    are put together by document and text.
+    The documents are indexed once. The benchmark is searched in blocks of about block_words words, a pass over the index
+    each; several blocks' hits are put together by document and text.
     """
     items = benchmark.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull())
     items = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text"))
     total = items.agg(F.sum(F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0]
     blocks = max(1, -(-(total or 0) // block_words))
 
+    index = positional_index(docs, id_col, text_col)
+
     def one(k: int) -> DataFrame:
-        windows = Windows([tuple(r) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()], size)
-        return search(positional_index(docs, windows.terms, id_col, text_col), windows, slack)
+        return search(index, Windows([tuple(r) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()], size), slack)
 
     found = one(0)
     if blocks > 1:

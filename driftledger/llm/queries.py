@@ -93,7 +93,8 @@ def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's words inside benchmark windows, and the items that they come from."""
+    """Every document's words inside benchmark windows, the items that they come from, and how many further items have a window
+    of which each word is a place off at most."""
     from .decontam import benchmark_matches, contamination
 
     found = contamination(benchmark_matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
@@ -104,6 +105,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(F.col("item_ids").cast("array<string>")), ","), 256).alias("items_sha256"),
         "contaminated",
+        F.size("near_ids").cast("long").alias("n_near"),
     )
 
 
@@ -166,9 +168,22 @@ hit as (
 items as (
     select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as ids
     from (select distinct doc_id, cast(item_id as varchar) as i from found) group by doc_id
+),
+place as (select doc_id, k, w[k] as word from (select doc_id, w, unnest(range(1, len(w) + 1)) as k from doc)),
+part as (select phrase, n, unnest(range(0, n)) as j, unnest(string_split(phrase, ' ')) as word from (select distinct phrase, n from win)),
+often as (select word, count(*) as often from place group by word),
+rarest as (select phrase, n, least.j as j, least.word as word from (select phrase, n, arg_min({{'j': j, 'word': part.word}}, coalesce(often, 0)) as least from part left join often using (word) group by phrase, n)),
+begin as (select distinct r.phrase, r.n, p.doc_id, p.k - r.j + x.off as s from rarest r join place p using (word), (values (-1), (0), (1)) x(off)),
+close as (
+    select b.phrase, b.n, b.doc_id, b.s from begin b join part a using (phrase) join place p on p.doc_id = b.doc_id and p.word = a.word
+    where p.k between b.s + a.j - 1 and b.s + a.j + 1 group by b.phrase, b.n, b.doc_id, b.s having count(distinct a.j) = b.n
+),
+near as (
+    select doc_id, count(*) as n_near from (select distinct c.doc_id, w.item_id from close c join win w using (phrase)) c
+    where not exists (select 1 from found f where f.doc_id = c.doc_id and f.item_id = c.item_id) group by doc_id
 )
 select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
-    sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated
-from doc d left join hit using (doc_id) left join items using (doc_id)
+    sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated, coalesce(n_near, 0) as n_near
+from doc d left join hit using (doc_id) left join items using (doc_id) left join near using (doc_id)
 """,
 }
