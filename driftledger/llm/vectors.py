@@ -1,12 +1,13 @@
 """Near-duplicate embeddings by a robust-pruned flat graph over overlapping cluster shards.
 
 Equal vectors are one point. Points are dealt to the shards of their nearest centroids, several each, so that close points
-share a shard. In each shard a graph is built: a point's neighbours are pruned from its nearest and some far points so that
-no kept neighbour makes another superfluous, and edges run both ways. A point's lists from all its shards are united, and a
-search in each shard follows the united lists from the medoid and from the point itself: greedily towards the point first,
-then to everything in range, as long as points in range have neighbours not seen. Each pair that is found is verified in
-double precision and counted in the first shard that its two points share. An audit compares the links of a bounded sample
-with brute force over all points; where it finds too few, the shards are made to overlap more.
+share a shard; a shard that is too large is clustered again. In each shard a graph grows: points are inserted in batches, each
+searched from the medoids among those before it, its neighbours pruned from what the search met so that no kept neighbour makes
+another superfluous, with edges both ways; a second round lets all points meet. A point's lists from all its shards are
+united, and a search in each shard follows the united lists from the medoids: greedily towards the point first, then to
+everything in range, as long as points in range have neighbours not seen. Each pair that is found is verified in double
+precision and counted in the first shard that its two points share. An audit compares the links of a sample with brute force
+over all points; where it finds too few, the shards are made to overlap more.
 """
 
 from __future__ import annotations
@@ -19,13 +20,17 @@ from pyspark.sql import functions as F
 from .common import small_batches, stored
 from .components import connected_components
 
-#: Points that the centroids are fitted on, and that recall is audited on, in expectation; the former within SAMPLE_BYTES.
+#: Points that centroids are fitted on, within SAMPLE_BYTES; rows of centroids that are fitted at once.
 SAMPLE_ROWS = 20_000
 SAMPLE_BYTES = 128 << 20
-AUDIT_ROWS = 256
-#: Points of a shard, for vectors of up to a few thousand numbers; shards beyond are cut into parts of this size.
+#: Points that recall is audited on in expectation: more while they have fewer links than AUDIT_LINKS, up to AUDIT_MOST.
+AUDIT_ROWS, AUDIT_LINKS, AUDIT_MOST = 256, 200, 32_768
+#: Points of a shard, for vectors of up to a few thousand numbers; shards of twice as many are clustered again, and what
+#: that can't part is cut into parts of this size.
 SHARD_ROWS = 2_000
 MAX_CENTROIDS = 65_536
+#: Neighbours in a list, those of a pool that they are pruned from, and how much nearer one has to be to make another superfluous.
+DEGREE, POOL, ALPHA = 16, 24, 1.2
 
 
 def unit(rows: list) -> np.ndarray:
@@ -35,11 +40,12 @@ def unit(rows: list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def fit_centroids(x: np.ndarray, k: int, rounds: int = 4) -> np.ndarray:
-    """k unit centroids of unit vectors: spread points of x, moved by k-means where that is cheap."""
+def fit_centroids(x: np.ndarray, k: int, rounds: int = 3) -> np.ndarray:
+    """k unit centroids of unit vectors by k-means from spread points of x. With many centroids a point is compared with
+    those of its nearest groups only, about the square root of all."""
     c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
-    for _ in range(rounds if len(x) * k <= 50_000_000 else 0):
-        nearest = np.concatenate([(x[i : i + 2000] @ c.T).argmax(axis=1) for i in range(0, len(x), 2000)])
+    for _ in range(rounds):
+        nearest = nearest_centroids(x, c, 1, grouped(c))[:, 0]
         total = np.zeros_like(c)
         np.add.at(total, nearest, x)
         norm = np.sqrt((total * total).sum(axis=1))
@@ -47,91 +53,197 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 4) -> np.ndarray:
     return c
 
 
-def robust_prune(v: np.ndarray, of: np.ndarray, pool: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+def grouped(c: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """(leaders, members): about the square root of the centroids as leaders, and each one's centroids, -1 beyond; None for few
+    centroids, which are compared one by one."""
+    if len(c) <= 512:
+        return None
+    lead = c[np.linspace(0, len(c) - 1, int(len(c) ** 0.5)).astype(int)]
+    of = np.concatenate([(c[k : k + 4096] @ lead.T).argmax(axis=1) for k in range(0, len(c), 4096)])
+    order = np.argsort(of, kind="stable")
+    place = np.arange(len(c)) - np.searchsorted(of[order], of[order])
+    members = np.full((len(lead), int(place.max()) + 1), -1)
+    members[of[order], place] = order
+    return lead, members
+
+
+def nearest_centroids(x: np.ndarray, c: np.ndarray, n: int, groups: tuple[np.ndarray, np.ndarray] | None, probes: int = 8) -> np.ndarray:
+    """The numbers of the n nearest centroids of each point, ascending; of the centroids of its nearest groups, given these."""
+    out = np.empty((len(x), n), dtype=np.int64)
+    step = max(1, (8 << 20) // (8 * (len(c) if groups is None else probes * groups[1].shape[1] * x.shape[1])))
+    for k in range(0, len(x), step):
+        some = x[k : k + step]
+        if groups is None:
+            out[k : k + step] = np.argpartition(-(some @ c.T), n - 1, axis=1)[:, :n]
+        else:
+            lead, members = groups
+            m = min(probes, len(lead))
+            of = members[np.argpartition(-(some @ lead.T), m - 1, axis=1)[:, :m]].reshape(len(some), -1)
+            near = np.where(of < 0, -np.inf, np.matmul(c[of], some[:, :, None])[:, :, 0])
+            best = np.argpartition(-near, n - 1, axis=1)[:, :n]
+            out[k : k + step] = np.take_along_axis(of, best, axis=1)
+    return np.sort(out, axis=1)
+
+
+def robust_prune(v: np.ndarray, of: np.ndarray, pool: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
     """For each of the points, up to degree of its pool: the nearest first, each dropping those that it is alpha times nearer
-    to than the point is. pool and the result hold places in v, -1 for none."""
-    near = np.einsum("ij,ikj->ik", v[of], v[pool])
-    far = np.maximum(2 - 2 * near, 0)
-    dead = (pool < 0) | (pool == of[:, None])
-    out, rows = np.full((len(of), degree), -1), np.arange(len(of))
-    for k in range(degree):
-        best = np.where(dead, np.inf, far).argmin(axis=1)
-        alive = ~dead[rows, best]
-        if not alive.any():
-            break
-        chosen = pool[rows, best]
-        out[alive, k] = chosen[alive]
-        between = np.maximum(2 - 2 * np.einsum("ij,ikj->ik", v[chosen], v[pool]), 0)
-        dead |= (alpha * alpha * between <= far) & alive[:, None]
-        dead[rows, best] = True
+    to than the point is; what room is left gets the nearest of the dropped ones, as the points of a dense group would else
+    hang on its centre alone. pool and the result hold places in v, -1 for none."""
+    out = np.full((len(of), degree), -1)
+    step = max(1, (4 << 20) // (pool.shape[1] * (pool.shape[1] + v.shape[1])))
+    for at in range(0, len(of), step):
+        own, some = of[at : at + step], pool[at : at + step]
+        p, rows = v[some], np.arange(len(own))
+        far = np.maximum(2 - 2 * np.matmul(p, v[own][:, :, None])[:, :, 0], 0)
+        between = np.maximum(2 - 2 * np.matmul(p, p.transpose(0, 2, 1)), 0) * (alpha * alpha)
+        far[(some < 0) | (some == own[:, None])] = np.inf
+        left = far.copy()
+        for k in range(degree):
+            best = far.argmin(axis=1)
+            alive = np.isfinite(far[rows, best])
+            if not alive.any():
+                break
+            out[at : at + step][alive, k] = some[rows, best][alive]
+            far[(between[rows, best] <= far) & alive[:, None]] = np.inf
+            far[rows, best] = left[rows, best] = np.inf
+        dropped = np.argsort(left, axis=1)[:, :degree]
+        kept = out[at : at + step]
+        free = np.cumsum(kept < 0, axis=1) - 1  # the n-th free place gets the n-th nearest of the dropped
+        n = min(degree, pool.shape[1])
+        fill = np.where(np.isfinite(np.take_along_axis(left, dropped, axis=1)), np.take_along_axis(some, dropped, axis=1), -1)
+        pick = np.take_along_axis(fill, np.clip(free, 0, n - 1), axis=1)
+        out[at : at + step] = np.where((kept < 0) & (free < n), pick, kept)
     return out
 
 
-def build_graph(v: np.ndarray, degree: int = 24, pool_size: int = 48, far_size: int = 12, alpha: float = 1.2) -> np.ndarray:
-    """A pruned graph over unit vectors: neighbours' places, -1 for none; up to 2 * degree of them with the edges back."""
-    m, rng = len(v), np.random.default_rng(len(v))
-    out, n_pool = np.full((m, degree), -1), min(pool_size, m)
-    for i in range(0, m, 256):
-        of = np.arange(i, min(i + 256, m))
-        near = v[of] @ v.T
-        pool = np.argpartition(-near, n_pool - 1, axis=1)[:, :n_pool]
-        pool = np.concatenate([pool, rng.integers(0, m, (len(of), far_size))], axis=1)
-        out[of] = robust_prune(v, of, pool, degree, alpha)
-    source, target = np.nonzero(out >= 0)[0], out[out >= 0]
-    back = np.unique(np.stack([target, source], axis=1), axis=0)
-    back = back[~(out[back[:, 0]] == back[:, 1:]).any(axis=1)]
-    place = np.arange(len(back)) - np.searchsorted(back[:, 0], back[:, 0])
-    wide = np.concatenate([out, np.full((m, degree), -1)], axis=1)
-    keep = place < degree
-    wide[back[keep, 0], degree + place[keep]] = back[keep, 1]
-    return wide
-
-
-def range_search(v: np.ndarray, graph: np.ndarray, q: np.ndarray, own: np.ndarray, least: float, beam: int = 12, slack: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def medoids(v: np.ndarray) -> np.ndarray:
+    """The places of the points nearest to the centroids of about the square root of the points' number of clusters."""
+    c = fit_centroids(v, max(1, int(len(v) ** 0.5)))
+    return np.unique((v @ c.T).argmax(axis=0))
+
+
+def greedy_search(v: np.ndarray, graph: np.ndarray, q: np.ndarray, entries: np.ndarray, width: int, seen: np.ndarray, expand: int = 4) -> tuple[np.ndarray, np.ndarray, list]:
+    """(places, cosines, met): the width nearest points that a beam from the nearest entries finds for each query, -1 for none,
+    and all (query, place, cosine) that it looked at. seen, (queries, points), is filled in."""
+    n, known = len(q), min(len(entries), width)
+    place, near = np.full((n, width), -1), np.full((n, width), -2, dtype=v.dtype)
+    begin = q @ v[entries].T
+    top = np.argpartition(-begin, known - 1, axis=1)[:, :known]
+    place[:, :known], near[:, :known] = entries[top], np.take_along_axis(begin, top, axis=1)
+    seen[:, entries] = True
+    open_, met = place >= 0, [(np.repeat(np.arange(n), len(entries)), np.tile(entries, n), begin.ravel())]
+    live = np.arange(n)
+    while len(live):
+        p, s, o = place[live], near[live], open_[live]
+        pick = np.argpartition(np.where(o, -s, 3), min(expand, width - 1), axis=1)[:, :expand]
+        going = np.take_along_axis(o, pick, axis=1)
+        some = going.any(axis=1)
+        live, p, s, o, pick, going = live[some], p[some], s[some], o[some], pick[some], going[some]
+        if not len(live):
+            break
+        rows = np.arange(len(live))[:, None]
+        o[rows, pick] = False
+        to = graph[np.take_along_axis(p, pick, axis=1)]
+        to = np.where(going[:, :, None], to, -1).reshape(len(live), -1)
+        to = np.sort(np.where((to >= 0) & ~seen[live[:, None], to], to, -1), axis=1)
+        to[:, 1:][to[:, 1:] == to[:, :-1]] = -1
+        r, k = np.nonzero(to >= 0)
+        found = to[r, k]
+        seen[live[r], found] = True
+        cosine = np.full(to.shape, -2, dtype=v.dtype)
+        cosine[r, k] = np.einsum("ij,ij->i", q[live[r]], v[found])
+        met.append((live[r], found, cosine[r, k]))
+        p, s, o = np.concatenate([p, to], axis=1), np.concatenate([s, cosine], axis=1), np.concatenate([o, to >= 0], axis=1)
+        top = np.argpartition(-s, width - 1, axis=1)[:, :width]
+        place[live], near[live], open_[live] = (np.take_along_axis(x, top, axis=1) for x in (p, s, o))
+    return place, near, met
+
+
+def _link_back(v: np.ndarray, graph: np.ndarray, of: np.ndarray) -> None:
+    """Give each neighbour of these points an edge back, where it has room; else it is pruned anew."""
+    width = graph.shape[1]
+    source, column = np.nonzero(graph[of] >= 0)
+    target, source = graph[of][source, column], of[source]
+    near = np.einsum("ij,ij->i", v[source], v[target])
+    order = np.lexsort((-near, target))
+    source, target = source[order], target[order]
+    at = np.arange(len(target)) - np.searchsorted(target, target)
+    source, target, at = source[at < width], target[at < width], at[at < width]
+    who = np.unique(target)
+    pool = np.full((len(who), 2 * width), -1)
+    pool[:, :width] = graph[who]
+    pool[np.searchsorted(who, target), width + at] = source
+    pool = np.sort(pool, axis=1)[:, ::-1]
+    pool[:, 1:][pool[:, 1:] == pool[:, :-1]] = -1
+    pool = np.sort(pool, axis=1)[:, ::-1]
+    crowded = pool[:, width] >= 0
+    graph[who[~crowded]] = pool[~crowded, :width]
+    if crowded.any():
+        graph[who[crowded]] = np.concatenate([robust_prune(v, who[crowded], pool[crowded]), np.full((int(crowded.sum()), width - DEGREE), -1)], axis=1)
+
+
+def build_graph(v: np.ndarray, first: int = 64) -> np.ndarray:
+    """A pruned graph over unit vectors: neighbours' places, -1 for none, up to 2 * DEGREE of them.
+
+    The first points, the medoids among them, are pruned from each other. The others come in batches, half as many as are in
+    already at most; each point's pool is what a search from the medoids met. A second round goes over all points, as those
+    of a batch don't meet.
+    """
+    v = v.astype(np.float32)
+    m, entry = len(v), medoids(v)
+    graph = np.full((m, 2 * DEGREE), -1)
+    order = np.random.default_rng(m).permutation(m)
+    order = np.concatenate([entry, order[~np.isin(order, entry)]])
+    first = max(first, len(entry))
+
+    def insert(of: np.ndarray, pool: np.ndarray) -> None:
+        graph[of, :DEGREE] = robust_prune(v, of, pool)
+        graph[of, DEGREE:] = -1
+        _link_back(v, graph, of)
+
+    start = order[:first]
+    insert(start, np.repeat(start[None, :], len(start), axis=0))
+    done = len(start)
+    while done < m:
+        of = order[done : done + min(512, max(32, done // 2))]
+        insert(of, greedy_search(v, graph, v[of], entry, POOL, np.zeros((len(of), m), dtype=bool))[0])
+        done += len(of)
+    for k in range(0, m if m > first else 0, 512):
+        of = order[k : k + 512]
+        insert(of, np.concatenate([greedy_search(v, graph, v[of], entry, POOL // 2, np.zeros((len(of), m), dtype=bool))[0], graph[of]], axis=1))
+    return graph
+
+
+def range_search(v: np.ndarray, graph: np.ndarray, q: np.ndarray, least: float, entries: np.ndarray | None = None, beam: int = 16, slack: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """(query, place): all the pairs that the search finds with a cosine of least or more.
 
-    own: each query's place in v, -1 for none. First a beam search from the medoid, then from all that is within slack of
-    the range to their neighbours, until no point there has a neighbour not seen.
+    First a beam search from the medoids, or entries given, then from all that is within slack of the range to their neighbours, until no point
+    there has a neighbour not seen. v and q: double precision, in which the pairs are verified.
     """
-    m, n = len(v), len(q)
-    medoid = int((v @ v.mean(axis=0)).argmax())
-    seen, near = np.zeros((n, m), dtype=bool), np.full((n, m), -2.0, dtype=np.float32)
-
-    def look(rows: np.ndarray, places: np.ndarray) -> None:
-        flat = rows * m + places
-        flat = np.unique(flat[~seen.ravel()[flat]])
-        for k in range(0, len(flat), 200_000):
-            r, p = np.divmod(flat[k : k + 200_000], m)
-            seen[r, p] = True
-            near[r, p] = np.einsum("ij,ij->i", q[r], v[p])
-
-    def expand(rows: np.ndarray, places: np.ndarray) -> None:
-        for k in range(0, len(rows), 20_000):
-            to = graph[places[k : k + 20_000]]
+    m, n, own, asked = len(v), len(q), v.astype(np.float32), q.astype(np.float32)
+    seen = np.zeros((n, m), dtype=bool)
+    _, _, met = greedy_search(own, graph, asked, medoids(own) if entries is None else entries, min(beam, m), seen)
+    rows, places, near = (np.concatenate(x) for x in zip(*met, strict=True))
+    keep = near >= least - slack
+    hits, frontier = [(rows[keep], places[keep], near[keep])], (rows[keep], places[keep])
+    while len(frontier[0]):
+        more = []
+        for k in range(0, len(frontier[0]), 20_000):
+            to = graph[frontier[1][k : k + 20_000]]
             has = to >= 0
-            look(np.repeat(rows[k : k + 20_000], has.sum(axis=1)), to[has])
-
-    every = np.arange(n)
-    look(every, np.full(n, medoid))
-    look(every[own >= 0], own[own >= 0])
-    done = np.zeros((n, m), dtype=bool)
-    width = min(beam, m)
-    for _ in range(64):
-        top = np.argpartition(-near, width - 1, axis=1)[:, :width]
-        rows, places = np.repeat(every, width), top.ravel()
-        new = seen[rows, places] & ~done[rows, places]
-        if not new.any():
-            break
-        rows, places = rows[new], places[new]
-        done[rows, places] = True
-        expand(rows, places)
-    while True:
-        rows, places = np.nonzero((near >= least - slack) & ~done)
-        if not len(rows):
-            break
-        done[rows, places] = True
-        expand(rows, places)
-    rows, places = np.nonzero(near >= least - 1e-4)
+            flat = np.repeat(frontier[0][k : k + 20_000], has.sum(axis=1)) * m + to[has]
+            flat = np.unique(flat[~seen.ravel()[flat]])
+            r, p = np.divmod(flat, m)
+            seen[r, p] = True
+            near = np.concatenate([np.einsum("ij,ij->i", asked[r[i : i + 200_000]], own[p[i : i + 200_000]]) for i in range(0, len(r), 200_000)] or [np.array([], np.float32)])
+            keep = near >= least - slack
+            more.append((r[keep], p[keep], near[keep]))
+        hits += more
+        frontier = tuple(np.concatenate(x) for x in list(zip(*more, strict=True))[:2])
+    rows, places, near = (np.concatenate(x) for x in zip(*hits, strict=True))
+    rows, places = rows[near >= least - 1e-4], places[near >= least - 1e-4]
+    order = np.lexsort((places, rows))
+    rows, places = rows[order], places[order]
     sure = np.concatenate([np.einsum("ij,ij->i", q[rows[k : k + 200_000]], v[places[k : k + 200_000]]) >= least for k in range(0, len(rows), 200_000)] or [np.array([], bool)])
     return rows[sure], places[sure]
 
@@ -149,7 +261,9 @@ def _links(frame: pd.DataFrame, least: float) -> pd.DataFrame:
     frame = frame.sort_values("node", kind="stable").reset_index(drop=True)
     shard, is_node, is_query = int(frame["shard"].iloc[0]), frame["is_node"].to_numpy(), frame["is_query"].to_numpy()
     ids, x, size = frame["node"].to_numpy(), unit(frame["vector"].tolist()), frame["size"].to_numpy()
-    shards = np.array(frame["shards"].tolist())
+    of = frame["shards"].tolist()
+    widest = max(map(len, of))
+    shards = np.array([[*o, *[-1] * (widest - len(o))] for o in of]) if len({*map(len, of)}) > 1 else np.array(of)
     nodes, queries = np.flatnonzero(is_node), np.flatnonzero(is_query)
     root, links = np.arange(len(frame)), np.zeros(len(frame), dtype=np.int64)
     if len(nodes) and len(queries):
@@ -163,11 +277,10 @@ def _links(frame: pd.DataFrame, least: float) -> pd.DataFrame:
         column = np.arange(len(row)) - np.searchsorted(row, row)
         graph = np.full((len(nodes), int(column.max(initial=0)) + 1), -1)
         graph[row, column] = place
-        own_place = np.full(len(frame), -1)
-        own_place[nodes] = np.arange(len(nodes))
+        entries = medoids(x[nodes].astype(np.float32))
         for k in range(0, len(queries), 256):
             some = queries[k : k + 256]
-            q, h = range_search(x[nodes], graph, x[some], own_place[some], least)
+            q, h = range_search(x[nodes], graph, x[some], least, entries)
             q, h = some[q], nodes[h]
             other = q != h
             q, h = q[other], h[other]
@@ -175,7 +288,7 @@ def _links(frame: pd.DataFrame, least: float) -> pd.DataFrame:
                 continue
             for lo in range(0, len(q), 500_000):
                 a, b = shards[q[lo : lo + 500_000]], shards[h[lo : lo + 500_000]]
-                common = np.where((a[:, :, None] == b[:, None, :]).any(axis=2), a, np.iinfo(np.int64).max).min(axis=1)
+                common = np.where((a >= 0) & (a[:, :, None] == b[:, None, :]).any(axis=2), a, np.iinfo(np.int64).max).min(axis=1)
                 mine = common == shard
                 np.add.at(links, q[lo : lo + 500_000][mine], size[h[lo : lo + 500_000][mine]])
             first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
@@ -189,30 +302,68 @@ def _links(frame: pd.DataFrame, least: float) -> pd.DataFrame:
 
 def _dealt(points: DataFrame, centroids: np.ndarray, overlap: int) -> DataFrame:
     """(node, size, vector, shards): each point with the numbers of its nearest centroids, ascending."""
-    shared = points.sparkSession.sparkContext.broadcast(centroids)
+    shared = points.sparkSession.sparkContext.broadcast((centroids, grouped(centroids)))
     overlap = min(overlap, len(centroids))
 
     def deal(frames):
         for frame in frames:
             if len(frame):
-                near = unit(frame["vector"].tolist()) @ shared.value.T
-                yield frame.assign(shards=list(np.sort(np.argpartition(-near, overlap - 1, axis=1)[:, :overlap], axis=1).astype(np.int64)))
-
-    return points.mapInPandas(deal, "node long, size long, vector array<float>, shards array<long>")
+                c, groups = shared.value
+                yield frame.assign(shards=list(nearest_centroids(unit(frame["vector"].tolist()), c, overlap, groups)))
+
+    kind = points.schema["vector"].dataType.simpleString()
+    return points.mapInPandas(deal, f"node long, size long, vector {kind}, shards array<long>")
+
+
+def _dealt_again(dealt: DataFrame, overlap: int, shard_rows: int) -> DataFrame:
+    """dealt, with shards of more than 2 * shard_rows points parted by centroids of their own, fitted on a sample of each; a
+    point of such a shard goes to several of its parts. Shards are numbered anew, so that parts have numbers too."""
+    kind = dealt.schema["vector"].dataType.simpleString()
+    each = dealt.select("node", "size", "vector", F.explode("shards").alias("shard"))
+    large = each.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard_rows)
+    large = stored(large.withColumn("k", F.least(F.lit(1024), F.ceil(F.col("n") * overlap / shard_rows))), "vectors-large")
+    if large.isEmpty():
+        return dealt.withColumn("shards", F.transform("shards", lambda s: s * 1024))
+    inside = each.join(F.broadcast(large), "shard")  # MAX_CENTROIDS rows at most
+    sample = inside.where(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(1 << 30)) < F.least(F.lit(1.0), 8 * F.col("k") / F.col("n")) * (1 << 30))
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        c = fit_centroids(unit(frame.sort_values("node")["vector"].tolist()), min(int(frame["k"].iloc[0]), len(frame)))
+        return pd.DataFrame({"shard": [frame["shard"].iloc[0]], "flat": [c.ravel()], "k": [len(c)]})
+
+    centroids = sample.select("shard", "node", "vector", "k").groupBy("shard").applyInPandas(fit, "shard long, flat array<double>, k long")
+    # in slices of a bounded number of points, each of which meets its shard's centroids
+    slices = F.ceil(F.col("n") / 20_000)
+    points = inside.select("shard", F.pmod(F.xxhash64("node"), slices).alias("slice"), "node", "vector")
+    centroids = centroids.join(large.select("shard", "n"), "shard").select("shard", "flat", "k", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("slice"))
+
+    def deal(frame: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame) or not len(own):
+            return pd.DataFrame({"node": frame["node"], "shard": frame["shard"], "parts": [[0]] * len(frame)})
+        c = np.asarray(own["flat"].iloc[0]).reshape(int(own["k"].iloc[0]), -1)
+        parts = nearest_centroids(unit(frame["vector"].tolist()), c, min(overlap, len(c)), grouped(c))
+        return pd.DataFrame({"node": frame["node"], "shard": frame["shard"], "parts": list(parts)})
+
+    parted = points.groupBy("shard", "slice").cogroup(centroids.groupBy("shard", "slice")).applyInPandas(deal, "node long, shard long, parts array<long>")
+    parted = parted.select("node", F.explode(F.transform("parts", lambda p: F.col("shard") * 1024 + p)).alias("at"))
+    plain = each.join(F.broadcast(large), "shard", "left_anti").select("node", (F.col("shard") * 1024).alias("at"))
+    shards = plain.unionByName(parted).groupBy("node").agg(F.array_sort(F.collect_list("at")).alias("shards"))
+    return dealt.drop("shards").join(shards, "node").select("node", "size", F.col("vector").cast(kind).alias("vector"), "shards")
 
 
 def _links_of(points: DataFrame, n: int, dim: int, least: float, overlap: int, shard_rows: int) -> tuple[DataFrame, DataFrame]:
     """(node, links) and (a, b) edges for the points (node, size, vector) of one dimension."""
-    k = int(np.clip(round(n * overlap / shard_rows), 1, MAX_CENTROIDS))
+    k = int(np.clip(round(n * overlap / shard_rows), 1, min(MAX_CENTROIDS, SAMPLE_BYTES // (32 * dim))))
     share = min(1.0, max(SAMPLE_ROWS, 4 * k) / n, SAMPLE_BYTES / (8 * dim) / n)
-    sample = points.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("node", "vector").toPandas().sort_values("node")
+    sample = points.where(F.pmod(F.xxhash64("node"), F.lit(1 << 40)) < int(share * (1 << 40)) + 1).select("node", "vector").toPandas().sort_values("node")
     if not len(sample):
         sample = points.select("node", "vector").limit(1).toPandas()
-    dealt = stored(_dealt(points, fit_centroids(unit(sample["vector"].tolist()), min(k, len(sample))), overlap), "vectors-dealt")
+    first = _dealt(points, fit_centroids(unit(sample["vector"].tolist()), min(k, len(sample))), overlap)
+    dealt = stored(_dealt_again(stored(first, "vectors-first"), overlap, shard_rows), "vectors-dealt")
     shards = dealt.select("node", "size", "vector", "shards", F.explode("shards").alias("shard"))
     large = shards.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard_rows)
     parts = large.select("shard", F.ceil(F.col("n") / shard_rows).cast("int").alias("parts"))
-    placed = shards.join(F.broadcast(parts), "shard", "left").na.fill(1, ["parts"])  # a row per shard: MAX_CENTROIDS at most
+    placed = shards.join(parts, "shard", "left").na.fill(1, ["parts"])
     placed = placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
     lists = placed.select("shard", "part", "node", "vector").groupBy("shard", "part").applyInPandas(_adjacency, "node long, next array<long>")
     united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
@@ -224,31 +375,40 @@ def _links_of(points: DataFrame, n: int, dim: int, least: float, overlap: int, s
     return found.groupBy("node").agg(F.sum("links").alias("links")), found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
-def _recall(points: DataFrame, links: DataFrame, n: int, least: float) -> float:
-    """The share of a bounded sample's links, by brute force over all points, that were found."""
-    share = min(1.0, AUDIT_ROWS / n)
-    sample = points.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("node", "vector").toPandas()
-    if not len(sample):
-        return 1.0
-    shared = points.sparkSession.sparkContext.broadcast((sample["node"].to_numpy(), unit(sample["vector"].tolist())))
-
-    def count(frames):
-        for frame in frames:
-            ids, q = shared.value
-            total = np.zeros(len(ids), dtype=np.int64)
-            for k in range(0, len(frame), 4000):
-                some = frame.iloc[k : k + 4000]
-                linked = (q @ unit(some["vector"].tolist()).T >= least) & (ids[:, None] != some["node"].to_numpy()[None, :])
-                total += linked @ some["size"].to_numpy()
-            yield pd.DataFrame({"node": ids, "want": total})
+def _recall(points: DataFrame, links: DataFrame, n: int, least: float) -> float | None:
+    """The share of a sample's links, by brute force over all points, that were found: the least of the averages over the vectors
+    with few links and over those with many, so that no hot group hides the others. None where no link was met.
 
-    want = points.mapInPandas(count, "node long, want long").groupBy("node").agg(F.sum("want").alias("want"))
-    got = want.join(links, "node", "left").agg(F.sum("want"), F.sum(F.least("want", F.coalesce("links", F.lit(0))))).first()
-    return 1.0 if not got[0] else got[1] / got[0]
+    The sample grows until it has AUDIT_LINKS linked vectors, holds AUDIT_MOST or all points.
+    """
+    rows = AUDIT_ROWS
+    while True:
+        share = min(1.0, rows / n)
+        sample = points.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 40)) < int(share * (1 << 40)) + 1).select("node", "vector").toPandas()
+        shared = points.sparkSession.sparkContext.broadcast((sample["node"].to_numpy(), unit(sample["vector"].tolist()) if len(sample) else None))
+
+        def count(frames, shared=shared):
+            for frame in frames:
+                ids, q = shared.value
+                total = np.zeros(len(ids), dtype=np.int64)
+                step = max(1, (4 << 20) // max(1, len(ids)))
+                for k in range(0, len(frame) if len(ids) else 0, step):
+                    some = frame.iloc[k : k + step]
+                    linked = (q @ unit(some["vector"].tolist()).T >= least) & (ids[:, None] != some["node"].to_numpy()[None, :])
+                    total += linked @ some["size"].to_numpy()
+                yield pd.DataFrame({"node": ids[total > 0], "want": total[total > 0]})
+
+        want = points.mapInPandas(count, "node long, want long").groupBy("node").agg(F.sum("want").alias("want"))
+        both = want.join(links, "node", "left").select("want", (F.least("want", F.coalesce("links", F.lit(0))) / F.col("want")).alias("found"))
+        strata = both.groupBy((F.col("want") <= 10).alias("few")).agg(F.count("*").alias("n"), F.avg("found").alias("found")).collect()
+        shared.destroy()
+        if sum(r["n"] for r in strata) >= AUDIT_LINKS or rows >= min(n, AUDIT_MOST):
+            return min((r["found"] for r in strata), default=None)
+        rows *= 8
 
 
 def near_duplicates(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, overlap: int = 3,
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, overlap: int = 2,
     shard_rows: int = SHARD_ROWS, recall: float = 0.98,
 ) -> DataFrame:
     """One row per vector: id_col, n_links, component_id, kept.
@@ -259,11 +419,13 @@ def near_duplicates(
     (whose component is null and which aren't kept). Repeated rows are so many vectors.
 
     Links are searched for, so that some may be missed: recall is measured on a sample, and below the limit the search is
-    repeated with more overlap, up to three times; ValueError if it stays below 0.9.
+    repeated with more overlap, up to three times; ValueError if it stays below 0.9. Where the sample, which grows up to
+    AUDIT_MOST vectors, has no links at all, there is nothing to measure.
     """
     spark = vectors.sparkSession
     small_batches(spark, 2000)
-    v = F.col(vector_col).cast("array<float>")
+    double = vectors.schema[vector_col].dataType.simpleString() == "array<double>"
+    v = F.col(vector_col).cast("array<double>" if double else "array<float>")
     exact = F.col(vector_col).cast("array<double>")
     good = F.col(id_col).isNotNull() & (F.size(exact) > 0) & F.forall(exact, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))) & F.exists(exact, lambda c: c != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("vector"), F.coalesce(good, F.lit(False)).alias("good"))
@@ -277,9 +439,9 @@ def near_duplicates(
         for more in range(3):
             links, edges = _links_of(own, n, dim, least, overlap + 2 * more, rows_in_shard)
             reached = _recall(own, links, n, least)
-            if reached >= recall:
+            if reached is None or reached >= recall:
                 break
-        if reached < 0.9:
+        if reached is not None and reached < 0.9:
             raise ValueError(f"the graph finds only {reached:.3f} of the links")
         all_links = links if all_links is None else all_links.unionByName(links)
         all_edges = edges if all_edges is None else all_edges.unionByName(edges)

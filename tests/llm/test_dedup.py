@@ -125,3 +125,34 @@ def test_no_vectors(spark):
     assert vectors.near_duplicates(df).count() == 0
     lone = spark.createDataFrame([(None, [1.0]), (4, [2.0]), (3, [1.0]), (4, [2.0])], "vec_id long, embedding array<float>")
     assert sorted((r.vec_id or -1, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(lone).collect()) == [(-1, 0, None, False), (3, 2, 3, True), (4, 2, 3, False), (4, 2, 3, False)]
+
+
+def test_recall_is_measured_where_links_are_rare(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 24))
+    x = np.concatenate([x, x[:3] + rng.normal(size=(3, 24)) * 0.01]).astype(np.float32)
+    points = spark.createDataFrame([(k, 1, v.tolist()) for k, v in enumerate(x)], "node long, size long, vector array<float>")
+    linked = spark.createDataFrame([(k, 1) for k in (0, 1500, 1, 1501, 2)], "node long, links long")
+    assert abs(vectors._recall(points, linked, len(x), 0.95) - 5 / 6) < 1e-9  # all points are looked at until links are met
+    assert vectors._recall(points.where("node < 1500"), linked, 1500, 0.95) is None
+
+
+def test_graph_search_finds_dense_and_sparse_groups():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(900, 32)), rng.normal(size=(1, 32)) + rng.normal(size=(250, 32)) * 0.1])
+    x = np.concatenate([x, x[:60] + rng.normal(size=(60, 32)) * 0.05])
+    v = x / np.linalg.norm(x, axis=1, keepdims=True)
+    graph = vectors.build_graph(v)
+    assert graph.shape[1] == 2 * vectors.DEGREE and not (graph == np.arange(len(v))[:, None]).any()
+    q, h = vectors.range_search(v, graph, v, 0.95)
+    found, want = set(zip(q.tolist(), h.tolist(), strict=True)), set(zip(*(a.tolist() for a in np.nonzero(v @ v.T >= 0.95)), strict=True))
+    assert found <= want and len(found) >= 0.999 * len(want)
+
+
+def test_many_centroids_are_found_by_groups():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = vectors.fit_centroids(x, 700)
+    near, want = vectors.nearest_centroids(x, c, 2, vectors.grouped(c)), vectors.nearest_centroids(x, c, 2, None)
+    assert (near[:, :1] == want).any(axis=1).mean() > 0.9 and (np.diff(near, axis=1) > 0).all()
