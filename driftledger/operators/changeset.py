@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 PACKAGE, DESTRUCTIVE = "package", "destructive"
 ELEMENT = ["target", "type", "member", "change_kind"]
 _KEY = ["type", "member"]
+#: applied, removed: targets; add, modify, delete: kinds; source, led_to: sides of renames.
+_FLAGS = ("applied", "removed", "add", "modify", "delete", "source", "led_to")
 
 
 def union(*parts: DataFrame) -> DataFrame:
@@ -37,24 +39,35 @@ def rename_sources(renames: DataFrame) -> DataFrame:
     return distinct_renames(renames).select("type", F.col("from_member").alias("member")).distinct()
 
 
+def _flagged(elements: DataFrame, renames: DataFrame) -> DataFrame:
+    """(type, member, and a flag for each of _FLAGS) of all members that elements or renames name: one aggregation."""
+    moved = renames.where("from_member <> to_member")
+    none = {name: F.lit(False) for name in _FLAGS}
+    row = lambda df, member, **flags: df.select("type", F.col(member).alias("member"), *[(none | flags)[n].alias(n) for n in _FLAGS])
+    kinds = {n: F.col("change_kind") == n for n in ("add", "modify", "delete")}
+    rows = row(elements, "member", applied=F.col("target") == PACKAGE, removed=F.col("target") == DESTRUCTIVE, **kinds)
+    sides = moved.select("type", F.explode(F.array(F.struct(F.col("from_member").alias("m"), F.lit(True).alias("source")), F.struct(F.col("to_member").alias("m"), F.lit(False).alias("source")))).alias("s")).select("type", "s.m", "s.source")
+    rows = rows.unionByName(row(sides, "m", source=F.col("source"), led_to=~F.col("source")))
+    return rows.groupBy(*_KEY).agg(*[F.coalesce(F.max(n), F.lit(False)).alias(n) for n in _FLAGS])
+
+
 def package_view(elements: DataFrame, renames: DataFrame) -> DataFrame:
     """(type, member) to apply: what targets the package, and what something was renamed to."""
-    return union(elements.where(F.col("target") == PACKAGE), rename_targets(renames))
+    return _flagged(elements, renames).where("applied or led_to").select(*_KEY)
 
 
 def destructive_view(elements: DataFrame, renames: DataFrame) -> DataFrame:
     """(type, member) to remove: what targets removal, and what was renamed, without what is to be applied."""
-    return subtract(union(elements.where(F.col("target") == DESTRUCTIVE), rename_sources(renames)), package_view(elements, renames))
+    return _flagged(elements, renames).where("(removed or source) and not (applied or led_to)").select(*_KEY)
 
 
 def kind_view(elements: DataFrame, renames: DataFrame) -> DataFrame:
     """(kind, type, member, to_member): add without rename targets, modify, delete without what was added, modified or
     renamed, and rename with its two members. A member may be added and modified at once."""
-    of = lambda kind: elements.where(F.col("change_kind") == kind)
-    named = lambda df, kind: df.select(F.lit(kind).alias("kind"), *_KEY, F.lit(None).cast("string").alias("to_member"))
-    gone = union(of("add"), of("modify"), rename_sources(renames))
-    moved = distinct_renames(renames).select(F.lit("rename").alias("kind"), "type", F.col("from_member").alias("member"), "to_member")
-    return named(subtract(of("add"), rename_targets(renames)), "add").unionByName(named(union(of("modify")), "modify")).unionByName(named(subtract(of("delete"), gone), "delete")).unionByName(moved)
+    gone = F.col("delete") & ~(F.col("add") | F.col("modify") | F.col("source"))
+    own = F.array(F.when(F.col("add") & ~F.col("led_to"), "add"), F.when(F.col("modify"), "modify"), F.when(gone, "delete"))
+    each = _flagged(elements, renames).select(F.explode(F.filter(own, lambda k: k.isNotNull())).alias("kind"), *_KEY, F.lit(None).cast("string").alias("to_member"))
+    return each.unionByName(distinct_renames(renames).select(F.lit("rename").alias("kind"), "type", F.col("from_member").alias("member"), "to_member"))
 
 
 def is_empty(elements: DataFrame, renames: DataFrame) -> bool:

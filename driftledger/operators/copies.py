@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import posixpath
 import uuid
 from collections.abc import Iterator
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -47,26 +47,28 @@ def kept_copies(copies: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def inside(root: str, path: str) -> str:
     """The place of path below root; ValueError where that isn't strictly below it."""
-    place = posixpath.normpath(posixpath.join(root, path))
-    if path.startswith("/") or not place.startswith(root.rstrip("/") + "/"):
+    place = posixpath.normpath(posixpath.join("/", path))[1:]
+    if path.startswith("/") or not place or posixpath.normpath(path).startswith("../") or posixpath.normpath(path) == "..":
         raise ValueError(f"{path!r} leaves the output folder")
-    return place
+    return f"{root.rstrip('/')}/{place}"
 
 
 def write_files(copies: DataFrame, output: str) -> None:
-    """Write each row's content at output/path, from the tasks that hold them; output is a folder that all machines mount.
+    """Write each row's content at output/path, from the tasks that hold them; output is a folder of a store that Arrow opens
+    (a path or file: URI is a folder that all machines mount).
 
-    A file appears whole: it is written beside its place and renamed. Written again after a lost task, it is the same.
+    A file appears whole: it is written beside its place and moved. Written again after a lost task, it is the same.
     """
-    root = posixpath.abspath(output)
+    uri = output if "://" in output or output.startswith("file:") else posixpath.abspath(output)
 
     def write(rows: Iterator[Row]) -> None:
+        files, root = FileSystem.from_uri(uri.replace("file:///", "file:/").replace("file:/", "file:///"))
         for row in rows:
             place = inside(root, row["path"])
-            os.makedirs(posixpath.dirname(place), exist_ok=True)
+            files.create_dir(posixpath.dirname(place), recursive=True)
             draft = f"{place}.{uuid.uuid4().hex}.tmp"
-            with open(draft, "wb") as f:
+            with files.open_output_stream(draft) as f:
                 f.write(row["content"] or b"")
-            os.replace(draft, place)
+            files.move(draft, place)
 
     copies.select("path", F.col("content").cast("binary").alias("content")).foreachPartition(write)

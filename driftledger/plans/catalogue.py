@@ -395,7 +395,7 @@ _ELEMENTS = """
 e as (
     select case when p_size % 3 = 0 then 'destructive' else 'package' end as target, p_brand as type, p_type || '.' || cast(p_partkey % 17 as varchar) as member,
         case p_partkey % 3 when 0 then 'add' when 1 then 'modify' else 'delete' end as change_kind
-    from part where p_partkey % 4 <> 0
+    from part
 ),
 r as (
     select distinct a.p_brand as type, a.p_type || '.' || cast(a.p_partkey % 17 as varchar) as f, b.p_type || '.' || cast(b.p_partkey % 17 as varchar) as t
@@ -408,7 +408,7 @@ package as (select type, member from e where target = 'package' union select typ
 def part_elements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     part = table(spark, sf_dir, "part").withColumn("p_type", F.concat_ws(".", "p_type", (F.col("p_partkey") % 17).cast("string")))
     kind = F.when(F.col("p_partkey") % 3 == 0, "add").when(F.col("p_partkey") % 3 == 1, "modify").otherwise("delete")
-    elements = part.where("p_partkey % 4 <> 0").select(F.when(F.col("p_size") % 3 == 0, C.DESTRUCTIVE).otherwise(C.PACKAGE).alias("target"), F.col("p_brand").alias("type"), F.col("p_type").alias("member"), kind.alias("change_kind"))
+    elements = part.select(F.when(F.col("p_size") % 3 == 0, C.DESTRUCTIVE).otherwise(C.PACKAGE).alias("target"), F.col("p_brand").alias("type"), F.col("p_type").alias("member"), kind.alias("change_kind"))
     following = part.select((F.col("p_partkey") - 1).alias("p_partkey"), "p_brand", F.col("p_type").alias("to_member"))
     return elements, part.join(following, ["p_partkey", "p_brand"]).select(F.col("p_brand").alias("type"), F.col("p_type").alias("from_member"), "to_member")
 
@@ -509,12 +509,15 @@ def copy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def html_root_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The direct children of the article of each page, by the lenient reader."""
+    """The direct children of each article of each page, by the lenient reader."""
     from ..functions.xmltree import children_of
 
     pages = table(spark, sf_dir, "pages").where("html is not null")
-    article = pages.select(F.col("page_id").alias("doc"), F.regexp_extract("html", r"(?s)<article>.*?</article>", 0).alias("content")).where("content <> ''")
-    return children_of(article, lenient=True).select("doc", "tag", "pos", "value")
+    articles = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?s)<article\b[^>]*>.*?</article>"), F.lit(0))).alias("article", "content"))
+    rows = children_of(articles.select(F.concat_ws(":", "page_id", "article").alias("doc"), "content"), lenient=True)
+    place = lambda k: F.element_at(F.split("doc", ":"), k).cast("long")
+    return rows.select(place(1).alias("page_id"), place(2).alias("article"), "tag", "pos", "value")
+
 
 
 from . import tree_catalogue  # noqa: E402, F401 - registers its queries here

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 import re
 import unicodedata
 from collections.abc import Iterable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.xmltree import render
 from ..operators.changeset import manifest
@@ -61,11 +60,14 @@ def messages(warnings: DataFrame) -> list[str]:
 
 
 def write_text(output: str, name: str, text: str) -> None:
-    """Write a small file below a local output folder, from the driver."""
-    path = os.path.join(output, name)
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "w", encoding="utf-8", newline="") as f:
-        f.write(text)
+    """Write a small file below an output folder of any file system, from the driver."""
+    spark = SparkSession.active()
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{output.rstrip('/')}/{name}")
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
 
 
 def result_json(output: str, warnings: Iterable[str] = (), error: str | None = None) -> str:
