@@ -47,11 +47,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/driftledger/{name}-{uuid.uuid4().hex}"
 
 
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Have an existing folder deleted when the application ends."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back: its lineage ends there and lost executors cost no recomputation."""
+    """df, written to the shared folder and read back: its lineage ends there and lost executors cost no recomputation. The
+    written rows go when the application ends."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
+    gone_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

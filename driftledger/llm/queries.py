@@ -12,11 +12,12 @@ from .common import read
 
 def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a WARC record, written into ZIP archives in the shared folder and read back by ranges."""
-    from .common import new_folder
+    from .common import gone_at_exit, new_folder
     from .warc import read_archives, write_archives
 
     path = new_folder(spark, "archives")
     write_archives(read(spark, sf_dir, "pages"), path)
+    gone_at_exit(spark, path)
     found = read_archives(spark, path)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
