@@ -196,3 +196,18 @@ def test_a_collector_that_fails_is_a_warning(spark, monkeypatch):
     old, new, _ = snapshots(spark, {}, {"a/classes/One.cls": "2"})
     r = delta(old, new, registry(spark), Options(include=parse_rules("*"), generate_delta=False))
     assert r.elements.count() == 1 and [x.code for x in r.warnings.collect()] == ["collector_failed"]
+
+
+def test_the_command_writes_a_delta(spark, tmp_path, capsys):
+    from driftledger.__main__ import main
+
+    for side, files in (("old", {"a/classes/One.cls": "1"}), ("new", {"a/classes/One.cls": "2", "a/classes/Two.cls": "2"})):
+        for path, text in files.items():
+            (tmp_path / side / path).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / side / path).write_text(text)
+    (tmp_path / "types.json").write_text(json.dumps([{"xmlName": "ApexClass", "directoryName": "classes", "suffix": "cls", "metaFile": True}]))
+    where = [f"--{n}={tmp_path}/{v}" for n, v in (("from", "old"), ("to", "new"), ("registry", "types.json"), ("output", "out"))]
+    assert main([*where, "--generate-delta", "--source=a"]) == 0
+    assert json.loads(capsys.readouterr().out) == {"output-dir": f"{tmp_path}/out"}
+    assert "<members>Two</members>" in (tmp_path / "out/package/package.xml").read_text() and (tmp_path / "out/a/classes/Two.cls").read_text() == "2"
+    assert main([*where, "--source=../b"]) == 1 and "error" in json.loads(capsys.readouterr().out)

@@ -321,3 +321,12 @@ def test_lists_are_compared_place_by_place(spark):
     got = X.document_diff(old, new, rules).documents
     assert {r.doc: r.has_package_content for r in got.collect()} == {1: False, 2: True, 3: True, 4: True, 5: False, 6: True, 7: False, 8: False}
     assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
+def test_articles_of_whole_pages(spark, tmp_path):
+    from driftledger.plans import catalogue
+
+    pages = ["<html><article>x<h1>One</h1><p>a</p></article> <article id='2'><p>b</p><p>c</p></article></html>", "<p>none</p>", None, "<article><h1>Cut</h1><b></article>"]
+    spark.createDataFrame([(k, f"u{k}", h) for k, h in enumerate(pages)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r.page_id, r.article, r.tag, r.pos, r.value) for r in catalogue.QUERIES["html_root_children"](spark, str(tmp_path)).collect() if r.pos]
+    assert sorted(got) == [(0, 0, "h1", 1, '"One"'), (0, 0, "p", 2, '"a"'), (0, 1, "p", 1, '"b"'), (0, 1, "p", 2, '"c"'), (3, 0, "h1", 1, '"Cut"')]
