@@ -117,6 +117,14 @@ def resolve_renames(pairs: DataFrame, described: DataFrame) -> DataFrame:
     return both.where("from_type = to_type and from_member <> to_member").select(F.col("from_type").alias("type"), "from_member", "to_member").distinct()
 
 
+def manifest_rows(view: DataFrame, first: str = "CustomObject", collation: str = "fr") -> DataFrame:
+    """(type, member) of a view, once each, in a manifest's order: `first` before the other types, these and the members in the
+    order of that locale. A range sort; no type is ever one value."""
+    by = lambda c: [F.expr(f"{c} collate {collation}"), c]
+    rank = F.when(F.col("type") == first, 0).otherwise(1)
+    return view.select(*_KEY).distinct().orderBy(rank, *by("type"), *by("member"))
+
+
 def manifest(view: DataFrame, first: str = "CustomObject", collation: str = "fr") -> DataFrame:
     """(place, type, members): a view as manifest blocks; `first` before the other types, these and the members in the order
     of that locale. One row a type, so that place is a number over few rows."""

@@ -66,9 +66,9 @@ class Result:
     def write(self, output: str, review: bool = False, snapshot: DataFrame | None = None, blobs: DataFrame | None = None) -> list[str]:
         """Write the manifests, the review file on demand and, given the new snapshot and contents, the copies; the warnings'
         texts come back."""
-        sinks.write_text(output, sinks.PACKAGE_FILE, sinks.manifest_xml(self.package, self.options.api_version))
-        sinks.write_text(output, sinks.DESTRUCTIVE_FILE, sinks.manifest_xml(self.destructive, self.options.api_version))
-        sinks.write_text(output, sinks.EMPTY_PACKAGE_FILE, sinks.manifest_xml(None, self.options.api_version))
+        sinks.write_text(output, sinks.PACKAGE_FILE, sinks.manifest_lines(self.package, self.options.api_version))
+        sinks.write_text(output, sinks.DESTRUCTIVE_FILE, sinks.manifest_lines(self.destructive, self.options.api_version))
+        sinks.write_text(output, sinks.EMPTY_PACKAGE_FILE, sinks.manifest_lines(None, self.options.api_version))
         if review:
             sinks.write_text(output, "changes.json", sinks.review_json(self.kinds))
         if snapshot is not None and blobs is not None:

@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import chain
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.xmltree import render
-from ..operators.changeset import manifest
+from ..functions.xmltree import escaped
+from ..operators.changeset import manifest_rows
 
 #: Fixed values of the manifest format.
 PACKAGE_ROOT = ("Package", {"xmlns": "http://soap.sforce.com/2006/04/metadata"})
@@ -27,11 +28,28 @@ MESSAGES = {
 }
 
 
+def manifest_lines(view: DataFrame | None, api_version: int) -> Iterator[str]:
+    """The lines of a view, (type, member), as a manifest; None is an empty one. The rows are sorted where they are and come to
+    the driver a partition at a time."""
+    (root, attributes), kind = PACKAGE_ROOT, None
+    yield '<?xml version="1.0" encoding="UTF-8"?>\n'
+    yield f"<{root}{''.join(f' {k}="{v}"' for k, v in attributes.items())}>\n"
+    end = lambda kind: f"        <name>{escaped(kind)}</name>\n    </types>\n"
+    for type_, member in () if view is None else manifest_rows(view).toLocalIterator(prefetchPartitions=True):
+        if type_ != kind:
+            if kind is not None:
+                yield end(kind)
+            yield "    <types>\n"
+            kind = type_
+        yield f"        <members>{escaped(member)}</members>\n"
+    if kind is not None:
+        yield end(kind)
+    yield f"    <version>{api_version}.0</version>\n</{root}>"
+
+
 def manifest_xml(view: DataFrame | None, api_version: int) -> str:
-    """A view, (type, member), as a manifest; None is an empty one. As many rows come to the driver as there are types."""
-    rows = [] if view is None else manifest(view).orderBy("place").collect()
-    blocks: list[tuple[str, Any]] = [("types", {"members": list(r["members"]), "name": r["type"]}) for r in rows]
-    return render(*PACKAGE_ROOT, [*blocks, ("version", f"{api_version}.0")], escape=True, trailing_newline=False)
+    """A small view as one text."""
+    return "".join(manifest_lines(view, api_version))
 
 
 def review_json(kinds: DataFrame) -> str:
@@ -59,13 +77,19 @@ def messages(warnings: DataFrame) -> list[str]:
     return [MESSAGES[code].format(sanitised(subject)) for code, subject in sorted(map(tuple, warnings.select("code", "subject").distinct().collect()))]
 
 
-def write_text(output: str, name: str, text: str) -> None:
-    """Write a small file below an output folder of any file system, from the driver."""
+def write_text(output: str, name: str, text: str | Iterable[str]) -> None:
+    """Write a text, or its parts as they come, below an output folder of any file system, from the driver."""
     spark = SparkSession.active()
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{output.rstrip('/')}/{name}")
     out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
     try:
-        out.write(bytearray(text.encode()))
+        held: list[str] = []
+        for part in chain([text] if isinstance(text, str) else text, [None]):
+            if part is None or len(held) >= 5000:
+                out.write(bytearray("".join(held).encode()))
+                held = []
+            if part is not None:
+                held.append(part)
     finally:
         out.close()
 
