@@ -27,10 +27,11 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() els
 #: Benchmark words that one pass over the documents searches for; about 16 bytes of a task's memory each.
 BLOCK_WORDS = 2_000_000
 
-#: Words of a shard, of which its last document may hold more; a shard ends with its Arrow batch too.
-SHARD_WORDS = 1_000_000
+#: Words of a shard, of which its last document may hold more; a shard ends with its Arrow batch too. A shard is one row: the
+#: Parquet writer looks at its buffers every hundred rows only, so that rows of a few hundred kB bound its memory.
+SHARD_WORDS = 100_000
 
-_INDEX = "ids array<long>, same array<long>, n_words array<int>, terms array<binary>, ends array<int>, places array<int>"
+_INDEX = "ids array<long>, same array<long>, n_words array<int>, terms binary, ends binary, places binary"
 _FOUND = "id long, same long, n_words long, hits array<struct<start:int,end:int>>, item_ids array<long>, near_ids array<long>"
 
 
@@ -77,12 +78,12 @@ def _index_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 total, end = total + len(w), end + 1
             tokens = np.concatenate(found)
             # a token's places in the shard, ascending, token by token
-            places = np.argsort(tokens, kind="stable").astype(np.int32)
-            ends = np.cumsum(np.bincount(tokens, minlength=len(number))).astype(np.int32)
+            places = np.argsort(tokens, kind="stable").astype("<i4")
+            ends = np.cumsum(np.bincount(tokens, minlength=len(number))).astype("<i4")
             n = end - begin
-            columns = [ids.slice(begin, n), same.slice(begin, n), pa.array(sizes, pa.int32()), pa.array(list(number), pa.binary()), pa.array(ends), pa.array(places)]
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
-            yield pa.RecordBatch.from_arrays(lists, names=["ids", "same", "n_words", "terms", "ends", "places"])
+            lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), c) for c in (ids.slice(begin, n), same.slice(begin, n), pa.array(sizes, pa.int32()))]
+            packed = [pa.array([x], pa.binary()) for x in (b"\n".join(number), ends.tobytes(), places.tobytes())]
+            yield pa.RecordBatch.from_arrays([*lists, *packed], names=["ids", "same", "n_words", "terms", "ends", "places"])
             begin = end
 
 
@@ -92,21 +93,22 @@ def _matches(key: np.ndarray, span: int, w: Windows | SimpleNamespace, slack: in
     A start is near if each of the window's words has an occurrence at most slack places from its own, exact if at none.
     """
     count_of = np.diff(np.searchsorted(key, np.arange(len(w.terms) + 1) * span))
-    counts = np.where(w.ids >= 0, count_of[w.ids], np.iinfo(np.int64).max)
+    # only windows all of whose terms occur in the shard
+    live = np.flatnonzero(((count_of > 0)[w.ids] | (w.ids < 0)).all(axis=1))
+    counts = np.where(w.ids[live] >= 0, count_of[w.ids[live]], np.iinfo(np.int64).max)
     order = np.argsort(counts, axis=1, kind="stable")
-    live = np.flatnonzero(np.take_along_axis(counts, order[:, :1], axis=1)[:, 0] > 0)
-    rarest = w.ids[live, order[live, 0]]
+    rarest = w.ids[live, order[:, 0]]
     n = count_of[rarest]
     posting = key[_ragged(np.searchsorted(key, rarest * span), n)] % span
-    window = np.repeat(live, n)
-    start = posting - order[window, 0]
+    at_live, window = np.repeat(np.arange(len(live)), n), np.repeat(live, n)
+    start = posting - order[at_live, 0]
     shifts = np.arange(-slack, slack + 1)
-    window, start = np.repeat(window, len(shifts)), (start[:, None] + shifts).ravel()
+    at_live, window, start = np.repeat(at_live, len(shifts)), np.repeat(window, len(shifts)), (start[:, None] + shifts).ravel()
     exact = np.tile(shifts == 0, len(posting))
     for k in range(1, w.size):
         if not len(window):
             break
-        offset = order[window, k]
+        offset = order[at_live, k]
         term = w.ids[window, offset]
         want = term * span + start + offset
         at = np.minimum(np.searchsorted(key, want - slack), len(key) - 1)
@@ -115,7 +117,7 @@ def _matches(key: np.ndarray, span: int, w: Windows | SimpleNamespace, slack: in
         done = term < 0
         exact &= there | done
         keep = near | done
-        window, start, exact = window[keep], start[keep], exact[keep]
+        at_live, window, start, exact = at_live[keep], window[keep], start[keep], exact[keep]
     return window, start, exact
 
 
@@ -165,8 +167,9 @@ def _search_shard(ids: pa.Array, same: pa.Array, n_words: np.ndarray, own: list[
 
 
 def positional_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored index, a row for each shard: its documents (ids, same: hashes of their texts, n_words) and its terms, with the
-    postings of the k-th in places from ends[k - 1] up to ends[k]. A place counts the shard's words. No shuffle."""
+    """The stored index, a row for each shard: its documents (ids, same: hashes of their texts, n_words) and its terms, joined by
+    line feeds, with the postings of the k-th in places from ends[k - 1] up to ends[k], both 32-bit integers. A place counts
+    the shard's words. No shuffle."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("same"), F.col(text_col).alias("text"))
     return stored(rows.mapInArrow(_index_shards, _INDEX), "postings")
@@ -180,8 +183,10 @@ def search(index: DataFrame, windows: Windows, slack: int = 1) -> DataFrame:
         own = SimpleNamespace(**shared.value)
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, same, n_words, terms, ends, places = (c[k].values for c in batch.columns)
-                yield _search_shard(ids, same, n_words.to_numpy().astype(np.int64), terms.to_pylist(), ends.to_numpy().astype(np.int64), places.to_numpy(), own, slack)
+                ids, same, n_words = (c[k].values for c in batch.columns[:3])
+                terms, ends, places = (c[k].as_py() for c in batch.columns[3:])
+                ends, places = np.frombuffer(ends, "<i4").astype(np.int64), np.frombuffer(places, "<i4")
+                yield _search_shard(ids, same, n_words.to_numpy().astype(np.int64), terms.split(b"\n") if terms else [], ends, places, own, slack)
 
     return index.mapInArrow(run, _FOUND)
 
