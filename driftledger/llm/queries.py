@@ -110,6 +110,14 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged and repaired by its cheapest edits."""
+    from .conversations import damaged, digests, repair
+
+    rows = read(spark, sf_dir, "conversations")
+    return digests(repair(damaged(rows), rows.select("conv_id")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -123,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_scan,
         op9_toxicity_chain,
         op10_benchmark_decontamination,
+        op11_conversation_repair,
     )
 }
 
