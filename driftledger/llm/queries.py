@@ -118,6 +118,15 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(repair(damaged(rows), rows.select("conv_id")))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item's 50 best documents."""
+    from .ranking import build, ranked, terms
+
+    asked = terms(read(spark, sf_dir, "benchmark"), "item_id", "text")
+    found = ranked(build(read(spark, sf_dir, "documents"), asked), asked, 50)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -132,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_toxicity_chain,
         op10_benchmark_decontamination,
         op11_conversation_repair,
+        op12_ranked_search,
     )
 }
 
@@ -195,5 +205,19 @@ near as (
 select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
     sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated, coalesce(n_near, 0) as n_near
 from doc d left join hit using (doc_id) left join items using (doc_id) left join near using (doc_id)
+""",
+    "op12_ranked_search": f"""
+with word as (select doc_id, unnest({_WORDS.format("text")}) as term from documents where text is not null),
+tf as (select doc_id, term, count(*) as tf from word group by doc_id, term),
+len as (select doc_id, count(*) as n from word group by doc_id),
+total as (select count(*) as docs, cast(sum(n) as bigint) as length from len),
+weight as (select term, cast(floor(1000 * ln(cast(2 * docs + 2 as double) / cast(2 * count(*) + 1 as double))) as bigint) as w from tf, total group by term, docs),
+item as (select distinct item_id, unnest({_WORDS.format("text")}) as term from benchmark where text is not null),
+scored as (
+    select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // length))))) as bigint) as score
+    from item join tf using (term) join weight using (term) join len using (doc_id), total group by item_id, doc_id
+)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score
+from scored where score > 0 qualify rank <= 50
 """,
 }
