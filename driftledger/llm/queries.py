@@ -127,6 +127,13 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces of at most 2048 tokens, packed into sequences of 2048."""
+    from .packing import packed, pieces
+
+    return packed(pieces(read(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -142,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_benchmark_decontamination,
         op11_conversation_repair,
         op12_ranked_search,
+        op13_best_fit_packing,
     )
 }
 
