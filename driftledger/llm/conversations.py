@@ -211,7 +211,7 @@ def repair(rows: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     A conversation's rows lie in one partition, one after the other. ids: a table of a column conv_id; those without rows get
     a row of place 0.
 
-    Rows stand by turn, nulls first, then by role and text; rows that agree in all are repetitions. Null roles and texts count as
+    Rows stand by turn, nulls first, then by role and MD5 of the text; rows that agree in all are repetitions. Null roles and texts count as
     one space; a role's initial is its first character, and one that is neither s, u nor a, or an empty role, is legal nowhere.
     Null is a conversation of its own.
     """

@@ -213,6 +213,70 @@ near as (
 select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
     sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated, coalesce(n_near, 0) as n_near
 from doc d left join hit using (doc_id) left join items using (doc_id) left join near using (doc_id)
+""",
+    "op11_conversation_repair": r"""
+with recursive crc as (
+    select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tab
+),
+keyed as (select conv_id, turn, role, text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k from conversations),
+dealt as (
+    select conv_id, turn, role, coalesce(text, ' ') as text, xor(list_reduce(
+        list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda i: cast(ascii(substr(k, i, 1)) as bigint))),
+        lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 as deal
+    from keyed, crc
+),
+hurt as (
+    select conv_id, turn, case when deal = 4 then 'user' else coalesce(role, ' ') end as role,
+        case deal when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+        unnest(range(case deal when 0 then 0 when 3 then 2 else 1 end)) as copy
+    from dealt
+),
+placed as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text), copy) as i,
+        row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as nth,
+        regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) as last
+    from hurt
+),
+line as (
+    select *, case when last = '' then 'blank' when nth > 1 then 'duplicate' when last not in ('.', '!', '?') then 'truncated' end as fault,
+        lag(substr(role, 1, 1)) over (partition by conv_id order by i) || substr(role, 1, 1) as pair
+    from placed
+),
+counts as (
+    select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+        count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+        count(*) filter (pair not in ('su', 'ua', 'au')) as illegal, max(i) as n
+    from line group by conv_id
+),
+ins(q, p, n, lines) as (
+    values (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 1, chr(10) || 'user:'), (1, 2, 1, chr(10) || 'user:'), (3, 2, 1, chr(10) || 'user:'),
+        (2, 3, 1, chr(10) || 'assistant:'), (0, 3, 2, chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 2, chr(10) || 'user:' || chr(10) || 'assistant:')
+),
+kept(p, initial, q) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+forced(p, q, role) as (values (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+edit as (
+    select p, i, conv_id, p as q, 4 as cost, 'D' as e, '' as lines from line, (values (0), (1), (2), (3)) s(p)
+    union all
+    select p, i, conv_id, q, case when fault is null then 0 else 3 end, 'K', chr(10) || role || ':' || text
+    from line join kept on initial = substr(role, 1, 1) where fault is null or fault = 'truncated'
+    union all
+    select p, i, conv_id, q, case when fault is null then 3 else 6 end, 'R', chr(10) || f.role || ':' || text
+    from line, forced f where fault is null or fault = 'truncated'
+),
+way as (
+    select conv_id, cast(0 as bigint) as i, 0 as q, {'cost': cast(0 as bigint), 'audit': '', 'lines': ''} as w from counts
+    union all
+    select v.conv_id, v.i + 1, e.q, min({'cost': cast(v.w.cost + 3 * ins.n + e.cost as bigint), 'audit': v.w.audit || repeat('I', ins.n) || e.e, 'lines': v.w.lines || ins.lines || e.lines})
+    from way v join ins on ins.q = v.q join edit e on e.conv_id is not distinct from v.conv_id and e.i = v.i + 1 and e.p = ins.p
+    group by v.conv_id, v.i, e.q
+),
+best as (
+    select c.conv_id, min({'cost': cast(v.w.cost + 3 * ins.n as bigint), 'audit': v.w.audit || repeat('I', ins.n), 'lines': v.w.lines || ins.lines}) as w
+    from counts c join way v on v.conv_id is not distinct from c.conv_id and v.i = c.n join ins on ins.q = v.q and ins.p in (0, 3) group by c.conv_id
+)
+select k.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+    coalesce(illegal, 0) as illegal, coalesce(w.cost, 0) as cost, coalesce(w.audit, '') as audit, sha256(coalesce(substr(w.lines, 2), '')) as repaired_sha256
+from (select distinct conv_id from conversations) k left join counts c on c.conv_id is not distinct from k.conv_id left join best b on b.conv_id is not distinct from k.conv_id
 """,
     "op12_ranked_search": f"""
 with word as (select doc_id, unnest({_WORDS.format("text")}) as term from documents where text is not null),

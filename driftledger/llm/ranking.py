@@ -28,9 +28,9 @@ HEAD = 200
 TRIED = 4
 #: Terms that are sent to every task as a filter of documents; an index of more terms holds them all.
 FILTER_TERMS = 200_000
-#: Terms of items that one pass over the postings searches for, and keys that are broadcast.
+#: Terms of items that one pass over the postings searches for; documents whose items are broadcast, and keys that are.
 PASS_TERMS = 200_000
-BROADCAST_KEYS = 1_000_000
+BROADCAST_ITEMS, BROADCAST_KEYS = 50_000, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -109,7 +109,7 @@ def _best(rows: DataFrame, score: str, k: int, *ties) -> DataFrame:
 def _exact(index: Index, asked: DataFrame, pairs: DataFrame) -> DataFrame:
     """(item, key, score): pairs (item, key), stored, with their exact scores. asked: (item, term), broadcast."""
     wanted = pairs.groupBy("key").agg(F.collect_set("item").alias("items"))
-    met = index.postings.join(_bounded(wanted, BROADCAST_KEYS // 4), "key").join(asked.select("item", "term"), "term")
+    met = index.postings.join(_bounded(wanted, BROADCAST_ITEMS), "key").join(asked.select("item", "term"), "term")
     return met.where(F.array_contains("items", F.col("item"))).groupBy("key", "item").agg(F.sum("c").alias("score"))
 
 

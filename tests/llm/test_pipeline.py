@@ -43,6 +43,6 @@ def test_repeated_and_odd_documents(spark):
 
 def test_registered():
     names = [n.split("_")[0] for n in queries.QUERIES]
-    assert names == [f"op{k}" for k in range(1, 11)]
+    assert names == [f"op{k}" for k in range(1, 14)]
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and "pipeline" not in entry.oracle_sql()
