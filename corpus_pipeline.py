@@ -1,7 +1,8 @@
 """The corpus pipeline: five operators in turn over documents.
 
 Toxic documents go; of each group of near-duplicates one stays; documents with benchmark passages go; secrets are masked;
-what is left gets the number of copies with which its sources meet their target weights.
+what is left gets the number of copies with which its sources meet their target weights. Decisions are about rows, not ids: rows
+without an id or with that of another are judged by their own text.
 """
 
 from __future__ import annotations
@@ -12,17 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftledger.llm import decontam, mixing, secrets, simhash, toxicity
-from driftledger.llm.common import read, stored
+from driftledger.llm.common import read, stored, with_row_key
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Ids to drop are broadcast up to so many; beyond, a shuffle joins them.
-BROADCAST_IDS = 1_000_000
+#: Keys of rows to drop are broadcast up to so many; beyond, a shuffle joins them.
+BROADCAST_KEYS = 1_000_000
+#: The column that tells rows apart while a stage decides about them; no column of documents may have its name.
+KEY = "row_key_of_stage"
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but those with these ids (stored, not null). Documents without an id stay."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
+def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of keyed but those with these keys (stored), without their key."""
+    return keyed.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, KEY, "left_anti").drop(KEY)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,19 +36,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest id stays; of several with that id, any one."""
-    found = stored(simhash.near_duplicates(docs), "near-duplicates").where("doc_id is not null")
-    left = _without(docs, stored(found.where("doc_id <> component_id").select("doc_id"), "near-duplicates-ids"))
-    again = stored(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
-    if again.isEmpty():
-        return left
-    return _without(left, again).unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """Of each SimHash component one row stays: that with the smallest id, a null one last; of several with that id, any one."""
+    keyed = with_row_key(docs, KEY)
+    found = stored(simhash.near_duplicates(keyed.select(KEY, "text"), KEY), "near-duplicates")
+    groups = found.groupBy(F.col("component_id").alias("group")).count().where("count > 1").select("group")
+    members = found.join(groups, F.col("component_id") == F.col("group"), "left_semi").join(keyed.select(KEY, "doc_id"), KEY)
+    first = members.groupBy(F.col("component_id").alias("group")).agg(F.min_by(KEY, F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(KEY))).alias("first"))
+    dropped = members.join(first, F.col("component_id") == F.col("group")).where(F.col(KEY) != F.col("first")).select(KEY)
+    return _without(keyed, stored(dropped, "near-duplicate-rows"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words a twentieth or more lie in 13-word windows of the benchmark go."""
-    found = decontam.contamination(decontam.benchmark_matches(docs, read(spark, sf_dir, "benchmark"), slack=0))
-    return _without(docs, stored(found.where("contaminated and doc_id is not null").select("doc_id").distinct(), "contaminated-ids"))
+    keyed = with_row_key(docs, KEY)
+    matches = decontam.benchmark_matches(keyed.select(KEY, "text"), read(spark, sf_dir, "benchmark"), id_col=KEY, slack=0)
+    return _without(keyed, stored(decontam.contamination(matches).where("contaminated").select(KEY), "contaminated-rows"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch of texts. Batches hold whole texts, so that their number of rows bounds a Python worker's
 #: memory; a text of a few MB still fits.
@@ -25,6 +27,27 @@ def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def light_batches(spark: SparkSession, bytes_: int = 8 << 20) -> None:
+    """Keep the Arrow batches of this session at about that many bytes, unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "1b") == "1b":
+        spark.conf.set(key, str(bytes_))
+
+
+def with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a long column of that name that tells its rows apart, equal ones too, and is the same whenever it is read.
+
+    Rows read from files are known by their file and place there; others are written to the shared folder with a number.
+    """
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias(f"{name}_file"), F.col("_metadata.row_index").alias(name))
+    except AnalysisException:
+        return stored(docs.withColumn(name, F.monotonically_increasing_id()), "keyed")
+    files = sorted(r[0] for r in placed.select(f"{name}_file").distinct().collect())
+    known = docs.sparkSession.createDataFrame([(f, k << 40) for k, f in enumerate(files)], f"{name}_file string, {name}_base long")
+    return placed.join(F.broadcast(known), f"{name}_file").withColumn(name, F.col(name) + F.col(f"{name}_base")).select(*docs.columns, name)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 

@@ -2,9 +2,10 @@
 
 Each task indexes the documents it reads in shards of bounded size: for every token of a shard, whatever benchmark comes, the
 places where it occurs. A stored row of the index is a shard: its documents, its tokens, and each token's postings. Any number
-of benchmarks, and any number of blocks of one, are searched in the same index: in a shard, every window of 13 benchmark words
-starts from its rarest term's list; each of the other terms' lists, rarest first, is intersected at its offset, so that most
-windows end after one list. No row is ever shuffled: the benchmark travels, in blocks of bounded size.
+of benchmarks, and any number of blocks of one, are searched in the same index. Windows of 13 benchmark words lie grouped by the
+term that is rarest in all documents, so that a shard meets only those whose rarest term it has; each starts from the list that is
+shortest in the shard, and the other terms' lists, shortest first, are intersected at their offsets, so that most windows end
+after one list. No row is ever shuffled: the benchmark travels, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -12,19 +13,18 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
-from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, texts_of
+from .common import light_batches, small_batches, stored, texts_of
 
 #: Bytes of words as they are, A-Z as a-z, every other ASCII byte as a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
-#: Benchmark words that one pass over the documents searches for; about 16 bytes of a task's memory each.
+#: Benchmark words that one pass over the documents searches for; about 30 bytes of a task's memory each, besides distinct terms.
 BLOCK_WORDS = 2_000_000
 
 #: Words of a shard, of which its last document may hold more; a shard ends with its Arrow batch too. A shard is one row: the
@@ -41,21 +41,60 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The distinct windows of some benchmark items as arrays of term numbers, and the items that hold each."""
+    """The distinct windows of some benchmark items: where each starts in the items' words, put one after the other as term
+    numbers, and the items that hold it. About 30 bytes a word, and the distinct terms."""
 
     def __init__(self, items: list[tuple[int, str]], size: int = 13):
-        self.size, self.terms = size, {}
-        held: dict[tuple[int, ...], set[int]] = {}
-        for item, text in items:
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in words(text)]
-            for k in range(max(1, len(ids) - size + 1) if ids else 0):
-                held.setdefault(tuple(ids[k : k + size]), set()).add(item)
-        self.length = np.array([len(w) for w in held], dtype=np.int64)
-        self.ids = np.full((len(held), size), -1, dtype=np.int64)
-        for k, w in enumerate(held):
-            self.ids[k, : len(w)] = w
-        self.first_item = np.concatenate(([0], np.cumsum([len(s) for s in held.values()]))).astype(np.int64)
-        self.items = np.array([i for s in held.values() for i in sorted(s)], dtype=np.int64)
+        self.size = size
+        number: dict[bytes, int] = defaultdict(count().__next__)
+        own = [np.fromiter(map(number.__getitem__, w), np.int32, len(w)) for w in (words(t) for _, t in items)]
+        self.terms = list(number)
+        n_words = np.array([len(x) for x in own], dtype=np.int64)
+        n = np.where(n_words > 0, np.maximum(n_words - size + 1, 1), 0)
+        # past the last item there are places enough for any window
+        self.stream = np.concatenate([*own, np.full(size, -1, np.int32)])
+        start = _ragged(np.cumsum(n_words) - n_words, n)
+        length = np.repeat(np.minimum(n_words, size), n).astype(np.int8)
+        item = np.repeat(np.array([k for k, _ in items], dtype=np.int64), n)
+        # windows of the same words are neighbours by hash; a collision would only leave two of them apart
+        mark = length.astype(np.uint64)
+        for k in range(size):
+            mark = mark * np.uint64(0x9E3779B97F4A7C15) + np.where(k < length, self.stream[start + k], -1).astype(np.uint64)
+            mark ^= mark >> np.uint64(29)
+        order = np.lexsort((item, mark))
+        start, length, item = start[order], length[order], item[order]
+        new = np.ones(len(start), dtype=bool)
+        if len(start):
+            new[1:] = length[1:] != length[:-1]
+            for k in range(size):
+                new[1:] |= (k < length[1:]) & (self.stream[start[1:] + k] != self.stream[start[:-1] + k])
+        first = new.copy()
+        first[1:] |= item[1:] != item[:-1]
+        window = np.cumsum(new) - 1
+        self.start, self.length = start[new].astype(np.int32), length[new]
+        self.items = item[first]
+        self.first_item = np.concatenate(([0], np.cumsum(np.bincount(window[first], minlength=len(self.start))))).astype(np.int32)
+        self.by_term(np.zeros(len(self.terms), dtype=np.int64))
+
+    def ids(self, window: np.ndarray) -> np.ndarray:
+        """The term numbers of windows, a row each, -1 behind the last."""
+        places = np.arange(self.size)
+        return np.where(places < self.length[window, None], self.stream[self.start[window, None] + places], -1)
+
+    def by_term(self, often: np.ndarray) -> None:
+        """Group the windows by their rarest term; often: how often each term occurs."""
+        rarest = np.empty(len(self.start), dtype=np.int32)
+        for k in range(0, len(rarest), 100_000):
+            ids = self.ids(np.arange(k, min(k + 100_000, len(rarest))))
+            counts = np.where(ids >= 0, often[ids], np.iinfo(np.int64).max)
+            rarest[k : k + 100_000] = ids[np.arange(len(ids)), counts.argmin(axis=1)]
+        self.of_term = np.argsort(rarest, kind="stable").astype(np.int32)
+        self.first_of = np.concatenate(([0], np.cumsum(np.bincount(rarest, minlength=len(self.terms))))).astype(np.int32)
+
+    def of(self, terms: np.ndarray) -> np.ndarray:
+        """The windows whose rarest term is one of these."""
+        first = self.first_of[terms].astype(np.int64)
+        return self.of_term[_ragged(first, self.first_of[terms + 1] - first)]
 
 
 def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -87,29 +126,34 @@ def _index_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             begin = end
 
 
-def _matches(key: np.ndarray, span: int, w: Windows | SimpleNamespace, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window, start, exact): where windows occur. key: term * span + place, sorted, of a shard's postings.
+def _matches(key: np.ndarray, span: int, known: np.ndarray, w: Windows, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, start, exact): where windows occur. key: term * span + place, sorted, of a shard's postings; known: its terms.
 
     A start is near if each of the window's words has an occurrence at most slack places from its own, exact if at none.
     """
-    count_of = np.diff(np.searchsorted(key, np.arange(len(w.terms) + 1) * span))
-    # only windows all of whose terms occur in the shard
-    live = np.flatnonzero(((count_of > 0)[w.ids] | (w.ids < 0)).all(axis=1))
-    counts = np.where(w.ids[live] >= 0, count_of[w.ids[live]], np.iinfo(np.int64).max)
-    order = np.argsort(counts, axis=1, kind="stable")
-    rarest = w.ids[live, order[:, 0]]
-    n = count_of[rarest]
+    # how often the shard has each term; the last place stands for no term
+    often = np.zeros(len(w.first_of), dtype=np.int64)
+    often[known] = np.diff(np.append(np.searchsorted(key, known * span), len(key)))
+    often[-1] = np.iinfo(np.int64).max
+    # only windows whose rarest term the shard has, and of them those all of whose terms it has
+    live = w.of(known)
+    for k in range(w.size):
+        live = live[(often[w.stream[w.start[live] + k]] > 0) | (w.length[live] <= k)]
+    ids = w.ids(live)
+    order = np.argsort(often[ids], axis=1, kind="stable")
+    rarest = ids[np.arange(len(live)), order[:, 0]]
+    n = often[rarest]
     posting = key[_ragged(np.searchsorted(key, rarest * span), n)] % span
-    at_live, window = np.repeat(np.arange(len(live)), n), np.repeat(live, n)
+    at_live = np.repeat(np.arange(len(live)), n)
     start = posting - order[at_live, 0]
     shifts = np.arange(-slack, slack + 1)
-    at_live, window, start = np.repeat(at_live, len(shifts)), np.repeat(window, len(shifts)), (start[:, None] + shifts).ravel()
+    at_live, start = np.repeat(at_live, len(shifts)), (start[:, None] + shifts).ravel()
     exact = np.tile(shifts == 0, len(posting))
     for k in range(1, w.size):
-        if not len(window):
+        if not len(at_live):
             break
         offset = order[at_live, k]
-        term = w.ids[window, offset]
+        term = ids[at_live, offset]
         want = term * span + start + offset
         at = np.minimum(np.searchsorted(key, want - slack), len(key) - 1)
         near = (key[at] >= want - slack) & (key[at] <= want + slack)
@@ -117,16 +161,16 @@ def _matches(key: np.ndarray, span: int, w: Windows | SimpleNamespace, slack: in
         done = term < 0
         exact &= there | done
         keep = near | done
-        at_live, window, start, exact = at_live[keep], window[keep], start[keep], exact[keep]
-    return window, start, exact
+        at_live, start, exact = at_live[keep], start[keep], exact[keep]
+    return live[at_live], start, exact
 
 
-def _search_shard(ids: pa.Array, same: pa.Array, n_words: np.ndarray, own: list[bytes], ends: np.ndarray, places: np.ndarray, w: Windows | SimpleNamespace, slack: int) -> pa.RecordBatch:
+def _search_shard(ids: pa.Array, same: pa.Array, n_words: np.ndarray, own: list[bytes], ends: np.ndarray, places: np.ndarray, number: dict[bytes, int], w: Windows, slack: int) -> pa.RecordBatch:
     rows, pad = len(n_words), w.size + 2 * slack + 1
     base = np.concatenate(([0], np.cumsum(n_words + pad))) + pad
     span = int(base[-1]) + pad
     # the postings of the benchmark's terms, in order of its numbers; documents are moved apart by pad places
-    term = np.fromiter((w.terms.get(t, -1) for t in own), np.int64, len(own))
+    term = np.fromiter((number.get(t, -1) for t in own), np.int64, len(own))
     known = np.flatnonzero(term >= 0)
     known = known[np.argsort(term[known])]
     begins = np.concatenate(([0], ends[:-1])).astype(np.int64) if len(ends) else np.array([], np.int64)
@@ -135,7 +179,7 @@ def _search_shard(ids: pa.Array, same: pa.Array, n_words: np.ndarray, own: list[
     doc = np.searchsorted(np.cumsum(n_words), at, side="right")
     key = np.repeat(term[known], sizes) * span + at + pad * (doc + 1)
     empty = np.array([], dtype=np.int64)
-    window, start, exact = _matches(key, span, w, slack) if len(key) and len(w.ids) else (empty, empty, empty.astype(bool))
+    window, start, exact = _matches(key, span, term[known], w, slack) if len(key) else (empty, empty, empty.astype(bool))
     home = np.searchsorted(base, start + slack, side="right") - 1
 
     def items(mask: np.ndarray) -> np.ndarray:
@@ -146,8 +190,8 @@ def _search_shard(ids: pa.Array, same: pa.Array, n_words: np.ndarray, own: list[
 
     sure = items(exact)
     near = items(~exact)
-    known = set(map(tuple, sure.tolist()))
-    near = np.array([p for p in map(tuple, near.tolist()) if p not in known], dtype=np.int64).reshape(-1, 2)
+    found = set(map(tuple, sure.tolist()))
+    near = np.array([p for p in map(tuple, near.tolist()) if p not in found], dtype=np.int64).reshape(-1, 2)
     cover = np.zeros(span + 1, dtype=np.int32)
     np.add.at(cover, start[exact], 1)
     np.add.at(cover, start[exact] + w.length[window[exact]], -1)
@@ -171,22 +215,54 @@ def positional_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     line feeds, with the postings of the k-th in places from ends[k - 1] up to ends[k], both 32-bit integers. A place counts
     the shard's words. No shuffle."""
     small_batches(docs.sparkSession)
+    light_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("same"), F.col(text_col).alias("text"))
     return stored(rows.mapInArrow(_index_shards, _INDEX), "postings")
 
 
+def _parts(batch: pa.RecordBatch, k: int, *columns: int) -> list[np.ndarray | list[bytes]]:
+    """Some of terms, ends and places of the batch's k-th shard."""
+    found = (batch.column(c)[k].as_py() for c in columns)
+    return [x.split(b"\n") if c == 3 and x else [] if c == 3 else np.frombuffer(x, "<i4") for c, x in zip(columns, found, strict=True)]
+
+
+def _frequencies(index: DataFrame, windows: Windows) -> np.ndarray:
+    """How often each term of the windows occurs in all indexed documents."""
+    shared = index.sparkSession.sparkContext.broadcast(b"\n".join(windows.terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {t: k for k, t in enumerate(shared.value.split(b"\n"))}
+        often = np.zeros(len(number), dtype=np.int64)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own, ends = (x.as_py() for x in (batch.column(0)[k], batch.column(1)[k]))
+                term = np.fromiter((number.get(t, -1) for t in own.split(b"\n")), np.int64) if own else np.array([], np.int64)
+                often[term[term >= 0]] += np.diff(np.frombuffer(ends, "<i4"), prepend=0)[term >= 0]
+        met = np.flatnonzero(often)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(often[met])], names=["term", "n"])
+
+    found = np.zeros(len(windows.terms), dtype=np.int64)
+    if len(found):
+        for r in index.select("terms", "ends").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+            found[r.term] = r.n
+    return found
+
+
 def search(index: DataFrame, windows: Windows, slack: int = 1) -> DataFrame:
     """Each indexed document's hits, the items with exact windows and those with near ones only."""
-    shared = index.sparkSession.sparkContext.broadcast(vars(windows))
+    windows.by_term(_frequencies(index, windows))
+    terms, windows.terms = windows.terms, b"\n".join(windows.terms)
+    shared = index.sparkSession.sparkContext.broadcast(windows)
+    windows.terms = terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = SimpleNamespace(**shared.value)
+        w = shared.value
+        number = {t: k for k, t in enumerate(w.terms.split(b"\n"))}
         for batch in batches:
             for k in range(batch.num_rows):
                 ids, same, n_words = (c[k].values for c in batch.columns[:3])
-                terms, ends, places = (c[k].as_py() for c in batch.columns[3:])
-                ends, places = np.frombuffer(ends, "<i4").astype(np.int64), np.frombuffer(places, "<i4")
-                yield _search_shard(ids, same, n_words.to_numpy().astype(np.int64), terms.split(b"\n") if terms else [], ends, places, own, slack)
+                own, ends, places = _parts(batch, k, 3, 4, 5)
+                yield _search_shard(ids, same, n_words.to_numpy().astype(np.int64), own, ends.astype(np.int64), places, number, w, slack)
 
     return index.mapInArrow(run, _FOUND)
 

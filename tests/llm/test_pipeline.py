@@ -28,17 +28,38 @@ def test_stages_in_turn(spark):
     assert before.select("text").distinct().count() == before.count()
 
 
-def test_repeated_and_odd_documents(spark):
+def test_repeated_and_odd_documents(spark, tmp_path):
     text = "one two three four five six seven eight nine ten"
-    rows = [(1, text, "en", "a", 1), (1, text, "en", "a", 1), (2, text, "en", "b", 1), (3, None, None, None, None), (None, "x", "en", "a", 1), (4, "token = abcdefghijklmnop", "en", None, 9)]
-    docs = spark.createDataFrame(rows, spark.read.parquet(f"{DATA}/documents.parquet").schema)
-    got = P.drop_near_duplicates(spark, docs, DATA)
-    assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 1, 3, 4]
-    masked = {r.doc_id: (r.text, r.n_chars) for r in P.mask_secrets(spark, docs, DATA).collect()}
-    assert masked[4] == ("[REDACTED]", 10) and masked[3] == (None, None)
-    assert P.drop_contaminated(spark, docs, DATA).count() == len(rows)
-    for stage in (P.drop_near_duplicates, P.drop_contaminated, P.mask_secrets, P.mix_sources):
-        assert stage(spark, docs.limit(0), DATA).count() == 0
+    benchmark = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    passage = benchmark.orderBy("item_id").first().text
+    rows = [(1, text, "en", "a", 1), (1, text, "en", "a", 1), (2, text, "en", "b", 1), (3, None, None, None, None), (None, "x", "en", "a", 1), (None, "x", "en", "a", 1)]
+    # an id with a clean and a contaminated text, a contaminated text without an id, a very long text
+    rows += [(5, passage, "en", "a", 1), (5, "a clean text of its own words", "en", "a", 1), (None, passage + " and", "en", "b", 1), (4, "token = abcdefghijklmnop", "en", None, 9), (6, "long words " * 60_000, "en", "b", 1)]
+    schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
+    made = spark.createDataFrame(rows, schema)
+    made.repartition(3).write.parquet(str(tmp_path / "docs"))
+    for docs in (made, spark.read.parquet(str(tmp_path / "docs"))):
+        got = P.drop_near_duplicates(spark, docs, DATA)
+        assert got.columns == docs.columns
+        assert sorted((r.doc_id or 0, (r.text or "")[:9]) for r in got.collect()) == sorted([(1, text[:9]), (3, ""), (0, "x"), (5, passage[:9]), (5, "a clean t"), (4, "token = a"), (6, "long word")])
+        clean = P.drop_contaminated(spark, docs, DATA)
+        assert clean.columns == docs.columns
+        assert sorted((r.doc_id or 0, (r.text or "")[:9]) for r in clean.collect()) == sorted((d or 0, (t or "")[:9]) for d, t, *_ in rows if not (t or "").startswith(passage))
+        masked = {r.doc_id: (r.text, r.n_chars) for r in P.mask_secrets(spark, docs, DATA).collect()}
+        assert masked[4] == ("[REDACTED]", 10) and masked[3] == (None, None)
+        kept = P.drop_toxic(spark, docs, DATA)
+        assert kept.columns == docs.columns and kept.count() <= len(rows)
+    for _, stage in P.STAGES:
+        assert stage(spark, made.limit(0), DATA).count() == 0
+
+
+def test_further_columns_stay(spark):
+    """Columns whose names the operators use inside."""
+    docs = spark.createDataFrame([(k, f"text {k} of several words for all", "en", "a", 9) for k in range(6)], spark.read.parquet(f"{DATA}/documents.parquet").schema)
+    wide = docs.selectExpr("*", "1 as id", "2 as fp", "3 as key", "4 as component_id", "'x' as hits", "5 as n_copies_", "6 as same")
+    for stage in (P.drop_near_duplicates, P.drop_contaminated, P.mask_secrets, P.drop_toxic):
+        got = stage(spark, wide, DATA)
+        assert got.columns == wide.columns and got.where("id = 1 and fp = 2 and hits = 'x'").count() == got.count()
 
 
 def test_registered():
