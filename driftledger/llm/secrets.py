@@ -38,8 +38,12 @@ _KEY_ID = re.compile(r"""\b(?:access|client|account|user|tenant|key)[ _-]?(?:key
 _ENDPOINT = re.compile(r"""\b(?:https?|wss?|ftp|jdbc:[a-z0-9]+|amqps?|rediss?|mongodb|postgres(?:ql)?|mysql)://[^\s"'<>]+""", re.ASCII | re.IGNORECASE)
 _LONG_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}", re.ASCII)
 _BLANK = re.compile(r"\n[ \t\r]*\n")
-_INSIDE = re.compile(r"""://[^/?#\s:@]+:([^/?#\s@]{6,})@|[?&#;][^=&#;]*(?:key|token|secret|signature|sig|passw(?:or)?d|credential|auth)[^=&#;]*=([^&#;]{12,})""", re.ASCII | re.IGNORECASE)
-_VALUE_OF = re.compile(r"""([A-Za-z0-9_-]+)["']?\x20*[:=]\x20*["']?$""", re.ASCII)
+_PASSWORD = re.compile(r"""://[^/?#\s:@]+:([^/?#\s@]{6,})@""", re.ASCII)
+_SECRET_NAME = re.compile(r"key|token|secret|signature|sig|passw(?:or)?d|credential|auth", re.ASCII | re.IGNORECASE)
+_PARAMETERS = re.compile(r"[^&#;]+")
+#: Characters of a value in a query that is a credential, at least.
+LEAST_VALUE = 12
+_NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
 _DIGEST_NAMES = re.compile(r"commit|rev|sha|md5|hash|digest|checksum|etag|blob|tree|uuid|guid", re.IGNORECASE)
 #: Bits a character, and changes between letter cases and digits a character, of a random string at least.
 LEAST_ENTROPY, LEAST_CHANGES = 3.5, 0.25
@@ -78,12 +82,46 @@ def weak_parts(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, i
         for m in _ENDPOINT.finditer(text):
             found.append((m.start(), m.end(), "endpoint"))
             taken.append(m.span())
-            inside += [(m.start() + c.start(c.lastindex), m.start() + c.end(c.lastindex), m.start()) for c in _INSIDE.finditer(m[0])]
+            inside += [(m.start() + a, m.start() + b, m.start()) for a, b in inside_endpoint(m[0])]
     within = _overlap(sorted(taken))
     found += [(m.start(), m.end(), "secret_part") for m in _LONG_RUN.finditer(text) if not within(m.start(), m.end()) and random_looking(m[0])]
     return sorted(found), inside
 
 
+def inside_endpoint(endpoint: str) -> list[tuple[int, int]]:
+    """(start, end) of the credentials in an endpoint, in order: its user's password, and what parameters named as secrets are
+    set to. A parameter begins with ?, &, # or ;, and its value ends before &, # or ;. Each character is looked at a few times."""
+    found = [m.span(1) for m in _PASSWORD.finditer(endpoint)]
+    for m in _PARAMETERS.finditer(endpoint):
+        at, end = m.span()
+        opened = at > 0  # the part before the first separator needs its question mark
+        while (equals := endpoint.find("=", at, end)) >= 0 and end - equals > LEAST_VALUE:
+            name = at if opened else endpoint.find("?", at, equals) + 1
+            if (opened or name) and _SECRET_NAME.search(endpoint, name, equals):
+                found.append((equals + 1, end))
+                break
+            at, opened = equals + 1, False
+    return sorted(found)
+
+
+def name_of_value(text: str, at: int) -> str:
+    """The name that the value at that place is set to, by an equals sign or a colon; empty if there is none."""
+    k = at
+    k -= text[k - 1 : k] in ('"', "'")
+    while text[k - 1 : k] == " ":
+        k -= 1
+    if text[k - 1 : k] not in (":", "="):
+        return ""
+    k -= 1
+    while text[k - 1 : k] == " ":
+        k -= 1
+    k -= text[k - 1 : k] in ('"', "'")
+    end = k
+    while k and text[k - 1] in _NAME_CHARS:
+        k -= 1
+    return text[k:end]
+
+
 def _overlap(spans: list[tuple[int, int]]):
     """A function that tells whether a span has a place in common with one of these, sorted by their starts."""
     starts, ends = [s for s, _ in spans], np.maximum.accumulate([e for _, e in spans] or [0]).tolist()
@@ -123,8 +161,8 @@ def _as_parts(text: str, found: list[tuple[int, int, str]], weak: list[tuple[int
         if site >= 0 and sites[site][1] > s:
             inside += [(s, e, sites[site][0])] * (kind == "assign")
         elif kind == "hex":
-            name = _VALUE_OF.search(text, max(0, s - 60), s)
-            if name and not _DIGEST_NAMES.search(name[1]) and not named(s, e):
+            name = name_of_value(text, s)
+            if name and not _DIGEST_NAMES.search(name) and not named(s, e):
                 out.append((s, e, "hex"))
         else:
             out.append((s, e, "key_id" if kind == "access" else "secret_part"))
@@ -168,7 +206,7 @@ def _scan_rows(batch: pa.RecordBatch, reach: int | None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=["id", "spans"])
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = 400) -> DataFrame:
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = None) -> DataFrame:
     """(id_col, spans): each row's findings in order of start, then kind; start and end in code points, end exclusive.
 
     kind is one of BASE_KINDS, or of WEAK_KINDS for a weak part with a complement in its scope, between whose nearer ends

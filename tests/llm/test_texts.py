@@ -301,3 +301,31 @@ def test_mixtures_of_little(spark):
     assert mixing.mixture(docs).drawn(docs).count() == 0
     twice = spark.createDataFrame([(1, "a", "x y"), (1, "a", "x y"), (None, "a", "z"), (2, "b", None)], "doc_id long, source string, text string")
     assert mixing.mixture(twice, budget="cover").drawn(twice).count() == 4
+
+
+def test_secrets_of_adverse_texts_take_linear_time():
+    import re
+    import time
+
+    endpoint = "http://x.org/"
+    adverse = [endpoint + "?a" * 500_000, endpoint + "?" + "&" * 1_000_000, endpoint + "?" + "key" * 330_000, endpoint + "?" + "key=" * 250_000, endpoint + "?key=a" * 160_000, endpoint + "?" + ";=" * 500_000]
+    adverse += ["a=deadbeefdeadbeef " * 50_000 + "client_id=abcdef", "x" + " " * 1_000_000 + "= deadbeefdeadbeef", "deadbeefdeadbeef=" * 60_000 + " client_id=abcdefg", "http://x" + "://a:bcdefgh" * 80_000, "\n \n" * 300_000]
+    for text in adverse:
+        began = time.perf_counter()
+        hidden = secrets.masked(text)
+        assert time.perf_counter() - began < 20 and len(hidden) <= len(text) + 10 * len(re.findall("REDACTED", hidden))
+
+
+def test_credentials_inside_endpoints():
+    def inside(text):
+        return [text[a:b] for a, b in secrets.inside_endpoint(text)]
+
+    assert inside("http://u:passw0rd@h/p?x=1&api_key=abcdefghijkl#t") == ["passw0rd", "abcdefghijkl"]
+    assert inside("http://h/token=abcdefghijkl") == [] and inside("http://h/?token=short") == []
+    assert inside("http://h/?a=b?token=abcdefghijkl&sig=mnopqrstuvwx=1") == ["abcdefghijkl", "mnopqrstuvwx=1"]
+    assert inside("http://h/?" + "a&" * 50 + "secret=" + "v" * 40) == ["v" * 40]
+
+
+def test_names_of_values():
+    for text, name in (("api-id = 'x", "api-id"), ("a: x", "a"), ('"k" : "x', "k"), ("= x", ""), ("x", ""), ("n" * 500 + " " * 500 + "=" + " " * 500 + "x", "n" * 500)):
+        assert secrets.name_of_value(text, len(text) - 1) == name
