@@ -16,7 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--(.*?)-->|<!\[CDATA\[(.*?)\]\]>|<\?(.*?)\?>|<!([^>]*)>|<(/?)([^\s/>]+)((?:\s+[^\s=/>]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*)\s*(/?)>", re.DOTALL)
+#: A declaration, with quoted strings, and with a subset of declarations and comments in brackets.
+_QUOTED = r"\"[^\"]*\"|'[^']*'"
+_DECLARATION = rf"<!(\w(?:{_QUOTED}|\[(?:<!--.*?-->|<\?.*?\?>|<(?:{_QUOTED}|[^>\"'])*+>|[^\]<])*+\]|[^\[\"'>])*+)>"
+_TOKEN = re.compile(r"<!--(.*?)-->|<!\[CDATA\[(.*?)\]\]>|<\?(.*?)\?>|" + _DECLARATION + r"|<(/?)([^\s/>]+)((?:\s+[^\s=/>]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*)\s*(/?)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
 
 

@@ -43,12 +43,13 @@ def blobs_only(snapshot: DataFrame) -> DataFrame:
 
 
 def squeezed(content: Column) -> Column:
-    """Text without white space."""
-    return F.regexp_replace(content, r"\s+", "")
+    """Text without white space in its lines and without blank lines. Line breaks between other lines stay."""
+    lines = F.regexp_replace(F.regexp_replace(content, r"[ \t\r\f\x0B]+", ""), r"\n+", "\n")
+    return F.trim(lines, F.lit("\n"))
 
 
 def drop_whitespace_changes(changes: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
-    """changes without the modifications of which only white space differs. old, new: path, content.
+    """changes without the modifications of which only white space inside lines or blank lines differ. old, new: path, content.
 
     Content is joined for modified paths alone, once a side; a path without content on a side keeps its row.
     """

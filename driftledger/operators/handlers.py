@@ -186,7 +186,7 @@ def collect(changes: DataFrame, registry: Registry, old: DataFrame | None, new:
     warnings = plain.where("handler = 'flow' and status = 'D'").select(F.lit("flow_deleted").alias("code"), F.col("member").alias("subject"))
     computed = None
     if blobs is not None:
-        # the parents of object translations are sent as what changed in them, be it nothing
+        # the parents of object translations are sent as what changed in them, whole where that is nothing
         parents = plain.where("handler = 'object_translation' and target = 'package'").select(_translation_parent().alias("doc")).where("doc is not null").distinct()
         paths = inner.select(F.col("base_path").alias("path"))
         paths = paths.unionByName(parents.select(F.col("doc").alias("path"))) if copies else paths
@@ -206,9 +206,7 @@ def collect(changes: DataFrame, registry: Registry, old: DataFrame | None, new:
         warnings = warnings.unionByName(broken.join(of_doc, "doc", "left_semi").select(F.lit("malformed_xml").alias("code"), F.col("doc").alias("subject")))
         if copies:
             roots = parsed_new.where("pos = 0 and error is null").select("doc", "value")
-            left = X.retained_json(diff)
-            none = parents.join(left, "doc", "left_anti").select("doc", F.array().cast(left.schema["children"].dataType).alias("children"))
-            computed = rendered_documents(left.unionByName(none), roots)
+            computed = rendered_documents(X.retained_json(diff), roots)
     files = _copies(plain.where("target = 'package'"), new, blobs) if copies else None
     if files is None:
         files = changes.select(F.lit("").alias("path"), F.lit("").alias("kind"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("binary").alias("content")).where("false")

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,8 +142,10 @@ def delta(
     failed = []
     for name, collector in asked.items():
         try:
-            parts.append(collector())
-        except PySparkException as e:
+            part = collector()
+            # what would fail when the copies are read fails here
+            parts.append(handlers.Outcome(part.elements, cut(part.copies), part.warnings))
+        except Exception as e:  # whatever fails, the other parts count
             failed.append(("collector_failed", f"{name}: {str(e).splitlines()[0] if str(e) else type(e).__name__}"))
     elements = C.roll_up(reduce(DataFrame.unionByName, [p.elements for p in parts]).distinct()) if len(parts) > 1 else C.roll_up(parts[0].elements)
     files = reduce(DataFrame.unionByName, [p.copies for p in parts])

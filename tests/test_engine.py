@@ -90,7 +90,8 @@ def test_copies(result):
     for path in ("a/documents/D/logo.png", "a/documents/D/logo.document", "a/lwc/part.js-meta.xml"):
         assert (path, "file") in got, path
     assert ("a/permissionsets/Ps", "directory") in got
-    assert ("a/objectTranslations/Acc__c-fr/Acc__c-fr.objectTranslation-meta.xml", "computed") in got
+    parent = "a/objectTranslations/Acc__c-fr/Acc__c-fr.objectTranslation-meta.xml"
+    assert (parent, "file") in got and (parent, "computed") not in got
     assert ("a/workflows/W.workflow-meta.xml", "computed") in got
     assert not any("Same" in p or "Gone" in p for p, _ in got)
 
@@ -110,7 +111,7 @@ def test_written_output(result, tmp_path):
     assert pruned == '<?xml version="1.0" encoding="UTF-8"?>\n<Workflow xmlns="w">\n' + ALERT.format("Added", 1) + ALERT.format("Moved", 2) + "</Workflow>\n"
     assert (tmp_path / "a/classes/Changed.cls").read_text() == "y"
     translated = (tmp_path / "a/objectTranslations/Acc__c-fr/Acc__c-fr.objectTranslation-meta.xml").read_text()
-    assert translated == '<?xml version="1.0" encoding="UTF-8"?>\n<CustomObjectTranslation></CustomObjectTranslation>\n'
+    assert translated == NEW["a/objectTranslations/Acc__c-fr/Acc__c-fr.objectTranslation-meta.xml"]  # unchanged, so sent whole
     assert os.path.exists(tmp_path / "a/permissionsets/Ps/Ps.permissionset-meta.xml")
 
 
@@ -211,3 +212,25 @@ def test_the_command_writes_a_delta(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out) == {"output-dir": f"{tmp_path}/out"}
     assert "<members>Two</members>" in (tmp_path / "out/package/package.xml").read_text() and (tmp_path / "out/a/classes/Two.cls").read_text() == "2"
     assert main([*where, "--source=../b"]) == 1 and "error" in json.loads(capsys.readouterr().out)
+
+
+def test_a_collector_that_fails_is_a_warning(spark, monkeypatch):
+    """Whatever is raised, when the collector runs or when its copies are computed, the other parts count."""
+    from driftledger.operators import handlers
+    from driftledger.plans import engine
+
+    old, new, blobs = snapshots(spark, OLD, NEW)
+
+    def raises(*_):
+        raise ValueError("no such thing")
+
+    def late(*_):
+        none = spark.createDataFrame([], "target string, type string, member string, change_kind string")
+        copies = spark.range(1).selectExpr("'a' as path", "'computed' as kind", "id as seq", "cast(raise_error('poison') as binary) as content")
+        return handlers.Outcome(none, copies, spark.createDataFrame([], "code string, subject string"))
+
+    for broken, said in ((raises, "no such thing"), (late, "poison")):
+        monkeypatch.setattr(engine, "_forced", broken)
+        r = engine.delta(old, new, registry(spark), Options(include=parse_rules("a/classes/Same*"), generate_delta=False), blobs)
+        assert [w.subject for w in r.warnings.collect() if w.code == "collector_failed" and said in w.subject]
+        assert ("package", "ApexClass", "Changed") in {tuple(x) for x in r.elements.select("target", "type", "member").collect()}

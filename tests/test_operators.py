@@ -302,7 +302,7 @@ def test_messages():
 def test_whitespace_query_takes_all_documents(spark, tmp_path):
     from driftledger.plans import catalogue
 
-    rows = [(0, "a b"), (1, "a b"), (2, "a  b"), (3, "a"), (4, ""), (5, None), (8, None), (12, "c d")]
+    rows = [(0, "a b"), (1, "a"), (2, "a  b"), (3, "a"), (4, ""), (5, None), (8, None), (12, "c d")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     for side in catalogue.spaced_documents(spark, str(tmp_path)):
         assert sorted(r.path for r in side.collect()) == [k for k, _ in rows]
@@ -330,3 +330,19 @@ def test_articles_of_whole_pages(spark, tmp_path):
     spark.createDataFrame([(k, f"u{k}", h) for k, h in enumerate(pages)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = [(r.page_id, r.article, r.tag, r.pos, r.value) for r in catalogue.QUERIES["html_root_children"](spark, str(tmp_path)).collect() if r.pos]
     assert sorted(got) == [(0, 0, "h1", 1, '"One"'), (0, 0, "p", 2, '"a"'), (0, 1, "p", 1, '"b"'), (0, 1, "p", 2, '"c"'), (3, 0, "h1", 1, '"Cut"')]
+
+
+def test_white_space_counts_by_line(spark):
+    pairs = [("a\nb", "ab"), ("a\nb", "a\n\n b "), ("a b", "ab"), ("a", "a\n"), ("", "\n \n"), ("a\r\nb", "a\nb"), ("a b\nc", "a\nb c")]
+    old, new = (spark.createDataFrame([(str(k), p[s]) for k, p in enumerate(pairs)], "path string, content string") for s in (0, 1))
+    changes = old.selectExpr("path", "'M' as status")
+    assert sorted(r.path for r in D.drop_whitespace_changes(changes, old, new).collect()) == ["0", "6"]
+
+
+@pytest.mark.parametrize("head", ["<!DOCTYPE a>", '<!DOCTYPE a SYSTEM "x>y">', "<!DOCTYPE a [<!ENTITY b \"c>]\"> <!-- ]> it's --> <?p ]> ?> <!ELEMENT a (#PCDATA)>]>", "<!DOCTYPE a [\n<!ATTLIST a b CDATA 'd]>'>\n] >"])
+def test_declarations_are_passed_over(head):
+    from driftledger.functions.xmltree import MalformedDocument, root_children
+
+    assert [t for t, _ in root_children(f"<?xml version='1.0'?>{head}<a><b>1</b><!--x--><c/></a>")] == ["b", "#comment", "c", ""]
+    with pytest.raises(MalformedDocument):
+        list(root_children("<!DOCTYPE a [<!ENTITY " + "b" * 20_000 + "<a><b/></a>"))
