@@ -59,13 +59,36 @@ def drop_whitespace_changes(changes: DataFrame, old: DataFrame, new: DataFrame)
     return both.where(~F.coalesce(same, F.lit(False))).select(*changes.columns)
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[str], parts: int = 64, name: str = "n") -> DataFrame:
+    """rows with their number, from 1, in order among those of equal keys (not null).
+
+    Rows are range-partitioned by keys and order, numbered within (part, keys), and what earlier parts hold of the keys is added: a
+    key of whatever size is dealt to many tasks.
+    """
+    placed = cut(rows.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    own = placed.withColumn("_own", F.row_number().over(W.partitionBy("_part", *keys).orderBy(*order)))
+    before = F.coalesce(F.sum("_rows").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bases = placed.groupBy(*keys, "_part").agg(F.count("*").alias("_rows")).withColumn("_before", before)
+    return own.join(bases, [*keys, "_part"]).withColumn(name, F.col("_own") + F.col("_before")).select(*rows.columns, name)
+
+
 def exact_renames(changes: DataFrame) -> DataFrame:
-    """(from_path, to_path, similarity): deletions and additions with one content, paired in order of their paths."""
-    gone = changes.where("status = 'D' and old_oid is not null").select(F.col("old_oid").alias("oid"), F.col("path").alias("from_path"))
-    come = changes.where("status = 'A' and new_oid is not null").select(F.col("new_oid").alias("oid"), F.col("path").alias("to_path"))
-    gone = gone.withColumn("n", F.row_number().over(W.partitionBy("oid").orderBy("from_path")))
-    come = come.withColumn("n", F.row_number().over(W.partitionBy("oid").orderBy("to_path")))
-    return gone.join(come, ["oid", "n"]).select("from_path", "to_path", F.lit(100).alias("similarity"))
+    """(from_path, to_path, similarity): deletions and additions with one content, paired in order of their paths.
+
+    Contents with one deletion or one addition are paired by an aggregation that tasks combine before the shuffle. Those with
+    several of both are numbered over ranges of paths, so that no content, such as that of all empty files, is one task's.
+    """
+    gone, come = (F.col("status") == "D") & F.col("old_oid").isNotNull(), (F.col("status") == "A") & F.col("new_oid").isNotNull()
+    sides = changes.where(gone | come).select(F.when(gone, F.col("old_oid")).otherwise(F.col("new_oid")).alias("oid"), F.when(gone, F.col("path")).alias("from_path"), F.when(come, F.col("path")).alias("to_path"))
+    of = sides.groupBy("oid").agg(F.count("from_path").alias("gone"), F.count("to_path").alias("come"), F.min("from_path").alias("from_path"), F.min("to_path").alias("to_path"))
+    of = cut(of.where("gone > 0 and come > 0"))
+    one = of.where("gone = 1 or come = 1").select("from_path", "to_path", F.lit(100).alias("similarity"))
+    many = of.where("gone > 1 and come > 1").select("oid")
+    if many.isEmpty():
+        return one
+    rows = sides.join(many, "oid", "left_semi")
+    side = lambda c: numbered(rows.where(F.col(c).isNotNull()).select("oid", c), ["oid"], [c])
+    return one.unionByName(side("from_path").join(side("to_path"), ["oid", "n"]).select("from_path", "to_path", F.lit(100).alias("similarity")))
 
 
 def similar_renames(changes: DataFrame, old: DataFrame, new: DataFrame, least: int = 50, bands: int = 40) -> DataFrame:
