@@ -25,6 +25,9 @@ SAMPLE_ROWS = 20_000
 SAMPLE_BYTES = 128 << 20
 #: Points that recall is audited on in expectation: more while they have fewer links than AUDIT_LINKS, up to AUDIT_MOST.
 AUDIT_ROWS, AUDIT_LINKS, AUDIT_MOST = 256, 200, 32_768
+#: Probes: vectors made at a cosine from the limit up to nearly 1 from sampled ones, which the search is asked for too. They are no
+#: points, so that nothing links through them; their ids are the lowest that there are.
+PROBES, FIRST_PROBE = 256, -(1 << 63)
 #: Points of a shard, for vectors of up to a few thousand numbers; shards of twice as many are clustered again, and what
 #: that can't part is cut into parts of this size.
 SHARD_ROWS = 2_000
@@ -293,6 +296,8 @@ def _links(frame: pd.DataFrame, least: float) -> pd.DataFrame:
                 np.add.at(links, q[lo : lo + 500_000][mine], size[h[lo : lo + 500_000][mine]])
             first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
             for s, e in zip(first, np.append(first[1:], len(q)), strict=True):
+                if not size[q[s]]:
+                    continue
                 met = np.unique(np.append(root[h[s:e]], root[q[s]]))
                 if len(met) > 1:
                     root[np.isin(root, met)] = met[0]
@@ -351,13 +356,31 @@ def _dealt_again(dealt: DataFrame, overlap: int, shard_rows: int) -> DataFrame:
     return dealt.drop("shards").join(shards, "node").select("node", "size", F.col("vector").cast(kind).alias("vector"), "shards")
 
 
-def _links_of(points: DataFrame, n: int, dim: int, least: float, overlap: int, shard_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(node, links) and (a, b) edges for the points (node, size, vector) of one dimension."""
+def _probes(sample: pd.DataFrame, least: float) -> np.ndarray:
+    """Vectors at cosines from least up to nearly 1 from vectors of the sample, spread over it."""
+    v = unit(sample["vector"].tolist())
+    v = v[np.linspace(0, len(v) - 1, min(PROBES, len(v))).astype(int)]
+    if v.shape[1] < 2:
+        return v
+    away = np.random.default_rng(len(v)).standard_normal(v.shape)
+    away = unit(list(away - (away * v).sum(axis=1, keepdims=True) * v))
+    cosine = np.linspace(least + 1e-6, 0.5 + least / 2, len(v))[:, None]
+    return cosine * v + np.sqrt(1 - cosine**2) * away
+
+
+def _links_of(points: DataFrame, n: int, dim: int, least: float, overlap: int, shard_rows: int) -> tuple[DataFrame, DataFrame, float]:
+    """(node, links) and (a, b) edges for the points (node, size, vector) of one dimension, and the recall on probes."""
+    spark, plain = points.sparkSession, points
     k = int(np.clip(round(n * overlap / shard_rows), 1, min(MAX_CENTROIDS, SAMPLE_BYTES // (32 * dim))))
     share = min(1.0, max(SAMPLE_ROWS, 4 * k) / n, SAMPLE_BYTES / (8 * dim) / n)
     sample = points.where(F.pmod(F.xxhash64("node"), F.lit(1 << 40)) < int(share * (1 << 40)) + 1).select("node", "vector").toPandas().sort_values("node")
     if not len(sample):
         sample = points.select("node", "vector").limit(1).toPandas()
+    asked = _probes(sample, least)
+    # what a point in the points' own precision is found by
+    asked = asked if points.schema["vector"].dataType.elementType.simpleString() == "double" else asked.astype(np.float32).astype(np.float64)
+    rows = [(FIRST_PROBE + k, 0, x) for k, x in enumerate(asked.tolist())]
+    points = points.unionByName(spark.createDataFrame(rows, "node long, size long, vector array<double>").withColumn("vector", F.col("vector").cast(points.schema["vector"].dataType)))
     first = _dealt(points, fit_centroids(unit(sample["vector"].tolist()), min(k, len(sample))), overlap)
     dealt = stored(_dealt_again(stored(first, "vectors-first"), overlap, shard_rows), "vectors-dealt")
     shards = dealt.select("node", "size", "vector", "shards", F.explode("shards").alias("shard"))
@@ -365,19 +388,42 @@ def _links_of(points: DataFrame, n: int, dim: int, least: float, overlap: int, s
     parts = large.select("shard", F.ceil(F.col("n") / shard_rows).cast("int").alias("parts"))
     placed = shards.join(parts, "shard", "left").na.fill(1, ["parts"])
     placed = placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
-    lists = placed.select("shard", "part", "node", "vector").groupBy("shard", "part").applyInPandas(_adjacency, "node long, next array<long>")
+    lists = placed.where("size > 0").select("shard", "part", "node", "vector").groupBy("shard", "part").applyInPandas(_adjacency, "node long, next array<long>")
     united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
-    meet = placed.join(united, "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    as_node = meet.select("shard", F.col("part").alias("g"), F.col("with").alias("p"), "node", "size", "vector", "shards", "next", F.lit(True).alias("is_node"), (F.col("part") == F.col("with")).alias("is_query"))
+    meet = placed.join(united, "node", "left").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    as_node = meet.select("shard", F.col("part").alias("g"), F.col("with").alias("p"), "node", "size", "vector", "shards", "next", (F.col("size") > 0).alias("is_node"), (F.col("part") == F.col("with")).alias("is_query"))
     as_query = meet.where("part <> with").select("shard", F.col("with").alias("g"), F.col("part").alias("p"), "node", "size", "vector", "shards", "next", F.lit(False).alias("is_node"), F.lit(True).alias("is_query"))
     found = as_node.unionByName(as_query).groupBy("shard", "g", "p").applyInPandas(lambda f: _links(f, least), "node long, root long, links long")
     found = stored(found, "vectors-links")
-    return found.groupBy("node").agg(F.sum("links").alias("links")), found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    links, last = found.groupBy("node").agg(F.sum("links").alias("links")), FIRST_PROBE + PROBES
+    met = _found(plain, links.where(F.col("node") < last), np.arange(len(rows)) + FIRST_PROBE, unit(list(asked)), least).agg(F.avg("found")).first()[0]
+    found = found.where(F.col("node") >= last)
+    return links.where(F.col("node") >= last), found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), 1.0 if met is None else met
+
+
+def _found(points: DataFrame, links: DataFrame, ids: np.ndarray, vectors: np.ndarray | None, least: float) -> DataFrame:
+    """(want, found) for those of some vectors that link with points, by brute force over all of these: with how many, and
+    which share of that number links (node, links) has."""
+    shared = points.sparkSession.sparkContext.broadcast((ids, vectors))
+
+    def count(frames):
+        for frame in frames:
+            ids, q = shared.value
+            total = np.zeros(len(ids), dtype=np.int64)
+            step = max(1, (4 << 20) // max(1, len(ids)))
+            for k in range(0, len(frame) if len(ids) else 0, step):
+                some = frame.iloc[k : k + step]
+                linked = (q @ unit(some["vector"].tolist()).T >= least) & (ids[:, None] != some["node"].to_numpy()[None, :])
+                total += linked @ some["size"].to_numpy()
+            yield pd.DataFrame({"node": ids[total > 0], "want": total[total > 0]})
+
+    want = points.mapInPandas(count, "node long, want long").groupBy("node").agg(F.sum("want").alias("want"))
+    return want.join(links, "node", "left").select("want", (F.least("want", F.coalesce("links", F.lit(0))) / F.col("want")).alias("found"))
 
 
 def _recall(points: DataFrame, links: DataFrame, n: int, least: float) -> float | None:
     """The share of a sample's links, by brute force over all points, that were found: the least of the averages over the vectors
-    with few links and over those with many, so that no hot group hides the others. None where no link was met.
+    with few links and over those with many, so that no hot group hides the others. None where no link was met: probes tell then.
 
     The sample grows until it has AUDIT_LINKS linked vectors, holds AUDIT_MOST or all points.
     """
@@ -385,23 +431,8 @@ def _recall(points: DataFrame, links: DataFrame, n: int, least: float) -> float
     while True:
         share = min(1.0, rows / n)
         sample = points.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 40)) < int(share * (1 << 40)) + 1).select("node", "vector").toPandas()
-        shared = points.sparkSession.sparkContext.broadcast((sample["node"].to_numpy(), unit(sample["vector"].tolist()) if len(sample) else None))
-
-        def count(frames, shared=shared):
-            for frame in frames:
-                ids, q = shared.value
-                total = np.zeros(len(ids), dtype=np.int64)
-                step = max(1, (4 << 20) // max(1, len(ids)))
-                for k in range(0, len(frame) if len(ids) else 0, step):
-                    some = frame.iloc[k : k + step]
-                    linked = (q @ unit(some["vector"].tolist()).T >= least) & (ids[:, None] != some["node"].to_numpy()[None, :])
-                    total += linked @ some["size"].to_numpy()
-                yield pd.DataFrame({"node": ids[total > 0], "want": total[total > 0]})
-
-        want = points.mapInPandas(count, "node long, want long").groupBy("node").agg(F.sum("want").alias("want"))
-        both = want.join(links, "node", "left").select("want", (F.least("want", F.coalesce("links", F.lit(0))) / F.col("want")).alias("found"))
+        both = _found(points, links, sample["node"].to_numpy(), unit(sample["vector"].tolist()) if len(sample) else None, least)
         strata = both.groupBy((F.col("want") <= 10).alias("few")).agg(F.count("*").alias("n"), F.avg("found").alias("found")).collect()
-        shared.destroy()
         if sum(r["n"] for r in strata) >= AUDIT_LINKS or rows >= min(n, AUDIT_MOST):
             return min((r["found"] for r in strata), default=None)
         rows *= 8
@@ -418,9 +449,9 @@ def near_duplicates(
     zero, or hold nulls or non-finite numbers link with nothing, nor do vectors of different length or rows without an id
     (whose component is null and which aren't kept). Repeated rows are so many vectors.
 
-    Links are searched for, so that some may be missed: recall is measured on a sample, and below the limit the search is
-    repeated with more overlap, up to three times; ValueError if it stays below 0.9. Where the sample, which grows up to
-    AUDIT_MOST vectors, has no links at all, there is nothing to measure.
+    Links are searched for, so that some may be missed: recall is measured on a sample, which grows up to AUDIT_MOST vectors while
+    few of them have links, and always on probes, whose links are known to be there however rare they are in the table. Below the
+    limit the search is repeated with more overlap, up to three times; ValueError if it stays below 0.9.
     """
     spark = vectors.sparkSession
     small_batches(spark, 2000)
@@ -437,11 +468,12 @@ def near_duplicates(
         own = points.where(F.size("vector") == dim).select("node", "size", "vector")
         rows_in_shard = max(64, min(shard_rows, (64 << 20) // (8 * dim)))
         for more in range(3):
-            links, edges = _links_of(own, n, dim, least, overlap + 2 * more, rows_in_shard)
+            links, edges, on_probes = _links_of(own, n, dim, least, overlap + 2 * more, rows_in_shard)
             reached = _recall(own, links, n, least)
-            if reached is None or reached >= recall:
+            reached = on_probes if reached is None else min(reached, on_probes)
+            if reached >= recall:
                 break
-        if reached is not None and reached < 0.9:
+        if reached < 0.9:
             raise ValueError(f"the graph finds only {reached:.3f} of the links")
         all_links = links if all_links is None else all_links.unionByName(links)
         all_edges = edges if all_edges is None else all_edges.unionByName(edges)

@@ -156,3 +156,29 @@ def test_many_centroids_are_found_by_groups():
     c = vectors.fit_centroids(x, 700)
     near, want = vectors.nearest_centroids(x, c, 2, vectors.grouped(c)), vectors.nearest_centroids(x, c, 2, None)
     assert (near[:, :1] == want).any(axis=1).mean() > 0.9 and (np.diff(near, axis=1) > 0).all()
+
+
+def test_recall_is_measured_where_links_are_rare(spark):
+    """No two of these vectors link: the probes tell what a search would find, and nothing links through them."""
+    import numpy as np
+
+    from driftledger.llm import vectors
+
+    rows = np.random.default_rng(4).standard_normal((3000, 32))
+    table = spark.createDataFrame([(k, x) for k, x in enumerate(rows.tolist())], "vec_id long, embedding array<double>")
+    got = vectors.near_duplicates(table)
+    assert got.where("n_links <> 0 or component_id <> vec_id or not kept").count() == 0 and got.count() == 3000
+    points = table.selectExpr("vec_id as node", "1L as size", "embedding as vector")
+    _, edges, reached = vectors._links_of(points, 3000, 32, 0.95, 2, 500)
+    assert edges.isEmpty() and reached >= 0.9
+
+
+def test_probes_are_within_reach():
+    import numpy as np
+    import pandas as pd
+
+    from driftledger.llm.vectors import _probes, unit
+
+    v = np.random.default_rng(1).standard_normal((40, 8))
+    got = unit(list(_probes(pd.DataFrame({"vector": v.tolist()}), 0.95)))
+    assert ((got * unit(v.tolist())).sum(axis=1) >= 0.95).all() and ((got @ unit(v.tolist()).T >= 0.95).sum() >= 40)
