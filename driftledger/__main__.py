@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyarrow.fs import FileSystem
+from pyspark.sql import DataFrame, SparkSession
 
 from .operators.registry import Registry, from_json
 from .plans.engine import Options, delta
 from .sources.sinks import result_json
+from .functions.lineage import cut
+from .sources.filetree import read_tree
 from .sources.snapshots import read_directory, read_rules
 
 
@@ -32,16 +37,28 @@ def options_of(argv: Sequence[str] | None) -> argparse.Namespace:
     return p.parse_args(argv)
 
 
+def folder_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(snapshot, blobs) of a folder: by the data source, with modes, links and empty files, where Arrow opens the store; else
+    by Spark's own reader, which passes over empty files."""
+    try:
+        FileSystem.from_uri(folder if "://" in folder else os.path.abspath(folder))
+    except (pa.ArrowInvalid, OSError):
+        return read_directory(spark, folder)
+    rows = cut(read_tree(spark, folder))
+    return rows.select("path", "oid", "mode"), rows.select("oid", "content").dropDuplicates(["oid"])
+
+
 def main(argv: Sequence[str] | None = None) -> int:
     """Write the delta and print where it is; 1, and the error in what is printed, where that fails."""
     args = options_of(argv)
     spark = SparkSession.builder.appName("driftledger").getOrCreate()
     try:
         types = from_json(json.loads("\n".join(r[0] for r in spark.read.text(args.registry, wholetext=True).collect())))
-        (old, a), (new, b) = read_directory(spark, args.old), read_directory(spark, args.new)
+        read = lambda folder: folder_files(spark, folder)
+        (old, a), (new, b) = read(args.old), read(args.new)
         blobs, first = a.unionByName(b), None
         if args.first:
-            first, more = read_directory(spark, args.first)
+            first, more = read(args.first)
             blobs = blobs.unionByName(more)
         rules = lambda path: read_rules(spark, path)
         options = Options(

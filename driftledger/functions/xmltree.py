@@ -118,11 +118,12 @@ def children_of(docs: DataFrame, lenient: bool = False) -> DataFrame:
     return docs.select("doc", F.col("content").cast("string").alias("content")).mapInPandas(parse, f"doc {kind}, tag string, pos long, value string, error string")
 
 
-_ENTITIES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"))
+#: What the characters that mark-up is made of are written as.
+ENTITIES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"))
 
 
 def escaped(text: str) -> str:
-    for char, entity in _ENTITIES:
+    for char, entity in ENTITIES:
         text = text.replace(char, entity)
     return text
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -117,12 +117,16 @@ def resolve_renames(pairs: DataFrame, described: DataFrame) -> DataFrame:
     return both.where("from_type = to_type and from_member <> to_member").select(F.col("from_type").alias("type"), "from_member", "to_member").distinct()
 
 
+def manifest_order(first: str = "CustomObject", collation: str = "fr") -> list[Column]:
+    """What the rows (type, member) of a manifest stand in order of: `first` before the other types, these and the members in
+    the order of that locale, and by code points where it holds two equal."""
+    by = lambda c: [F.expr(f"{c} collate {collation}"), F.col(c)]
+    return [F.when(F.col("type") == first, 0).otherwise(1), *by("type"), *by("member")]
+
+
 def manifest_rows(view: DataFrame, first: str = "CustomObject", collation: str = "fr") -> DataFrame:
-    """(type, member) of a view, once each, in a manifest's order: `first` before the other types, these and the members in the
-    order of that locale. A range sort; no type is ever one value."""
-    by = lambda c: [F.expr(f"{c} collate {collation}"), c]
-    rank = F.when(F.col("type") == first, 0).otherwise(1)
-    return view.select(*_KEY).distinct().orderBy(rank, *by("type"), *by("member"))
+    """(type, member) of a view, once each, in a manifest's order. A range sort; no type is ever one value."""
+    return view.select(*_KEY).distinct().orderBy(*manifest_order(first, collation))
 
 
 def manifest(view: DataFrame, first: str = "CustomObject", collation: str = "fr") -> DataFrame:

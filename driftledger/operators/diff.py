@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -91,35 +92,66 @@ def exact_renames(changes: DataFrame) -> DataFrame:
     return one.unionByName(side("from_path").join(side("to_path"), ["oid", "n"]).select("from_path", "to_path", F.lit(100).alias("similarity")))
 
 
-def similar_renames(changes: DataFrame, old: DataFrame, new: DataFrame, least: int = 50, bands: int = 40) -> DataFrame:
+def similar_renames(changes: DataFrame, old: DataFrame, new: DataFrame, least: int = 50, bands: int = 40, rounds: list[int] | None = None) -> DataFrame:
     """(from_path, to_path, similarity): further pairs whose lines agree to `least` percent or more, each path in one pair.
 
-    old, new: path, content. Candidates share a band of two minima of line hashes, so that about 99 in 100 pairs at 50 %
-    (whose Jaccard similarity is a third) are found; similarity is then computed from the lines, counted once each, and
-    pairs are taken from the most similar down. Exact renames are to be taken out before.
+    old, new: path, content. Paths with the same lines are one group. Candidates share a band of two minima of line hashes, so
+    that about 99 in 100 pairs at 50 % (whose Jaccard similarity is a third) are found; similarity is then computed from the lines,
+    counted once each. Pairs of groups are taken from the most similar down, equal ones in an order drawn by hash, in which rounds
+    of what is the best of both its groups are few (about the logarithm of the pairs; appended to rounds); a pair of groups takes
+    as many pairs of paths as the smaller one has, in order of the paths. Exact renames are to be taken out before.
     """
 
-    def sketched(status: str, content: DataFrame, name: str) -> DataFrame:
+    def sketched(status: str, content: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
         paths = changes.where(F.col("status") == status).select("path").join(content.select("path", "content"), "path")
         lines = F.array_distinct(F.filter(F.split("content", r"\r?\n"), lambda x: F.trim(x) != ""))
-        hashed = paths.select(F.col("path").alias(name), F.transform(lines, lambda x: F.xxhash64(x)).alias("lines")).where(F.size("lines") > 0)
-        least_of = lambda k: F.array_min(F.transform("lines", lambda h: F.xxhash64(h, F.lit(k))))
-        return hashed.withColumn("bands", F.array(*[F.xxhash64(F.lit(b), least_of(2 * b), least_of(2 * b + 1)) for b in range(bands)]))
-
-    gone, come = sketched("D", old, "from_path"), sketched("A", new, "to_path")
-    pairs = gone.select("from_path", F.explode("bands").alias("band")).join(come.select("to_path", F.explode("bands").alias("band")), "band").select("from_path", "to_path").distinct()
-    pairs = pairs.join(gone.select("from_path", F.col("lines").alias("_a")), "from_path").join(come.select("to_path", F.col("lines").alias("_b")), "to_path")
-    shared = F.size(F.array_intersect("_a", "_b"))
-    score = F.floor(100 * shared / F.greatest(F.size("_a"), F.size("_b"))).cast("int")
-    pairs = pairs.select("from_path", "to_path", score.alias("similarity")).where(F.col("similarity") >= least)
-    left, found = cut(pairs), None
-    # the best pairs first: in each round those that no other pair of either path comes before
-    place = lambda side: F.row_number().over(W.partitionBy(side).orderBy(F.desc("similarity"), "from_path", "to_path"))
+        hashed = paths.select("path", F.sort_array(F.transform(lines, lambda x: F.xxhash64(x))).alias("lines")).where(F.size("lines") > 0)
+        hashed = cut(hashed.withColumn("group", F.md5(F.array_join(F.col("lines").cast("array<string>"), ","))))
+        groups = hashed.groupBy("group").agg(F.first("lines").alias("lines"), F.count("*").alias("n"))
+        return hashed.select("path", "group"), cut(groups.select(F.col("group").alias(side), "lines", "n"))
+
+    least_of = lambda k: F.array_min(F.transform("lines", lambda h: F.xxhash64(h, F.lit(k))))
+    banded = lambda df, side: df.select(side, F.explode(F.array(*[F.xxhash64(F.lit(b), least_of(2 * b), least_of(2 * b + 1)) for b in range(bands)])).alias("band"))
+    (from_paths, gone), (to_paths, come) = sketched("D", old, "f"), sketched("A", new, "t")
+    pairs = banded(gone, "f").join(banded(come, "t"), "band").select("f", "t").distinct()
+    pairs = pairs.join(gone.select("f", F.col("lines").alias("_a")), "f").join(come.select("t", F.col("lines").alias("_b")), "t")
+    score = F.floor(100 * F.size(F.array_intersect("_a", "_b")) / F.greatest(F.size("_a"), F.size("_b"))).cast("int")
+    left = cut(pairs.select("f", "t", score.alias("similarity")).where(F.col("similarity") >= least).withColumn("draw", F.md5(F.concat("f", "t"))))
+    # how many of each group's paths are taken
+    taken = [groups.select(side, "n", F.lit(0).cast("long").alias(f"{side}_taken")) for groups, side in ((gone, "f"), (come, "t"))]
+    found: list[DataFrame] = []
     while not left.isEmpty():
-        best = cut(left.withColumn("_f", place("from_path")).withColumn("_t", place("to_path")).where("_f = 1 and _t = 1").drop("_f", "_t"))
-        found = best if found is None else found.unionByName(best)
-        left = cut(left.join(best.select("from_path"), "from_path", "left_anti").join(best.select("to_path"), "to_path", "left_anti").select(*best.columns))
-    return left if found is None else found
+        best = lambda side: left.groupBy(side).agg(F.max_by(F.struct("f", "t", "similarity"), F.struct("similarity", "draw")).alias("b")).select("b.*")
+        both = best("f").join(best("t"), ["f", "t", "similarity"])
+        for side, have in zip("ft", taken, strict=True):
+            both = both.join(have.withColumnRenamed("n", f"{side}_n"), side)
+        both = cut(both.withColumn("k", F.least(F.col("f_n") - F.col("f_taken"), F.col("t_n") - F.col("t_taken"))))
+        found.append(both.select("f", "t", "similarity", "f_taken", "t_taken", "k"))
+        for at, side in enumerate("ft"):
+            more = both.select(side, F.col("k").alias("_k"))
+            taken[at] = cut(taken[at].join(more, side, "left").select(side, "n", (F.col(f"{side}_taken") + F.coalesce("_k", F.lit(0))).alias(f"{side}_taken")))
+            left = left.join(taken[at].where(F.col("n") > F.col(f"{side}_taken")).select(side), side, "left_semi")
+        left = cut(left.select("f", "t", "similarity", "draw"))
+    if rounds is not None:
+        rounds.append(len(found))
+    if not found:
+        return changes.select(F.col("path").alias("from_path"), F.col("path").alias("to_path"), F.lit(0).alias("similarity")).where("false")
+    matched = cut(reduce(DataFrame.unionByName, found))
+    single = matched.where("k = 1").select("f", "t", "similarity", (F.col("f_taken") + 1).alias("nf"), (F.col("t_taken") + 1).alias("nt"))
+    several = matched.where("k > 1").select("f", "t", "similarity", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("j"), "f_taken", "t_taken")
+    each = single.unionByName(several.select("f", "t", "similarity", (F.col("f_taken") + F.col("j")).alias("nf"), (F.col("t_taken") + F.col("j")).alias("nt")))
+
+    def placed(paths: DataFrame, groups: DataFrame, side: str) -> DataFrame:
+        """(side, n<side>, path): the paths of the groups by their number; groups of one path need no numbering."""
+        alone = paths.join(groups.where("n = 1").select(F.col(side).alias("group")), "group", "left_semi").withColumn("n", F.lit(1).cast("long"))
+        many = groups.where("n > 1").select(F.col(side).alias("group"))
+        if not many.isEmpty():
+            rest = numbered(paths.join(many, "group", "left_semi"), ["group"], ["path"])
+            alone = alone.unionByName(rest.withColumn("n", F.col("n").cast("long")).select(*alone.columns))
+        return alone.select(F.col("group").alias(side), F.col("n").alias(f"n{side}"), F.col("path").alias("from_path" if side == "f" else "to_path"))
+
+    named = each.join(placed(from_paths, gone, "f"), ["f", "nf"]).join(placed(to_paths, come, "t"), ["t", "nt"])
+    return named.select("from_path", "to_path", "similarity")
 
 
 def expand_renames(changes: DataFrame) -> DataFrame:

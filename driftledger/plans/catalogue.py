@@ -246,6 +246,28 @@ def rename_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.resolve_renames(pairs, side("from", "from_path").unionByName(side("to", "to_path")))
 
 
+_SIMILAR = """
+p as (
+    select p_partkey as k, case when p_partkey % 10 = 5 then 'g' || (p_partkey // 50) else 'f' || p_partkey end as lines,
+        case when p_partkey % 10 = 5 then 2 else 1 + 2 * (p_partkey % 4) end as changed
+    from part
+),
+d as (select lines, changed, 'd/' || k as path, row_number() over (partition by lines order by 'd/' || k) as n from p),
+a as (select lines, changed, 'a/' || (9000000 - k) as path, row_number() over (partition by lines order by 'a/' || (9000000 - k)) as n from p)
+"""
+
+
+@query(f"with {_SIMILAR} select d.path as from_path, a.path as to_path, cast(100 * (12 - d.changed) // 12 as integer) as similarity from d join a using (lines, n) where 100 * (12 - d.changed) // 12 >= 50")
+def similar_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as files of twelve lines, moved and edited in some; five in fifty have the same lines on either side."""
+    k = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").select(k.alias("k"), F.when(k % 10 == 5, F.concat(F.lit("g"), F.floor(k / 50).cast("string"))).otherwise(F.concat(F.lit("f"), k.cast("string"))).alias("own"), F.when(k % 10 == 5, 2).otherwise(1 + 2 * (k % 4)).alias("changed"))
+    content = lambda mark: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.concat("own", F.lit(" line "), i.cast("string"), F.when(i <= F.col("changed"), F.lit(mark)).otherwise(F.lit("")))), "\n")
+    old = parts.select(F.concat(F.lit("d/"), F.col("k").cast("string")).alias("path"), content("").alias("content"))
+    new = parts.select(F.concat(F.lit("a/"), (9_000_000 - F.col("k")).cast("string")).alias("path"), content(" edited").alias("content"))
+    return D.similar_renames(D.snapshot_diff(old, new, ["path"], "content").select("path", "status"), old, new)
+
+
 @query("select doc_id, source from documents where contains(text, 'password') or contains(text, 'License')")
 def content_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold one of two strings."""

@@ -16,8 +16,9 @@ from ..functions.xmltree import children_of
 from ..operators import changeset as C
 from ..operators import collectors, copies, diff, handlers
 from ..operators.registry import Registry, lookup, with_comparison_name
+from ..operators.trees import tree_diff
 from ..sources import sinks
-from ..sources.snapshots import with_lfs
+from ..sources.snapshots import SourceError, checkout, first_commit, merge_base, resolve, root_tree, with_lfs
 
 
 @dataclass(frozen=True)
@@ -65,23 +66,23 @@ class Result:
     def write(self, output: str, review: bool = False, snapshot: DataFrame | None = None, blobs: DataFrame | None = None) -> list[str]:
         """Write the manifests, the review file on demand and, given the new snapshot and contents, the copies; the warnings'
         texts come back."""
-        sinks.write_text(output, sinks.PACKAGE_FILE, sinks.manifest_lines(self.package, self.options.api_version))
-        sinks.write_text(output, sinks.DESTRUCTIVE_FILE, sinks.manifest_lines(self.destructive, self.options.api_version))
-        sinks.write_text(output, sinks.EMPTY_PACKAGE_FILE, sinks.manifest_lines(None, self.options.api_version))
+        for view, name in ((self.package, sinks.PACKAGE_FILE), (self.destructive, sinks.DESTRUCTIVE_FILE), (None, sinks.EMPTY_PACKAGE_FILE)):
+            sinks.write_manifest(view, self.options.api_version, output, name)
         if review:
-            sinks.write_text(output, "changes.json", sinks.review_json(self.kinds))
+            sinks.write_review(self.kinds, output)
         if snapshot is not None and blobs is not None:
             wanted = copies.kept_copies(copies.expand_directories(self.copies, snapshot), self.options.ignore)
             copies.write_files(copies.with_content(copies.first_copies(wanted), snapshot, blobs), output)
         return sinks.messages(self.warnings)
 
 
-def typed_changes(old: DataFrame, new: DataFrame, registry: Registry, options: Options, blobs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """((status, path, type), rename pairs): changes in scope, of known types, that the rules keep, without cancelled deletions."""
+def typed_changes(old: DataFrame, new: DataFrame, registry: Registry, options: Options, blobs: DataFrame | None = None, raw: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """((status, path, type), rename pairs): changes in scope, of known types, that the rules keep, without cancelled deletions.
+    raw: the differing files, where they are known already; otherwise the snapshots are compared."""
     scopes = canonical_scopes(options.scopes)
     inside = lambda s: diff.blobs_only(s).where(in_scope(F.col("path"), scopes))
     content = lambda s: s.join(blobs, "oid").select("path", F.col("content").cast("string").alias("content"))
-    raw = diff.snapshot_diff(inside(old), inside(new))
+    raw = diff.snapshot_diff(inside(old), inside(new)) if raw is None else raw.where(in_scope(F.col("path"), scopes))
     if options.ignore_whitespace and blobs is not None:
         raw = diff.drop_whitespace_changes(raw, content(old), content(new))
     raw = cut(raw)
@@ -118,12 +119,12 @@ def _translations(elements: DataFrame, new: DataFrame, options: Options, blobs:
 
 def delta(
     old: DataFrame, new: DataFrame, registry: Registry, options: Options | None = None, blobs: DataFrame | None = None,
-    first: DataFrame | None = None, objects: DataFrame | None = None, written: DataFrame | None = None,
+    first: DataFrame | None = None, objects: DataFrame | None = None, written: DataFrame | None = None, raw: DataFrame | None = None,
 ) -> Result:
     """The delta from one snapshot (path, oid, mode) to another. blobs: (oid, content), for questions about contents; objects:
     (sha256, content), which large-file pointers among them stand for; first: the snapshot of the first commit, against
     which forced includes are seen (without it nothing existed then); written: (doc, content), what the output folder
-    already has.
+    already has; raw: the files in scope that differ (path, status, old_oid, new_oid), where they are known already.
 
     It runs in stages, each one's rows kept in the shared folder; the views are computed when they are used. A collector
     that fails gives a warning and nothing else.
@@ -131,7 +132,7 @@ def delta(
     options = options or Options()
     if blobs is not None and objects is not None:
         blobs = with_lfs(blobs, objects)
-    changes, pairs = typed_changes(old, new, registry, options, blobs)
+    changes, pairs = typed_changes(old, new, registry, options, blobs, raw)
     trees = (old, new) if options.tree_reads else (None, None)
     parts = [_collected([handlers.collect(changes, registry, *trees, blobs, options.generate_delta)])]
     asked = {}
@@ -163,3 +164,27 @@ def delta(
     if failed:
         warnings = warnings.unionByName(spark.createDataFrame(failed, "code string, subject string"))
     return Result(changes, elements, renames, files, warnings.distinct(), options)
+
+
+def delta_of_revisions(
+    refs: DataFrame, commits: DataFrame, trees: DataFrame, start: str, end: str, registry: Registry, options: Options | None = None,
+    blobs: DataFrame | None = None, tags: DataFrame | None = None, from_merge_base: bool = False, **more: DataFrame,
+) -> Result:
+    """The delta from one revision to another, each a name, a tag or a commit's id: refs (name, id), tags (id, target), commits
+    (id, parents, tree), trees (tree_oid, name, mode, child_oid). from_merge_base: start where the two histories last met.
+
+    The changes come from a descent of both trees; flat snapshots are made for the questions about what exists. SourceError
+    where a revision isn't known or the two have nothing in common.
+    """
+    options = options or Options()
+    one, other = resolve(refs, commits, start, tags), resolve(refs, commits, end, tags)
+    if from_merge_base:
+        base = merge_base(commits, one, other)
+        if base is None:
+            raise SourceError(f"{start!r} and {end!r} have no common ancestor")
+        one = base
+    raw = tree_diff(trees, root_tree(commits, one), root_tree(commits, other), list(canonical_scopes(options.scopes))).changes
+    old, new = checkout(commits, trees, one), checkout(commits, trees, other)
+    if (options.include or options.include_destructive) and "first" not in more:
+        more["first"] = checkout(commits, trees, first_commit(commits, other))
+    return delta(old, new, registry, options, blobs, raw=cut(raw), **more)

@@ -6,10 +6,13 @@ changed. Customers are the children of one document for each nation.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..functions.lineage import shared_folder
 from ..functions.rules import parse_rules
 from ..functions.xmltree import children_of
 from ..operators import changeset as C
@@ -18,8 +21,10 @@ from ..operators import diff as D
 from ..operators import documents as X
 from ..operators import existence as E
 from ..operators import registry as R
+from ..operators import trees as T
 from ..sources import sinks
 from ..sources import snapshots as S
+from ..sources.filetree import read_tree
 from .catalogue import page_paths, page_snapshots, part_elements, query, table
 from .catalogue import _ELEMENTS, _PAGES
 from .engine import Options, delta
@@ -356,16 +361,97 @@ def part_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), parents.alias("parents"))
 
 
-@query(f"""with recursive {_COMMITS}, m as (select max(p_partkey) as k from part), a(k, depth) as (select k, 0 from m union select g.p, a.depth + 1 from a join g on g.k = a.k),
-b(k, depth) as (select k - 1, 0 from m union select g.p, b.depth + 1 from b join g on g.k = b.k),
-x as (select k, min(depth) as d from a group by k), y as (select k, min(depth) as d from b group by k)
-select (select cast(x.k as varchar) from x join y on x.k = y.k order by x.d + y.d, cast(x.k as varchar) limit 1) as merge_base, '1' as first_commit""")
+@query(f"""with recursive {_COMMITS}, m as (select max(p_partkey) as k from part), a(k) as (select k from m union select g.p from a join g on g.k = a.k),
+b(k) as (select k - 1 from m union select g.p from b join g on g.k = b.k),
+x as (select k from a intersect select k from b)
+select (select min(cast(k as varchar)) from x where k not in (select g.p from g join x on x.k = g.k)) as merge_base, '1' as first_commit""")
 def merge_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest common commit of the last two, and the first of all."""
+    """A best common commit of the last two, and the first of all."""
     commits, last = part_commits(spark, sf_dir), table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0]
     return spark.createDataFrame([(S.merge_base(commits, str(last), str(last - 1)), S.first_commit(commits, str(last)))], "merge_base string, first_commit string")
 
 
+_EVENT_COMMITS = """
+g as (
+    select event_id as k, p from (select event_id, unnest(case when event_id % 400 = 1 then [] when event_id % 100 = 7 then [event_id - 1, event_id - 390] else [event_id - 1] end) as p from events)
+    where p in (select event_id from events)
+)
+"""
+
+
+def event_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event a commit on the one before it; a history begins anew every 400, and some merge one far back, which may be of another."""
+    parents = F.when(F.col("event_id") % 400 == 1, F.array().cast("array<long>")).when(F.col("event_id") % 100 == 7, F.array(F.col("event_id") - 1, F.col("event_id") - 390)).otherwise(F.array(F.col("event_id") - 1))
+    return table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), parents.cast("array<string>").alias("parents"))
+
+
+@query(f"""with recursive {_EVENT_COMMITS}, s as (select max(event_id) as k from events union select max(event_id) - 150 from events),
+a(s, k) as (select k, k from s union select a.s, g.p from a join g on g.k = a.k)
+select cast(s as varchar) as start, cast(k as varchar) as id from a""")
+def commit_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All commits that two commits descend from, over chains of first parents."""
+    last = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]
+    return T.ancestors(T.chains(event_commits(spark, sf_dir)), spark.createDataFrame([(str(last),), (str(last - 150),)], "id string"))
+
+
+@query(f"""with recursive {_EVENT_COMMITS}, s as (select max(event_id) as k from events union select max(event_id) - 5 from events),
+a(s, k) as (select k, k from s union select a.s, g.p from a join g on g.k = a.k),
+x as (select k from a group by k having count(*) = 2)
+select cast(k as varchar) as id from x where k not in (select g.p from g join x on x.k = g.k)""")
+def common_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best common commits of the last event and the fifth before it."""
+    last = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]
+    return T.best_common_ancestors(event_commits(spark, sf_dir), str(last), str(last - 5))
+
+
+_ORDER_FILES = """
+file as (select strftime(o_orderdate, '%Y/%m/%d') || '/' || o_orderkey as path, o_orderkey as k, month(o_orderdate) as m, o_orderstatus || o_custkey as v from orders),
+o as (select path, v from file where not (k % 11 = 0 and m in (2, 3))),
+n as (select path, case when k % 7 = 0 and m = 3 then v || 'x' else v end as v from file where not (k % 13 = 0 and k % 11 <> 0 and m in (3, 7)))
+"""
+
+
+def order_trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, str]]:
+    """The trees of two revisions of orders as files below year, month and day, and their roots; they differ in some months."""
+    k, m = F.col("o_orderkey"), F.month("o_orderdate")
+    path = F.concat(F.date_format("o_orderdate", "yyyy/MM/dd"), F.lit("/"), k.cast("string"))
+    orders = table(spark, sf_dir, "orders").select(path.alias("path"), F.concat("o_orderstatus", F.col("o_custkey").cast("string")).alias("oid"), F.lit("100644").alias("mode"), k.alias("k"), m.alias("m"))
+    old = orders.where("not (k % 11 = 0 and m in (2, 3))").select(F.lit("old").alias("revision"), "path", "oid", "mode")
+    new = orders.where("not (k % 13 = 0 and k % 11 <> 0 and m in (3, 7))")
+    new = new.select(F.lit("new").alias("revision"), "path", F.expr("if(k % 7 = 0 and m = 3, concat(oid, 'x'), oid)").alias("oid"), "mode")
+    trees, roots = T.trees_of(old.unionByName(new))
+    return trees, {r.revision: r.tree for r in roots.collect()}
+
+
+@query(f"""with {_ORDER_FILES} select coalesce(o.path, n.path) as path, case when o.path is null then 'A' when n.path is null then 'D' else 'M' end as status, o.v as old_oid, n.v as new_oid
+from o full join n on o.path = n.path where o.v is distinct from n.v""")
+def hash_tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two revisions of orders differ in, by a descent of their trees."""
+    trees, roots = order_trees(spark, sf_dir)
+    return T.tree_diff(trees, roots["old"], roots["new"]).changes
+
+
+@query(f"with {_ORDER_FILES} select path, v as oid, '100644' as mode from n")
+def hash_tree_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat snapshot of the newer of two revisions of orders."""
+    trees, roots = order_trees(spark, sf_dir)
+    return T.flatten(trees, roots["new"])
+
+
+@query("""select 'p' || (page_id % 7) || '/' || page_id as path, '100644' as mode, octet_length(encode(coalesce(html, ''))) as bytes, md5(coalesce(html, '')) as digest
+from pages where page_id % 7 in (1, 3)""")
+def file_tree_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of the folders that pages are written to as files, through the data source, which lists no others."""
+    folder = f"{shared_folder(spark)}/driftledger/files-{uuid.uuid4().hex}"
+    pages = table(spark, sf_dir, "pages")
+    path = F.concat(F.lit("p"), (F.col("page_id") % 7).cast("string"), F.lit("/"), F.col("page_id").cast("string"))
+    copies.write_files(pages.select(path.alias("path"), F.coalesce("html", F.lit("")).cast("binary").alias("content")), folder)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    found = read_tree(spark, folder, ["p1", "p3"])
+    return found.select("path", "mode", F.octet_length("content").cast("long").alias("bytes"), F.md5("content").alias("digest"))
+
+
 _STANDARD = """
 s as (select n_nationkey as k, n_name as name, lower(n_name) as suffix, 'd' || n_regionkey as directory, n_nationkey % 4 = 0 as folder, n_nationkey % 3 as a from nation)
 """
@@ -417,13 +503,41 @@ def manifest_in_locale_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.manifest(view).select(F.col("place").cast("long").alias("place"), "type", F.array_join("members", ",").alias("members"))
 
 
-@query("""with m as (select n_name as member, 'Type' || n_regionkey as type from nation),
-b as (select type, '    <types>' || chr(10) || string_agg('        <members>' || member || '</members>' || chr(10), '' order by lower(member)) || '        <name>' || type || '</name>' || chr(10) || '    </types>' || chr(10) as x from m group by type)
+def written(spark: SparkSession, name: str, write) -> DataFrame:
+    """(line): the lines of the file of that name that write makes in a new folder."""
+    folder = f"{shared_folder(spark)}/driftledger/written-{uuid.uuid4().hex}"
+    write(folder)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.text(f"{folder}/{name}", wholetext=True).select(F.col("value").alias("text"))
+
+
+@query("""with m as (select p_partkey, p_name || ' ' || p_partkey as member, 'Type' || (p_partkey % 7) as type from part),
+b as (select type, '    <types>' || chr(10) || string_agg('        <members>' || replace(replace(replace(member, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</members>' || chr(10), '' order by lower(member)) || '        <name>' || type || '</name>' || chr(10) || '    </types>' || chr(10) as x from m group by type)
 select '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<Package xmlns="http://soap.sforce.com/2006/04/metadata">' || chr(10) || string_agg(x, '' order by lower(type)) || '    <version>61.0</version>' || chr(10) || '</Package>' as text from b""")
 def manifest_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The manifest of the nations as it is written."""
-    view = table(spark, sf_dir, "nation").select(F.concat(F.lit("Type"), F.col("n_regionkey").cast("string")).alias("type"), F.col("n_name").alias("member"))
-    return spark.createDataFrame([(sinks.manifest_xml(view, 61),)], "text string")
+    """The manifest of the parts as tasks write it."""
+    view = table(spark, sf_dir, "part").select(F.concat(F.lit("Type"), (F.col("p_partkey") % 7).cast("string")).alias("type"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("member"))
+    return written(spark, "package.xml", lambda folder: sinks.write_manifest(view, 61, folder, "package.xml"))
+
+
+_REVIEW = """
+own as (select case p_partkey % 4 when 0 then 'add' when 1 then 'delete' else 'rename' end as kind, p_type as type, p_name || ' "' || p_partkey || chr(9) || '\\' as member, 'to ' || (p_partkey * 7919 % 100003) || '-' || p_partkey as goal from part),
+esc as (select kind, type, member, goal, '"' || replace(replace(replace(member, '\\', '\\\\'), '"', '\\"'), chr(9), '\\t') || '"' as j from own),
+entry as (select kind, type, case when kind = 'rename' then goal else member end as place, case when kind = 'rename' then '      {' || chr(10) || '        "from": ' || j || ',' || chr(10) || '        "to": "' || goal || '"' || chr(10) || '      }' else '      ' || j end as x from esc),
+types as (select kind, type, '    "' || type || '": [' || chr(10) || string_agg(x, ',' || chr(10) order by place) || chr(10) || '    ]' as x from entry group by kind, type),
+kinds as (select k, kind, coalesce((select '  "' || v.kind || '": {' || chr(10) || string_agg(x, ',' || chr(10) order by type) || chr(10) || '  }' from types t where t.kind = v.kind), '  "' || kind || '": {}') as x from (values (1, 'add'), (2, 'modify'), (3, 'delete'), (4, 'rename')) v(k, kind))
+"""
+
+
+@query(f"with {_REVIEW} select '{{' || chr(10) || string_agg(x, ',' || chr(10) order by k) || chr(10) || '}}' as text from kinds")
+def review_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The review file of the parts, some added, some deleted, half renamed, as tasks write it."""
+    k = F.col("p_partkey")
+    kind = F.when(k % 4 == 0, "add").when(k % 4 == 1, "delete").otherwise("rename")
+    member, goal = F.concat("p_name", F.lit(' "'), k.cast("string"), F.lit("\t\\")), F.concat(F.lit("to "), (k * 7919 % 100003).cast("string"), F.lit("-"), k.cast("string"))
+    kinds = table(spark, sf_dir, "part").select(kind.alias("kind"), F.col("p_type").alias("type"), member.alias("member"), F.when(kind == "rename", goal).alias("to_member"))
+    return written(spark, "changes.json", lambda folder: sinks.write_review(kinds, folder))
 
 
 @query(f"""with {_PAGES}, dirs as (select distinct array_to_string(string_split(path, '/')[:-2], '/') as dir from n where path like 'www.%'),

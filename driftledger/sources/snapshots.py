@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions.lineage import cut
 from ..functions.rules import Rule, parse_rules
+from ..operators.trees import ancestors, best_common_ancestors, chains, flatten
 
 SNAPSHOT = "path string, oid string, mode string"
 LFS_MAGIC = "version https://git-lfs"
@@ -99,25 +100,38 @@ def api_version(configured: float | None, project_json: str | None, latest: int
     return int(given), []
 
 
-# --- revisions: commits(id, parents array), refs(name, id)
+# --- revisions: commits(id, parents array, tree), refs(name, id), tags(id, target): tag objects, which point at commits or tags
 
 
-def resolve(refs: DataFrame, commits: DataFrame, name: str) -> str:
-    """The commit that a name or an id stands for; SourceError where there is none. Names that point at names are followed."""
-    seen = {name}
+def resolve(refs: DataFrame, commits: DataFrame, name: str, tags: DataFrame | None = None) -> str:
+    """The commit that a name or an id stands for; SourceError where there is none. Names that point at names are followed, and
+    tag objects peeled to what they point at."""
+    hops = refs.select(F.col("name").alias("at"), "id")
+    hops = hops if tags is None else hops.unionByName(tags.select(F.col("id").alias("at"), F.col("target").alias("id")))
+    asked, seen = name, {name}
     while True:
-        got = refs.where(F.col("name") == name).select("id").limit(1).collect()
+        got = hops.where(F.col("at") == name).select("id").limit(1).collect()
         if not got:
             break
         name = got[0][0]
         if name in seen:
-            raise SourceError(f"{name!r} points at itself")
+            raise SourceError(f"{asked!r} points at itself")
         seen.add(name)
     if commits.where(F.col("id") == name).isEmpty():
-        raise SourceError(f"{name!r} is no known revision")
+        raise SourceError(f"{asked!r} is no known revision")
     return name
 
 
+def root_tree(commits: DataFrame, commit: str) -> str:
+    """The id of a commit's tree."""
+    return commits.where(F.col("id") == commit).select("tree").first()[0]
+
+
+def checkout(commits: DataFrame, trees: DataFrame, commit: str) -> DataFrame:
+    """The snapshot (path, oid, mode) of a commit. trees: (tree_oid, name, mode, child_oid)."""
+    return cut(flatten(trees, root_tree(commits, commit)))
+
+
 def history(commits: DataFrame, start: str) -> DataFrame:
     """(id, depth): the commits that a commit descends from, itself at depth 0, each at its least depth. A frontier of
     parents is followed a generation at a time, until none is new; each generation is kept in the shared folder."""
@@ -137,12 +151,12 @@ def history(commits: DataFrame, start: str) -> DataFrame:
 
 def first_commit(commits: DataFrame, start: str) -> str:
     """The commit without parents that start descends from; of several the least by id."""
-    roots = history(commits, start).join(commits, "id").where(F.size(F.coalesce("parents", F.array())) == 0)
+    from_start = ancestors(chains(commits), commits.sparkSession.createDataFrame([(start,)], "id string"))
+    roots = from_start.join(commits.where(F.size(F.coalesce("parents", F.array())) == 0), "id", "left_semi")
     return roots.agg(F.min("id")).first()[0]
 
 
 def merge_base(commits: DataFrame, one: str, other: str) -> str | None:
-    """A nearest common commit of two; None where they have none."""
-    common = history(commits, one).withColumnRenamed("depth", "a").join(history(commits, other).withColumnRenamed("depth", "b"), "id")
-    got = common.orderBy(F.col("a") + F.col("b"), "id").select("id").limit(1).collect()
-    return got[0][0] if got else None
+    """A best common ancestor of two commits, from which no other common one descends; of several, as criss-cross histories
+    have, the least by id, and None where the two have none."""
+    return best_common_ancestors(commits, one, other).agg(F.min("id")).first()[0]

@@ -5,6 +5,8 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from driftledger.functions.rules import parse_rules
 from driftledger.plans.engine import Options, delta
 from tests.trees import registry, snapshots
@@ -234,3 +236,28 @@ def test_a_collector_that_fails_is_a_warning(spark, monkeypatch):
         r = engine.delta(old, new, registry(spark), Options(include=parse_rules("a/classes/Same*"), generate_delta=False), blobs)
         assert [w.subject for w in r.warnings.collect() if w.code == "collector_failed" and said in w.subject]
         assert ("package", "ApexClass", "Changed") in {tuple(x) for x in r.elements.select("target", "type", "member").collect()}
+
+
+def test_two_commits_are_the_input_of_a_delta(spark):
+    """A tag of a tag, a branch and a merge base, against the delta of the flat snapshots."""
+    from driftledger.operators.trees import trees_of
+    from driftledger.plans.engine import delta_of_revisions
+    from driftledger.sources.snapshots import SourceError
+
+    old, new, blobs = snapshots(spark, OLD, NEW)
+    trees, roots = trees_of(old.withColumn("revision", F.lit("old")).unionByName(new.withColumn("revision", F.lit("new"))))
+    root = {r.revision: r.tree for r in roots.collect()}
+    rows = [("c0", [], root["old"]), ("c1", ["c0"], root["old"]), ("s1", ["c1"], root["new"]), ("c2", ["c1"], root["new"]), ("lone", [], root["new"])]
+    commits = spark.createDataFrame(rows, "id string, parents array<string>, tree string")
+    refs = spark.createDataFrame([("main", "c2"), ("HEAD", "main"), ("v1", "t2"), ("side", "s1")], "name string, id string")
+    tags = spark.createDataFrame([("t2", "t1"), ("t1", "c0"), ("loop", "loop")], "id string, target string")
+    want = delta(old, new, registry(spark), Options(), blobs)
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    for start, based in (("v1", False), ("side", True)):
+        got = delta_of_revisions(refs, commits, trees, start, "HEAD", registry(spark), Options(), blobs, tags, based)
+        assert plain(got.package) == plain(want.package) and plain(got.destructive) == plain(want.destructive) and plain(got.kinds) == plain(want.kinds)
+    scoped = delta_of_revisions(refs, commits, trees, "v1", "HEAD", registry(spark), Options(scopes=["a/lwc"], generate_delta=False), blobs, tags)
+    assert plain(scoped.package) == plain(delta(old, new, registry(spark), Options(scopes=["a/lwc"], generate_delta=False), blobs).package)
+    for start, end in (("lone", "HEAD"), ("nothing", "HEAD"), ("loop", "HEAD")):
+        with pytest.raises(SourceError):
+            delta_of_revisions(refs, commits, trees, start, end, registry(spark), Options(), blobs, tags, True)

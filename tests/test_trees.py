@@ -110,3 +110,19 @@ def test_exact_renames_of_many_equal_files(spark):
     changes = spark.createDataFrame(rows, "status string, path string, old_oid string, new_oid string")
     got = sorted(tuple(r)[:2] for r in D.exact_renames(changes).collect())
     assert got == sorted([(f"a{k:04}", f"b{k:04}") for k in range(700)] + [("x", "y"), ("w", "v1")])
+
+
+def test_equal_scores_are_matched_in_few_rounds(spark):
+    """A hundred by a hundred pairs of one score, and 5,000 paths of the same lines on either side: no path twice, none left."""
+    shared = "\n".join(f"line {k}" for k in range(10))
+    old = [(f"d/{k}", f"{shared}\nown d{k}") for k in range(100)] + [(f"same/{k:05}", "p\nq\nr\ns") for k in range(5000)]
+    new = [(f"a/{k}", f"{shared}\nown a{k}") for k in range(100)] + [(f"equal/{k:05}", "p\nq\nr\nt") for k in range(4000)]
+    sides = [spark.createDataFrame(rows, "path string, content string") for rows in (old, new)]
+    changes = sides[0].selectExpr("path", "'D' as status").unionByName(sides[1].selectExpr("path", "'A' as status"))
+    rounds = []
+    got = [tuple(r) for r in D.similar_renames(changes, *sides, rounds=rounds).collect()]
+    assert rounds[0] <= 20
+    assert len(got) == 4100 == len({f for f, _, _ in got}) == len({t for _, t, _ in got})
+    assert sorted((f, t) for f, t, _ in got if f.startswith("same")) == [(f"same/{k:05}", f"equal/{k:05}") for k in range(4000)]
+    assert {s for f, _, s in got if f.startswith("d/")} == {90} and {s for f, _, s in got if f.startswith("same")} == {75}
+    assert D.similar_renames(changes.where("false"), *sides).isEmpty()
