@@ -552,4 +552,4 @@ def html_root_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-from . import tree_catalogue  # noqa: E402, F401 - registers its queries here
+from . import rule_catalogue, tree_catalogue  # noqa: E402, F401 - they register their queries here
