@@ -66,7 +66,8 @@ def parse_rule(line: str) -> Rule | None:
         if piece == "**":
             out += ".+" if last else "(?:.*/)?"
         else:
-            out += _segment(piece) + ("" if last else "/")
+            # a star alone is a name, so that what names all in a directory doesn't name the directory
+            out += ("[^/]+" if not piece.strip("*") else _segment(piece)) + ("" if last else "/")
     return Rule(f"(?i)^{out}{'/' if only_directories else '/?'}$", keeps)
 
 

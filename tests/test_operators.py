@@ -346,3 +346,9 @@ def test_declarations_are_passed_over(head):
     assert [t for t, _ in root_children(f"<?xml version='1.0'?>{head}<a><b>1</b><!--x--><c/></a>")] == ["b", "#comment", "c", ""]
     with pytest.raises(MalformedDocument):
         list(root_children("<!DOCTYPE a [<!ENTITY " + "b" * 20_000 + "<a><b/></a>"))
+
+
+def test_a_star_is_no_empty_name(spark):
+    rules = parse_rules("a/*\n!a/keep\nb/**\n")
+    paths = spark.createDataFrame([("a/keep",), ("a/x",), ("a/keep/y",), ("a",), ("b/c/d",), ("b",), ("aa/x",)], "path string")
+    assert {r.path for r in paths.where(ignored(F.col("path"), rules)).collect()} == {"a/x", "b/c/d"}
