@@ -82,18 +82,17 @@ def document_diff(old: DataFrame, new: DataFrame, tag_rules: DataFrame, keep: bo
         rows = cut(rows)
     changes = rows.where("bucket = 'keyed' and kind is not null and not excluded").select("doc", "kind", F.col("xml_name").alias("type"), "member")
     listed, sent = F.col("bucket").isin(*_LISTS), F.col("kind").isin("add", "modify", "object")
-    # a list that is gone as a whole sends nothing
-    by_tag = rows.groupBy("doc", "tag").agg(F.max(sent).alias("_sent"), F.max(listed & F.col("kind").isNotNull()).alias("_changed"), F.max("side").alias("_side"))
-    alive = F.coalesce("_sent", F.lit(False)) | (F.coalesce("_changed", F.lit(False)) & (F.col("_side") == 1))
-    documents = by_tag.groupBy("doc").agg(F.max(alive).alias("has_package_content"))
-    # what is left: windows over the documents, to which each unchanged child brings its place alone
-    slim = rows.where((F.col("side") == 1) | (listed & F.col("kind").isNotNull()))
-    slim = slim.select("doc", "tag", "pos", "side", listed.alias("_listed"), (F.col("bucket") == "array").alias("_array"), F.coalesce(sent, F.lit(False)).alias("_sent"), F.col("kind").isNotNull().alias("_differs"), F.when(listed | sent, F.col("value")).alias("value"))
-    tag, doc = W.partitionBy("doc", "tag"), W.partitionBy("doc")
-    slim = slim.withColumn("tag_order", F.min(F.when(F.col("side") == 1, F.col("pos"))).over(tag)).withColumn("_changed", F.max(F.col("_listed") & F.col("_differs")).over(tag) & (F.max("side").over(tag) == 1))
-    slim = slim.withColumn("_alive", F.max(F.col("_sent") | F.col("_changed")).over(doc))
-    left = (F.col("side") == 1) & F.col("_alive") & F.when(F.col("_listed"), F.col("_changed") | ~F.col("_array")).otherwise(F.col("_sent"))
-    return DocumentDiff(changes, documents, slim.where(left).select("doc", "tag", "pos", "value", "tag_order"))
+    # what became of each tag and document: aggregations that tasks combine before the shuffle, and joins that bring them back to
+    # the children, which adaptive execution splits; no document's children are one window. A list that is gone sends nothing
+    differs = listed & F.col("kind").isNotNull()
+    first = F.min(F.when(F.col("side") == 1, F.col("pos")))
+    by_tag = rows.groupBy("doc", "tag").agg(F.max(F.coalesce(sent, F.lit(False))).alias("_sent"), (F.max(differs) & (F.max("side") == 1)).alias("_changed"), first.alias("tag_order"))
+    documents = by_tag.groupBy("doc").agg(F.max(F.col("_sent") | F.col("_changed")).alias("has_package_content"))
+    # a document has few tags
+    tags = by_tag.withColumn("_alive", F.max(F.col("_sent") | F.col("_changed")).over(W.partitionBy("doc"))).where("_alive").select("doc", "tag", "_changed", "tag_order")
+    own = rows.where((F.col("side") == 1) & (listed | F.coalesce(sent, F.lit(False)))).select("doc", "tag", "pos", "value", listed.alias("_listed"), (F.col("bucket") == "array").alias("_array"))
+    left = own.join(tags, ["doc", "tag"]).where(~F.col("_listed") | F.col("_changed") | ~F.col("_array"))
+    return DocumentDiff(changes, documents, left.select("doc", "tag", "pos", "value", "tag_order"))
 
 
 def retained_json(diff: DocumentDiff) -> DataFrame:

@@ -347,7 +347,7 @@ def surviving_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 ) select doc, count(*) as n_children, min(pos) as first_pos, max(pos) as last_pos from kept group by doc""")
 def retained_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each order to send."""
-    left = X.document_diff(*order_documents(spark, sf_dir)).retained
+    left = X.document_diff(*order_documents(spark, sf_dir), keep=True).retained
     return left.groupBy("doc").agg(F.count("*").alias("n_children"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
 
