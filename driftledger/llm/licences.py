@@ -95,6 +95,61 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("bsl-1.0", "SPDX-License-Identifier: BSL-1.0"),
 )
 
+#: licences' identifiers on the public SPDX list, and their names, by family.
+NAMES: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
+    ("mit", ("MIT",), ("MIT License", "Expat License")),
+    ("apache-2.0", ("Apache-2.0",), ("Apache License 2.0", "Apache License Version 2.0", "Apache 2.0 License", "Apache Software License 2.0")),
+    ("bsd", ("BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "0BSD"), ("BSD 2-Clause License", "BSD 3-Clause License", "New BSD License", "Simplified BSD License", "Modified BSD License")),
+    ("gpl", ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"), ("GNU General Public License", "GNU GPL v2", "GNU GPL v3", "GNU GPL version 2", "GNU GPL version 3")),
+    ("lgpl", ("LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"), ("GNU Lesser General Public License", "GNU Library General Public License", "GNU LGPL v2.1", "GNU LGPL v3")),
+    ("agpl", ("AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"), ("GNU Affero General Public License", "GNU AGPL v3", "GNU AGPL version 3")),
+    ("mpl-2.0", ("MPL-1.1", "MPL-2.0"), ("Mozilla Public License", "Mozilla Public License 2.0")),
+    ("epl", ("EPL-1.0", "EPL-2.0"), ("Eclipse Public License", "Eclipse Public License 2.0", "Eclipse Public License v 1.0")),
+    ("cddl", ("CDDL-1.0", "CDDL-1.1"), ("Common Development and Distribution License",)),
+    ("eupl", ("EUPL-1.1", "EUPL-1.2"), ("European Union Public Licence", "European Union Public License")),
+    ("artistic", ("Artistic-1.0", "Artistic-2.0"), ("Artistic License", "Artistic License 2.0")),
+    ("wtfpl", ("WTFPL",), ("Do What The Fuck You Want To Public License",)),
+    ("isc", ("ISC",), ("ISC License",)),
+    ("zlib", ("Zlib",), ("zlib License", "zlib libpng License")),
+    ("unlicense", ("Unlicense",), ("The Unlicense",)),
+    ("cc0", ("CC0-1.0",), ("CC0 1.0 Universal", "Creative Commons Zero")),
+    ("cc-by", ("CC-BY-3.0", "CC-BY-4.0"), ("Creative Commons Attribution 4.0 International", "Creative Commons Attribution 3.0 Unported", "CC-BY 4.0", "CC BY 3.0")),
+    ("cc-by-sa", ("CC-BY-SA-3.0", "CC-BY-SA-4.0"), ("Creative Commons Attribution-ShareAlike 4.0 International", "Creative Commons Attribution-ShareAlike 3.0 Unported", "CC-BY-SA 4.0", "CC BY-SA 3.0")),
+    ("cc-by-nc", ("CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0"), ("Creative Commons Attribution-NonCommercial 4.0 International", "CC-BY-NC 4.0")),
+    ("cc-by-nd", ("CC-BY-ND-4.0",), ("Creative Commons Attribution-NoDerivatives 4.0 International", "CC BY-ND 4.0")),
+    ("bsl-1.0", ("BSL-1.0",), ("Boost Software License",)),
+    ("busl", ("BUSL-1.1",), ("Business Source License",)),
+    ("ofl", ("OFL-1.1",), ("SIL Open Font License", "Open Font License 1.1")),
+    ("postgresql", ("PostgreSQL",), ("PostgreSQL License", "PostgreSQL Licence")),
+    ("python", ("PSF-2.0", "Python-2.0"), ("Python Software Foundation License", "PSF License Agreement")),
+    ("openssl", ("OpenSSL",), ("OpenSSL License",)),
+    ("ms-pl", ("MS-PL",), ("Microsoft Public License",)),
+    ("ms-rl", ("MS-RL",), ("Microsoft Reciprocal License",)),
+    ("ncsa", ("NCSA",), ("University of Illinois NCSA Open Source License", "NCSA License")),
+    ("afl", ("AFL-3.0",), ("Academic Free License",)),
+    ("osl", ("OSL-3.0",), ("Open Software License",)),
+    ("upl", ("UPL-1.0",), ("Universal Permissive License",)),
+    ("gfdl", ("GFDL-1.3-only", "GFDL-1.3-or-later"), ("GNU Free Documentation License",)),
+    ("odbl", ("ODbL-1.0",), ("Open Database License", "Open Data Commons Open Database License")),
+    ("sspl", ("SSPL-1.0",), ("Server Side Public License",)),
+    ("elastic", ("Elastic-2.0",), ("Elastic License 2.0",)),
+    ("ruby", ("Ruby",), ("Ruby License",)),
+    ("vim", ("Vim",), ("Vim License",)),
+)
+
+
+def notices() -> tuple[tuple[str, str], ...]:
+    """(family, text): how a licence is usually named, by its name and by its identifier, alone or after another in an expression."""
+    by_name = ("{}", "under the {}", "under the terms of the {}", "subject to the {}")
+    by_id = ("SPDX-License-Identifier: {}", "License: {}", "licensed under {}", "license = {}")
+    in_turn = ("SPDX-License-Identifier: {} OR {}", "SPDX-License-Identifier: {} AND {}")
+    out = [(family, form.format(name)) for family, _, own in NAMES for name in own for form in by_name]
+    out += [(family, form.format(key)) for family, keys, _ in NAMES for key in keys for form in by_id]
+    # the second of an expression stands after an operator, whatever is first
+    out += [(family, form.format("", key).split(": ")[1].strip()) for family, keys, _ in NAMES for key in keys for form in in_turn if "-" in key or key.isupper()]
+    return tuple(dict.fromkeys(out))
+
+
 #: Sentences with words of licences that grant none.
 OTHERS: tuple[str, ...] = (
     "She lost her driving licence and asked the office for a new one.",
@@ -110,7 +165,8 @@ OTHERS: tuple[str, ...] = (
 UNKNOWN = "unknown"
 #: Stretches of the corpus' paragraphs that the unknown class is learned from, in expectation.
 SAMPLE_PARAGRAPHS = 4_000
-VARIANTS = 60
+#: Examples made of each template of SHORT words or more, with words left out, and of each shorter one, as it is.
+VARIANTS, SHORT_VARIANTS, SHORT = 60, 6, 7
 #: Words of a stretch that the unknown class is learned from; words in a row that tell a template from other texts.
 STRETCH, RUN = 64, 6
 
@@ -145,14 +201,14 @@ class LicenceModel:
 
 
 def _templates(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(list(TEMPLATES), "family string, text string")
+    rows = spark.createDataFrame([*TEMPLATES, *notices()], "family string, text string")
     return rows.withColumn("words", words(F.col("text"))).withColumn("grams", F.array_distinct(grams(F.col("words"))))
 
 
 def _placed_templates(spark: SparkSession, vocabulary: list[str]) -> DataFrame:
     """LicenceModel.templates, of the grams in vocabulary."""
     known, rows = set(vocabulary), []
-    for number, (family, text) in enumerate(TEMPLATES):
+    for number, (family, text) in enumerate((*TEMPLATES, *notices())):
         w = _template_words(text)
         own = [(" ".join(w[k : k + n]), k) for n in (2, 3) for k in range(len(w) - n + 1)]
         own = [(g, k) for g, k in own if g in known]
@@ -173,10 +229,11 @@ def _runs() -> list[str]:
 def _examples(spark: SparkSession, docs: DataFrame, text_col: str, sample: int) -> DataFrame:
     """(label, grams, kept_back): templates with words left out and others around them, and stretches of paragraphs of no
     licence."""
-    made = _templates(spark).select("family", "words", "text").withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))))
+    short = F.size("words") < SHORT
+    made = _templates(spark).select("family", "words", "text").withColumn("variant", F.explode(F.sequence(F.lit(0), F.when(short, SHORT_VARIANTS - 1).otherwise(VARIANTS - 1))))
     draw = lambda *of: F.pmod(F.xxhash64("text", "variant", *of), F.lit(100))
-    lost = F.filter(F.col("words"), lambda w, i: (F.col("variant") == 0) | (F.pmod(F.xxhash64("text", "variant", w, i), F.lit(100)) >= F.pmod(F.col("variant"), F.lit(4)) * 6))
-    made = made.withColumn("w", lost).withColumn("w", F.when(draw(F.lit("cut")) < 30, F.slice("w", F.lit(1), F.greatest(F.lit(3), F.size("w") * 2 / 3).cast("int"))).otherwise(F.col("w")))
+    lost = F.filter(F.col("words"), lambda w, i: (F.col("variant") == 0) | short | (F.pmod(F.xxhash64("text", "variant", w, i), F.lit(100)) >= F.pmod(F.col("variant"), F.lit(4)) * 6))
+    made = made.withColumn("w", lost).withColumn("w", F.when((draw(F.lit("cut")) < 30) & ~short, F.slice("w", F.lit(1), F.greatest(F.lit(3), F.size("w") * 2 / 3).cast("int"))).otherwise(F.col("w")))
     made = made.select(F.col("family").alias("label"), F.array_distinct(grams(F.col("w"))).alias("grams"), (draw(F.lit("part")) < 25).alias("kept_back"))
     texts = docs.select(F.col(text_col).alias("text")).where("text is not null")
     n = texts.agg(F.sum(F.ceil(F.length("text") / 400))).first()[0] or 1  # stretches, about
@@ -203,15 +260,16 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE_PARAGRAP
     """
     spark = docs.sparkSession
     rows = stored(_examples(spark, docs, text_col, sample), "licence-examples")
-    classes = [*sorted({f for f, _ in TEMPLATES}), UNKNOWN]
+    classes = [*sorted({f for f, _ in (*TEMPLATES, *notices())}), UNKNOWN]
     n = rows.where(F.col("label") == UNKNOWN).count()
     common = rows.where(F.col("label") == UNKNOWN).select(F.explode("grams").alias("gram")).groupBy("gram").count().where(F.col("count") > max(2.0, 0.002 * n))
     templates = _templates(spark)
     vocabulary = templates.select(F.explode("grams").alias("gram")).distinct().join(common, "gram", "left_anti")
-    vocabulary = sorted(r[0] for r in vocabulary.collect())  # as many as TEMPLATES has at most
+    vocabulary = sorted(r[0] for r in vocabulary.collect())  # as many as the templates have at most
     number = F.create_map(*[F.lit(x) for k, c in enumerate(classes) for x in (c, float(k))])
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features")
-    data = vectors.setBinary(True).transform(rows.withColumn("y", number[F.col("label")]))
+    # some thousand rows, read again and again
+    data = vectors.setBinary(True).transform(rows.coalesce(2).withColumn("y", number[F.col("label")]))
     fitted = LogisticRegression(labelCol="y", family="multinomial", regParam=3e-4, maxIter=80).fit(data.where("not kept_back"))
     matrix, bias = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
     weights = spark.createDataFrame([(g, [float(x) for x in matrix[:, k]]) for k, g in enumerate(vocabulary)], "gram string, w array<double>")
@@ -236,7 +294,7 @@ def _hits(docs: DataFrame, model: LicenceModel, id_col: str, text_col: str) -> D
     each = each.select("row", "id", "paragraph", F.col("w").alias("a"), after(2).alias("b"), after(3).alias("c"))
     # outer, as the optimiser would else compute the words a second time to find the empty ones
     each = each.select("row", "id", "paragraph", F.posexplode_outer(F.arrays_zip("a", "b", "c")).alias("pos", "s")).select("row", "id", "paragraph", "pos", "s.a", "s.b", "s.c")
-    known = [r[0] for r in model.weights.select("gram").collect()]  # as many as TEMPLATES has at most
+    known = [r[0] for r in model.weights.select("gram").collect()]  # as many as the templates have at most
     pairs = sorted({tuple(g.split(" ")[:2]) for g in known} | {(mark, mark)})
     each = each.where("b is not null").join(F.broadcast(spark.createDataFrame(pairs, "a string, b string")), ["a", "b"])
     each = each.select("row", "id", "paragraph", "pos", F.explode(F.array(F.concat_ws(" ", "a", "b"), F.concat(F.col("a"), F.lit(" "), F.col("b"), F.lit(" "), F.col("c")))).alias("gram"))
