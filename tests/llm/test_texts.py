@@ -62,7 +62,7 @@ def test_weak_parts_need_company(spark):
         f"{key}\n{value}", key, value, site, f"{site} {value}", f"{key} {site}", f"{key}\n\n{value}", f"{key} {'. ' * 400} {value}",
         f"{key} password = abcdefghijklmnop", f"AKIAABCDEFGHIJKLMN then {value}",
     ]
-    got = {r.doc_id: [s.kind for s in r.spans if s.kind in secrets.WEAK_KINDS] for r in secrets.secret_spans(docs_of(spark, texts)).collect()}
+    got = {r.doc_id: [s.kind for s in r.spans if s.kind in secrets.WEAK_KINDS] for r in secrets.secret_spans(docs_of(spark, texts), reach=400).collect()}
     assert got == {0: ["key_id", "secret_part"], 1: [], 2: [], 3: [], 4: ["endpoint", "secret_part"], 5: [], 6: [], 7: [], 8: ["key_id"], 9: ["secret_part"]}
 
 
