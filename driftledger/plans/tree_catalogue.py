@@ -1,7 +1,7 @@
 """Registered queries over file trees and documents made of part, customer and nation, and the SQL that checks them.
 
 Each row of part is a file: its place tells its type, rules on its key tell in which of two snapshots it is and whether it
-changed. Customers are the children of one document for each nation.
+changed. Customers are the children of one document for each forty.
 """
 
 from __future__ import annotations
@@ -233,19 +233,19 @@ def delta_of_forced_includes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta(new, new, R.Registry.of(spark, TYPES), options, first=S.empty_snapshot(spark)).elements
 
 
-# --- documents of customers, one for each nation
+# --- documents of customers, one for each forty
 
 _CUSTOMERS = """
-one as (select c_nationkey as n, c_custkey as k, 'A' || c_custkey as name, c_mktsegment as seg from customer),
+one as (select c_custkey // 40 as n, c_custkey as k, 'A' || c_custkey as name, c_mktsegment as seg from customer),
 o as (select * from one where k % 5 <> 0),
 w as (select n, k, name, case when k % 3 = 0 then seg || '!' else seg end as seg from one where k % 7 <> 0),
 b as (select coalesce(o.n, w.n) as n, coalesce(o.k, w.k) as k, coalesce(o.name, w.name) as name, w.seg, case when o.k is null then 'add' when w.k is null then 'delete' when o.seg <> w.seg then 'modify' end as kind from o full join w on o.k = w.k)
 """
 
 
-def nation_documents(spark: SparkSession, sf_dir: str, root: str, tag: str, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(old, new, blobs): an XML document for each nation with its customers as children, in order of their keys."""
-    one = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n"), F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("seg"))
+def customer_files(spark: SparkSession, sf_dir: str, root: str, tag: str, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(old, new, blobs): an XML document for each forty customers with these as children, in order of their keys."""
+    one = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 40).alias("n"), F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("seg"))
 
     def files(rows: DataFrame, seg: Column) -> DataFrame:
         child = F.concat(F.lit(f"<{tag}><fullName>A"), F.col("k").cast("string"), F.lit("</fullName><text>"), seg, F.lit(f"</text></{tag}>"))
@@ -264,7 +264,7 @@ _WORKFLOWS = ("Workflow", "alerts", "concat('src/workflows/W', n, '.workflow-met
 union all select distinct 'package', 'Workflow', 'W' || n, 'modify' from b where kind in ('add', 'modify')""")
 def handler_elements_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements inside changed documents, and the documents that have something left to send."""
-    return collected(spark, *nation_documents(spark, sf_dir, *_WORKFLOWS)).elements
+    return collected(spark, *customer_files(spark, sf_dir, *_WORKFLOWS)).elements
 
 
 @query(f"""with {_CUSTOMERS} select 'src/workflows/W' || n || '.workflow-meta.xml' as path, md5('<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<Workflow>' || chr(10) ||
@@ -272,21 +272,21 @@ def handler_elements_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame
 from b where kind in ('add', 'modify') group by n""")
 def pruned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are sent, with what changed in them alone."""
-    files = collected(spark, *nation_documents(spark, sf_dir, *_WORKFLOWS)).copies.where("kind = 'computed'")
+    files = collected(spark, *customer_files(spark, sf_dir, *_WORKFLOWS)).copies.where("kind = 'computed'")
     return files.select("path", F.md5("content").alias("digest"))
 
 
 @query(f"""with {_CUSTOMERS} select case kind when 'delete' then 'destructive' else 'package' end as target, 'CustomLabel' as type, name as member, kind as change_kind from b where kind is not null""")
 def handler_elements_of_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels inside changed documents stand for themselves."""
-    return collected(spark, *nation_documents(spark, sf_dir, "CustomLabels", "labels", "concat('src/labels/L', n, '.labels-meta.xml')")).elements
+    return collected(spark, *customer_files(spark, sf_dir, "CustomLabels", "labels", "concat('src/labels/L', n, '.labels-meta.xml')")).elements
 
 
 @query(f"""with {_CUSTOMERS} select 'src/workflows/W' || n || '.workflow-meta.xml' as doc, 'alerts' as tag, row_number() over (partition by n order by k) as pos,
     '{{"fullName": "' || name || '", "text": "' || seg || '"}}' as value from w""")
 def xml_root_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The children of each document's root, in order."""
-    _, new, blobs = nation_documents(spark, sf_dir, *_WORKFLOWS)
+    _, new, blobs = customer_files(spark, sf_dir, *_WORKFLOWS)
     docs = S.files_with_content(new, blobs, "src/workflows").select(F.col("path").alias("doc"), "content")
     return children_of(docs).where("pos > 0").select("doc", "tag", "pos", "value")
 
@@ -296,7 +296,7 @@ select true as lenient, n, count(*) as children, 0 as errors from r where n not
 union all select false, n, case when n in (select n from broken) then 0 else count(*) end, case when n in (select n from broken) then 1 else 0 end from r group by n""")
 def malformed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children and errors of documents of which a third end after two children and a half: read strictly and leniently."""
-    _, new, blobs = nation_documents(spark, sf_dir, "Workflow", "alerts", "concat('w/', n)")
+    _, new, blobs = customer_files(spark, sf_dir, "Workflow", "alerts", "concat('w/', n)")
     docs = S.files_with_content(new, blobs).select(F.expr("cast(substring(path, 3) as int)").alias("doc"), F.col("content").cast("string").alias("content"))
     short = F.expr("concat(substring_index(content, '</alerts>', 2), '</alerts><alerts><fullName>')")
     docs = docs.select("doc", F.when(F.col("doc") % 3 == 0, short).otherwise(F.col("content")).alias("content"))
@@ -311,7 +311,7 @@ select 'T' || n || '.translation-meta.xml' as doc, md5('<?xml version="1.0" enco
 from mixed where n in (select n from own) group by n""")
 def merged_flow_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flow definitions of packaged flows, behind those that the output already has."""
-    one = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n"), F.col("c_custkey").alias("k"))
+    one = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 40).alias("n"), F.col("c_custkey").alias("k"))
 
     def files(rows: DataFrame) -> DataFrame:
         child = F.concat(F.lit("<flowDefinitions><fullName>A"), F.col("k").cast("string"), F.lit("</fullName></flowDefinitions>"))
