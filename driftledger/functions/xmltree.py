@@ -34,21 +34,24 @@ def _closed(node: dict[str, Any]) -> Any:
     return {**node, "#text": text} if node else text
 
 
+def _put(parent: dict[str, Any], name: str, value: Any) -> None:
+    """Add a child or text to a node: several of one tag are a list, which grows in place, texts are joined."""
+    if name not in parent:
+        parent[name] = value
+    elif name == "#text":
+        parent[name] += value
+    elif isinstance(parent[name], list):
+        parent[name].append(value)
+    else:
+        parent[name] = [parent[name], value]
+
+
 def root_children(text: str) -> Iterator[tuple[str, Any]]:
     """(tag, value) for each child of the root, in order, as soon as it is complete; the root itself comes last as
     ("", {"name", "attributes"}). MalformedDocument at the first error, after the children before it."""
     stack: list[tuple[str, dict[str, Any]]] = []
     root, at = None, 0
 
-    def put(parent: dict[str, Any], name: str, value: Any) -> None:
-        if name in parent and name != "#text":
-            known = parent[name]
-            parent[name] = [*known, value] if isinstance(known, list) else [known, value]
-        elif name in parent:
-            parent[name] += value
-        else:
-            parent[name] = value
-
     for token in _TOKEN.finditer(text):
         between = text[at : token.start()].strip()
         at = token.end()
@@ -56,11 +59,11 @@ def root_children(text: str) -> Iterator[tuple[str, Any]]:
             if not stack or "<" in between:
                 raise MalformedDocument(f"unexpected text before position {token.start()}")
             if len(stack) > 1:
-                put(stack[-1][1], "#text", between)
+                _put(stack[-1][1], "#text", between)
         comment, data, instruction, declaration, closing, name, attributes, empty = token.groups()
         if comment is not None or data is not None:
             if len(stack) > 1:
-                put(stack[-1][1], "#comment" if data is None else "#text", comment if data is None else data)
+                _put(stack[-1][1], "#comment" if data is None else "#text", comment if data is None else data)
             elif comment is not None and stack:
                 yield "#comment", comment
             continue
@@ -73,7 +76,7 @@ def root_children(text: str) -> Iterator[tuple[str, Any]]:
             if len(stack) == 1:
                 yield name, _closed(node)
             elif stack:
-                put(stack[-1][1], name, _closed(node))
+                _put(stack[-1][1], name, _closed(node))
             continue
         if not stack and root is not None:
             raise MalformedDocument("a second root")
@@ -85,7 +88,7 @@ def root_children(text: str) -> Iterator[tuple[str, Any]]:
         elif len(stack) == 1:
             yield name, node
         elif stack:
-            put(stack[-1][1], name, node)
+            _put(stack[-1][1], name, node)
     if stack or root is None or text[at:].strip():
         raise MalformedDocument("the document ends early" if stack or root is None else "text after the root")
     yield "", root
@@ -118,6 +121,32 @@ def children_of(docs: DataFrame, lenient: bool = False) -> DataFrame:
     return docs.select("doc", F.col("content").cast("string").alias("content")).mapInPandas(parse, f"doc {kind}, tag string, pos long, value string, error string")
 
 
+def whole_document(text: str | None) -> dict[str, Any]:
+    """A document as one value: its root's name, and under it the attributes and children; {} where it isn't one well-formed
+    element, is empty or null."""
+    try:
+        node: dict[str, Any] = {}
+        for tag, value in root_children(text or ""):
+            if tag:
+                _put(node, tag, value)
+            else:
+                node = {value["name"]: {**value["attributes"], **node}}
+        return node
+    except MalformedDocument:
+        return {}
+
+
+def whole_documents(docs: DataFrame) -> DataFrame:
+    """(doc, value) of docs (doc, content): each document as whole_document has it, as JSON."""
+    kind = docs.schema["doc"].dataType.simpleString()
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"doc": frame["doc"], "value": [json.dumps(whole_document(c), ensure_ascii=False) for c in frame["content"]]})
+
+    return docs.select("doc", F.col("content").cast("string").alias("content")).mapInPandas(parse, f"doc {kind}, value string")
+
+
 #: What the characters that mark-up is made of are written as.
 ENTITIES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"))
 

@@ -15,6 +15,7 @@ from ..functions import paths as P
 from ..functions.lineage import shared_folder
 from ..functions.rules import parse_rules
 from ..functions.xmltree import children_of
+from ..functions.xmltree import whole_documents as xml_whole
 from ..operators import changeset as C
 from ..operators import collectors, copies, handlers
 from ..operators import diff as D
@@ -304,6 +305,19 @@ def malformed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts(True).unionByName(counts(False))
 
 
+@query(f"""with {_CUSTOMERS}
+select n, n % 3 = 0 as malformed, case when n % 3 = 0 then 0 else count(*) end as children, case when n % 3 <> 0 then min_by(name, k) end as first from w group by n""")
+def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as one value each, of which a third lack their end and are empty objects."""
+    _, new, blobs = customer_files(spark, sf_dir, "Workflow", "alerts", "concat('w/', n)")
+    docs = S.files_with_content(new, blobs).select(F.expr("cast(substring(path, 3) as bigint)").alias("doc"), F.col("content").cast("string").alias("content"))
+    docs = docs.select("doc", F.when(F.col("doc") % 3 == 0, F.expr("substring(content, 1, length(content) - 4)")).otherwise(F.col("content")).alias("content"))
+    alerts = F.get_json_object("value", "$.Workflow.alerts")
+    first = F.coalesce(F.get_json_object("value", "$.Workflow.alerts[0].fullName"), F.get_json_object("value", "$.Workflow.alerts.fullName"))
+    many = F.when(alerts.startswith("["), F.json_array_length(alerts).cast("long")).when(alerts.isNotNull(), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+    return xml_whole(docs).select(F.col("doc").alias("n"), (F.col("value") == "{}").alias("malformed"), many.alias("children"), first.alias("first"))
+
+
 @query(f"""with {_CUSTOMERS}, own as (select n, name, k from w where k % 2 = 0), known as (select n, name, k from o where k % 4 = 0), mixed as (
     select n, name, k, 0 as late from known union all select n, name, k, 1 from own where not exists (select 1 from known where known.n = own.n and known.name = own.name))
 select 'T' || n || '.translation-meta.xml' as doc, md5('<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || case when n in (select n from known) then '<Translations>' else '<Translations xmlns="http://soap.sforce.com/2006/04/metadata">' end || chr(10) ||

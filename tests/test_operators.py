@@ -352,3 +352,14 @@ def test_a_star_is_no_empty_name(spark):
     rules = parse_rules("a/*\n!a/keep\nb/**\n")
     paths = spark.createDataFrame([("a/keep",), ("a/x",), ("a/keep/y",), ("a",), ("b/c/d",), ("b",), ("aa/x",)], "path string")
     assert {r.path for r in paths.where(ignored(F.col("path"), rules)).collect()} == {"a/x", "b/c/d"}
+
+
+def test_whole_documents(spark):
+    from driftledger.functions.xmltree import whole_document, whole_documents
+
+    assert whole_document("<a x='1'><b>1</b><b>2</b><c><d/></c></a>") == {"a": {"@_x": "1", "b": ["1", "2"], "c": {"d": {}}}}
+    assert whole_document("<a/>") == {"a": {}}
+    for broken in (None, "", " ", "text", "<a>", "<a></b>", "<a/><b/>", "<a><b></a></b>", "<a>" + "<b/>" * 3):
+        assert whole_document(broken) == {}
+    docs = spark.createDataFrame([(1, "<a><b>é</b></a>"), (2, "<a"), (3, None)], "doc long, content string")
+    assert sorted(map(tuple, whole_documents(docs).collect())) == [(1, '{"a": {"b": "é"}}'), (2, "{}"), (3, "{}")]
