@@ -276,11 +276,11 @@ def content_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SPACED = """
-both as (
+pair as (
     select doc_id, text as a, case doc_id % 4 when 0 then text || ' x' when 1 then replace(text, ' ', chr(10)) else replace(replace(text, chr(10), ' ' || chr(10) || chr(9) || chr(10)), ' ', '  ') end as b
     from documents where doc_id is not null and text <> ''
 ),
-lines as (select doc_id, a, b, list_transform([a, b], lambda t: list_filter(list_transform(string_split(t, chr(10)), lambda l: translate(l, chr(9) || chr(11) || chr(12) || chr(13) || ' ', '')), lambda l: l <> '')) as x from both)
+lines as (select doc_id, a, b, list_transform([a, b], lambda t: list_filter(list_transform(string_split(t, chr(10)), lambda l: translate(l, chr(9) || chr(11) || chr(12) || chr(13) || ' ', '')), lambda l: l <> '')) as x from pair)
 """
 
 
