@@ -26,9 +26,10 @@ def existing_paths(snapshot: DataFrame, asked: DataFrame | None = None) -> DataF
 
 def with_existence(rows: DataFrame, snapshot: DataFrame, path: str, name: str = "exists") -> DataFrame:
     """rows with whether the snapshot has the row's path, as a file or as a directory with something in it. The snapshot's
-    directories meet the asked paths before they are made distinct."""
+    directories meet the asked paths before they are made distinct; what is found is shuffled to the rows, as its size is only known
+    by its compressed files'."""
     asked = rows.select(F.col(path).alias("_path")).where("_path is not null").distinct()
-    there = existing_paths(snapshot, asked).withColumn("_there", F.lit(True))
+    there = existing_paths(snapshot, asked).withColumn("_there", F.lit(True)).hint("merge")
     return rows.join(there, rows[path] == there["_path"], "left").withColumn(name, F.coalesce("_there", F.lit(False))).drop("_path", "_there")
 
 

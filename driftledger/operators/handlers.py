@@ -34,6 +34,12 @@ class Outcome:
     warnings: DataFrame
 
 
+def _met(rows: DataFrame) -> DataFrame:
+    """rows that are joined by a shuffle. Spark would guess by the size of their compressed files that they can be sent to all tasks,
+    but a file's row becomes one for each directory above it: the driver would have to hold them."""
+    return rows.hint("merge")
+
+
 def _first(text: Column, old: Column, new: str = "") -> Column:
     """text with the first occurrence of old replaced."""
     at = F.position(old, text)
@@ -58,7 +64,7 @@ def _walked_up(rows: DataFrame, snapshots: DataFrame, registry: Registry) -> Dat
     """(gone, path, walked): for paths outside their type's directory, the name that a sibling of the nearest directory above
     has in common with the path."""
     above = rows.select("gone", "path", F.explode(P.ancestors(F.col("path"))).alias("dir")).distinct()
-    near = _siblings(snapshots).join(above.select("gone", "dir").distinct(), ["gone", "dir"], "left_semi").distinct()
+    near = _met(_siblings(snapshots).join(above.select("gone", "dir").distinct(), ["gone", "dir"], "left_semi").distinct())
     named = lookup(near.select(F.col("sibling").alias("path")).distinct(), registry).join(F.broadcast(registry.types.select("type", "suffix")), "type")
     named = named.where(F.col("suffix").isNotNull() & F.contains("path", F.concat(F.lit("."), F.col("suffix"))))
     named = named.select(F.col("path").alias("sibling"), _first(_first(F.col("path"), F.lit(P.META_SUFFIX)), F.concat(F.lit("."), F.col("suffix"))).alias("name"))
@@ -88,8 +94,8 @@ def describe(changes: DataFrame, registry: Registry, old: DataFrame | None, new:
     # deletions ask the old snapshot, all else the new one
     sides = [s.select("path", F.lit(gone).alias("gone")) for s, gone in ((old, True), (new, False)) if s is not None]
     if sides:
-        snapshots = reduce(DataFrame.unionByName, sides)
-        deep = E.innermost_component(df.where("_deep").select("gone", "path", "type_dir").distinct(), E.component_names(snapshots, suffixes, ["gone"]), ["gone"]).drop("type_dir")
+        snapshots = _met(reduce(DataFrame.unionByName, sides))
+        deep = E.innermost_component(_met(df).where("_deep").select("gone", "path", "type_dir").distinct(), E.component_names(snapshots, suffixes, ["gone"]), ["gone"]).drop("type_dir")
         df = df.join(deep, ["gone", "path"], "left").join(_walked_up(df.where("_outside"), snapshots, registry), ["gone", "path"], "left")
     else:
         df = df.withColumn("component", F.col("file_stem")).withColumn("walked", F.lit(None).cast("string"))
@@ -171,6 +177,7 @@ def collect(changes: DataFrame, registry: Registry, old: DataFrame | None, new:
     old, new: the snapshots (path, oid), None for one that can't be read; blobs: (oid, content), needed for changes inside
     documents and for questions about contents; copies: whether to list the files to copy.
     """
+    old, new, blobs = (None if rows is None else _met(rows) for rows in (old, new, blobs))
     df = describe(changes, registry, old, new).where("processable and element_type is not null").withColumn("seq", F.xxhash64("path"))
     inner, plain = df.where(_diffed()), df.where(~_diffed())
     # what still exists of a deleted component is sent again
@@ -260,7 +267,7 @@ def _copies(sent: DataFrame, new: DataFrame | None, blobs: DataFrame | None) ->
         whole = sent.where(h.isin("in_resource", "lwc", "in_bundle")).select("seq", F.col("component_path").alias("_dir"))
         node = F.explode(F.concat(P.ancestors(F.col("path")), F.array("path")))
         beside = new.select(F.col("path").alias("file"), node.alias("node")).select("file", F.explode(_before_dots(F.col("node"))).alias("_dir"))
-        own = under.unionByName(beside).join(whole, "_dir").select(F.col("file").alias("path"), F.lit("file").alias("kind"), "seq")
+        own = _met(under.unionByName(beside)).join(whole, "_dir").select(F.col("file").alias("path"), F.lit("file").alias("kind"), "seq")
         out = out.unionByName(own)
         # files below the folder of one in a folder that have its name in their path: of each file the parts that are as long
         # as one of the folder's names, so that no folder's files meet all its names
@@ -269,7 +276,7 @@ def _copies(sent: DataFrame, new: DataFrame | None, blobs: DataFrame | None) ->
         parts = under.join(lengths, "_dir").select("file", "_dir", F.explode("_lengths").alias("n"))
         places = F.transform(F.sequence(F.lit(1), F.greatest(F.length("file") - F.col("n") + 1, F.lit(1))), lambda k: F.substring("file", k, F.col("n")))
         parts = parts.select("file", "_dir", F.explode(F.array_distinct(places)).alias("_name"))
-        out = out.unionByName(parts.join(near, ["_dir", "_name"]).select(F.col("file").alias("path"), F.lit("file").alias("kind"), "seq"))
+        out = out.unionByName(parts.join(_met(near), ["_dir", "_name"]).select(F.col("file").alias("path"), F.lit("file").alias("kind"), "seq"))
         if blobs is not None:
             detail = lambda rows: rows.join(blobs, "oid").where(F.contains(F.col("content").cast("string"), F.lit(MASTER_DETAIL)))
             fields = sent.where("handler = 'custom_field' and parent_suffix is not null").select("seq", F.col("base_path").alias("path"), parent_file.alias("parent"))
