@@ -246,6 +246,11 @@ def _copies(sent: DataFrame, new: DataFrame | None, blobs: DataFrame | None) ->
         own = F.when(h.isin("shared_folder", "bot"), F.concat(path, meta)).otherwise(beside)
         return F.when(F.col("meta_file") & ~path.endswith(P.META_SUFFIX) & ~h.isin(*_BUNDLES), own)
 
+    def firsts(asking: DataFrame) -> DataFrame:
+        """asking with equal rows as one, by the first seq: of copies to one path the first wins, so that a bundle's files are listed
+        once and not for each of its changes."""
+        return asking.groupBy(*[c for c in asking.columns if c != "seq"]).agg(F.min("seq").alias("seq"))
+
     def both(path: Column) -> list[Column]:
         return [path, companion(path)]
 
@@ -264,14 +269,14 @@ def _copies(sent: DataFrame, new: DataFrame | None, blobs: DataFrame | None) ->
     if new is not None:
         under = new.select(F.col("path").alias("file"), F.explode(P.ancestors(F.col("path"))).alias("_dir"))
         # files of a bundle: below its folder, or beside it with its name and a dot
-        whole = sent.where(h.isin("in_resource", "lwc", "in_bundle")).select("seq", F.col("component_path").alias("_dir"))
+        whole = firsts(sent.where(h.isin("in_resource", "lwc", "in_bundle")).select("seq", F.col("component_path").alias("_dir")))
         node = F.explode(F.concat(P.ancestors(F.col("path")), F.array("path")))
         beside = new.select(F.col("path").alias("file"), node.alias("node")).select("file", F.explode(_before_dots(F.col("node"))).alias("_dir"))
         own = _met(under.unionByName(beside)).join(whole, "_dir").select(F.col("file").alias("path"), F.lit("file").alias("kind"), "seq")
         out = out.unionByName(own)
         # files below the folder of one in a folder that have its name in their path: of each file the parts that are as long
         # as one of the folder's names, so that no folder's files meet all its names
-        near = sent.where(h.isin("in_folder", "reporting_folder")).select("seq", F.col("dir").alias("_dir"), P.stem(F.col("base")).alias("_name"))
+        near = firsts(sent.where(h.isin("in_folder", "reporting_folder")).select("seq", F.col("dir").alias("_dir"), P.stem(F.col("base")).alias("_name")))
         lengths = near.groupBy("_dir").agg(F.collect_set(F.length("_name")).alias("_lengths"))
         parts = under.join(lengths, "_dir").select("file", "_dir", F.explode("_lengths").alias("n"))
         places = F.transform(F.sequence(F.lit(1), F.greatest(F.length("file") - F.col("n") + 1, F.lit(1))), lambda k: F.substring("file", k, F.col("n")))
@@ -281,7 +286,7 @@ def _copies(sent: DataFrame, new: DataFrame | None, blobs: DataFrame | None) ->
             detail = lambda rows: rows.join(blobs, "oid").where(F.contains(F.col("content").cast("string"), F.lit(MASTER_DETAIL)))
             fields = sent.where("handler = 'custom_field' and parent_suffix is not null").select("seq", F.col("base_path").alias("path"), parent_file.alias("parent"))
             out = out.unionByName(detail(fields.join(new.select("path", "oid"), "path")).select(F.col("parent").alias("path"), F.lit("file").alias("kind"), "seq"))
-            objects = sent.where("handler = 'custom_object' and type = 'CustomObject'").select("seq", F.concat_ws("/", "dir", F.lit("fields")).alias("_dir"))
+            objects = firsts(sent.where("handler = 'custom_object' and type = 'CustomObject'").select("seq", F.concat_ws("/", "dir", F.lit("fields")).alias("_dir")))
             files = under.join(objects, "_dir").join(new.select(F.col("path").alias("file"), "oid"), "file")
             out = out.unionByName(detail(files).select(F.col("file").alias("path"), F.lit("file").alias("kind"), "seq"))
     return out.distinct().withColumn("content", F.lit(None).cast("binary"))

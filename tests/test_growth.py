@@ -25,3 +25,14 @@ def test_copies_broadcast_no_snapshot(spark, tmp_path):
     copies = Q.collected(spark, new.where("false"), new, blobs).copies.where("kind = 'file'")
     assert "BroadcastExchange" not in plan_of(copies)
     assert {r.path for r in copies.select("path").collect()} == {r.path for r in new.collect()}
+
+
+def test_files_of_a_bundle_are_listed_once_for_all_its_changes(spark):
+    """Fifty changed files of one bundle beside fifty others: not fifty rows for each of the hundred, and the first copy as before."""
+    rows = [(f"src/lwc/b/f{k}.js", str(k), "100644") for k in range(100)]
+    new = spark.createDataFrame(rows, SNAPSHOT)
+    copies = Q.collected(spark, new.where("cast(oid as int) >= 50"), new).copies.cache()
+    assert copies.count() <= 200 and copies.select("path").distinct().count() == 100
+    first = copies.groupBy("path").agg(F.min("seq").alias("seq"))
+    least = min(r[0] for r in new.where("cast(oid as int) < 50").select(F.xxhash64("path")).collect())
+    assert {r.seq for r in first.collect()} == {least}
