@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.lineage import cut
 from ..functions.paths import base_name, dir_name
@@ -136,51 +137,85 @@ def flatten(trees: DataFrame, root: str | None) -> DataFrame:
 @dataclass
 class Chains:
     """A history cut into chains of first parents. nodes: (id, chain, place), place 0 at the end that is nearest to a root; edges:
-    (chain, place, to_chain, to_place), from a commit to those parents that don't follow it in its chain."""
+    (chain, place, to_chain, to_place, road, mile), from a commit to those parents that don't follow it in its chain. Edges stand in
+    line on roads: what is before an edge on its road, of lower miles, can be taken once the edge was."""
 
     nodes: DataFrame
     edges: DataFrame
     rounds: int
 
 
-def chains(commits: DataFrame) -> Chains:
-    """The chains of a history, by pointer doubling: each commit's pointer skips 1, 2, 4 ... first parents, so that a chain of n
-    commits takes about log2(n) rounds, each of as many rows as there are commits. Parents that aren't commits are passed over."""
-    known = commits.select("id", F.coalesce("parents", F.array().cast("array<string>")).alias("parents"))
-    edges = known.select("id", F.posexplode("parents").alias("nth", "parent")).join(known.select(F.col("id").alias("parent")), "parent", "left_semi")
-    edges = cut(edges.groupBy("id", "parent").agg(F.min("nth").alias("nth")))
-    first = edges.groupBy("id").agg(F.min_by("parent", "nth").alias("parent"))
-    # of the commits with one first parent, one continues its chain
-    heirs = first.groupBy("parent").agg(F.min("id").alias("id"))
-    step = known.select("id").join(heirs.select("id", "parent"), "id", "left")
-    now = cut(step.select("id", F.coalesce("parent", "id").alias("end"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("place")))
+def _lined(links: DataFrame) -> tuple[DataFrame, int]:
+    """((id, end, place), rounds) of links (id, next), in which no two ids have the same next: where each id's line ends and how many
+    steps away, by pointer doubling. A line of n takes about log2(n) rounds, each of as many rows as there are ids."""
+    now = cut(links.select("id", F.coalesce("next", "id").alias("end"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("place")))
     rounds = 0
     while True:
         rounds += 1
         far = now.select(F.col("id").alias("end"), F.col("end").alias("further"), F.col("place").alias("more"))
         after = cut(now.join(far, "end").select("id", F.col("further").alias("end"), (F.col("place") + F.col("more")).alias("place"), (F.col("more") > 0).alias("moved")))
         if not after.agg(F.max("moved")).first()[0]:
-            break
+            return now, rounds
         now = after.drop("moved")
+
+
+def _heirs(wanted: DataFrame) -> DataFrame:
+    """(id, next) of wanted (id, next): of the ids that have one next only the least keeps it."""
+    return wanted.groupBy("next").agg(F.min("id").alias("id"))
+
+
+def _roads(edges: DataFrame, parts: int = 64) -> DataFrame:
+    """(edge, road, mile) of edges (edge, chain, place, to_chain, to_place): from where an edge leads, one goes on by the nearest edge
+    that leaves the chain there or below.
+
+    That edge is sought over ranges of chains and places, and what earlier ranges hold of the chain is added, so that a chain with
+    many merges is dealt to many tasks.
+    """
+    leave = edges.groupBy("chain", "place").agg(F.min("edge").alias("leaves")).select("chain", "place", F.lit(0).alias("kind"), "leaves", F.lit(None).cast("long").alias("edge"))
+    come = edges.select(F.col("to_chain").alias("chain"), F.col("to_place").alias("place"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("leaves"), "edge")
+    placed = cut(leave.unionByName(come).repartitionByRange(parts, "chain", "place", "kind").withColumn("_part", F.spark_partition_id()))
+    own = placed.withColumn("_own", F.last("leaves", True).over(W.partitionBy("_part", "chain").orderBy("place", "kind").rowsBetween(W.unboundedPreceding, 0)))
+    before = F.last("_last", True).over(W.partitionBy("chain").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    ends = placed.groupBy("chain", "_part").agg(F.max_by("leaves", F.when(F.col("leaves").isNotNull(), F.col("place"))).alias("_last")).withColumn("_before", before)
+    nearest = own.where("kind = 1").join(ends.select("chain", "_part", "_before"), ["chain", "_part"]).select(F.col("edge").alias("id"), F.coalesce("_own", "_before").alias("next"))
+    links = edges.select(F.col("edge").alias("id")).join(_heirs(nearest.where("next is not null")), "id", "left")
+    return _lined(links)[0].select(F.col("id").alias("edge"), F.col("end").alias("road"), F.col("place").alias("mile"))
+
+
+def chains(commits: DataFrame) -> Chains:
+    """The chains of a history and the roads of the edges between them. Parents that aren't commits are passed over."""
+    known = commits.select("id", F.coalesce("parents", F.array().cast("array<string>")).alias("parents"))
+    edges = known.select("id", F.posexplode("parents").alias("nth", "parent")).join(known.select(F.col("id").alias("parent")), "parent", "left_semi")
+    edges = cut(edges.groupBy("id", "parent").agg(F.min("nth").alias("nth")))
+    first = edges.groupBy("id").agg(F.min_by("parent", "nth").alias("next"))
+    # of the commits with one first parent, one continues its chain
+    now, rounds = _lined(known.select("id").join(_heirs(first), "id", "left"))
     nodes = now.select("id", F.col("end").alias("chain"), "place")
     to = nodes.select(F.col("id").alias("parent"), F.col("chain").alias("to_chain"), F.col("place").alias("to_place"))
     across = edges.join(nodes, "id").join(to, "parent").where("chain <> to_chain or place <> to_place + 1")
-    return Chains(nodes, cut(across.select("chain", "place", "to_chain", "to_place")), rounds)
+    across = cut(across.select("chain", "place", "to_chain", "to_place", F.monotonically_increasing_id().alias("edge")))
+    return Chains(nodes, cut(across.join(_roads(across), "edge").drop("edge")), rounds)
 
 
-def ancestors(of: Chains, starts: DataFrame) -> DataFrame:
+def ancestors(of: Chains, starts: DataFrame, rounds: list[int] | None = None) -> DataFrame:
     """(start, id): the commits that each of the starts (id) descends from, itself included.
 
-    What is reached of a chain is all below a place, so that a round carries a row for each start and chain: its highest place. The
-    rounds are as many as chains must be changed on the way, not as there are generations.
+    What is reached of a chain is all below a place, and of a road all before a mile, so that a round carries a row for each start and
+    chain: its highest place. The rounds are as many as one must turn between chains and roads on the way, not as there are
+    generations or chains; their number is appended to rounds.
     """
     reached = frontier = cut(starts.select(F.col("id").alias("start")).distinct().join(of.nodes, F.col("start") == F.col("id")).select("start", "chain", "place"))
+    taken = 0
     while not frontier.isEmpty():
+        taken += 1
         over = frontier.select("start", "chain", F.col("place").alias("top")).join(of.edges, "chain").where("place <= top")
-        further = over.groupBy("start", F.col("to_chain").alias("chain")).agg(F.max("to_place").alias("place"))
+        roads = over.groupBy("start", "road").agg(F.max("mile").alias("most"))
+        further = roads.join(of.edges, "road").where("mile <= most").groupBy("start", F.col("to_chain").alias("chain")).agg(F.max("to_place").alias("place"))
         before = reached.withColumnRenamed("place", "known")
         frontier = cut(further.join(before, ["start", "chain"], "left").where("known is null or place > known").select("start", "chain", "place"))
         reached = cut(reached.unionByName(frontier).groupBy("start", "chain").agg(F.max("place").alias("place")))
+    if rounds is not None:
+        rounds.append(taken)
     top = reached.withColumnRenamed("place", "top")
     return of.nodes.join(top, "chain").where("place <= top").select("start", "id")
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from driftledger.operators import trees as T
 from driftledger.plans import catalogue  # noqa: F401  its end loads the others
 from driftledger.plans import tree_catalogue as Q
 
@@ -36,3 +37,21 @@ def test_files_of_a_bundle_are_listed_once_for_all_its_changes(spark):
     first = copies.groupBy("path").agg(F.min("seq").alias("seq"))
     least = min(r[0] for r in new.where("cast(oid as int) < 50").select(F.xxhash64("path")).collect())
     assert {r.seq for r in first.collect()} == {least}
+
+
+def test_merges_far_back_take_few_rounds(spark):
+    """Sixty histories of 400 commits, of which some merge the one before: not a round for each."""
+    n = 24_000
+    k = F.col("id")
+    parents = F.when(k % 400 == 1, F.array().cast("array<long>")).when(k % 100 == 7, F.array(k - 1, k - 390)).otherwise(F.array(k - 1))
+    commits = spark.range(n).select(k.cast("string").alias("id"), parents.cast("array<string>").alias("parents"))
+    rounds = []
+    got = T.ancestors(T.chains(commits), spark.createDataFrame([(str(n - 1),)], "id string"), rounds)
+    seen, todo = set(), [n - 1]
+    while todo:
+        c = todo.pop()
+        if 0 <= c < n and c not in seen:
+            seen.add(c)
+            todo += [] if c % 400 == 1 else [c - 1, c - 390] if c % 100 == 7 else [c - 1]
+    assert sorted(int(r.id) for r in got.collect()) == sorted(seen)
+    assert rounds[0] <= 4
