@@ -220,11 +220,11 @@ def ancestors(of: Chains, starts: DataFrame, rounds: list[int] | None = None) ->
     return of.nodes.join(top, "chain").where("place <= top").select("start", "id")
 
 
-def best_common_ancestors(commits: DataFrame, one: str, other: str, of: Chains | None = None) -> DataFrame:
+def best_common_ancestors(commits: DataFrame, one: str, other: str, of: Chains | None = None, rounds: list[int] | None = None) -> DataFrame:
     """(id): the common commits of two that no other common commit descends from; several in criss-cross histories, none where
-    the two have nothing in common."""
+    the two have nothing in common. rounds: as of ancestors."""
     spark = commits.sparkSession
-    found = ancestors(of or chains(commits), spark.createDataFrame([(one,), (other,)], "id string"))
+    found = ancestors(of or chains(commits), spark.createDataFrame([(one,), (other,)], "id string"), rounds)
     common = cut(found.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == (1 if one == other else 2)).select("id"))
     # the way from a common commit to one before it is all common: it begins with a parent
     parents = commits.join(common, "id", "left_semi").select(F.explode("parents").alias("id"))

@@ -55,3 +55,24 @@ def test_merges_far_back_take_few_rounds(spark):
             todo += [] if c % 400 == 1 else [c - 1, c - 390] if c % 100 == 7 else [c - 1]
     assert sorted(int(r.id) for r in got.collect()) == sorted(seen)
     assert rounds[0] <= 4
+
+
+def test_common_ancestors_of_merges_far_back_take_few_rounds(spark):
+    """The same histories: what the last commit and one of the history before have in common at best."""
+    n, k = 8_000, F.col("id")
+    parents = lambda c: [] if c % 400 == 1 else [c - 1, c - 390] if c % 100 == 7 else [c - 1]
+    commits = spark.createDataFrame([(str(c), [str(p) for p in parents(c)]) for c in range(n)], "id string, parents array<string>")
+
+    def reach(todo):
+        seen = set()
+        while todo:
+            c = todo.pop()
+            if 0 <= c < n and c not in seen:
+                seen.add(c)
+                todo += parents(c)
+        return seen
+
+    both, rounds = reach([n - 1]) & reach([n - 401]), []
+    got = T.best_common_ancestors(commits, str(n - 1), str(n - 401), rounds=rounds)
+    assert {int(r.id) for r in got.collect()} == both - {p for c in both for p in parents(c)}
+    assert rounds[0] <= 4
