@@ -92,12 +92,12 @@ def exact_renames(changes: DataFrame) -> DataFrame:
     return one.unionByName(side("from_path").join(side("to_path"), ["oid", "n"]).select("from_path", "to_path", F.lit(100).alias("similarity")))
 
 
-def similar_renames(changes: DataFrame, old: DataFrame, new: DataFrame, least: int = 50, bands: int = 40, rounds: list[int] | None = None) -> DataFrame:
+def similar_renames(changes: DataFrame, old: DataFrame, new: DataFrame, least: int = 50, rounds: list[int] | None = None) -> DataFrame:
     """(from_path, to_path, similarity): further pairs whose lines agree to `least` percent or more, each path in one pair.
 
-    old, new: path, content. Paths with the same lines are one group. Candidates share a band of two minima of line hashes, so
-    that about 99 in 100 pairs at 50 % (whose Jaccard similarity is a third) are found; similarity is then computed from the lines,
-    counted once each. Pairs of groups are taken from the most similar down, equal ones in an order drawn by hash, in which rounds
+    old, new: path, content. Paths with the same lines are one group. Candidates are all that can be similar enough: of the m lines
+    that a group has in common with any of the other side, t must agree, so that two similar ones meet among the m - t + 1 of these that
+    the fewest pairs have. Similarity is then computed from the lines, counted once each. Pairs of groups are taken from the most similar down, equal ones in an order drawn by hash, in which rounds
     of what is the best of both its groups are few (about the logarithm of the pairs; appended to rounds); a pair of groups takes
     as many pairs of paths as the smaller one has, in order of the paths. Exact renames are to be taken out before.
     """
@@ -110,10 +110,19 @@ def similar_renames(changes: DataFrame, old: DataFrame, new: DataFrame, least: i
         groups = hashed.groupBy("group").agg(F.first("lines").alias("lines"), F.count("*").alias("n"))
         return hashed.select("path", "group"), cut(groups.select(F.col("group").alias(side), "lines", "n"))
 
-    least_of = lambda k: F.array_min(F.transform("lines", lambda h: F.xxhash64(h, F.lit(k))))
-    banded = lambda df, side: df.select(side, F.explode(F.array(*[F.xxhash64(F.lit(b), least_of(2 * b), least_of(2 * b + 1)) for b in range(bands)])).alias("band"))
     (from_paths, gone), (to_paths, come) = sketched("D", old, "f"), sketched("A", new, "t")
-    pairs = banded(gone, "f").join(banded(come, "t"), "band").select("f", "t").distinct()
+    lines_of = lambda df, side: df.select(side, F.explode("lines").alias("line"))
+    held = lambda df, side: lines_of(df, side).groupBy("line").agg(F.count("*").alias(f"{side}_n"))
+    common = cut(held(gone, "f").join(held(come, "t"), "line").select("line", (F.col("f_n") * F.col("t_n")).alias("w")))
+
+    def rarest(groups: DataFrame, side: str) -> DataFrame:
+        """(side, line): the lines that a group meets similar ones by."""
+        shared = lines_of(groups, side).join(common.hint("merge"), "line").groupBy(side).agg(F.sort_array(F.collect_list(F.struct("w", "line"))).alias("met"))
+        agree = F.greatest(F.ceil(F.size("lines") * least / 100), F.lit(1)).cast("int")
+        sure = shared.join(groups.select(side, agree.alias("agree")), side).withColumn("asked", F.size("met") - F.col("agree") + 1).where("asked > 0")
+        return sure.select(side, F.explode(F.slice("met", F.lit(1), F.col("asked"))["line"]).alias("line"))
+
+    pairs = rarest(gone, "f").join(rarest(come, "t"), "line").select("f", "t").distinct()
     pairs = pairs.join(gone.select("f", F.col("lines").alias("_a")), "f").join(come.select("t", F.col("lines").alias("_b")), "t")
     score = F.floor(100 * F.size(F.array_intersect("_a", "_b")) / F.greatest(F.size("_a"), F.size("_b"))).cast("int")
     left = cut(pairs.select("f", "t", score.alias("similarity")).where(F.col("similarity") >= least).withColumn("draw", F.md5(F.concat("f", "t"))))

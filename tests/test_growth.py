@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from driftledger.operators import diff as D
 from driftledger.operators import trees as T
 from driftledger.plans import catalogue  # noqa: F401  its end loads the others
 from driftledger.plans import tree_catalogue as Q
@@ -76,3 +77,12 @@ def test_common_ancestors_of_merges_far_back_take_few_rounds(spark):
     got = T.best_common_ancestors(commits, str(n - 1), str(n - 401), rounds=rounds)
     assert {int(r.id) for r in got.collect()} == both - {p for c in both for p in parents(c)}
     assert rounds[0] <= 4
+
+
+def test_every_similar_rename_is_found(spark):
+    """Pairs that agree in just half of their lines, 4,000 of them: bands of hashes miss some."""
+    of = lambda side, edited: spark.range(4000).select(F.concat(F.lit(side), F.col("id").cast("string")).alias("path"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.concat(F.col("id").cast("string"), F.lit(" line "), i.cast("string"), F.when(i <= 6, edited).otherwise(""))), "\n").alias("content"))
+    old, new = of("d/", ""), of("a/", " edited")
+    changes = old.selectExpr("path", "'D' as status").unionByName(new.selectExpr("path", "'A' as status"))
+    got = D.similar_renames(changes, old, new)
+    assert {tuple(r) for r in got.collect()} == {(f"d/{k}", f"a/{k}", 50) for k in range(4000)}
