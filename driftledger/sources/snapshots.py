@@ -60,12 +60,15 @@ def scoped(snapshot: DataFrame, scopes: Iterable[str]) -> DataFrame:
 def with_lfs(blobs: DataFrame, objects: DataFrame) -> DataFrame:
     """blobs with each large-file pointer replaced by its object. objects: (sha256, content).
 
-    A pointer without a well-formed id, or to an object that isn't there, stays as it is.
+    A pointer without a well-formed id, or to an object that isn't there, stays as it is. Only pointers are shuffled: contents that
+    are none stay where they are read, and don't meet in one task for want of an id.
     """
     head = F.substring(F.col("content"), 1, 1024).cast("string")
     pointed = F.when(head.startswith(LFS_MAGIC), F.nullif(F.regexp_extract(head, r"(?m)^oid sha256:([a-f0-9]{64})\s*$", 1), F.lit("")))
     own = objects.select(F.col("sha256").alias("_id"), F.col("content").alias("_object"))
-    return blobs.withColumn("_id", pointed).join(own, "_id", "left").select("oid", F.coalesce("_object", "content").alias("content"))
+    known = blobs.select("oid", "content", pointed.alias("_id"))
+    found = known.where("_id is not null").join(own, "_id", "left").select("oid", F.coalesce("_object", "content").alias("content"))
+    return found.unionByName(known.where("_id is null").select("oid", "content"))
 
 
 def files_with_content(snapshot: DataFrame, blobs: DataFrame, directory: str = ".") -> DataFrame:

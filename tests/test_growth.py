@@ -6,6 +6,7 @@ from driftledger.operators import diff as D
 from driftledger.operators import trees as T
 from driftledger.plans import catalogue  # noqa: F401  its end loads the others
 from driftledger.plans import tree_catalogue as Q
+from driftledger.sources import snapshots as S
 
 SNAPSHOT = "path string, oid string, mode string"
 
@@ -86,3 +87,12 @@ def test_every_similar_rename_is_found(spark):
     changes = old.selectExpr("path", "'D' as status").unionByName(new.selectExpr("path", "'A' as status"))
     got = D.similar_renames(changes, old, new)
     assert {tuple(r) for r in got.collect()} == {(f"d/{k}", f"a/{k}", 50) for k in range(4000)}
+
+
+def test_contents_that_are_no_pointers_are_not_shuffled(spark):
+    """Contents without an id, which all had the same key of the join."""
+    sha = "a" * 64
+    rows = [(str(k), bytearray(b"text")) for k in range(8)] + [("p", bytearray(f"version https://git-lfs.github.com/spec/v1\noid sha256:{sha}\nsize 1\n".encode()))]
+    got = S.with_lfs(spark.createDataFrame(rows, "oid string, content binary").repartition(4), spark.createDataFrame([(sha, bytearray(b"object"))], "sha256 string, content binary").hint("merge"))
+    assert {r.oid: bytes(r.content) for r in got.collect()} == {str(k): b"text" for k in range(8)} | {"p": b"object"}
+    assert sum(r[0] for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).select("n").collect() if r[0] < 8) == 9
