@@ -1,13 +1,14 @@
 """Near-duplicate embeddings by a robust-pruned flat graph over overlapping cluster shards.
 
-Equal vectors are one point. Points are dealt to the shards of their nearest centroids, several each, so that close points
-share a shard; a shard that is too large is clustered again. In each shard a graph grows: points are inserted in batches, each
-searched from the medoids among those before it, its neighbours pruned from what the search met so that no kept neighbour makes
-another superfluous, with edges both ways; a second round lets all points meet. A point's lists from all its shards are
-united, and a search in each shard follows the united lists from the medoids: greedily towards the point first, then to
-everything in range, as long as points in range have neighbours not seen. Each pair that is found is verified in double
-precision and counted in the first shard that its two points share. An audit compares the links of a sample with brute force
-over all points; where it finds too few, the shards are made to overlap more.
+Equal vectors are one point. Points are dealt to the shards of their nearest centroids, several each; a shard that is too large
+is clustered again. In each shard a graph grows: points are inserted in small batches, each searched from the medoids among those
+before it, its neighbours pruned from what the search met so that no kept neighbour makes another superfluous, with edges both
+ways. A point's lists from all its shards are united. Each point is then searched for in all shards whose centroids are nearly
+its nearest: how nearly is fitted, before any graph is built, on vectors made at the limit of cosine, so that a point between many
+shards asks many of them and the others few. A search follows the united lists from the medoids: greedily towards the point
+first, then to everything in range, as long as points in range have neighbours not seen. Each pair that is found is verified in
+double precision and counted, for the point that asks, in the first of the shards it asks that hold the other. An audit compares
+the links of a sample with brute force over all points; where it finds too few, the shards are made to overlap more.
 """
 
 from __future__ import annotations
@@ -32,6 +33,11 @@ PROBES, FIRST_PROBE = 256, -(1 << 63)
 #: that can't part is cut into parts of this size.
 SHARD_ROWS = 2_000
 MAX_CENTROIDS = 65_536
+#: Vectors near sampled ones that the margin is fitted on, in how many of such cases a shard that holds the one has to be asked for
+#: the other, and the margins that are tried, in units of what a step at the limit is along any one direction.
+MARGIN_ROWS, MARGIN_SHARE, MARGINS = 4_096, 0.996, (0.0, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0, 4.0, 6.0, 8.0)
+#: Points that are inserted at once at most; they don't meet each other.
+BATCH = 128
 #: Neighbours in a list, those of a pool that they are pruned from, and how much nearer one has to be to make another superfluous.
 DEGREE, POOL, ALPHA = 16, 24, 1.2
 
@@ -72,12 +78,19 @@ def grouped(c: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
 
 def nearest_centroids(x: np.ndarray, c: np.ndarray, n: int, groups: tuple[np.ndarray, np.ndarray] | None, probes: int = 8) -> np.ndarray:
     """The numbers of the n nearest centroids of each point, ascending; of the centroids of its nearest groups, given these."""
-    out = np.empty((len(x), n), dtype=np.int64)
+    return homes_and_asked(x, c, n, groups, None, probes)[0]
+
+
+def homes_and_asked(x: np.ndarray, c: np.ndarray, n: int, groups: tuple[np.ndarray, np.ndarray] | None, margin: float | None, probes: int = 8) -> tuple[np.ndarray, list]:
+    """(homes, asked): nearest_centroids, and the numbers, ascending, of the centroids that a step of margin towards them makes
+    nearer than the nearest one; nothing asked without a margin."""
+    out, asked = np.empty((len(x), n), dtype=np.int64), []
     step = max(1, (8 << 20) // (8 * (len(c) if groups is None else probes * groups[1].shape[1] * x.shape[1])))
     for k in range(0, len(x), step):
         some = x[k : k + step]
         if groups is None:
-            out[k : k + step] = np.argpartition(-(some @ c.T), n - 1, axis=1)[:, :n]
+            of, near = np.broadcast_to(np.arange(len(c)), (len(some), len(c))), some @ c.T
+            out[k : k + step] = np.argpartition(-near, n - 1, axis=1)[:, :n]
         else:
             lead, members = groups
             m = min(probes, len(lead))
@@ -85,7 +98,17 @@ def nearest_centroids(x: np.ndarray, c: np.ndarray, n: int, groups: tuple[np.nda
             near = np.where(of < 0, -np.inf, np.matmul(c[of], some[:, :, None])[:, :, 0])
             best = np.argpartition(-near, n - 1, axis=1)[:, :n]
             out[k : k + step] = np.take_along_axis(of, best, axis=1)
-    return np.sort(out, axis=1)
+        if margin is not None:
+            rows = np.arange(len(some))
+            behind, first = near.max(axis=1)[:, None] - near, of[rows, near.argmax(axis=1)]
+            row, at = np.nonzero(behind <= 2 * margin)  # unit centroids are 2 apart at most
+            to = of[row, at]
+            apart = np.sqrt(((c[to] - c[first[row]]) ** 2).sum(axis=1))
+            close = behind[row, at] <= margin * apart
+            row, to = row[close], to[close]
+            order = np.lexsort((to, row))
+            asked += np.split(to[order], np.searchsorted(row[order], rows[1:]))
+    return np.sort(out, axis=1), asked
 
 
 def robust_prune(v: np.ndarray, of: np.ndarray, pool: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
@@ -189,8 +212,7 @@ def build_graph(v: np.ndarray, first: int = 64) -> np.ndarray:
     """A pruned graph over unit vectors: neighbours' places, -1 for none, up to 2 * DEGREE of them.
 
     The first points, the medoids among them, are pruned from each other. The others come in batches, half as many as are in
-    already at most; each point's pool is what a search from the medoids met. A second round goes over all points, as those
-    of a batch don't meet.
+    already and BATCH at most, as those of a batch don't meet; each point's pool is what a search from the medoids met.
     """
     v = v.astype(np.float32)
     m, entry = len(v), medoids(v)
@@ -208,12 +230,9 @@ def build_graph(v: np.ndarray, first: int = 64) -> np.ndarray:
     insert(start, np.repeat(start[None, :], len(start), axis=0))
     done = len(start)
     while done < m:
-        of = order[done : done + min(512, max(32, done // 2))]
+        of = order[done : done + min(BATCH, max(32, done // 2))]
         insert(of, greedy_search(v, graph, v[of], entry, POOL, np.zeros((len(of), m), dtype=bool))[0])
         done += len(of)
-    for k in range(0, m if m > first else 0, 512):
-        of = order[k : k + 512]
-        insert(of, np.concatenate([greedy_search(v, graph, v[of], entry, POOL // 2, np.zeros((len(of), m), dtype=bool))[0], graph[of]], axis=1))
     return graph
 
 
@@ -258,15 +277,21 @@ def _adjacency(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": ids, "next": [ids[row[row >= 0]] for row in graph]})
 
 
+def _padded(lists: list, fill: int) -> np.ndarray:
+    """Lists of numbers as rows of one array."""
+    lengths = np.array([len(x) for x in lists])
+    out = np.full((len(lists), int(lengths.max())), fill)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = np.concatenate(lists)
+    return out
+
+
 def _links(frame: pd.DataFrame, least: float) -> pd.DataFrame:
-    """For the queries of one (shard, graph part, query part): rows (node, root, links). links counts the vectors linked in
-    this shard first; root is the smallest node that its links in this part lead to."""
+    """For the queries of one (shard, graph part, query part): rows (node, root, links). links counts the vectors for which this
+    is the first shard of those asked that hold them; root is the smallest node that its links in this part lead to."""
     frame = frame.sort_values("node", kind="stable").reset_index(drop=True)
     shard, is_node, is_query = int(frame["shard"].iloc[0]), frame["is_node"].to_numpy(), frame["is_query"].to_numpy()
     ids, x, size = frame["node"].to_numpy(), unit(frame["vector"].tolist()), frame["size"].to_numpy()
-    of = frame["shards"].tolist()
-    widest = max(map(len, of))
-    shards = np.array([[*o, *[-1] * (widest - len(o))] for o in of]) if len({*map(len, of)}) > 1 else np.array(of)
+    shards, asked = _padded(frame["shards"].tolist(), -1), _padded(frame["asked"].tolist(), -2)
     nodes, queries = np.flatnonzero(is_node), np.flatnonzero(is_query)
     root, links = np.arange(len(frame)), np.zeros(len(frame), dtype=np.int64)
     if len(nodes) and len(queries):
@@ -289,11 +314,11 @@ def _links(frame: pd.DataFrame, least: float) -> pd.DataFrame:
             q, h = q[other], h[other]
             if not len(q):
                 continue
-            for lo in range(0, len(q), 500_000):
-                a, b = shards[q[lo : lo + 500_000]], shards[h[lo : lo + 500_000]]
-                common = np.where((a >= 0) & (a[:, :, None] == b[:, None, :]).any(axis=2), a, np.iinfo(np.int64).max).min(axis=1)
+            for lo in range(0, len(q), 200_000):
+                a, b = asked[q[lo : lo + 200_000]], shards[h[lo : lo + 200_000]]
+                common = np.where((a[:, :, None] == b[:, None, :]).any(axis=2), a, np.iinfo(np.int64).max).min(axis=1)
                 mine = common == shard
-                np.add.at(links, q[lo : lo + 500_000][mine], size[h[lo : lo + 500_000][mine]])
+                np.add.at(links, q[lo : lo + 200_000][mine], size[h[lo : lo + 200_000][mine]])
             first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
             for s, e in zip(first, np.append(first[1:], len(q)), strict=True):
                 if not size[q[s]]:
@@ -305,8 +330,8 @@ def _links(frame: pd.DataFrame, least: float) -> pd.DataFrame:
     return pd.DataFrame({"node": ids[keep], "root": ids[root[keep]], "links": np.where(is_query, links, 0)[keep]})
 
 
-def _dealt(points: DataFrame, centroids: np.ndarray, overlap: int) -> DataFrame:
-    """(node, size, vector, shards): each point with the numbers of its nearest centroids, ascending."""
+def _dealt(points: DataFrame, centroids: np.ndarray, overlap: int, margin: float) -> DataFrame:
+    """(node, size, vector, shards, asked): each point with the numbers of its nearest centroids and of those it asks, ascending."""
     shared = points.sparkSession.sparkContext.broadcast((centroids, grouped(centroids)))
     overlap = min(overlap, len(centroids))
 
@@ -314,23 +339,31 @@ def _dealt(points: DataFrame, centroids: np.ndarray, overlap: int) -> DataFrame:
         for frame in frames:
             if len(frame):
                 c, groups = shared.value
-                yield frame.assign(shards=list(nearest_centroids(unit(frame["vector"].tolist()), c, overlap, groups)))
+                homes, asked = homes_and_asked(unit(frame["vector"].tolist()), c, overlap, groups, margin)
+                yield frame.assign(shards=list(homes), asked=asked)
 
     kind = points.schema["vector"].dataType.simpleString()
-    return points.mapInPandas(deal, f"node long, size long, vector {kind}, shards array<long>")
+    return points.mapInPandas(deal, f"node long, size long, vector {kind}, shards array<long>, asked array<long>")
+
 
+def _by_shard(dealt: DataFrame, *more: str) -> DataFrame:
+    """dealt, a row for each shard that holds the point (home) or that it asks (asks). Nothing holds probes, whose size is 0."""
+    each = dealt.select("node", "size", "vector", *more, "shards", "asked", F.explode(F.array_union("shards", "asked")).alias("shard"))
+    return each.withColumns({"home": F.array_contains("shards", F.col("shard")) & (F.col("size") > 0), "asks": F.array_contains("asked", F.col("shard"))})
 
-def _dealt_again(dealt: DataFrame, overlap: int, shard_rows: int) -> DataFrame:
+
+def _dealt_again(dealt: DataFrame, overlap: int, margin: float, shard_rows: int) -> DataFrame:
     """dealt, with shards of more than 2 * shard_rows points parted by centroids of their own, fitted on a sample of each; a
-    point of such a shard goes to several of its parts. Shards are numbered anew, so that parts have numbers too."""
+    point of such a shard goes to several of its parts, and asks those within the margin. Shards are numbered anew, so that parts
+    have numbers too."""
     kind = dealt.schema["vector"].dataType.simpleString()
-    each = dealt.select("node", "size", "vector", F.explode("shards").alias("shard"))
-    large = each.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard_rows)
+    each = _by_shard(dealt)
+    large = each.where("home").groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard_rows)
     large = stored(large.withColumn("k", F.least(F.lit(1024), F.ceil(F.col("n") * overlap / shard_rows))), "vectors-large")
     if large.isEmpty():
-        return dealt.withColumn("shards", F.transform("shards", lambda s: s * 1024))
+        return dealt.withColumns({c: F.transform(c, lambda s: s * 1024) for c in ("shards", "asked")})
     inside = each.join(F.broadcast(large), "shard")  # MAX_CENTROIDS rows at most
-    sample = inside.where(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(1 << 30)) < F.least(F.lit(1.0), 8 * F.col("k") / F.col("n")) * (1 << 30))
+    sample = inside.where("home").where(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(1 << 30)) < F.least(F.lit(1.0), 8 * F.col("k") / F.col("n")) * (1 << 30))
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         c = fit_centroids(unit(frame.sort_values("node")["vector"].tolist()), min(int(frame["k"].iloc[0]), len(frame)))
@@ -339,27 +372,27 @@ def _dealt_again(dealt: DataFrame, overlap: int, shard_rows: int) -> DataFrame:
     centroids = sample.select("shard", "node", "vector", "k").groupBy("shard").applyInPandas(fit, "shard long, flat array<double>, k long")
     # in slices of a bounded number of points, each of which meets its shard's centroids
     slices = F.ceil(F.col("n") / 20_000)
-    points = inside.select("shard", F.pmod(F.xxhash64("node"), slices).alias("slice"), "node", "vector")
+    points = inside.select("shard", F.pmod(F.xxhash64("node"), slices).alias("slice"), "node", "vector", "home", "asks")
     centroids = centroids.join(large.select("shard", "n"), "shard").select("shard", "flat", "k", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("slice"))
 
     def deal(frame: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if not len(frame) or not len(own):
-            return pd.DataFrame({"node": frame["node"], "shard": frame["shard"], "parts": [[0]] * len(frame)})
-        c = np.asarray(own["flat"].iloc[0]).reshape(int(own["k"].iloc[0]), -1)
-        parts = nearest_centroids(unit(frame["vector"].tolist()), c, min(overlap, len(c)), grouped(c))
-        return pd.DataFrame({"node": frame["node"], "shard": frame["shard"], "parts": list(parts)})
-
-    parted = points.groupBy("shard", "slice").cogroup(centroids.groupBy("shard", "slice")).applyInPandas(deal, "node long, shard long, parts array<long>")
-    parted = parted.select("node", F.explode(F.transform("parts", lambda p: F.col("shard") * 1024 + p)).alias("at"))
-    plain = each.join(F.broadcast(large), "shard", "left_anti").select("node", (F.col("shard") * 1024).alias("at"))
-    shards = plain.unionByName(parted).groupBy("node").agg(F.array_sort(F.collect_list("at")).alias("shards"))
-    return dealt.drop("shards").join(shards, "node").select("node", "size", F.col("vector").cast(kind).alias("vector"), "shards")
-
-
-def _probes(sample: pd.DataFrame, least: float) -> np.ndarray:
-    """Vectors at cosines from least up to nearly 1 from vectors of the sample, spread over it."""
-    v = unit(sample["vector"].tolist())
-    v = v[np.linspace(0, len(v) - 1, min(PROBES, len(v))).astype(int)]
+        parts = asked = [[0]] * len(frame)
+        if len(frame) and len(own):
+            c = np.asarray(own["flat"].iloc[0]).reshape(int(own["k"].iloc[0]), -1)
+            parts, asked = homes_and_asked(unit(frame["vector"].tolist()), c, min(overlap, len(c)), grouped(c), margin)
+        base = frame["shard"].to_numpy() * 1024
+        kept = lambda some, flag: [b + np.asarray(s) if f else [] for b, s, f in zip(base, some, frame[flag], strict=True)]
+        return pd.DataFrame({"node": frame["node"], "shards": kept(parts, "home"), "asked": kept(asked, "asks")})
+
+    parted = points.groupBy("shard", "slice").cogroup(centroids.groupBy("shard", "slice")).applyInPandas(deal, "node long, shards array<long>, asked array<long>")
+    only = lambda flag: F.when(F.col(flag), F.array(F.col("shard") * 1024)).otherwise(F.array().cast("array<long>"))
+    plain = each.join(F.broadcast(large), "shard", "left_anti").select("node", only("home").alias("shards"), only("asks").alias("asked"))
+    shards = plain.unionByName(parted).groupBy("node").agg(*[F.array_sort(F.flatten(F.collect_list(c))).alias(c) for c in ("shards", "asked")])
+    return dealt.drop("shards", "asked").join(shards, "node").select("node", "size", F.col("vector").cast(kind).alias("vector"), "shards", "asked")
+
+
+def _near(v: np.ndarray, least: float) -> np.ndarray:
+    """Unit vectors at cosines from least up to nearly 1 from the given ones, in directions drawn at random."""
     if v.shape[1] < 2:
         return v
     away = np.random.default_rng(len(v)).standard_normal(v.shape)
@@ -368,8 +401,34 @@ def _probes(sample: pd.DataFrame, least: float) -> np.ndarray:
     return cosine * v + np.sqrt(1 - cosine**2) * away
 
 
-def _links_of(points: DataFrame, n: int, dim: int, least: float, overlap: int, shard_rows: int) -> tuple[DataFrame, DataFrame, float]:
-    """(node, links) and (a, b) edges for the points (node, size, vector) of one dimension, and the recall on probes."""
+def _spread(v: np.ndarray, n: int) -> np.ndarray:
+    """n of the rows, or all, spread over them."""
+    return v[np.linspace(0, len(v) - 1, min(n, len(v))).astype(int)]
+
+
+def _probes(sample: pd.DataFrame, least: float) -> np.ndarray:
+    """Vectors at cosines from least up to nearly 1 from vectors of the sample, spread over it."""
+    return _near(_spread(unit(sample["vector"].tolist()), PROBES), least)
+
+
+def fit_margin(x: np.ndarray, c: np.ndarray, overlap: int, least: float) -> float:
+    """The least margin with which vectors near x ask a shard that holds what they are near to, in MARGIN_SHARE of all cases.
+
+    At the limit a vector is sqrt(1 - least^2) aside of another: in d dimensions sqrt(d) times less along any one direction, such
+    as that between two centroids."""
+    x = _spread(x, MARGIN_ROWS)
+    near, groups, one = _near(x, least), grouped(c), np.sqrt(max(0, 1 - least * least) / x.shape[1])
+    homes = nearest_centroids(x, c, min(overlap, len(c)), groups)
+    for margin in MARGINS:
+        asked = _padded(homes_and_asked(near, c, 1, groups, margin * one)[1], -1)
+        if (homes[:, :, None] == asked[:, None, :]).any(axis=(1, 2)).mean() >= MARGIN_SHARE:
+            break
+    return margin * one
+
+
+def _links_of(points: DataFrame, n: int, dim: int, least: float, overlap: int, shard_rows: int, wider: float = 1.0) -> tuple[DataFrame, DataFrame, float]:
+    """(node, links) and (a, b) edges for the points (node, size, vector) of one dimension, and the recall on probes. wider: by
+    how much the margin is multiplied."""
     spark, plain = points.sparkSession, points
     k = int(np.clip(round(n * overlap / shard_rows), 1, min(MAX_CENTROIDS, SAMPLE_BYTES // (32 * dim))))
     share = min(1.0, max(SAMPLE_ROWS, 4 * k) / n, SAMPLE_BYTES / (8 * dim) / n)
@@ -381,18 +440,22 @@ def _links_of(points: DataFrame, n: int, dim: int, least: float, overlap: int, s
     asked = asked if points.schema["vector"].dataType.elementType.simpleString() == "double" else asked.astype(np.float32).astype(np.float64)
     rows = [(FIRST_PROBE + k, 0, x) for k, x in enumerate(asked.tolist())]
     points = points.unionByName(spark.createDataFrame(rows, "node long, size long, vector array<double>").withColumn("vector", F.col("vector").cast(points.schema["vector"].dataType)))
-    first = _dealt(points, fit_centroids(unit(sample["vector"].tolist()), min(k, len(sample))), overlap)
-    dealt = stored(_dealt_again(stored(first, "vectors-first"), overlap, shard_rows), "vectors-dealt")
-    shards = dealt.select("node", "size", "vector", "shards", F.explode("shards").alias("shard"))
-    large = shards.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard_rows)
+    own = unit(sample["vector"].tolist())
+    centroids = fit_centroids(own, min(k, len(own)))
+    margin = wider * fit_margin(own, centroids, overlap, least)
+    first = _dealt(points, centroids, overlap, margin)
+    dealt = stored(_dealt_again(stored(first, "vectors-first"), overlap, margin, shard_rows), "vectors-dealt")
+    homes = dealt.where("size > 0").select("node", "vector", F.explode("shards").alias("shard"))
+    large = homes.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard_rows)
     parts = large.select("shard", F.ceil(F.col("n") / shard_rows).cast("int").alias("parts"))
-    placed = shards.join(parts, "shard", "left").na.fill(1, ["parts"])
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
-    lists = placed.where("size > 0").select("shard", "part", "node", "vector").groupBy("shard", "part").applyInPandas(_adjacency, "node long, next array<long>")
+    part = F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")
+    cut = lambda rows: rows.join(parts, "shard", "left").na.fill(1, ["parts"]).withColumn("part", part)
+    lists = cut(homes).select("shard", "part", "node", "vector").groupBy("shard", "part").applyInPandas(_adjacency, "node long, next array<long>")
     united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
-    meet = placed.join(united, "node", "left").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    as_node = meet.select("shard", F.col("part").alias("g"), F.col("with").alias("p"), "node", "size", "vector", "shards", "next", (F.col("size") > 0).alias("is_node"), (F.col("part") == F.col("with")).alias("is_query"))
-    as_query = meet.where("part <> with").select("shard", F.col("with").alias("g"), F.col("part").alias("p"), "node", "size", "vector", "shards", "next", F.lit(False).alias("is_node"), F.lit(True).alias("is_query"))
+    meet = cut(_by_shard(dealt.join(united, "node", "left"), "next")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    row = ["node", "size", "vector", "shards", "asked"]
+    as_node = meet.where("home").select("shard", F.col("part").alias("g"), F.col("with").alias("p"), *row, "next", F.col("home").alias("is_node"), (F.col("asks") & (F.col("part") == F.col("with"))).alias("is_query"))
+    as_query = meet.where("asks and not (home and part = with)").select("shard", F.col("with").alias("g"), F.col("part").alias("p"), *row, F.lit(None).cast("array<long>").alias("next"), F.lit(False).alias("is_node"), F.lit(True).alias("is_query"))
     found = as_node.unionByName(as_query).groupBy("shard", "g", "p").applyInPandas(lambda f: _links(f, least), "node long, root long, links long")
     found = stored(found, "vectors-links")
     links, last = found.groupBy("node").agg(F.sum("links").alias("links")), FIRST_PROBE + PROBES
@@ -425,7 +488,8 @@ def _recall(points: DataFrame, links: DataFrame, n: int, least: float) -> float
     """The share of a sample's links, by brute force over all points, that were found: the least of the averages over the vectors
     with few links and over those with many, so that no hot group hides the others. None where no link was met: probes tell then.
 
-    The sample grows until it has AUDIT_LINKS linked vectors, holds AUDIT_MOST or all points.
+    The sample grows until it has AUDIT_LINKS linked vectors, holds AUDIT_MOST or all points: to 8 times its size at most, and to no
+    more than about what AUDIT_LINKS takes.
     """
     rows = AUDIT_ROWS
     while True:
@@ -433,9 +497,10 @@ def _recall(points: DataFrame, links: DataFrame, n: int, least: float) -> float
         sample = points.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 40)) < int(share * (1 << 40)) + 1).select("node", "vector").toPandas()
         both = _found(points, links, sample["node"].to_numpy(), unit(sample["vector"].tolist()) if len(sample) else None, least)
         strata = both.groupBy((F.col("want") <= 10).alias("few")).agg(F.count("*").alias("n"), F.avg("found").alias("found")).collect()
-        if sum(r["n"] for r in strata) >= AUDIT_LINKS or rows >= min(n, AUDIT_MOST):
+        linked = sum(r["n"] for r in strata)
+        if linked >= AUDIT_LINKS or rows >= min(n, AUDIT_MOST):
             return min((r["found"] for r in strata), default=None)
-        rows *= 8
+        rows = min(AUDIT_MOST, int(rows * min(8, max(1.5, 1.2 * AUDIT_LINKS / max(1, linked)))))
 
 
 def near_duplicates(
@@ -451,7 +516,7 @@ def near_duplicates(
 
     Links are searched for, so that some may be missed: recall is measured on a sample, which grows up to AUDIT_MOST vectors while
     few of them have links, and always on probes, whose links are known to be there however rare they are in the table. Below the
-    limit the search is repeated with more overlap, up to three times; ValueError if it stays below 0.9.
+    limit the search is repeated with more overlap and a wider margin, up to three times in all; ValueError if it stays below 0.9.
     """
     spark = vectors.sparkSession
     small_batches(spark, 2000)
@@ -468,7 +533,7 @@ def near_duplicates(
         own = points.where(F.size("vector") == dim).select("node", "size", "vector")
         rows_in_shard = max(64, min(shard_rows, (64 << 20) // (8 * dim)))
         for more in range(3):
-            links, edges, on_probes = _links_of(own, n, dim, least, overlap + 2 * more, rows_in_shard)
+            links, edges, on_probes = _links_of(own, n, dim, least, overlap + 2 * more, rows_in_shard, 1.0 + more)
             reached = _recall(own, links, n, least)
             reached = on_probes if reached is None else min(reached, on_probes)
             if reached >= recall:

@@ -182,3 +182,54 @@ def test_probes_are_within_reach():
     v = np.random.default_rng(1).standard_normal((40, 8))
     got = unit(list(_probes(pd.DataFrame({"vector": v.tolist()}), 0.95)))
     assert ((got * unit(v.tolist())).sum(axis=1) >= 0.95).all() and ((got @ unit(v.tolist()).T >= 0.95).sum() >= 40)
+
+
+def test_one_search_is_enough_where_points_lie_between_many_shards(spark, monkeypatch):
+    """Vectors without clusters and pairs among them whose cosine is little over the limit: a search that had to be made again
+    with more overlap took CPU seconds that grew faster than the input."""
+    rng = np.random.default_rng(12)
+    x = vectors.unit(list(rng.standard_normal((2400, 24))))
+    aside = rng.standard_normal((600, 24))
+    aside = vectors.unit(list(aside - (aside * x[:600]).sum(axis=1, keepdims=True) * x[:600]))
+    x = np.concatenate([x, 0.905 * x[:600] + np.sqrt(1 - 0.905**2) * aside])
+    table = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    searches, search = [], vectors._links_of
+    monkeypatch.setattr(vectors, "_links_of", lambda *a: searches.append(a) or search(*a))
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(table, least=0.9, shard_rows=120).collect()}
+    want = (x @ x.T >= 0.9).sum(axis=1) - 1
+    found = np.array([got[k] for k in range(len(x))])
+    assert len(searches) == 1
+    assert (found <= want).all() and found.sum() >= 0.98 * want.sum()
+
+
+def test_shards_within_the_margin_are_asked():
+    rng = np.random.default_rng(13)
+    x = vectors.unit(list(rng.standard_normal((500, 16))))
+    c = vectors.fit_centroids(x, 40)
+    homes, asked = vectors.homes_and_asked(x, c, 2, None, 0.1)
+    near = x @ c.T
+    apart = np.linalg.norm(c[:, None] - c[None], axis=2)
+    for k in range(len(x)):
+        first = near[k].argmax()
+        assert asked[k].tolist() == np.flatnonzero(near[k, first] - near[k] <= 0.1 * apart[first]).tolist()
+        assert first in asked[k] and first in homes[k]
+    assert [len(a) for a in vectors.homes_and_asked(x, c, 2, None, 0.0)[1]] == [1] * len(x)
+    margin = vectors.fit_margin(x, c, 2, 0.95)
+    y = vectors._near(x, 0.95)
+    share = np.mean([bool({*a.tolist()} & {*h.tolist()}) for a, h in zip(vectors.homes_and_asked(y, c, 1, None, margin)[1], homes, strict=True)])
+    assert share >= vectors.MARGIN_SHARE
+
+
+def test_shards_clustered_again_are_asked_for_what_their_parts_hold(spark):
+    rng = np.random.default_rng(14)
+    x = vectors.unit(list(rng.standard_normal((900, 16))))
+    y = vectors._near(x[:300], 0.95)
+    points = [(k, 1, v) for k, v in enumerate([*x.tolist(), *y.tolist()])]
+    df = spark.createDataFrame([*points, (-1, 0, x[0].tolist())], "node long, size long, vector array<double>")
+    margin = 2 * float(np.sqrt((1 - 0.95**2) / 16))
+    dealt = vectors._dealt(df, np.stack([x[0], -x[0]]), 1, margin)
+    got = {r.node: r for r in vectors._dealt_again(dealt, 2, margin, 100).collect()}
+    assert len(got) == len(points) + 1 and got[-1].shards == [] and got[-1].asked
+    assert all(len(got[k].shards) == 2 and got[k].asked == sorted(set(got[k].asked)) for k in range(len(points)))
+    assert len({s for r in got.values() for s in r.shards}) > 12
+    assert np.mean([bool({*got[900 + k].asked} & {*got[k].shards}) for k in range(300)]) > 0.97
