@@ -1,9 +1,9 @@
 """Near-duplicate embeddings by a robust-pruned flat graph over overlapping cluster shards.
 
 Equal vectors are one point. Points are dealt to the shards of their nearest centroids, several each; a shard that is too large
-is clustered again. In each shard a graph grows: points are inserted in small batches, each searched from the medoids among those
+is clustered again. In each shard a graph grows: points are inserted in batches, each searched from the medoids among those
 before it, its neighbours pruned from what the search met so that no kept neighbour makes another superfluous, with edges both
-ways. A point's lists from all its shards are united. Each point is then searched for in all shards whose centroids are nearly
+ways; a second round lets all points meet. A point's lists from all its shards are united. Each point is then searched for in all shards whose centroids are nearly
 its nearest: how nearly is fitted, before any graph is built, on vectors made at the limit of cosine, so that a point between many
 shards asks many of them and the others few. A search follows the united lists from the medoids: greedily towards the point
 first, then to everything in range, as long as points in range have neighbours not seen. Each pair that is found is verified in
@@ -35,9 +35,7 @@ SHARD_ROWS = 2_000
 MAX_CENTROIDS = 65_536
 #: Vectors near sampled ones that the margin is fitted on, in how many of such cases a shard that holds the one has to be asked for
 #: the other, and the margins that are tried, in units of what a step at the limit is along any one direction.
-MARGIN_ROWS, MARGIN_SHARE, MARGINS = 4_096, 0.996, (0.0, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0, 4.0, 6.0, 8.0)
-#: Points that are inserted at once at most; they don't meet each other.
-BATCH = 128
+MARGIN_ROWS, MARGIN_SHARE, MARGINS = 4_096, 0.999, (0.0, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0, 4.0, 6.0, 8.0)
 #: Neighbours in a list, those of a pool that they are pruned from, and how much nearer one has to be to make another superfluous.
 DEGREE, POOL, ALPHA = 16, 24, 1.2
 
@@ -212,7 +210,8 @@ def build_graph(v: np.ndarray, first: int = 64) -> np.ndarray:
     """A pruned graph over unit vectors: neighbours' places, -1 for none, up to 2 * DEGREE of them.
 
     The first points, the medoids among them, are pruned from each other. The others come in batches, half as many as are in
-    already and BATCH at most, as those of a batch don't meet; each point's pool is what a search from the medoids met.
+    already at most; each point's pool is what a search from the medoids met. A second round goes over all points, as those
+    of a batch don't meet.
     """
     v = v.astype(np.float32)
     m, entry = len(v), medoids(v)
@@ -230,9 +229,12 @@ def build_graph(v: np.ndarray, first: int = 64) -> np.ndarray:
     insert(start, np.repeat(start[None, :], len(start), axis=0))
     done = len(start)
     while done < m:
-        of = order[done : done + min(BATCH, max(32, done // 2))]
+        of = order[done : done + min(512, max(32, done // 2))]
         insert(of, greedy_search(v, graph, v[of], entry, POOL, np.zeros((len(of), m), dtype=bool))[0])
         done += len(of)
+    for k in range(0, m if m > first else 0, 512):
+        of = order[k : k + 512]
+        insert(of, np.concatenate([greedy_search(v, graph, v[of], entry, POOL // 2, np.zeros((len(of), m), dtype=bool))[0], graph[of]], axis=1))
     return graph
 
 
