@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -79,11 +80,37 @@ def gone_at_exit(spark: SparkSession, path: str) -> None:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: its lineage ends there and lost executors cost no recomputation. The
     written rows go when the application ends."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    gone_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored_in(new_folder(df.sparkSession, name), [df])
+
+
+def stored_in(path: str, parts: Iterable[DataFrame], plain: str | None = None) -> DataFrame:
+    """stored() in a given folder, of one DataFrame or of several with the same columns, each written before the next is made.
+    plain: a column whose values hardly repeat, so that a dictionary would only add to it."""
+    for k, df in enumerate(parts):
+        spark, schema = df.sparkSession, df.schema
+        df.write.options(**({f"parquet.enable.dictionary#{plain}": "false"} if plain else {})).mode("append").parquet(path)
+        if not k:
+            gone_at_exit(spark, path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of stored_in() that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """In here, what a query shuffles goes from the executors' disks when that query ends, not when the driver's memory is
+    collected; a DataFrame that is asked for twice is computed twice."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -13,12 +13,15 @@ the links of a sample with brute force over all points; where it finds too few,
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import brief_shuffles, new_folder, removed, small_batches, stored, stored_in
 from .components import connected_components
 
 #: Points that centroids are fitted on, within SAMPLE_BYTES; rows of centroids that are fitted at once.
@@ -32,10 +35,15 @@ PROBES, FIRST_PROBE = 256, -(1 << 63)
 #: Points of a shard, for vectors of up to a few thousand numbers; shards of twice as many are clustered again, and what
 #: that can't part is cut into parts of this size.
 SHARD_ROWS = 2_000
-MAX_CENTROIDS = 65_536
-#: Vectors near sampled ones that the margin is fitted on, in how many of such cases a shard that holds the one has to be asked for
-#: the other, and the margins that are tried, in units of what a step at the limit is along any one direction.
-MARGIN_ROWS, MARGIN_SHARE, MARGINS = 4_096, 0.999, (0.0, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0, 4.0, 6.0, 8.0)
+#: Centroids, each of which a point is compared with; beyond them shards grow, up to SHARD_BYTES of vectors in double precision.
+MAX_CENTROIDS, SHARD_BYTES = 16_384, 64 << 20
+#: Vectors near sampled ones that the margin is fitted on, and in how many of such cases a shard that holds the one has to be asked
+#: for the other.
+MARGIN_ROWS, MARGIN_SHARE = 16_384, 0.9998
+#: Bytes of vectors that are shuffled at once, or as many as all points have, where these are more.
+WAVE_BYTES = 64 << 20
+#: The numbers of vectors as Parquet names them: they hardly repeat.
+PLAIN = "vector.list.element"
 #: Neighbours in a list, those of a pool that they are pruned from, and how much nearer one has to be to make another superfluous.
 DEGREE, POOL, ALPHA = 16, 24, 1.2
 
@@ -48,8 +56,7 @@ def unit(rows: list) -> np.ndarray:
 
 
 def fit_centroids(x: np.ndarray, k: int, rounds: int = 3) -> np.ndarray:
-    """k unit centroids of unit vectors by k-means from spread points of x. With many centroids a point is compared with
-    those of its nearest groups only, about the square root of all."""
+    """k unit centroids of unit vectors by k-means from spread points of x."""
     c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
     for _ in range(rounds):
         nearest = nearest_centroids(x, c, 1, grouped(c))[:, 0]
@@ -61,9 +68,10 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 3) -> np.ndarray:
 
 
 def grouped(c: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """(leaders, members): about the square root of the centroids as leaders, and each one's centroids, -1 beyond; None for few
-    centroids, which are compared one by one."""
-    if len(c) <= 512:
+    """(leaders, members): about the square root of the centroids as leaders, and each one's centroids, -1 beyond; None for up to
+    MAX_CENTROIDS, which are compared one by one: the nearest is often in none of the nearest groups, and what two close points
+    have in common is then found by a very wide margin only."""
+    if len(c) <= MAX_CENTROIDS:
         return None
     lead = c[np.linspace(0, len(c) - 1, int(len(c) ** 0.5)).astype(int)]
     of = np.concatenate([(c[k : k + 4096] @ lead.T).argmax(axis=1) for k in range(0, len(c), 4096)])
@@ -83,21 +91,24 @@ def homes_and_asked(x: np.ndarray, c: np.ndarray, n: int, groups: tuple[np.ndarr
     """(homes, asked): nearest_centroids, and the numbers, ascending, of the centroids that a step of margin towards them makes
     nearer than the nearest one; nothing asked without a margin."""
     out, asked = np.empty((len(x), n), dtype=np.int64), []
-    step = max(1, (8 << 20) // (8 * (len(c) if groups is None else probes * groups[1].shape[1] * x.shape[1])))
+    x, own = x.astype(np.float32), c.astype(np.float32)
+    step = max(1, (8 << 20) // (len(c) if groups is None else 8 * probes * groups[1].shape[1] * x.shape[1]))
     for k in range(0, len(x), step):
         some = x[k : k + step]
+        rows = np.arange(len(some))
         if groups is None:
-            of, near = np.broadcast_to(np.arange(len(c)), (len(some), len(c))), some @ c.T
-            out[k : k + step] = np.argpartition(-near, n - 1, axis=1)[:, :n]
+            of, near = np.broadcast_to(np.arange(len(c)), (len(some), len(c))), some @ own.T
         else:
             lead, members = groups
             m = min(probes, len(lead))
             of = members[np.argpartition(-(some @ lead.T), m - 1, axis=1)[:, :m]].reshape(len(some), -1)
-            near = np.where(of < 0, -np.inf, np.matmul(c[of], some[:, :, None])[:, :, 0])
-            best = np.argpartition(-near, n - 1, axis=1)[:, :n]
-            out[k : k + step] = np.take_along_axis(of, best, axis=1)
+            near = np.where(of < 0, -np.inf, np.matmul(own[of], some[:, :, None])[:, :, 0])
+        left = near.copy()
+        for j in range(n):
+            best = left.argmax(axis=1)
+            out[k : k + step, j] = of[rows, best]
+            left[rows, best] = -np.inf
         if margin is not None:
-            rows = np.arange(len(some))
             behind, first = near.max(axis=1)[:, None] - near, of[rows, near.argmax(axis=1)]
             row, at = np.nonzero(behind <= 2 * margin)  # unit centroids are 2 apart at most
             to = of[row, at]
@@ -149,37 +160,40 @@ def medoids(v: np.ndarray) -> np.ndarray:
 def greedy_search(v: np.ndarray, graph: np.ndarray, q: np.ndarray, entries: np.ndarray, width: int, seen: np.ndarray, expand: int = 4) -> tuple[np.ndarray, np.ndarray, list]:
     """(places, cosines, met): the width nearest points that a beam from the nearest entries finds for each query, -1 for none,
     and all (query, place, cosine) that it looked at. seen, (queries, points), is filled in."""
-    n, known = len(q), min(len(entries), width)
-    place, near = np.full((n, width), -1), np.full((n, width), -2, dtype=v.dtype)
+    n, m, known = len(q), len(v), min(len(entries), width)
+    place, near = np.full((n, width), -1, dtype=graph.dtype), np.full((n, width), -2, dtype=v.dtype)
     begin = q @ v[entries].T
     top = np.argpartition(-begin, known - 1, axis=1)[:, :known]
     place[:, :known], near[:, :known] = entries[top], np.take_along_axis(begin, top, axis=1)
     seen[:, entries] = True
-    open_, met = place >= 0, [(np.repeat(np.arange(n), len(entries)), np.tile(entries, n), begin.ravel())]
-    live = np.arange(n)
+    met = [(np.repeat(np.arange(n), len(entries)), np.tile(entries, n), begin.ravel())]
+    live, p, s, o, flat = np.arange(n), place, near, place >= 0, seen.reshape(-1)  # those that go on, and their rows
     while len(live):
-        p, s, o = place[live], near[live], open_[live]
         pick = np.argpartition(np.where(o, -s, 3), min(expand, width - 1), axis=1)[:, :expand]
-        going = np.take_along_axis(o, pick, axis=1)
-        some = going.any(axis=1)
-        live, p, s, o, pick, going = live[some], p[some], s[some], o[some], pick[some], going[some]
-        if not len(live):
-            break
-        rows = np.arange(len(live))[:, None]
-        o[rows, pick] = False
-        to = graph[np.take_along_axis(p, pick, axis=1)]
-        to = np.where(going[:, :, None], to, -1).reshape(len(live), -1)
-        to = np.sort(np.where((to >= 0) & ~seen[live[:, None], to], to, -1), axis=1)
+        some = np.take_along_axis(o, pick, axis=1).any(axis=1)
+        if not some.all():
+            place[live[~some]], near[live[~some]] = p[~some], s[~some]
+            live, p, s, o, pick = live[some], p[some], s[some], o[some], pick[some]
+            if not len(live):
+                break
+        pick += np.arange(len(live))[:, None] * width
+        going = o.reshape(-1).take(pick).ravel()
+        o.reshape(-1)[pick] = False
+        to = graph.take(p.reshape(-1).take(pick).ravel(), axis=0)
+        to[~going] = -1
+        to, base = to.reshape(len(live), -1), (live * m)[:, None]
+        to[flat.take(base + np.maximum(to, 0))] = -1
+        to.sort(axis=1)
         to[:, 1:][to[:, 1:] == to[:, :-1]] = -1
-        r, k = np.nonzero(to >= 0)
-        found = to[r, k]
-        seen[live[r], found] = True
+        new = np.flatnonzero(to >= 0)
+        r, found = new // to.shape[1], to.reshape(-1)[new]
+        flat[base[r, 0] + found] = True
         cosine = np.full(to.shape, -2, dtype=v.dtype)
-        cosine[r, k] = np.einsum("ij,ij->i", q[live[r]], v[found])
-        met.append((live[r], found, cosine[r, k]))
+        cosine.reshape(-1)[new] = np.einsum("ij,ij->i", q.take(live[r], axis=0), v.take(found, axis=0))
+        met.append((live[r], found, cosine.reshape(-1)[new]))
         p, s, o = np.concatenate([p, to], axis=1), np.concatenate([s, cosine], axis=1), np.concatenate([o, to >= 0], axis=1)
-        top = np.argpartition(-s, width - 1, axis=1)[:, :width]
-        place[live], near[live], open_[live] = (np.take_along_axis(x, top, axis=1) for x in (p, s, o))
+        top = np.argpartition(-s, width - 1, axis=1)[:, :width] + np.arange(len(live))[:, None] * p.shape[1]
+        p, s, o = (x.reshape(-1).take(top) for x in (p, s, o))
     return place, near, met
 
 
@@ -215,7 +229,7 @@ def build_graph(v: np.ndarray, first: int = 64) -> np.ndarray:
     """
     v = v.astype(np.float32)
     m, entry = len(v), medoids(v)
-    graph = np.full((m, 2 * DEGREE), -1)
+    graph = np.full((m, 2 * DEGREE), -1, dtype=np.int32)
     order = np.random.default_rng(m).permutation(m)
     order = np.concatenate([entry, order[~np.isin(order, entry)]])
     first = max(first, len(entry))
@@ -273,10 +287,21 @@ def range_search(v: np.ndarray, graph: np.ndarray, q: np.ndarray, least: float,
 
 
 def _adjacency(frame: pd.DataFrame) -> pd.DataFrame:
-    """The graph of one part of a shard: a list of ids for each of its points."""
+    """The graph of one part of a shard: a list of ids for each of its points. For each other shard that holds a point, there is a
+    list of those of its neighbours that it holds too."""
     graph = build_graph(unit(frame["vector"].tolist()))
-    ids = frame["node"].to_numpy()
-    return pd.DataFrame({"node": ids, "next": [ids[row[row >= 0]] for row in graph]})
+    ids, shard, shards = frame["node"].to_numpy(), int(frame["shard"].iloc[0]), _padded(frame["shards"].tolist(), -1)
+    source, column = np.nonzero(graph >= 0)
+    target = graph[source, column]
+    edges = [(np.full(len(source), shard), source, target)]
+    for to in shards.T:
+        other = (to[source] >= 0) & (to[source] != shard) & (shards[target] == to[source][:, None]).any(axis=1)
+        edges.append((to[source[other]], source[other], target[other]))
+    to, source, target = (np.concatenate(x) for x in zip(*edges, strict=True))
+    order = np.lexsort((source, to))
+    to, source, target = to[order], source[order], target[order]
+    first = np.flatnonzero((np.diff(to, prepend=-1) != 0) | (np.diff(source, prepend=-1) != 0))
+    return pd.DataFrame({"shard": to[first], "node": ids[source[first]], "next": np.split(ids[target], first[1:]) if len(first) else []})
 
 
 def _padded(lists: list, fill: int) -> np.ndarray:
@@ -287,49 +312,66 @@ def _padded(lists: list, fill: int) -> np.ndarray:
     return out
 
 
-def _links(frame: pd.DataFrame, least: float) -> pd.DataFrame:
-    """For the queries of one (shard, graph part, query part): rows (node, root, links). links counts the vectors for which this
-    is the first shard of those asked that hold them; root is the smallest node that its links in this part lead to."""
+def _links(frame: pd.DataFrame, lists: pd.DataFrame, least: float) -> pd.DataFrame:
+    """For the queries of one (shard, graph part, query part), and the lists of its graph: rows (node, root, links). A pair is
+    counted in the first of the shards in which either of its points asks for the other; where one of them alone asks there,
+    it is counted for both. links counts the vectors that are linked; root is the smallest node that the links in this part
+    lead to. Points without either have no row."""
     frame = frame.sort_values("node", kind="stable").reset_index(drop=True)
-    shard, is_node, is_query = int(frame["shard"].iloc[0]), frame["is_node"].to_numpy(), frame["is_query"].to_numpy()
-    ids, x, size = frame["node"].to_numpy(), unit(frame["vector"].tolist()), frame["size"].to_numpy()
+    nodes, queries = np.flatnonzero(frame["is_node"].to_numpy(bool)), np.flatnonzero(frame["is_query"].to_numpy(bool))
+    if not (len(nodes) and len(queries)):
+        return pd.DataFrame({"node": [], "root": [], "links": []}, dtype=np.int64)
+    shard, ids, x = int(frame["shard"].iloc[0]), frame["node"].to_numpy(), unit(frame["vector"].tolist())
+    real = ids >= FIRST_PROBE + PROBES
+    size = np.where(real, frame["size"].to_numpy(), 0)
     shards, asked = _padded(frame["shards"].tolist(), -1), _padded(frame["asked"].tolist(), -2)
-    nodes, queries = np.flatnonzero(is_node), np.flatnonzero(is_query)
+    home, asks = (shards == shard).any(axis=1), (asked == shard).any(axis=1)
     root, links = np.arange(len(frame)), np.zeros(len(frame), dtype=np.int64)
-    if len(nodes) and len(queries):
-        at = ids[nodes]
-        lists = frame["next"].iloc[nodes].tolist()
-        row = np.repeat(np.arange(len(nodes)), [len(n) for n in lists])
-        to = np.concatenate([np.asarray(n, dtype=np.int64) for n in lists])
-        place = np.minimum(np.searchsorted(at, to), len(at) - 1)
-        inside = at[place] == to
-        row, place = row[inside], place[inside]
-        column = np.arange(len(row)) - np.searchsorted(row, row)
-        graph = np.full((len(nodes), int(column.max(initial=0)) + 1), -1)
-        graph[row, column] = place
-        entries = medoids(x[nodes].astype(np.float32))
-        for k in range(0, len(queries), 256):
-            some = queries[k : k + 256]
-            q, h = range_search(x[nodes], graph, x[some], least, entries)
-            q, h = some[q], nodes[h]
-            other = q != h
-            q, h = q[other], h[other]
-            if not len(q):
-                continue
-            for lo in range(0, len(q), 200_000):
-                a, b = asked[q[lo : lo + 200_000]], shards[h[lo : lo + 200_000]]
-                common = np.where((a[:, :, None] == b[:, None, :]).any(axis=2), a, np.iinfo(np.int64).max).min(axis=1)
-                mine = common == shard
-                np.add.at(links, q[lo : lo + 200_000][mine], size[h[lo : lo + 200_000][mine]])
-            first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
-            for s, e in zip(first, np.append(first[1:], len(q)), strict=True):
-                if not size[q[s]]:
-                    continue
-                met = np.unique(np.append(root[h[s:e]], root[q[s]]))
-                if len(met) > 1:
-                    root[np.isin(root, met)] = met[0]
-    keep = is_query | (root != np.arange(len(frame)))
-    return pd.DataFrame({"node": ids[keep], "root": ids[root[keep]], "links": np.where(is_query, links, 0)[keep]})
+    graph = _united(ids[nodes], lists)
+    entries = medoids(x[nodes].astype(np.float32))
+    none = np.iinfo(np.int64).max
+
+    def first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where((a[:, :, None] == b[:, None, :]).any(axis=2), a, none).min(axis=1)
+
+    for k in range(0, len(queries), 256):
+        some = queries[k : k + 256]
+        q, h = range_search(x[nodes], graph, x[some], least, entries)
+        q, h = some[q], nodes[h]
+        other = q != h
+        q, h = q[other], h[other]
+        for lo in range(0, len(q), 50_000):
+            a, b = q[lo : lo + 50_000], h[lo : lo + 50_000]
+            mine = np.minimum(first_common(asked[a], shards[b]), first_common(asked[b], shards[a])) == shard
+            a, b = a[mine], b[mine]
+            np.add.at(links, a, size[b])
+            alone = ~(asks[b] & home[a])
+            np.add.at(links, b[alone], size[a[alone]])
+        both = real[q] & real[h]
+        q, h = q[both], h[both]
+        if not len(q):
+            continue
+        first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+        for s, e in zip(first, np.append(first[1:], len(q)), strict=True):
+            met = np.unique(np.append(root[h[s:e]], root[q[s]]))
+            if len(met) > 1:
+                root[np.isin(root, met)] = met[0]
+    keep = (links > 0) | (root != np.arange(len(frame)))
+    return pd.DataFrame({"node": ids[keep], "root": ids[root[keep]], "links": links[keep]})
+
+
+def _united(ids: np.ndarray, lists: pd.DataFrame) -> np.ndarray:
+    """The lists (node, next) of these points, ascending, each point's from all its shards as one: places in ids, -1 for none."""
+    ends = np.array([len(x) for x in lists["next"]], dtype=np.int64)
+    node = np.repeat(lists["node"].to_numpy(np.int64), ends)
+    to = np.concatenate([*lists["next"], np.array([], np.int64)]).astype(np.int64)
+    row, place = (np.minimum(np.searchsorted(ids, x), len(ids) - 1) for x in (node, to))
+    inside = (ids[row] == node) & (ids[place] == to)
+    row, place = np.divmod(np.unique(row[inside] * len(ids) + place[inside]), len(ids))
+    column = np.arange(len(row)) - np.searchsorted(row, row)
+    graph = np.full((len(ids), int(column.max(initial=0)) + 1), -1, dtype=np.int32)
+    graph[row, column] = place
+    return graph
 
 
 def _dealt(points: DataFrame, centroids: np.ndarray, overlap: int, margin: float) -> DataFrame:
@@ -348,34 +390,46 @@ def _dealt(points: DataFrame, centroids: np.ndarray, overlap: int, margin: float
     return points.mapInPandas(deal, f"node long, size long, vector {kind}, shards array<long>, asked array<long>")
 
 
-def _by_shard(dealt: DataFrame, *more: str) -> DataFrame:
-    """dealt, a row for each shard that holds the point (home) or that it asks (asks). Nothing holds probes, whose size is 0."""
-    each = dealt.select("node", "size", "vector", *more, "shards", "asked", F.explode(F.array_union("shards", "asked")).alias("shard"))
+def _by_shard(dealt: DataFrame, waves: int = 1, wave: int = 0) -> DataFrame:
+    """dealt, a row for each shard that holds the point (home) or that it asks (asks), of one of some waves of shards. Nothing
+    holds points whose size is 0."""
+    of = F.array_union("shards", "asked")
+    of = F.filter(of, lambda s: _wave(s, waves) == wave) if waves > 1 else of
+    each = dealt.select("node", "size", "vector", "shards", "asked", F.explode(of).alias("shard"))
     return each.withColumns({"home": F.array_contains("shards", F.col("shard")) & (F.col("size") > 0), "asks": F.array_contains("asked", F.col("shard"))})
 
 
-def _dealt_again(dealt: DataFrame, overlap: int, margin: float, shard_rows: int) -> DataFrame:
+def _wave(key: Column, waves: int) -> Column:
+    """The wave in which a key has its turn."""
+    return F.pmod(F.xxhash64(key, F.lit(3)), F.lit(waves))
+
+
+def _waves(rows: int | None, n: int, dim: int) -> int:
+    """In how many turns so many rows of vectors are shuffled, so that one moves about WAVE_BYTES, or the vectors of the n points."""
+    return max(1, math.ceil((rows or 0) / max(n, WAVE_BYTES / (4 * dim))))
+
+
+def _dealt_again(dealt: DataFrame, overlap: int, margin: float, shard_rows: int, n: int = 1 << 62, dim: int = 1) -> DataFrame:
     """dealt, with shards of more than 2 * shard_rows points parted by centroids of their own, fitted on a sample of each; a
     point of such a shard goes to several of its parts, and asks those within the margin. Shards are numbered anew, so that parts
-    have numbers too."""
+    have numbers too. n points of dim numbers tell how much is shuffled at once."""
     kind = dealt.schema["vector"].dataType.simpleString()
     each = _by_shard(dealt)
     large = each.where("home").groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard_rows)
     large = stored(large.withColumn("k", F.least(F.lit(1024), F.ceil(F.col("n") * overlap / shard_rows))), "vectors-large")
     if large.isEmpty():
         return dealt.withColumns({c: F.transform(c, lambda s: s * 1024) for c in ("shards", "asked")})
-    inside = each.join(F.broadcast(large), "shard")  # MAX_CENTROIDS rows at most
-    sample = inside.where("home").where(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(1 << 30)) < F.least(F.lit(1.0), 8 * F.col("k") / F.col("n")) * (1 << 30))
+    sample = each.where("home").join(F.broadcast(large), "shard")  # MAX_CENTROIDS rows at most
+    sample = sample.where(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(1 << 30)) < F.least(F.lit(1.0), 8 * F.col("k") / F.col("n")) * (1 << 30))
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         c = fit_centroids(unit(frame.sort_values("node")["vector"].tolist()), min(int(frame["k"].iloc[0]), len(frame)))
         return pd.DataFrame({"shard": [frame["shard"].iloc[0]], "flat": [c.ravel()], "k": [len(c)]})
 
-    centroids = sample.select("shard", "node", "vector", "k").groupBy("shard").applyInPandas(fit, "shard long, flat array<double>, k long")
+    fitted = stored(sample.select("shard", "node", "vector", "k").groupBy("shard").applyInPandas(fit, "shard long, flat array<double>, k long"), "vectors-parts")
     # in slices of a bounded number of points, each of which meets its shard's centroids
     slices = F.ceil(F.col("n") / 20_000)
-    points = inside.select("shard", F.pmod(F.xxhash64("node"), slices).alias("slice"), "node", "vector", "home", "asks")
-    centroids = centroids.join(large.select("shard", "n"), "shard").select("shard", "flat", "k", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("slice"))
+    centroids = fitted.join(F.broadcast(large.select("shard", "n")), "shard").select("shard", "flat", "k", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("slice"))
 
     def deal(frame: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         parts = asked = [[0]] * len(frame)
@@ -384,13 +438,24 @@ def _dealt_again(dealt: DataFrame, overlap: int, margin: float, shard_rows: int)
             parts, asked = homes_and_asked(unit(frame["vector"].tolist()), c, min(overlap, len(c)), grouped(c), margin)
         base = frame["shard"].to_numpy() * 1024
         kept = lambda some, flag: [b + np.asarray(s) if f else [] for b, s, f in zip(base, some, frame[flag], strict=True)]
-        return pd.DataFrame({"node": frame["node"], "shards": kept(parts, "home"), "asked": kept(asked, "asks")})
+        return pd.DataFrame({"node": frame["node"], "shard": frame["shard"], "shards": kept(parts, "home"), "asked": kept(asked, "asks")})
+
+    def parted(waves: int, wave: int) -> DataFrame:
+        points = _by_shard(dealt, waves, wave).join(F.broadcast(large), "shard")
+        points = points.select("shard", F.pmod(F.xxhash64("node"), slices).alias("slice"), "node", "vector", "home", "asks")
+        some = centroids.where(_wave(F.col("shard"), waves) == wave)
+        return points.groupBy("shard", "slice").cogroup(some.groupBy("shard", "slice")).applyInPandas(deal, "node long, shard long, shards array<long>, asked array<long>")
+
+    waves = _waves(each.select("shard").join(F.broadcast(large), "shard").count(), n, dim)
+    again = stored_in(new_folder(dealt.sparkSession, "vectors-again"), (parted(waves, w) for w in range(waves)))
+    again = again.groupBy("node").agg(F.collect_set("shard").alias("old"), *[F.flatten(F.collect_list(c)).alias(f"new_{c}") for c in ("shards", "asked")])
+    none = F.array().cast("array<long>")
 
-    parted = points.groupBy("shard", "slice").cogroup(centroids.groupBy("shard", "slice")).applyInPandas(deal, "node long, shards array<long>, asked array<long>")
-    only = lambda flag: F.when(F.col(flag), F.array(F.col("shard") * 1024)).otherwise(F.array().cast("array<long>"))
-    plain = each.join(F.broadcast(large), "shard", "left_anti").select("node", only("home").alias("shards"), only("asks").alias("asked"))
-    shards = plain.unionByName(parted).groupBy("node").agg(*[F.array_sort(F.flatten(F.collect_list(c))).alias(c) for c in ("shards", "asked")])
-    return dealt.drop("shards", "asked").join(shards, "node").select("node", "size", F.col("vector").cast(kind).alias("vector"), "shards", "asked")
+    def anew(c: str) -> Column:
+        plain = F.filter(c, lambda s: ~F.array_contains(F.coalesce("old", none), s))
+        return F.array_sort(F.concat(F.coalesce(f"new_{c}", none), F.transform(plain, lambda s: s * 1024))).alias(c)
+
+    return dealt.join(again, "node", "left").select("node", "size", F.col("vector").cast(kind).alias("vector"), anew("shards"), anew("asked"))
 
 
 def _near(v: np.ndarray, least: float) -> np.ndarray:
@@ -413,57 +478,97 @@ def _probes(sample: pd.DataFrame, least: float) -> np.ndarray:
     return _near(_spread(unit(sample["vector"].tolist()), PROBES), least)
 
 
-def fit_margin(x: np.ndarray, c: np.ndarray, overlap: int, least: float) -> float:
-    """The least margin with which vectors near x ask a shard that holds what they are near to, in MARGIN_SHARE of all cases.
+def _needed(x: np.ndarray, y: np.ndarray, c: np.ndarray, overlap: int) -> np.ndarray:
+    """The margin by which each of y asks a shard that holds the one of x in its place."""
+    out, homes = np.empty(len(x)), nearest_centroids(x, c, min(overlap, len(c)), grouped(c))
+    for k in range(0, len(x), step := max(1, (8 << 20) // len(c))):
+        near = (y[k : k + step].astype(np.float32) @ c.T.astype(np.float32)).astype(np.float64)
+        first, rows = near.argmax(axis=1), np.arange(len(near))
+        behind = near[rows, first][:, None] - np.take_along_axis(near, homes[k : k + step], axis=1)
+        apart = np.sqrt(((c[homes[k : k + step]] - c[first][:, None]) ** 2).sum(axis=2))
+        out[k : k + step] = np.where(apart > 1e-9, behind / np.maximum(apart, 1e-9), 0).min(axis=1)
+    return out
+
+
+def fit_margin(x: np.ndarray, c: np.ndarray, overlap: int, least: float, mutual: bool = False) -> float:
+    """The least margin with which vectors near x ask a shard that holds what they are near to, in MARGIN_SHARE of all cases;
+    mutual: with which either of the two asks one that holds the other.
 
     At the limit a vector is sqrt(1 - least^2) aside of another: in d dimensions sqrt(d) times less along any one direction, such
-    as that between two centroids."""
+    as that between two centroids. It is as far behind, at most, as it is aside."""
     x = _spread(x, MARGIN_ROWS)
-    near, groups, one = _near(x, least), grouped(c), np.sqrt(max(0, 1 - least * least) / x.shape[1])
-    homes = nearest_centroids(x, c, min(overlap, len(c)), groups)
-    for margin in MARGINS:
-        asked = _padded(homes_and_asked(near, c, 1, groups, margin * one)[1], -1)
-        if (homes[:, :, None] == asked[:, None, :]).any(axis=(1, 2)).mean() >= MARGIN_SHARE:
-            break
-    return margin * one
-
-
-def _links_of(points: DataFrame, n: int, dim: int, least: float, overlap: int, shard_rows: int, wider: float = 1.0) -> tuple[DataFrame, DataFrame, float]:
-    """(node, links) and (a, b) edges for the points (node, size, vector) of one dimension, and the recall on probes. wider: by
-    how much the margin is multiplied."""
-    spark, plain = points.sparkSession, points
+    near = _near(x, least)
+    needed = _needed(x, near, c, overlap)
+    if mutual:
+        needed = np.minimum(needed, _needed(near, x, c, overlap))
+    return float(np.quantile(needed, MARGIN_SHARE, method="higher")) + 1e-5
+
+
+def _links_of(points: DataFrame, n: int, dim: int, least: float, overlap: int, shard_rows: int, wider: float = 1.0, dealt_all: Callable[[], None] = lambda: None) -> tuple[DataFrame, DataFrame, float]:
+    """(node, links) and (a, b) edges for the points (node, size, vector) of one dimension, and the recall: on probes and, by
+    audit, on points. wider: by how much the margin is multiplied. dealt_all is called when points are read no more.
+
+    Vectors lie in the shared folder once, with the shards of each; they are shuffled to these in waves of shards, so that the
+    disk holds about what one wave moves, however many shards a point asks."""
+    spark, kind = points.sparkSession, points.schema["vector"].dataType
     k = int(np.clip(round(n * overlap / shard_rows), 1, min(MAX_CENTROIDS, SAMPLE_BYTES // (32 * dim))))
+    shard_rows = max(shard_rows, min(n * overlap // k, SHARD_BYTES // (8 * dim)))
     share = min(1.0, max(SAMPLE_ROWS, 4 * k) / n, SAMPLE_BYTES / (8 * dim) / n)
     sample = points.where(F.pmod(F.xxhash64("node"), F.lit(1 << 40)) < int(share * (1 << 40)) + 1).select("node", "vector").toPandas().sort_values("node")
     if not len(sample):
         sample = points.select("node", "vector").limit(1).toPandas()
-    asked = _probes(sample, least)
+    probes = _probes(sample, least)
     # what a point in the points' own precision is found by
-    asked = asked if points.schema["vector"].dataType.elementType.simpleString() == "double" else asked.astype(np.float32).astype(np.float64)
-    rows = [(FIRST_PROBE + k, 0, x) for k, x in enumerate(asked.tolist())]
-    points = points.unionByName(spark.createDataFrame(rows, "node long, size long, vector array<double>").withColumn("vector", F.col("vector").cast(points.schema["vector"].dataType)))
+    probes = probes if kind.elementType.simpleString() == "double" else probes.astype(np.float32).astype(np.float64)
+    rows = [(FIRST_PROBE + k, 1, x) for k, x in enumerate(probes.tolist())]
     own = unit(sample["vector"].tolist())
     centroids = fit_centroids(own, min(k, len(own)))
-    margin = wider * fit_margin(own, centroids, overlap, least)
-    first = _dealt(points, centroids, overlap, margin)
-    dealt = stored(_dealt_again(stored(first, "vectors-first"), overlap, margin, shard_rows), "vectors-dealt")
-    homes = dealt.where("size > 0").select("node", "vector", F.explode("shards").alias("shard"))
+    once, either = (wider * fit_margin(own, centroids, overlap, least, mutual) for mutual in (False, True))
+    first = points.unionByName(spark.createDataFrame(rows, "node long, size long, vector array<double>").withColumn("vector", F.col("vector").cast(kind)))
+    folders = {name: new_folder(spark, f"vectors-{name}") for name in ("first", "dealt", "lists", "links")}
+    first = stored_in(folders["first"], [_dealt(first, centroids, overlap, either)], PLAIN)
+    dealt_all()
+    # where one of two points alone asks a shard that is parted, it has to ask the part that holds the other
+    again = _dealt_again(first, overlap, once, shard_rows, n, dim)
+    waves = _waves(2 * n, n, dim)
+    dealt = stored_in(folders["dealt"], (again.where(_wave(F.col("node"), waves) == w) for w in range(waves)), PLAIN)
+    removed(spark, folders["first"])
+    held, asking = dealt.agg(F.sum(F.size("shards")), F.sum(F.size(F.array_union("shards", "asked")))).first()
+    homes = dealt.select("node", F.explode("shards").alias("shard"))
     large = homes.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard_rows)
-    parts = large.select("shard", F.ceil(F.col("n") / shard_rows).cast("int").alias("parts"))
+    parts = stored(large.select("shard", F.ceil(F.col("n") / shard_rows).cast("int").alias("parts")), "vectors-cut")
     part = F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")
-    cut = lambda rows: rows.join(parts, "shard", "left").na.fill(1, ["parts"]).withColumn("part", part)
-    lists = cut(homes).select("shard", "part", "node", "vector").groupBy("shard", "part").applyInPandas(_adjacency, "node long, next array<long>")
-    united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
-    meet = cut(_by_shard(dealt.join(united, "node", "left"), "next")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    row = ["node", "size", "vector", "shards", "asked"]
-    as_node = meet.where("home").select("shard", F.col("part").alias("g"), F.col("with").alias("p"), *row, "next", F.col("home").alias("is_node"), (F.col("asks") & (F.col("part") == F.col("with"))).alias("is_query"))
-    as_query = meet.where("asks and not (home and part = with)").select("shard", F.col("with").alias("g"), F.col("part").alias("p"), *row, F.lit(None).cast("array<long>").alias("next"), F.lit(False).alias("is_node"), F.lit(True).alias("is_query"))
-    found = as_node.unionByName(as_query).groupBy("shard", "g", "p").applyInPandas(lambda f: _links(f, least), "node long, root long, links long")
-    found = stored(found, "vectors-links")
+    # as many rows as 2 * shard_rows go into the homes of all points, at most
+    cut = lambda rows: rows.join(F.broadcast(parts), "shard", "left").na.fill(1, ["parts"]).withColumn("part", part)
+    together = lambda rows: rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def lists_of(waves: int, wave: int) -> DataFrame:
+        some = cut(_by_shard(dealt, waves, wave).where("home")).select("shard", "part", "node", "vector", "shards")
+        return some.groupBy("shard", "part").applyInPandas(_adjacency, "shard long, node long, next array<long>")
+
+    waves = _waves(held, n, dim)
+    lists = stored_in(folders["lists"], (lists_of(waves, w) for w in range(waves)))
+
+    def found_by(waves: int, wave: int) -> DataFrame:
+        meet = together(cut(_by_shard(dealt, waves, wave)))
+        row = ["node", "size", "vector", "shards", "asked"]
+        as_node = meet.where("home").select("shard", F.col("part").alias("g"), F.col("with").alias("p"), *row, F.col("home").alias("is_node"), (F.col("asks") & (F.col("part") == F.col("with"))).alias("is_query"))
+        as_query = meet.where("asks and not (home and part = with)").select("shard", F.col("with").alias("g"), F.col("part").alias("p"), *row, F.lit(False).alias("is_node"), F.lit(True).alias("is_query"))
+        own = together(cut(lists.where(_wave(F.col("shard"), waves) == wave))).select("shard", F.col("part").alias("g"), F.col("with").alias("p"), "node", "next")
+        key = ["shard", "g", "p"]
+        return as_node.unionByName(as_query).groupBy(*key).cogroup(own.groupBy(*key)).applyInPandas(lambda f, g: _links(f, g, least), "node long, root long, links long")
+
+    waves = _waves(asking, n, dim)
+    found = stored_in(folders["links"], (found_by(waves, w) for w in range(waves)))
+    removed(spark, folders["lists"])
     links, last = found.groupBy("node").agg(F.sum("links").alias("links")), FIRST_PROBE + PROBES
-    met = _found(plain, links.where(F.col("node") < last), np.arange(len(rows)) + FIRST_PROBE, unit(list(asked)), least).agg(F.avg("found")).first()[0]
+    plain = dealt.where(F.col("node") >= last).select("node", "size", "vector")
+    met = _found(plain, links.where(F.col("node") < last), np.arange(len(rows)) + FIRST_PROBE, unit(list(probes)), least).agg(F.avg("found")).first()[0]
+    links = links.where((F.col("node") >= last) & (F.col("links") > 0))
+    reached = min((r for r in (met, _recall(plain, links, n, least)) if r is not None), default=1.0)
+    removed(spark, folders["dealt"])
     found = found.where(F.col("node") >= last)
-    return links.where(F.col("node") >= last), found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), 1.0 if met is None else met
+    return links, found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), reached
 
 
 def _found(points: DataFrame, links: DataFrame, ids: np.ndarray, vectors: np.ndarray | None, least: float) -> DataFrame:
@@ -528,27 +633,29 @@ def near_duplicates(
     good = F.col(id_col).isNotNull() & (F.size(exact) > 0) & F.forall(exact, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))) & F.exists(exact, lambda c: c != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("vector"), F.coalesce(good, F.lit(False)).alias("good"))
     rows = rows.select("id", "good", "vector", F.xxhash64("vector").alias("k1"), F.xxhash64(F.lit(17), "vector").alias("k2"))
-    points = rows.where("good").groupBy("k1", "k2").agg(F.min("id").alias("node"), F.count("*").alias("size"), F.first("vector").alias("vector"))
-    points = stored(points, "vectors-points")
+    good, own = rows.where("good").withColumn("dim", F.size("vector")), [F.min("id").alias("node"), F.count("*").alias("size")]
     all_links, all_edges = None, None
-    for dim, n in sorted((d, n) for d, n in points.groupBy(F.size("vector")).count().collect()):
-        own = points.where(F.size("vector") == dim).select("node", "size", "vector")
-        rows_in_shard = max(64, min(shard_rows, (64 << 20) // (8 * dim)))
-        for more in range(3):
-            links, edges, on_probes = _links_of(own, n, dim, least, overlap + 2 * more, rows_in_shard, 1.0 + more)
-            reached = _recall(own, links, n, least)
-            reached = on_probes if reached is None else min(reached, on_probes)
-            if reached >= recall:
-                break
-        if reached < 0.9:
-            raise ValueError(f"the graph finds only {reached:.3f} of the links")
-        all_links = links if all_links is None else all_links.unionByName(links)
-        all_edges = edges if all_edges is None else all_edges.unionByName(edges)
+    with brief_shuffles(spark):
+        keys = stored(good.groupBy("k1", "k2").agg(*own, F.first("dim").alias("dim")), "vectors-keys")
+        for dim, n in sorted((d, n) for d, n in keys.groupBy("dim").count().collect()):
+            rows_in_shard = max(64, min(shard_rows, SHARD_BYTES // (8 * dim)))
+            for more in range(3):
+                folder = new_folder(spark, "vectors-points")
+                points = good.where(F.col("dim") == dim).groupBy("k1", "k2").agg(*own, F.first("vector").alias("vector")).select("node", "size", "vector")
+                points = stored_in(folder, [points], PLAIN)
+                links, edges, reached = _links_of(points, n, dim, least, overlap + 2 * more, rows_in_shard, 1.0 + more, lambda f=folder: removed(spark, f))
+                if reached >= recall:
+                    break
+            if reached < 0.9:
+                raise ValueError(f"the graph finds only {reached:.3f} of the links")
+            all_links = links if all_links is None else all_links.unionByName(links)
+            all_edges = edges if all_edges is None else all_edges.unionByName(edges)
+        components = None if all_edges is None else connected_components(all_edges)
     if all_links is None:
         out = rows.withColumns({"n_links": F.lit(0).cast("long"), "component_id": F.col("id")})
     else:
-        of = points.join(all_links, "node", "left").join(connected_components(all_edges), "node", "left")
+        of = keys.join(all_links, "node", "left").join(components, "node", "left")
         of = of.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
-        joined = rows.where("good").select("id", "k1", "k2").join(of, ["k1", "k2"], "left").select("id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
-        out = joined.unionByName(rows.where("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
+        out = rows.where("good").select("id", "k1", "k2").join(of, ["k1", "k2"], "left").select("id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
+        out = out.unionByName(rows.where("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -233,3 +233,65 @@ def test_shards_clustered_again_are_asked_for_what_their_parts_hold(spark):
     assert all(len(got[k].shards) == 2 and got[k].asked == sorted(set(got[k].asked)) for k in range(len(points)))
     assert len({s for r in got.values() for s in r.shards}) > 12
     assert np.mean([bool({*got[900 + k].asked} & {*got[k].shards}) for k in range(300)]) > 0.97
+
+
+def test_few_shards_are_asked_among_many_centroids():
+    """With more than 512 centroids a point's nearest was looked for in some groups only, and no margin but the widest found what
+    two close points have in common: each asked hundreds of shards."""
+    rng = np.random.default_rng(15)
+    x = vectors.unit(list(rng.standard_normal((3000, 32))))
+    c = vectors.fit_centroids(x, 700)
+    margin = vectors.fit_margin(x, c, 2, 0.95)
+    homes, asked = vectors.homes_and_asked(x, c, 2, vectors.grouped(c), margin)
+    assert np.mean([len(a) for a in asked]) < 40
+    either = vectors.fit_margin(x, c, 2, 0.95, mutual=True)
+    assert either < margin
+    y = vectors._near(x, 0.95)
+    (h, a), (g, b) = ([[{*r.tolist()} for r in z] for z in vectors.homes_and_asked(some, c, 2, None, either)] for some in (x, y))
+    assert np.mean([bool(h[k] & b[k]) or bool(g[k] & a[k]) for k in range(len(x))]) >= vectors.MARGIN_SHARE
+
+
+def test_a_pair_is_counted_once_whichever_of_its_points_asks():
+    import pandas as pd
+
+    v = [[1.0, 0.0], [0.99, 0.05], [0.98, 0.1]]
+    rows = [(1, 2, v[0], [5, 6], [5, 7]), (2, 3, v[1], [7, 8], [5]), (3, 1, v[2], [5, 7], [5, 7])]
+    total = {k: 0 for k in (1, 2, 3)}
+    for shard in (5, 6, 7, 8):
+        frame = pd.DataFrame(rows, columns=["node", "size", "vector", "shards", "asked"]).assign(shard=shard)
+        frame["is_node"], frame["is_query"] = ([shard in x for x in frame[c]] for c in ("shards", "asked"))
+        ids = frame["node"][frame["is_node"]].tolist()
+        lists = pd.DataFrame({"node": ids, "next": [np.array([j for j in ids if j != i], dtype=np.int64) for i in ids]})
+        frame = frame[frame["is_node"] | frame["is_query"]]
+        for node, links in vectors._links(frame, lists, 0.95)[["node", "links"]].itertuples(index=False):
+            total[node] += links
+    assert total == {1: 4, 2: 3, 3: 5}
+
+
+def test_vectors_lie_on_disk_once_and_move_in_waves(spark, monkeypatch):
+    """The vectors' copies in the shared folder go when they are read no more, and waves, shards that are parted and graphs that
+    meet part by part find what one round does."""
+    import pathlib
+    import uuid
+
+    from driftledger.llm import common
+
+    rng = np.random.default_rng(16)
+    x = np.concatenate([rng.normal(size=(700, 12)), rng.normal(size=(1, 12)) + rng.normal(size=(200, 12)) * 0.02])
+    x = vectors.unit(list(np.concatenate([x, x[:100] + rng.normal(size=(100, 12)) * 0.02, x[:20]])))
+    table = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    folder = pathlib.Path(f"/tmp/checkpoints/{uuid.uuid4().hex}")
+    monkeypatch.setattr(vectors, "WAVE_BYTES", 1)
+    monkeypatch.setattr(vectors, "new_folder", lambda spark, name: f"file://{folder}/{name}-{uuid.uuid4().hex}")
+    waves, make = [], vectors._waves
+    monkeypatch.setattr(vectors, "_waves", lambda *a: waves.append(make(*a)) or waves[-1])
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(table, shard_rows=64).collect()}
+    assert max(waves) > 1
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == before
+    left = {d.name.rsplit("-", 1)[0] for d in folder.iterdir()}
+    assert "vectors-links" in left and not left & {"vectors-points", "vectors-first", "vectors-dealt", "vectors-lists"}
+    assert common.new_folder is not vectors.new_folder
+    want = (x @ x.T >= 0.95).sum(axis=1) - 1
+    found = np.array([got[k] for k in range(len(x))])
+    assert (found <= want).all() and found.sum() >= 0.99 * want.sum()
