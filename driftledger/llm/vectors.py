@@ -3,12 +3,13 @@
 Equal vectors are one point. Points are dealt to the shards of their nearest centroids, several each; a shard that is too large
 is clustered again. In each shard a graph grows: points are inserted in batches, each searched from the medoids among those
 before it, its neighbours pruned from what the search met so that no kept neighbour makes another superfluous, with edges both
-ways; a second round lets all points meet. A point's lists from all its shards are united. Each point is then searched for in all shards whose centroids are nearly
-its nearest: how nearly is fitted, before any graph is built, on vectors made at the limit of cosine, so that a point between many
-shards asks many of them and the others few. A search follows the united lists from the medoids: greedily towards the point
-first, then to everything in range, as long as points in range have neighbours not seen. Each pair that is found is verified in
-double precision and counted, for the point that asks, in the first of the shards it asks that hold the other. An audit compares
-the links of a sample with brute force over all points; where it finds too few, the shards are made to overlap more.
+ways; a second round lets all points meet. A point's lists from all its shards are united. Each point is then searched for in all
+shards whose centroids are nearly its nearest: how nearly is fitted, before any graph is built, on vectors made at the limit of
+cosine, so that of two such vectors one at least asks a shard that holds the other. A search follows the united lists from the
+medoids: greedily towards the point first, then to everything in range, as long as points in range have neighbours not seen. Each
+pair that is found is verified in double precision and counted, for both of its points, in the first of the shards that it can be
+found in. An audit compares the links of a sample with brute force over all points; where it finds too few, the shards are made
+to overlap more. Vectors are stored once and go to their shards in waves of these, so that the disk doesn't hold all copies.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ MAX_CENTROIDS, SHARD_BYTES = 16_384, 64 << 20
 #: Vectors near sampled ones that the margin is fitted on, and in how many of such cases a shard that holds the one has to be asked
 #: for the other.
 MARGIN_ROWS, MARGIN_SHARE = 16_384, 0.9998
+#: Points of a graph for which it is noted, pair by pair, who found whom: a byte a pair.
+SQUARE_ROWS = 8_192
 #: Bytes of vectors that are shuffled at once, or as many as all points have, where these are more.
 WAVE_BYTES = 64 << 20
 #: The numbers of vectors as Parquet names them: they hardly repeat.
@@ -92,7 +95,7 @@ def homes_and_asked(x: np.ndarray, c: np.ndarray, n: int, groups: tuple[np.ndarr
     nearer than the nearest one; nothing asked without a margin."""
     out, asked = np.empty((len(x), n), dtype=np.int64), []
     x, own = x.astype(np.float32), c.astype(np.float32)
-    step = max(1, (8 << 20) // (len(c) if groups is None else 8 * probes * groups[1].shape[1] * x.shape[1]))
+    step = max(1, (2 << 20) // (max(len(c), 16 * x.shape[1]) if groups is None else 2 * probes * groups[1].shape[1] * x.shape[1]))
     for k in range(0, len(x), step):
         some = x[k : k + step]
         rows = np.arange(len(some))
@@ -315,7 +318,8 @@ def _padded(lists: list, fill: int) -> np.ndarray:
 def _links(frame: pd.DataFrame, lists: pd.DataFrame, least: float) -> pd.DataFrame:
     """For the queries of one (shard, graph part, query part), and the lists of its graph: rows (node, root, links). A pair is
     counted in the first of the shards in which either of its points asks for the other; where one of them alone asks there,
-    it is counted for both. links counts the vectors that are linked; root is the smallest node that the links in this part
+    it is counted for both. So is one that either of two points of this part finds, both of which ask here (in a part of up to SQUARE_ROWS
+    points; beyond, each counts what it finds itself). links counts the vectors that are linked; root is the smallest node that the links in this part
     lead to. Points without either have no row."""
     frame = frame.sort_values("node", kind="stable").reset_index(drop=True)
     nodes, queries = np.flatnonzero(frame["is_node"].to_numpy(bool)), np.flatnonzero(frame["is_query"].to_numpy(bool))
@@ -330,6 +334,9 @@ def _links(frame: pd.DataFrame, lists: pd.DataFrame, least: float) -> pd.DataFra
     graph = _united(ids[nodes], lists)
     entries = medoids(x[nodes].astype(np.float32))
     none = np.iinfo(np.int64).max
+    at, turn = np.full(len(frame), -1), np.zeros(len(frame), dtype=bool)
+    at[nodes], turn[queries] = np.arange(len(nodes)), True
+    square = np.zeros((len(nodes),) * 2 if len(nodes) <= SQUARE_ROWS else (0, 0), dtype=bool)
 
     def first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.where((a[:, :, None] == b[:, None, :]).any(axis=2), a, none).min(axis=1)
@@ -344,6 +351,10 @@ def _links(frame: pd.DataFrame, lists: pd.DataFrame, least: float) -> pd.DataFra
             a, b = q[lo : lo + 50_000], h[lo : lo + 50_000]
             mine = np.minimum(first_common(asked[a], shards[b]), first_common(asked[b], shards[a])) == shard
             a, b = a[mine], b[mine]
+            here = (at[a] >= 0) & turn[b]
+            if len(square):
+                square[at[a[here]], at[b[here]]] = True
+                a, b = a[~here], b[~here]
             np.add.at(links, a, size[b])
             alone = ~(asks[b] & home[a])
             np.add.at(links, b[alone], size[a[alone]])
@@ -356,6 +367,9 @@ def _links(frame: pd.DataFrame, lists: pd.DataFrame, least: float) -> pd.DataFra
             met = np.unique(np.append(root[h[s:e]], root[q[s]]))
             if len(met) > 1:
                 root[np.isin(root, met)] = met[0]
+    square |= square.T
+    for k in range(0, len(square), 256):
+        links[nodes[k : k + 256]] += square[k : k + 256] @ size[nodes]
     keep = (links > 0) | (root != np.arange(len(frame)))
     return pd.DataFrame({"node": ids[keep], "root": ids[root[keep]], "links": links[keep]})
 
@@ -481,7 +495,7 @@ def _probes(sample: pd.DataFrame, least: float) -> np.ndarray:
 def _needed(x: np.ndarray, y: np.ndarray, c: np.ndarray, overlap: int) -> np.ndarray:
     """The margin by which each of y asks a shard that holds the one of x in its place."""
     out, homes = np.empty(len(x)), nearest_centroids(x, c, min(overlap, len(c)), grouped(c))
-    for k in range(0, len(x), step := max(1, (8 << 20) // len(c))):
+    for k in range(0, len(x), step := max(1, (2 << 20) // max(len(c), 16 * x.shape[1]))):
         near = (y[k : k + step].astype(np.float32) @ c.T.astype(np.float32)).astype(np.float64)
         first, rows = near.argmax(axis=1), np.arange(len(near))
         behind = near[rows, first][:, None] - np.take_along_axis(near, homes[k : k + step], axis=1)

@@ -295,3 +295,21 @@ def test_vectors_lie_on_disk_once_and_move_in_waves(spark, monkeypatch):
     want = (x @ x.T >= 0.95).sum(axis=1) - 1
     found = np.array([got[k] for k in range(len(x))])
     assert (found <= want).all() and found.sum() >= 0.99 * want.sum()
+
+
+def test_a_pair_counts_for_both_if_either_finds_it():
+    """39 finds 0, which doesn't find 39."""
+    import pandas as pd
+
+    v = np.zeros((40, 40))
+    v[np.arange(40), np.arange(40)] = 1
+    v[39] = 0.99 * v[0] + np.sqrt(1 - 0.99**2) * v[1]
+    frame = pd.DataFrame({"node": range(40), "size": 1, "vector": v.tolist(), "shards": [[5]] * 40, "asked": [[5]] * 40, "shard": 5, "is_node": True, "is_query": True})
+    lists = pd.DataFrame({"node": [39], "next": [np.array([0])]})
+    for size in (vectors.SQUARE_ROWS, 1):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(vectors, "medoids", lambda x: np.array([20]))
+            patch.setattr(vectors, "range_search", lambda v, graph, q, least, e: (np.array([39]), np.array([0])))
+            patch.setattr(vectors, "SQUARE_ROWS", size)
+            got = vectors._links(frame, lists, 0.95).set_index("node")["links"].to_dict()
+        assert got == ({0: 1, 39: 1} if size > 1 else {39: 1})
