@@ -1,6 +1,7 @@
 """Single operators on small inputs."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -323,6 +324,44 @@ def test_lists_are_compared_place_by_place(spark):
     assert "collect_list" not in got._jdf.queryExecution().toString()
 
 
+def shuffled(df):
+    """The columns of each shuffle of the plan, the last one first."""
+    text = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return [{c.split("#")[0] for c in found.split(", ")} for found in re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", text)]
+
+
+def children(spark, rows):
+    return spark.createDataFrame(rows, "doc long, tag string, pos long, value string")
+
+
+def test_texts_of_keyed_children_are_shuffled_once(spark):
+    """For what is left of a document: all texts by key, those of lists by place, and no member beside its key."""
+    rows = children(spark, [(1, "keyed", 0, '{"name": "a"}')])
+    carried = shuffled(X.document_diff(rows, rows, _rules(spark)).documents)
+    assert sum("value" in columns for columns in carried) == 1 and sum("pos" in columns for columns in carried) == 1
+    assert not any(columns & {"member", "xml_name", "excluded"} for columns in carried)
+
+
+def test_odd_children_meet_as_before(spark):
+    """Without a document, a tag, a text or a key; an empty key meets what has none; repeated keys, texts, places and rows."""
+    a, b, none, empty = '{"name":"a","v":1}', '{"v":2,"name":"a"}', '{"v":1}', '{"name":"","v":1}'
+    old = [(1, "keyed", 0, none), (1, "keyed", 1, a), (1, "keyed", 1, a), (2, "keyed", 0, empty), (3, "keyed", 0, none), (None, "keyed", 0, a), (4, "keyed", 0, None), (5, "keyed", 0, a), (5, "keyed", 1, empty)]
+    new = [(1, "keyed", 0, a), (1, "keyed", 1, b), (1, "keyed", 2, b), (2, "keyed", 0, none), (3, "keyed", 0, empty), (None, "keyed", 0, b), (4, "keyed", 0, None)]
+    old += [(1, "obj", 0, a), (1, "obj", 0, a), (2, "obj", 0, None), (6, "list", 0, a), (6, "list", 0, b), (7, "list", 0, None), (8, "list", 0, "x"), (8, "list", 1, "x"), (6, None, 0, "x"), (9, "hidden", 0, a)]
+    new += [(1, "obj", 1, b), (1, "obj", 1, b), (1, "obj", 2, a), (2, "obj", 0, None), (6, "list", 0, b), (6, "list", 0, a), (7, "list", 0, None), (8, "list", 0, "x"), (6, None, 0, "y"), (6, None, 0, "y"), (9, "hidden", 0, b)]
+    rows = X.paired_children(children(spark, old), children(spark, new), _rules(spark)).where("kind is not null").collect()
+    got = sorted((r.doc or 0, r.tag or "", r.side, r.pos, r.value or "", r.member, r.kind) for r in rows)
+    assert got == [
+        (0, "keyed", 1, 0, b, "a", "modify"), (1, "keyed", 1, 1, b, "a", "add"), (1, "keyed", 1, 2, b, "a", "add"), (1, "obj", 1, 1, b, None, "object"), (1, "obj", 1, 1, b, None, "object"),
+        (3, "keyed", 1, 0, empty, "", "modify"), (5, "keyed", 0, 0, a, "a", "delete"), (5, "keyed", 0, 1, empty, "", "delete"), (6, "", 1, 0, "y", None, "list"), (6, "", 1, 0, "y", None, "list"),
+        (8, "list", 0, 1, "x", None, "list"), (9, "hidden", 1, 0, b, "a", "modify"),
+    ]
+    found = X.document_diff(children(spark, old), children(spark, new), _rules(spark))
+    assert {r.doc: r.has_package_content for r in found.documents.collect()} == {None: True, 1: True, 2: False, 3: True, 4: False, 5: False, 6: True, 7: False, 8: True, 9: True}
+    assert sorted((r.doc or 0, r.kind, r.type, r.member) for r in found.changes.collect()) == [(0, "modify", "Keyed", "a"), (1, "add", "Keyed", "a"), (1, "add", "Keyed", "a"), (3, "modify", "Keyed", ""), (5, "delete", "Keyed", ""), (5, "delete", "Keyed", "a")]
+    assert sorted((r.doc or 0, r.tag or "", r.pos, r.value or "", r.tag_order) for r in found.retained.collect()) == [(1, "keyed", 1, b, 0), (1, "keyed", 2, b, 0), (1, "obj", 1, b, 1), (1, "obj", 1, b, 1), (3, "keyed", 0, empty, 0), (8, "list", 0, "x", 0), (9, "hidden", 0, b, 0)]
+
+
 def test_articles_of_whole_pages(spark, tmp_path):
     from driftledger.plans import catalogue
 
