@@ -342,6 +342,15 @@ def test_texts_of_keyed_children_are_shuffled_once(spark):
     assert not any(columns & {"member", "xml_name", "excluded"} for columns in carried)
 
 
+def test_changes_of_keyed_children_are_one_shuffle(spark):
+    """And lists are left out before it: their rules aren't met."""
+    rows = children(spark, [(1, "keyed", 0, '{"name": "a"}'), (1, "list", 1, "x")])
+    changes = X.document_diff(rows, rows, _rules(spark)).changes
+    assert len(shuffled(changes)) == 1
+    plan = changes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and plan.count("Join Inner") == 2 and "Join LeftOuter" not in plan
+
+
 def test_odd_children_meet_as_before(spark):
     """Without a document, a tag, a text or a key; an empty key meets what has none; repeated keys, texts, places and rows."""
     a, b, none, empty = '{"name":"a","v":1}', '{"v":2,"name":"a"}', '{"v":1}', '{"name":"","v":1}'
