@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from driftledger.operators import diff as D
+from driftledger.operators import handlers
+from driftledger.operators import registry as R
 from driftledger.operators import trees as T
 from driftledger.plans import catalogue  # noqa: F401  its end loads the others
 from driftledger.plans import tree_catalogue as Q
@@ -41,6 +43,67 @@ def test_files_of_a_bundle_are_listed_once_for_all_its_changes(spark):
     assert {r.seq for r in first.collect()} == {least}
 
 
+def described(spark, monkeypatch, rows):
+    """(what the handlers know of changes, the plans that were cut, the last one last)."""
+    plans, cut = [], handlers.cut
+    monkeypatch.setattr(handlers, "cut", lambda df: (plans.append(plan_text(df)), cut(df))[1])
+    changes = spark.createDataFrame(rows, "status string, path string, type string")
+    snapshot = spark.createDataFrame([(r[1], "1") for r in rows] + [("src/reports/a/b.report-meta.xml", "1"), ("other/O2.object-meta.xml", "1")], "path string, oid string")
+    return handlers.describe(changes, R.Registry.of(spark, Q.TYPES), snapshot, snapshot), plans
+
+
+def plan_text(df):
+    spark = df.sparkSession
+    most = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        return df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", most)
+
+
+PLAIN = [
+    ("A", "src/objectTranslations/T/F.fieldTranslation-meta.xml", "CustomObjectTranslation"), ("D", "src/objectTranslations/T/T.objectTranslation-meta.xml", "CustomObjectTranslation"),
+    ("M", "src/objects/O/O.object-meta.xml", "CustomObject"), ("M", "src/objects/O/O.object-meta.xml", "CustomObject"), ("A", "src/objects/objects/P.v2.object-meta.xml", "CustomObject"),
+]
+
+
+def test_changes_that_ask_no_snapshot_are_not_joined_with_it(spark, monkeypatch):
+    """Their place is told by their path, in expressions that are computed once and not for each use and part."""
+    got, plans = described(spark, monkeypatch, PLAIN)
+    assert "LeftOuter" not in plans[-1] and plans[-1].count("element_at(") < 10
+    assert sorted((r.path[4:], r.component_path[4:], "/".join(r.after), r.member) for r in got.collect()) == [
+        ("objectTranslations/T/F.fieldTranslation-meta.xml", "objectTranslations/T", "T/F.fieldTranslation-meta.xml", "T"),
+        ("objectTranslations/T/T.objectTranslation-meta.xml", "objectTranslations/T", "T/T.objectTranslation-meta.xml", "T"),
+        ("objects/O/O.object-meta.xml", "objects/O", "O/O.object-meta.xml", "O"), ("objects/O/O.object-meta.xml", "objects/O", "O/O.object-meta.xml", "O"),
+        ("objects/objects/P.v2.object-meta.xml", "objects/objects/P.v2", "P.v2.object-meta.xml", "P.v2"),
+    ]
+
+
+def test_changes_that_ask_a_snapshot_are_told_by_it(spark, monkeypatch):
+    """One below a component, one outside of its type's directory, one at the root, beside one that asks nothing; and none at all."""
+    rows = [("M", "src/reports/a/b/c/r.report-meta.xml", "Report"), ("A", "other/O2/O2.object-meta.xml", "CustomObject"), ("M", "O3.object", "CustomObject"), PLAIN[0]]
+    got, plans = described(spark, monkeypatch, rows)
+    assert plans[-1].count("LeftOuter") >= 2
+    assert {r.path: (r.component_path, r.member) for r in got.collect()} == {
+        "src/reports/a/b/c/r.report-meta.xml": ("src/reports/a/b", "a/b/c/r"), "other/O2/O2.object-meta.xml": ("other/O2", "O2"),
+        "O3.object": ("/O3", "O3"), PLAIN[0][1]: ("src/objectTranslations/T", "T"),
+    }
+    assert described(spark, monkeypatch, [])[0].count() == 0
+
+
+def test_only_deletions_that_ask_are_shuffled_to_what_exists(spark, monkeypatch):
+    """Not the others, which have no path to ask for: null would be one task's."""
+    plans, cut = [], handlers.cut
+    monkeypatch.setattr(handlers, "cut", lambda df: (plans.append(plan_text(df)), cut(df))[1])
+    changes = spark.createDataFrame(PLAIN, "status string, path string, type string")
+    snapshot = spark.createDataFrame([(r[1], "1") for r in PLAIN if r[0] != "D"], "path string, oid string")
+    found = handlers.collect(changes, R.Registry.of(spark, Q.TYPES), snapshot, snapshot)
+    asked = [x for x in plans if "_there" in x]
+    assert len(asked) == 1 and "Union" in asked[0] and asked[0].count("LeftOuter") == 1
+    assert {tuple(r) for r in found.elements.where("member = 'T'").collect()} == {("package", "CustomObjectTranslation", "T", k) for k in ("add", "delete")}
+
+
 def test_merges_far_back_take_few_rounds(spark):
     """Sixty histories of 400 commits, of which some merge the one before: not a round for each."""
     n = 24_000
